@@ -48,25 +48,58 @@ SURE_EDGES = 5_000_000
 # ------------------------------------------------------------------ connected components
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def _contract(edges: DataFrame) -> DataFrame:
+    """Union-find inside each partition: every node linked to its local minimum."""
+
+    def run(batches):
+        parent: dict = {}
+
+        def root(n):
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                ru, rv = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                if ru != rv:
+                    parent[max(ru, rv)] = min(ru, rv)
+        links = [(n, root(n)) for n in parent]
+        links = [x for x in links if x[0] != x[1]]
+        kind = pa.string() if is_text else pa.int64()
+        for at in range(0, len(links), 100_000):
+            part = links[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in part], kind), pa.array([x[1] for x in part], kind)], ["u", "v"]
+            )
+
+    is_text = isinstance(edges.schema["u"].dataType, T.StringType)
+    return edges.mapInArrow(run, edges.schema)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """True when every node has one parent and no parent has a parent."""
+    parents = edges.select(F.col("v").alias("u")).distinct()
+    chained = edges.join(parents, "u", "left_semi").select("u")
+    split = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    return chained.unionByName(split).isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """``(id, component)`` with the smallest member id as the component.
 
-    Alternates the large-star and small-star steps: every node above its smallest
-    neighbour is re-linked to it, until all edges point at component minima. Each step
-    is a partial aggregate and a lookup join.
+    Edges are first contracted inside their partitions. What is left alternates the
+    large-star and small-star steps, in which every node above its smallest neighbour is
+    re-linked to it, until all edges point at component minima. Each step is a partial
+    aggregate and a lookup join.
     """
     e = materialize(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
+        _contract(
+            edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+        ).distinct()
     )
-    seen = _signature(e)
-    while True:
+    while not _settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -77,13 +110,8 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
         small = (
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
         )
-        e = materialize(small)
-        now = _signature(e)
-        if now == seen:
-            break
-        seen = now
+        e = materialize(_contract(small).distinct())
     roots = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -438,16 +466,21 @@ def cluster_faces(
     return roots.join(lowest, "root").select("face_order", "root", "cluster")
 
 
+def _component_sizes(tagged: DataFrame) -> tuple[DataFrame, int, int]:
+    """Edges per component, with the largest and the sum."""
+    sizes = materialize(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("edges")))
+    row = sizes.agg(F.coalesce(F.max("edges"), F.lit(0)), F.coalesce(F.sum("edges"), F.lit(0))).first()
+    return sizes, row[0], row[1]
+
+
 def _solve_edges(edges, nodes, threshold, low_join, block_rows, local_edges) -> DataFrame:
-    parts = materialize(connected_components(edges))
+    parts = connected_components(edges)
     tagged = edges.join(parts.withColumnRenamed("id", "id_a"), "id_a")
-    sizes = materialize(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("edges")))
-    big = sizes.where(F.col("edges") > local_edges).select("component")
-    some_big = not big.isEmpty()
     placed = nodes.join(parts, "id")
-    total = sizes.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
-    if not some_big:
+    sizes, largest, total = _component_sizes(tagged)
+    if largest <= local_edges:
         return _solve_small(tagged, placed.select("id", "size", "component"), total)
+    big = sizes.where(F.col("edges") > local_edges).select("component")
     small = _solve_small(
         tagged.join(big, "component", "left_anti"),
         placed.join(big, "component", "left_anti").select("id", "size", "component"),
@@ -627,15 +660,14 @@ def cluster_greedy(
     edges = materialize(
         _greedy_gate(edges, rows.select("id", "tier"), threshold, anchor, low_join, low_low, drop_very_low)
     )
-    parts = materialize(connected_components(edges))
+    parts = connected_components(edges)
     tagged = edges.join(parts.withColumnRenamed("id", "id_a"), "id_a")
-    sizes = materialize(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("edges")))
-    big = sizes.where(F.col("edges") > local_edges).select("component")
     placed = rows.join(parts, "id").select("id", "vec", "component")
-    total = sizes.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
-    if big.isEmpty():
+    sizes, largest, total = _component_sizes(tagged)
+    if largest <= local_edges:
         found = _greedy_small(tagged, placed, threshold, total)
     else:
+        big = sizes.where(F.col("edges") > local_edges).select("component")
         found = _greedy_small(
             tagged.join(big, "component", "left_anti"), placed.join(big, "component", "left_anti"), threshold, total
         ).unionByName(

@@ -121,7 +121,7 @@ def test_quality_example(spark):
 @pytest.mark.parametrize("seed", [3, 4])
 @pytest.mark.parametrize("local_edges", [100_000, 2])
 def test_greedy(spark, seed, local_edges):
-    rows = make_faces(seed, n=40, copies=False)
+    rows = make_faces(seed, n=26, copies=False)
     df = spark.createDataFrame(rows, SCHEMA)
     out = cluster.cluster_greedy(df, 0.5, low_join=0.6, low_low=0.65, local_edges=local_edges, block_rows=16).collect()
     got = {r["face_order"]: r["cluster"] for r in out}
