@@ -519,8 +519,10 @@ def _from_ordered(code: int) -> float:
     return float(np.array([bits], dtype=np.uint32).view(np.float32)[0])
 
 
-def quantile_rank(p: float, n: int, rule: str) -> int:
-    """0-based position of quantile ``p``: ``floor(p*n)`` or ``floor(p*(n-1))``."""
+def quantile_rank(p, n: int, rule) -> int:
+    """0-based position of quantile ``p``: ``floor(p*n)``, ``floor(p*(n-1))``, or ``rule(p, n)``."""
+    if callable(rule):
+        return rule(p, n)
     if rule == "n":
         return min(n - 1, max(0, math.floor(p * n)))
     if rule == "n-1":
@@ -533,8 +535,8 @@ def similarity_quantiles(
     attrs: Sequence[str],
     stratify: Stratify,
     strata: int,
-    probabilities: Sequence[float],
-    rule: str = "n",
+    probabilities: Sequence,
+    rule="n",
     right: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> dict[int, tuple[int, dict[float, float]]]:
