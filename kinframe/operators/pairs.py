@@ -611,3 +611,80 @@ def _low_half_counts(reps, attrs, stratify, strata, high_bins, right, block_rows
         (F.col("bin") % half).alias("bin_low"),
         "pairs",
     )
+
+
+# ------------------------------------------------------------------ pairs inside groups
+
+GROUP_CHUNK = 1024
+
+
+def group_pairs(
+    left: DataFrame,
+    right: DataFrame | None,
+    reducer: Reducer,
+    schema: T.StructType,
+    chunk: int = GROUP_CHUNK,
+) -> DataFrame:
+    """Run ``reducer`` on rows that share ``group``, within bounded chunks.
+
+    Inputs carry ``id``, ``vec``, ``group`` and attributes. Groups up to ``chunk`` rows
+    share tasks; a larger group is cut into chunks that meet pairwise, so no task ever
+    holds more than two chunks of one group. Without ``right`` a group meets itself.
+    """
+    self_join = right is None
+    sides = [left] if self_join else [left, right]
+    counts = None
+    for i, s in enumerate(sides):
+        c = s.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(f"_k{i}"))
+        counts = c if counts is None else counts.join(c, "group")
+    if self_join:
+        counts = counts.withColumn("_k1", F.col("_k0"))
+    # One pack of small groups holds about as many rows as two chunks.
+    total = sides[0].count()
+    packs = max(8, total // (2 * chunk) + 1)
+    small = (F.col("_k0") == 1) & (F.col("_k1") == 1)
+    pack = F.when(small, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(packs + F.pmod(F.xxhash64("group"), F.lit(2**40)))
+    parts = []
+    for i, s in enumerate(sides):
+        own = F.pmod(F.xxhash64("id"), F.col(f"_k{i}")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(f"_k{1 - i}") - 1))
+        rows = s.join(counts, "group").select(*s.columns, pack.alias("pack"), own.alias("_own"), other.alias("_other"))
+        if self_join:
+            keyed = rows.select(
+                *s.columns, "pack", F.least("_own", "_other").alias("block_a"),
+                F.greatest("_own", "_other").alias("block_b"), (F.col("_own") <= F.col("_other")).alias("is_a"),
+            )
+        else:
+            a, b = ("_own", "_other") if i == 0 else ("_other", "_own")
+            keyed = rows.select(
+                *s.columns, "pack", F.col(a).alias("block_a"), F.col(b).alias("block_b"), F.lit(i == 0).alias("is_a")
+            )
+        parts.append(keyed)
+    keyed = parts[0] if self_join else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    arrow = [f.name for f in schema]
+
+    def run(key, table):
+        same = self_join and key[1].as_py() == key[2].as_py()
+        table = table.drop_columns(["pack"]).sort_by("group")
+        group = column_values(table.column("group"))
+        cuts = np.nonzero(group[1:] != group[:-1])[0] + 1
+        out = []
+        for start, stop in zip([0, *cuts], [*cuts, len(group)]):
+            part = table.slice(start, stop - start)
+            if same:
+                if len(part) > 1 or "n" in part.column_names:
+                    side = Side(part)
+                    out.append(reducer(side, side, True).select(arrow))
+                continue
+            flags = column_values(part.column("is_a")).astype(bool)
+            if flags.all() or not flags.any():
+                continue
+            out.append(reducer(Side(part.filter(pa.array(flags))), Side(part.filter(pa.array(~flags))), False).select(arrow))
+        return pa.concat_tables(out) if out else _empty(schema)
+
+    return keyed.groupBy("pack", "block_a", "block_b").applyInArrow(run, schema)
+
+
+def _empty(schema: T.StructType) -> pa.Table:
+    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "integer": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    return pa.table({f.name: pa.array([], kinds[f.dataType.typeName()]) for f in schema})
