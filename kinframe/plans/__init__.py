@@ -6,7 +6,14 @@ import importlib
 
 from kinframe.plans.registry import REGISTRY, Query
 
-MODULES = ["catalog_queries", "vector_queries", "detect_queries", "evaluate_queries", "ingest_queries"]
+MODULES = [
+    "catalog_queries",
+    "vector_queries",
+    "detect_queries",
+    "evaluate_queries",
+    "ingest_queries",
+    "streaming_queries",
+]
 
 
 def all_queries() -> dict[str, Query]:
