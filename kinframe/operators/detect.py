@@ -192,7 +192,7 @@ def _suppress_rounds(rows: DataFrame, limit: float, pixel: float, image_rows: in
         )
         winners = kept.select(
             F.col("image_id"), F.struct("x1", "y1", "x2", "y2").alias("k"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("_salt"),
         )
         clear = rest.alias("a").join(
             winners.alias("b"),

@@ -18,7 +18,6 @@ from kinframe.session import checkpoint_root, materialize
 
 # States after which a scan's later events are ignored.
 IGNORED_AFTER = ("cancelled", "paused")
-IDLE_TIMEOUT_MS = 24 * 60 * 60 * 1000
 
 
 def event_ms(ts: str = "ts") -> Column:
@@ -56,12 +55,17 @@ def live_events(events: DataFrame, ignored_after: tuple[str, ...] = IGNORED_AFTE
     ).select(*events.columns)
 
 
+def _timer(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 def live_events_stream(
-    events: DataFrame, ignored_after: tuple[str, ...] = IGNORED_AFTER, idle_ms: int = IDLE_TIMEOUT_MS
+    events: DataFrame, ignored_after: tuple[str, ...] = IGNORED_AFTER, idle_ms: int | None = None
 ) -> DataFrame:
     """Streaming form: one flag per scan; stragglers of a stopped scan are dropped.
 
-    A flag is forgotten after ``idle_ms`` without events.
+    With ``idle_ms`` a flag is forgotten after that long without events. Timers keep a
+    query alive, so leave it out for runs that end when the input does.
     """
     columns = events.columns
 
@@ -79,10 +83,11 @@ def live_events_stream(
                 rows = rows.iloc[: stop[0] + 1]
             yield rows[columns]
         state.update((stopped,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
     return events.groupBy("scan_id").applyInPandasWithState(
-        run, events.schema, "stopped boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, events.schema, "stopped boolean", "append", _timer(idle_ms)
     )
 
 
@@ -146,8 +151,10 @@ def rate_limit(events: DataFrame, limit: int, window_ms: int, key: str = "key")
     )
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_ms: int, key: str = "key") -> DataFrame:
-    """Streaming form: window end and count per key, expired by a timer.
+def rate_limit_stream(
+    events: DataFrame, limit: int, window_ms: int, key: str = "key", idle_ms: int | None = None
+) -> DataFrame:
+    """Streaming form: window start and count per key, dropped after ``idle_ms`` when given.
 
     Within a micro-batch events are taken by time; between batches by arrival.
     """
@@ -171,11 +178,12 @@ def rate_limit_stream(events: DataFrame, limit: int, window_ms: int, key: str =
             openings.append(opened)
             counts.append(hits)
         state.update((opened, hits))
-        state.setTimeoutDuration(max(window_ms, 1))
+        if idle_ms is not None:
+            state.setTimeoutDuration(max(window_ms, idle_ms))
         yield batch.assign(opened=openings, hits=counts)[["event_id", "key", "ms", "opened", "hits"]]
 
     counted = rows.groupBy("key").applyInPandasWithState(
-        run, out, "opened long, hits long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, out, "opened long, hits long", "append", _timer(idle_ms)
     )
     return _limit_columns(counted, limit, window_ms)
 

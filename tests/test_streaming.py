@@ -32,7 +32,7 @@ def test_status_and_counts(spark, tmp_path):
     for name, fn in (("status", pg.scan_status), ("counts", pg.progress_counts)):
         stream = stream_of(spark, df, str(tmp_path / f"in-{name}"))
         out = str(tmp_path / name)
-        pg.keep_latest(fn(stream), ["scan_id"], out, str(tmp_path / f"st-{name}")).awaitTermination()
+        pg.keep_latest(fn(stream), ["scan_id"], out, str(tmp_path / f"st-{name}")).awaitTermination(60)
         last = max((p for p in (tmp_path / name).iterdir()), key=lambda p: int(p.name[1:]))
         assert rows_of(spark.read.parquet(str(last))) == rows_of(fn(df))
 
@@ -40,7 +40,7 @@ def test_status_and_counts(spark, tmp_path):
 def test_stragglers_are_dropped(spark, tmp_path):
     df = events(spark)
     stream = pg.live_events_stream(stream_of(spark, df, str(tmp_path / "in")))
-    pg.run_available(stream, str(tmp_path / "out")).awaitTermination()
+    pg.run_available(stream, str(tmp_path / "out")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     want = pg.live_events(df)
     assert 0 < want.count() < df.count()
@@ -50,7 +50,7 @@ def test_stragglers_are_dropped(spark, tmp_path):
 def test_rate_limit(spark, tmp_path):
     df = events(spark)
     stream = pg.rate_limit_stream(stream_of(spark, df, str(tmp_path / "in")), 3, 600_000, "scan_id")
-    pg.run_available(stream, str(tmp_path / "out")).awaitTermination()
+    pg.run_available(stream, str(tmp_path / "out")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     want = pg.rate_limit(df, 3, 600_000, "scan_id")
     assert rows_of(got.select(*want.columns)) == rows_of(want)
@@ -87,7 +87,7 @@ def test_incremental_ingest(spark, tmp_path):
     for _ in range(2):
         df.coalesce(1).write.mode("append").parquet(manifest)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(manifest)
-    ingest_job.incremental_ingest(stream, root, str(tmp_path / "state"), threshold=0.45).awaitTermination()
+    ingest_job.incremental_ingest(stream, root, str(tmp_path / "state"), threshold=0.45).awaitTermination(60)
     after = io.load_catalog(spark, root)
     assert sorted(r["photo_id"] for r in after["photos"].collect()) == [1, 2]
     owner = {r["face_id"]: r["person_id"] for r in after["faces"].collect()}
