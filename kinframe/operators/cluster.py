@@ -159,7 +159,7 @@ def _allowed(s: np.ndarray, low_a: np.ndarray, low_b: np.ndarray, threshold: flo
     return (s > threshold) & ~(low_a & low_b) & ((s >= low_join) | ~(low_a | low_b))
 
 
-def _gated_edges(nodes: DataFrame, threshold: float, low_join: float, block_rows: int, count_only: bool) -> DataFrame:
+def _gated_edges(nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None, count_only: bool) -> DataFrame:
     if count_only:
         schema = T.StructType([T.StructField("edges", T.LongType())])
     else:
@@ -260,7 +260,7 @@ def _sorted_side(side: Side) -> Side:
     return side
 
 
-def _best_partner(live_nodes: DataFrame, threshold: float, low_join: float, block_rows: int) -> DataFrame:
+def _best_partner(live_nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None) -> DataFrame:
     """Each root's best allowed partner: highest similarity, then smallest first member."""
     schema = T.StructType(
         [
@@ -318,7 +318,7 @@ def _best_rows(own: Side, other: Side, s: np.ndarray, at: np.ndarray) -> pa.Tabl
     )
 
 
-def _first_obstacle(state: DataFrame, threshold: float, low_join: float, block_rows: int) -> DataFrame:
+def _first_obstacle(state: DataFrame, threshold: float, low_join: float, block_rows: int | None) -> DataFrame:
     """For each merge centre, its best edge to a root it may not absorb this round.
 
     Such a root prefers someone else or is larger; edges below it have to wait.
@@ -369,7 +369,7 @@ def _first_obstacle(state: DataFrame, threshold: float, low_join: float, block_r
     return found.groupBy("id").agg(F.max(F.struct("sim", "neg_first")).alias("stop"))
 
 
-def _solve_rounds(nodes: DataFrame, threshold: float, low_join: float, block_rows: int) -> DataFrame:
+def _solve_rounds(nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None) -> DataFrame:
     """Agglomerate without an edge list: ``(id, root)``.
 
     Per round every root looks up its best partner with one blocked comparison. Mutual
@@ -430,7 +430,7 @@ def cluster_faces(
     threshold: float = LINKAGE_THRESHOLD,
     low_join: float = LOW_JOIN,
     linkage: str = "root",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     local_edges: int = LOCAL_EDGES,
     edges_per_face: int = EDGES_PER_FACE,
     sure_edges: int = SURE_EDGES,
@@ -643,7 +643,7 @@ def cluster_greedy(
     low_join: float = LOW_JOIN,
     low_low: float | None = LOW_LOW_JOIN,
     drop_very_low: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     local_edges: int = LOCAL_EDGES,
 ) -> DataFrame:
     """Greedy centroid linkage: ``face_order, cluster`` (smallest member).
@@ -795,7 +795,7 @@ def recluster_catalog(
 
 
 def merge_duplicate_persons(
-    faces: DataFrame, threshold: float = 0.5, dry_run: bool = False, block_rows: int = BLOCK_ROWS
+    faces: DataFrame, threshold: float = 0.5, dry_run: bool = False, block_rows: int | None = BLOCK_ROWS
 ) -> DataFrame:
     """Fold near-identical persons together: ``person_id, merged_into``.
 

@@ -109,21 +109,28 @@ def plan_tiling(images: DataFrame, dets: DataFrame, face_px: int = TILE_TRIGGER_
 # ------------------------------------------------------------------ suppression
 
 
-def _greedy_keep(b: np.ndarray, limit: float, pixel: float) -> np.ndarray:
-    """Positions kept when boxes, best first, drop later ones that overlap too much."""
+def _greedy_keep(image: np.ndarray, b: np.ndarray, limit: float, pixel: float) -> np.ndarray:
+    """Positions kept when boxes, best first within each image, drop later overlapping ones.
+
+    Every pass settles the best remaining box of all images at once.
+    """
     area = (b[:, 2] - b[:, 0] + pixel) * (b[:, 3] - b[:, 1] + pixel)
-    kept: list[int] = []
+    kept = []
     left = np.arange(len(b))
     while len(left):
-        i, left = left[0], left[1:]
-        kept.append(i)
-        w = np.maximum(0.0, np.minimum(b[i, 2], b[left, 2]) - np.maximum(b[i, 0], b[left, 0]) + pixel)
-        h = np.maximum(0.0, np.minimum(b[i, 3], b[left, 3]) - np.maximum(b[i, 1], b[left, 1]) + pixel)
+        first = np.ones(len(left), bool)
+        first[1:] = image[left[1:]] != image[left[:-1]]
+        heads = left[first]
+        kept.append(heads)
+        head = heads[np.cumsum(first) - 1][~first]
+        left = left[~first]
+        w = np.maximum(0.0, np.minimum(b[head, 2], b[left, 2]) - np.maximum(b[head, 0], b[left, 0]) + pixel)
+        h = np.maximum(0.0, np.minimum(b[head, 3], b[left, 3]) - np.maximum(b[head, 1], b[left, 1]) + pixel)
         inter = w * h
-        union = area[i] + area[left] - inter
+        union = area[head] + area[left] - inter
         ratio = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
         left = left[ratio <= limit]
-    return np.array(kept, dtype=np.int64)
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
 def _suppress_groups(rows: DataFrame, limit: float, pixel: float, per_pack: int) -> DataFrame:
@@ -136,19 +143,12 @@ def _suppress_groups(rows: DataFrame, limit: float, pixel: float, per_pack: int)
         score = table.column("det_score").to_numpy()
         box = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
         order = np.lexsort((seq, -score, image))
-        image, box = image[order], box[order]
-        cuts = np.nonzero(np.diff(image))[0] + 1
-        kept = [
-            start + _greedy_keep(box[start:stop], limit, pixel)
-            for start, stop in zip([0, *cuts], [*cuts, len(image)])
-            if stop > start
-        ]
-        keep = order[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
+        keep = order[_greedy_keep(image[order], box[order], limit, pixel)]
         return table.select(["image_id", "det_seq"]).take(pa.array(keep))
 
-    packs = max(8, rows.sparkSession.sparkContext.defaultParallelism, per_pack)
+    packs = max(2 * rows.sparkSession.sparkContext.defaultParallelism, per_pack)
     pack = F.pmod(F.xxhash64("image_id"), F.lit(packs)).alias("pack")
-    return rows.select(pack, *rows.columns).groupBy("pack").applyInArrow(run, schema)
+    return rows.select(pack, *rows.columns).repartition(packs, "pack").groupBy("pack").applyInArrow(run, schema)
 
 
 def nms(dets: DataFrame, preset: str = "cross_source", iou: float | None = None, image_rows: int = NMS_IMAGE_ROWS) -> DataFrame:

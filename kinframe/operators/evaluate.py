@@ -22,6 +22,7 @@ from kinframe.operators.cluster import LOW_JOIN, cluster_faces, cluster_running_
 from kinframe.operators.pairs import (
     BLOCK_ROWS,
     Side,
+    arrow_table,
     binned_counts,
     collapse_copies,
     group_pairs,
@@ -98,13 +99,13 @@ def propagate_labels(crops: DataFrame, faces: DataFrame, threshold: float = CROP
     ``crops(id, label, embedding)`` are labelled; ``faces(face_id, folder_label,
     embedding)`` only know their folder.
     """
-    schema = T.StructType([T.StructField("face_id", T.LongType())])
+    schema = T.StructType([T.StructField("face_id", faces.schema["face_id"].dataType)])
 
     def reduce(a: Side, b: Side, same: bool) -> pa.Table:
         hit = np.zeros(len(a), bool)
         for start, stop, s in tiles(a, b):
             hit[start:stop] = (s >= threshold).any(axis=1)
-        return pa.table({"face_id": pa.array(a.attr["id"][hit])})
+        return arrow_table(schema, [[a.attr["id"][hit]]])
 
     left = faces.where(F.col("embedding").isNotNull()).select(
         F.col("face_id").alias("id"), F.col("embedding").alias("vec"), F.col("folder_label").cast("string").alias("group")
@@ -119,7 +120,7 @@ def propagate_labels(crops: DataFrame, faces: DataFrame, threshold: float = CROP
 # ------------------------------------------------------------------ pair data
 
 
-def pair_dataset(faces: DataFrame, min_sim: float, label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_dataset(faces: DataFrame, min_sim: float, label: str = "label", block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Labelled face pairs at or over ``min_sim`` with kind, tiers and size band.
 
     Totals over all pairs come from ``pair_counts``; lower similarities only matter as
@@ -174,9 +175,10 @@ def pair_counts(faces: DataFrame, label: str = "label") -> DataFrame:
 
 def within_photo_pairs(faces: DataFrame, min_sim: float, label: str | None = None, chunk: int = 1024) -> DataFrame:
     """Face pairs inside one photo at or over ``min_sim``; only unlabelled faces when ``label`` is given."""
+    id_type = faces.schema["face_id"].dataType
     schema = T.StructType(
-        [T.StructField("photo_id", T.LongType()), T.StructField("id_a", T.LongType()),
-         T.StructField("id_b", T.LongType()), T.StructField("sim", T.DoubleType())]
+        [T.StructField("photo_id", faces.schema["photo_id"].dataType), T.StructField("id_a", id_type),
+         T.StructField("id_b", id_type), T.StructField("sim", T.DoubleType())]
     )
 
     def reduce(a: Side, b: Side, same: bool) -> pa.Table:
@@ -187,10 +189,9 @@ def within_photo_pairs(faces: DataFrame, min_sim: float, label: str | None = Non
                 hit &= np.arange(start, stop)[:, None] < np.arange(len(b))[None, :]
             i, j = np.nonzero(hit)
             x, y = a.attr["id"][start + i], b.attr["id"][j]
-            out.append((a.attr["group"][start + i], np.minimum(x, y), np.maximum(x, y), s[i, j]))
-        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(4)]
-        kinds = [np.int64, np.int64, np.int64, np.float64]
-        return pa.table({f.name: pa.array(c.astype(k)) for f, c, k in zip(schema, cols, kinds)})
+            flip = x > y
+            out.append((a.attr["group"][start + i], np.where(flip, y, x), np.where(flip, x, y), s[i, j]))
+        return arrow_table(schema, [[o[k] for o in out] for k in range(4)])
 
     return group_pairs(_photo_rows(faces, label), None, reduce, schema, chunk)
 
@@ -291,7 +292,7 @@ def sim_distribution(
     quantiles: Sequence[float] = QUANTILES,
     rule: str = "n",
     cross_photo_only: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact quantiles of pair similarities per kind (and tier pair).
 
@@ -321,7 +322,7 @@ def sim_distribution(
 
 
 def threshold_sweep(
-    faces: DataFrame, thresholds: Sequence[float] = THRESHOLDS, label: str = "label", block_rows: int = BLOCK_ROWS
+    faces: DataFrame, thresholds: Sequence[float] = THRESHOLDS, label: str = "label", block_rows: int | None = BLOCK_ROWS
 ) -> DataFrame:
     """Pair-level TP, FP, FN, TN and rates at each threshold."""
     rows = faces.where(F.col("embedding").isNotNull() & F.col(label).isNotNull()).withColumn(

@@ -22,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinframe.functions.vectors import norm
 from kinframe.session import materialize
 
-BLOCK_ROWS = 4096
-TILE_ROWS = 1024
+# Rows per block: chosen from the input size and the parallelism unless given. More
+# blocks mean more tasks but also more copies of every row.
+BLOCK_ROWS = None
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, BLOCKS_WANTED = 2048, 32768, 256
+MAX_TASKS = 20_000
+TILE_CELLS = 4_000_000
+DENSE_CELLS = 4_000_000
 MAX_PIVOTS = 512
 ANGLE_SLACK = 1e-6
 
@@ -123,10 +129,15 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _placement(left: DataFrame, right: DataFrame | None, block_rows: int, prune: bool):
+def _placement(left: DataFrame, right: DataFrame | None, block_rows: int | None, prune: bool):
     """Put both sides into groups; returns the placed sides and their layout."""
     sides = [left] if right is None else [left, right]
     sizes = [s.count() for s in sides]
+    if block_rows is None:
+        # About two block pairs per core, within the bounds.
+        cores = left.sparkSession.sparkContext.defaultParallelism
+        blocks = min(BLOCKS_WANTED, math.ceil(math.sqrt(4 * cores)))
+        block_rows = min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(max(sizes) / blocks)))
     wanted = math.ceil(max(sizes) / block_rows) if sizes and prune else 1
     if wanted <= 1:
         # One group around no pivot: blocks alone bound the work.
@@ -218,7 +229,7 @@ def block_pairs(
     reducer: Reducer,
     schema: T.StructType,
     threshold: float | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Run ``reducer`` on every pair of blocks that may hold similar rows.
 
@@ -246,11 +257,16 @@ def block_pairs(
         b = Side(table.filter(pa.array(~flags)))
         return reducer(a, b, False).select(arrow)
 
-    return spread.groupBy("block_a", "block_b").applyInArrow(run, schema)
+    counts = [sum(b.values()) for b in place.blocks]
+    pairs = counts[0] * (counts[0] + 1) // 2 if self_join else counts[0] * counts[1]
+    tasks = max(1, min(2 * pairs, MAX_TASKS))
+    keys = ["block_a", "block_b"]
+    return spread.repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, schema)
 
 
-def tiles(a: Side, b: Side, rows: int = TILE_ROWS):
+def tiles(a: Side, b: Side):
     """Similarity tiles ``(start, stop, S)`` of bounded size."""
+    rows = max(1, TILE_CELLS // max(1, len(b)))
     for start in range(0, len(a), rows):
         stop = min(len(a), start + rows)
         if len(b):
@@ -280,7 +296,7 @@ def rep_pairs(
     threshold: float,
     strict: bool = False,
     single: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Pairs of distinct vectors over the threshold, ``id_a < id_b``."""
     schema = _id_pair_schema(reps.schema["id"].dataType)
@@ -304,15 +320,17 @@ def rep_pairs(
 
 
 def _pair_table(ids_a, ids_b, sims, schema: T.StructType) -> pa.Table:
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-    kind = pa.string() if isinstance(schema["id_a"].dataType, T.StringType) else pa.int64()
-    return pa.table(
-        {
-            "id_a": pa.array(join(ids_a), kind, from_pandas=True),
-            "id_b": pa.array(join(ids_b), kind, from_pandas=True),
-            "sim": pa.array(join(sims), pa.float64()),
-        }
-    )
+    return arrow_table(schema, [ids_a, ids_b, sims])
+
+
+def arrow_table(schema: T.StructType, columns: Sequence[Sequence[np.ndarray]]) -> pa.Table:
+    """An Arrow table of ``schema`` from lists of array pieces, one list per column."""
+    out = {}
+    for field, parts in zip(schema, columns):
+        kind = to_arrow_type(field.dataType)
+        parts = [p for p in parts if len(p)]
+        out[field.name] = pa.array(np.concatenate(parts), kind, from_pandas=True) if parts else pa.array([], kind)
+    return pa.table(out)
 
 
 def similar_pairs(
@@ -322,7 +340,7 @@ def similar_pairs(
     vec_col: str = "embedding",
     strict: bool = False,
     single: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """All pairs of rows over the threshold: ``id_a < id_b, sim``.
 
@@ -358,7 +376,7 @@ def cross_pairs(
     left: DataFrame,
     right: DataFrame,
     threshold: float,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Pairs between two sets of ``(id, vec)`` rows with similarity at or over the threshold."""
     schema = T.StructType(
@@ -384,7 +402,7 @@ def cross_pairs(
 # ------------------------------------------------------------------ reducers that stay small
 
 
-def rows_with_partner(reps: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def rows_with_partner(reps: DataFrame, threshold: float, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Distinct ids that have at least one partner at or over the threshold."""
     schema = T.StructType([T.StructField("id", reps.schema["id"].dataType)])
 
@@ -396,15 +414,14 @@ def rows_with_partner(reps: DataFrame, threshold: float, block_rows: int = BLOCK
                 hit[np.arange(stop - start), np.arange(start, stop)] = False
             row[start:stop] |= hit.any(axis=1)
             col |= hit.any(axis=0)
-        ids = np.concatenate([a.attr["id"][row], b.attr["id"][col]])
-        return pa.table({"id": pa.array(ids)})
+        return arrow_table(schema, [[a.attr["id"][row], b.attr["id"][col]]])
 
     found = block_pairs(reps.select("id", "vec"), None, reduce, schema, threshold, block_rows)
     copies = reps.where((F.col("n") > 1) & (norm("vec") > 0)).select("id")
     return found.unionByName(copies).distinct()
 
 
-def closest_pairs(reps: DataFrame, top: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def closest_pairs(reps: DataFrame, top: int, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """The ``top`` most similar pairs; each block pair sends only its own best ones."""
     schema = _id_pair_schema(reps.schema["id"].dataType)
 
@@ -443,7 +460,7 @@ def binned_counts(
     bin_of: Callable[[np.ndarray], np.ndarray],
     bins: int,
     right: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Number of row pairs per ``(stratum, bin)``, weighted by copy multiplicities.
 
@@ -462,6 +479,10 @@ def binned_counts(
     def count(codes, s, weight):
         b = bin_of(s)
         keep = (codes >= 0) & (b >= 0) & (weight > 0)
+        if strata * bins <= DENSE_CELLS:
+            total = np.bincount(codes[keep].astype(np.int64) * bins + b[keep], weights=weight[keep])
+            at = np.nonzero(total)[0]
+            return at, total[at]
         found, at = np.unique(codes[keep].astype(np.int64) * bins + b[keep], return_inverse=True)
         return found, np.bincount(at, weights=weight[keep], minlength=len(found))
 
@@ -538,7 +559,7 @@ def similarity_quantiles(
     probabilities: Sequence,
     rule="n",
     right: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> dict[int, tuple[int, dict[float, float]]]:
     """Exact quantiles of all pair similarities per stratum, at float32 resolution.
 
@@ -680,11 +701,6 @@ def group_pairs(
             if flags.all() or not flags.any():
                 continue
             out.append(reducer(Side(part.filter(pa.array(flags))), Side(part.filter(pa.array(~flags))), False).select(arrow))
-        return pa.concat_tables(out) if out else _empty(schema)
+        return pa.concat_tables(out) if out else arrow_table(schema, [[] for _ in schema])
 
     return keyed.groupBy("pack", "block_a", "block_b").applyInArrow(run, schema)
-
-
-def _empty(schema: T.StructType) -> pa.Table:
-    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "integer": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    return pa.table({f.name: pa.array([], kinds[f.dataType.typeName()]) for f in schema})

@@ -60,7 +60,7 @@ def _centroid_reps(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return means, materialize(collapse_copies(means, "id", "embedding"))
 
 
-def closest_person_pairs(faces: DataFrame, top: int = 30, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def closest_person_pairs(faces: DataFrame, top: int = 30, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Person pairs with the most similar centroids."""
     means, _ = _centroid_reps(faces)
     rows = means.select("id", F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("n"))
@@ -69,7 +69,7 @@ def closest_person_pairs(faces: DataFrame, top: int = 30, block_rows: int = BLOC
     )
 
 
-def grey_zone(faces: DataFrame, low: float = 0.45, high: float = 0.55, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def grey_zone(faces: DataFrame, low: float = 0.45, high: float = 0.55, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Person pairs whose centroid similarity lies between the two bounds."""
     means, _ = _centroid_reps(faces)
     pairs = rep_pairs(means.select("id", F.col("embedding").alias("vec")), low, block_rows=block_rows)
@@ -82,7 +82,7 @@ def grey_zone(faces: DataFrame, low: float = 0.45, high: float = 0.55, block_row
     )
 
 
-def person_pair_detail(faces: DataFrame, a, b, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def person_pair_detail(faces: DataFrame, a, b, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Face-to-face similarities of two persons: max, p90, mean, min and counts.
 
     The mean follows from the two vector sums; the order statistics come from counting
@@ -149,7 +149,7 @@ def cluster_vs_main(faces: DataFrame, identity: str = "true_label") -> DataFrame
     )
 
 
-def useful_faces(faces: DataFrame, threshold: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def useful_faces(faces: DataFrame, threshold: float = 0.5, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Embedded faces with at least one other face at the threshold, per size band."""
     rows = _embedded(faces)
     reps = materialize(collapse_copies(rows, "face_id", "embedding"))

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinframe.functions.vectors import cosine
 from kinframe.operators.catalog import live
-from kinframe.operators.pairs import BLOCK_ROWS, Side, block_pairs, tiles
+from kinframe.operators.pairs import BLOCK_ROWS, Side, arrow_table, block_pairs, tiles
 from kinframe.session import materialize
 
 # Results per search, and the similarity a face must reach.
@@ -47,8 +46,8 @@ def _best_photos(
     """
     schema = T.StructType(
         [
-            T.StructField("query_photo", T.LongType()),
-            T.StructField("photo_id", T.LongType()),
+            T.StructField("query_photo", queries.schema["query_photo"].dataType),
+            T.StructField("photo_id", faces.schema["photo_id"].dataType),
             T.StructField("similarity", T.DoubleType()),
             T.StructField("query_order", T.LongType()),
             T.StructField("face_order", T.LongType()),
@@ -78,22 +77,22 @@ def _best_photos(
         return [c[order] for c in (q, photo, s, qo, fo)]
 
     def reduce(a: Side, b: Side, same: bool) -> pa.Table:
-        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        # Sort on dense codes, so ids may be numbers or text.
+        asked, ask = np.unique(a.attr["query_photo"], return_inverse=True)
+        shown, show = np.unique(b.attr["photo_id"], return_inverse=True)
+        empty = np.zeros(0, np.int64)
+        kept = [empty, empty, np.zeros(0), empty, empty]
         for start, _, s in tiles(a, b):
             s = np.round(s, SIM_DIGITS)
             i, j = np.nonzero(s >= min_sim)
-            found = [
-                a.attr["query_photo"][start + i], b.attr["photo_id"][j], s[i, j],
-                a.attr["id"][start + i], b.attr["id"][j],
-            ]
+            found = [ask[start + i], show[j], s[i, j], a.attr["id"][start + i], b.attr["id"][j]]
             kept = keep_best([np.concatenate([x, y]) for x, y in zip(kept, found)])
-        names = [f.name for f in schema]
-        return pa.table({n: pa.array(c.astype(np.float64 if n == "similarity" else np.int64)) for n, c in zip(names, kept)})
+        return arrow_table(schema, [[asked[kept[0]]], [shown[kept[1]]], [kept[2]], [kept[3]], [kept[4]]])
 
     left = queries.select(F.col("query_order").alias("id"), F.col("embedding").alias("vec"), "query_photo",
-                          F.lit(None).cast("long").alias("photo_id"))
+                          F.lit(None).cast(faces.schema["photo_id"].dataType).alias("photo_id"))
     right = faces.select(F.col("face_order").alias("id"), F.col("embedding").alias("vec"),
-                         F.lit(None).cast("long").alias("query_photo"), "photo_id")
+                         F.lit(None).cast(queries.schema["query_photo"].dataType).alias("query_photo"), "photo_id")
     found = block_pairs(left, right, reduce, schema, min_sim, block_rows)
     best = found.groupBy("query_photo", "photo_id").agg(
         F.max(F.struct("similarity", (-F.col("query_order")).alias("q"), (-F.col("face_order")).alias("f"))).alias("m")
@@ -114,7 +113,7 @@ def search_batch(
     persons: DataFrame,
     k: int = SEARCH_LIMIT,
     min_sim: float = SEARCH_MIN_SIM,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` best photos of every query photo, with the matched face and its person."""
     best = materialize(_best_photos(queries, searchable_faces(faces, photos), k, min_sim, block_rows))
@@ -132,7 +131,7 @@ def search_batch(
 
 def search_faces(
     queries: DataFrame, faces: DataFrame, photos: DataFrame, persons: DataFrame,
-    k: int = SEARCH_LIMIT, min_sim: float = SEARCH_MIN_SIM, block_rows: int = BLOCK_ROWS,
+    k: int = SEARCH_LIMIT, min_sim: float = SEARCH_MIN_SIM, block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """One search with all query faces together; best photos first."""
     together = queries.withColumn("query_photo", F.lit(0).cast("long"))
@@ -152,23 +151,51 @@ def search_by_photo(
 
 
 def matched_persons(
-    hits: DataFrame, queries: DataFrame, faces: DataFrame, persons: DataFrame, min_sim: float = SEARCH_MIN_SIM
+    hits: DataFrame, queries: DataFrame, faces: DataFrame, persons: DataFrame,
+    min_sim: float = SEARCH_MIN_SIM, block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
-    """Every person matched by any query face in a result photo, one row each."""
-    keys = ["query_photo", "photo_id"] if "query_photo" in hits.columns else ["photo_id"]
-    pairs = hits.select(*keys)
-    if "query_photo" in keys:
-        pairs = pairs.join(queries.select("query_photo", F.col("embedding").alias("_q")), "query_photo")
-    else:
-        one = F.lit(1).alias("_one")
-        pairs = pairs.select("*", one).join(queries.select(F.col("embedding").alias("_q"), one), "_one").drop("_one")
-    rows = pairs.join(
-        faces.where(F.col("person_id").isNotNull() & F.col("embedding").isNotNull())
-        .select("photo_id", "person_id", "embedding"),
-        "photo_id",
-    ).where(F.round(cosine("_q", "embedding"), SIM_DIGITS) >= min_sim)
-    return (
-        rows.select(*keys, "person_id").distinct()
+    """Every person matched by any query face in a result photo, one row each.
+
+    Only faces of result photos are compared; a task sends each (query photo, photo,
+    person) once. Hits of a single search need no ``query_photo``.
+    """
+    single = "query_photo" not in hits.columns
+    if single:
+        hits = hits.withColumn("query_photo", F.lit(0).cast("long"))
+        queries = queries.withColumn("query_photo", F.lit(0).cast("long"))
+    found_in = hits.select("photo_id").distinct()
+    owned = faces.where(F.col("person_id").isNotNull() & F.col("embedding").isNotNull()).join(
+        found_in, "photo_id", "left_semi"
+    )
+    kinds = {
+        "query_photo": queries.schema["query_photo"].dataType,
+        "photo_id": faces.schema["photo_id"].dataType,
+        "person_id": faces.schema["person_id"].dataType,
+    }
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds.items()])
+
+    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
+        asked, ask = np.unique(a.attr["query_photo"], return_inverse=True)
+        pair = np.stack([b.attr["photo_id"].astype(str), b.attr["person_id"].astype(str)], axis=1)
+        _, lead, owner = np.unique(pair, axis=0, return_index=True, return_inverse=True)
+        seen = np.zeros((len(asked), len(lead)), bool)
+        for start, _, s in tiles(a, b):
+            i, j = np.nonzero(np.round(s, SIM_DIGITS) >= min_sim)
+            seen[ask[start + i], owner.ravel()[j]] = True
+        q, o = np.nonzero(seen)
+        return arrow_table(schema, [[asked[q]], [b.attr["photo_id"][lead[o]]], [b.attr["person_id"][lead[o]]]])
+
+    empty = {n: F.lit(None).cast(t).alias(n) for n, t in kinds.items()}
+    left = queries.select(
+        F.col("query_order").alias("id"), F.col("embedding").alias("vec"), "query_photo", empty["photo_id"], empty["person_id"]
+    )
+    right = owned.select(
+        F.col("face_order").alias("id"), F.col("embedding").alias("vec"), empty["query_photo"], "photo_id", "person_id"
+    )
+    rows = block_pairs(left, right, reduce, schema, min_sim, block_rows).distinct()
+    named = (
+        rows.join(hits.select("query_photo", "photo_id"), ["query_photo", "photo_id"], "left_semi")
         .join(persons.select("person_id", F.col("name").alias("person_name")), "person_id")
-        .select(*keys, "person_name").distinct()
+        .select("query_photo", "photo_id", "person_name").distinct()
     )
+    return named.drop("query_photo") if single else named

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinframe.operators.ranking import rank_in_group
-from kinframe.session import checkpoint_root, materialize
+from kinframe.session import materialize
 
 # States after which a scan's later events are ignored.
 IGNORED_AFTER = ("cancelled", "paused")
@@ -218,6 +218,6 @@ def keep_latest(stream: DataFrame, keys: list[str], path: str, state: str | None
 
     return (
         stream.writeStream.outputMode("update").foreachBatch(upsert)
-        .option("checkpointLocation", state or f"{checkpoint_root(spark)}/state-{abs(hash(path))}")
+        .option("checkpointLocation", state or f"{path}-state")
         .trigger(availableNow=True).start()
     )
