@@ -9,6 +9,7 @@ from kinframe.plans import all_queries
 from kinframe.sources.fixtures import Views
 
 QUERIES = all_queries()
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def canonical(value):
@@ -30,6 +31,8 @@ def table(columns, rows):
 def test_matches_sql(name, spark, duck):
     df = QUERIES[name].run(Views(spark, SF))
     got = table(df.columns, [tuple(r) for r in df.collect()])
+    kinds = {r[0]: r[1] for r in duck.execute("DESCRIBE " + QUERIES[name].sql).fetchall()}
+    assert {f.name: SQL_TYPES[f.dataType.simpleString()] for f in df.schema} == kinds
     cur = duck.execute(QUERIES[name].sql)
     want = table([d[0] for d in cur.description], cur.fetchall())
     assert got[0] == want[0]
