@@ -68,12 +68,27 @@ def p04(v):
     return dt.plan_tiling(v.images, v.detections)
 
 
-@query("p05_nms")
+def nms_sql(limit: float, pixel: int) -> str:
+    """Greedy suppression as a recursion over the ranks of each image."""
+    overlap = f"greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1) + {pixel}) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1) + {pixel})"
+    areas = f"(k.x2 - k.x1 + {pixel}) * (k.y2 - k.y1 + {pixel}) + (o.x2 - o.x1 + {pixel}) * (o.y2 - o.y1 + {pixel})"
+    box = "{'seq': o.det_seq, 'score': o.det_score, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}"
+    return ctes("detections") + f""",
+o AS (SELECT image_id, det_seq, det_score, x1, y1, x2, y2, row_number() OVER (PARTITION BY image_id ORDER BY det_score DESC, det_seq) AS rn FROM detections),
+r AS (WITH RECURSIVE s(image_id, rn, kept) AS (
+  SELECT image_id, rn, [{box}] FROM o WHERE rn = 1
+  UNION ALL SELECT s.image_id, o.rn, CASE WHEN len(list_filter(s.kept, lambda k: ({overlap}) / ({areas} - ({overlap})) > {limit}::DOUBLE)) = 0 THEN list_append(s.kept, {box}) ELSE s.kept END
+  FROM s JOIN o ON o.image_id = s.image_id AND o.rn = s.rn + 1) SELECT * FROM s),
+f AS (SELECT image_id, unnest(arg_max(kept, rn)) AS k FROM r GROUP BY image_id)
+SELECT image_id, k.seq AS det_seq, k.score AS det_score FROM f"""
+
+
+@query("p05_nms", nms_sql(0.3, 0))
 def p05(v):
     return dt.nms(v.detections).select("image_id", "det_seq", "det_score")
 
 
-@query("p05_nms_detector")
+@query("p05_nms_detector", nms_sql(0.4, 1))
 def p05d(v):
     return dt.nms(v.detections, "detector").select("image_id", "det_seq", "det_score")
 
