@@ -656,7 +656,8 @@ def cluster_greedy(
             F.col("face_order").alias("id"), F.col("embedding").alias("vec"), F.col("face_quality").alias("tier")
         )
     )
-    edges = similar_pairs(rows, threshold, "id", "vec", block_rows=block_rows)
+    # Copies of one tier always merge first, so linking them to their first face is enough.
+    edges = similar_pairs(rows, threshold, "id", "vec", block_rows=block_rows, keep=["tier"])
     edges = materialize(
         _greedy_gate(edges, rows.select("id", "tier"), threshold, anchor, low_join, low_low, drop_very_low)
     )
@@ -819,8 +820,8 @@ def merge_duplicate_persons(
             pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "sim")
         )
         best = materialize(
-            ends.groupBy("id_a").agg(F.max(F.struct("sim", (-F.col("id_b")).alias("neg"))).alias("m"))
-            .select(F.col("id_a").alias("a"), (-F.col("m.neg")).alias("b"))
+            ends.groupBy("id_a").agg(F.min(F.struct((-F.col("sim")).alias("s"), "id_b")).alias("m"))
+            .select(F.col("id_a").alias("a"), F.col("m.id_b").alias("b"))
         )
         if best.isEmpty():
             return mapping

@@ -138,7 +138,8 @@ def _suppress_groups(rows: DataFrame, limit: float, pixel: float, per_pack: int)
     schema = T.StructType([rows.schema["image_id"], rows.schema["det_seq"]])
 
     def run(table):
-        image = table.column("image_id").to_numpy()
+        # Dense codes, so image ids may be numbers or text.
+        _, image = np.unique(table.column("image_id").to_numpy(), return_inverse=True)
         seq = table.column("det_seq").to_numpy()
         score = table.column("det_score").to_numpy()
         box = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)

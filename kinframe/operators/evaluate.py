@@ -123,7 +123,7 @@ def propagate_labels(crops: DataFrame, faces: DataFrame, threshold: float = CROP
 def pair_dataset(faces: DataFrame, min_sim: float, label: str = "label", block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Labelled face pairs at or over ``min_sim`` with kind, tiers and size band.
 
-    Totals over all pairs come from ``pair_counts``; lower similarities only matter as
+    Faces with the same vector and label are linked to the first of them. Totals over all pairs come from ``pair_counts``; lower similarities only matter as
     counts, which ``sim_distribution`` and ``threshold_sweep`` take without listing them.
     """
     rows = materialize(
@@ -131,7 +131,7 @@ def pair_dataset(faces: DataFrame, min_sim: float, label: str = "label", block_r
             "face_id", "photo_id", F.col(label).alias("label"), "face_quality", bx.long_side().alias("side"), "embedding"
         )
     )
-    pairs = similar_pairs(rows, min_sim, block_rows=block_rows)
+    pairs = similar_pairs(rows, min_sim, block_rows=block_rows, keep=["label"])
     slim = rows.drop("embedding")
 
     def tagged(tag):

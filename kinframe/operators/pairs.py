@@ -71,13 +71,15 @@ def collapse_copies(
     )
 
 
-def copy_members(df: DataFrame, reps: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def copy_members(
+    df: DataFrame, reps: DataFrame, id_col: str, vec_col: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """``(id, rep)`` for members of groups with more than one copy."""
-    shared = reps.where("n > 1").select(F.col("vec"), F.col("id").alias("rep"))
+    shared = reps.where("n > 1").select("vec", *keep, F.col("id").alias("rep"))
     return (
         df.where(F.col(vec_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-        .join(shared, "vec")
+        .select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), *keep)
+        .join(shared, ["vec", *keep])
         .select("id", "rep")
     )
 
@@ -341,19 +343,34 @@ def similar_pairs(
     strict: bool = False,
     single: bool = False,
     block_rows: int | None = BLOCK_ROWS,
+    copies: str = "linked",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """All pairs of rows over the threshold: ``id_a < id_b, sim``.
+    """Pairs of rows over the threshold: ``id_a < id_b, sim``.
 
-    Copies are compared once and put back at the end. Callers that do not need every
-    pair of copies spelled out should work on ``collapse_copies`` and ``rep_pairs``.
+    Rows with the same vector (and ``keep`` columns) are compared once, as their
+    smallest id. ``copies="linked"`` adds one row per further copy, linking it to that
+    id with similarity 1: everything needed to rebuild all pairs, in linear size.
+    ``copies="spelled"`` lists every pair of copies and partners.
     """
     if threshold <= 0:
         raise ValueError("a similarity join needs a threshold above zero")
-    reps = materialize(collapse_copies(df, id_col, vec_col))
+    if copies not in ("linked", "spelled"):
+        raise ValueError(f"unknown copies mode {copies!r}")
+    reps = materialize(collapse_copies(df, id_col, vec_col, keep))
     pairs = rep_pairs(reps, threshold, strict, single, block_rows)
     if reps.where("n > 1").isEmpty():
         return pairs
-    members = materialize(copy_members(df, reps, id_col, vec_col))
+    members = materialize(copy_members(df, reps, id_col, vec_col, keep))
+    ok = (F.lit(1.0) > threshold) if strict else (F.lit(1.0) >= threshold)
+    # Vectors without length are similar to nothing.
+    zero = reps.where(norm("vec") == 0).select(F.col("id").alias("rep"))
+    members_ok = members.join(zero, "rep", "left_anti").where(ok)
+    if copies == "linked":
+        links = members_ok.where("id <> rep").select(
+            F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("sim")
+        )
+        return pairs.unionByName(links)
     left = members.select(F.col("rep").alias("id_a"), F.col("id").alias("_a"))
     right = members.select(F.col("rep").alias("id_b"), F.col("id").alias("_b"))
     spelled = (
@@ -361,12 +378,9 @@ def similar_pairs(
         .select(F.coalesce("_a", "id_a").alias("x"), F.coalesce("_b", "id_b").alias("y"), "sim")
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "sim")
     )
-    ok = (F.lit(1.0) > threshold) if strict else (F.lit(1.0) >= threshold)
-    zero = reps.where(norm("vec") == 0).select(F.col("id").alias("rep"))
     twins = (
-        members.join(zero, "rep", "left_anti").alias("l")
-        .join(members.alias("r"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id")))
-        .where(ok)
+        members_ok.alias("l")
+        .join(members_ok.alias("r"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id")))
         .select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"), F.lit(1.0).alias("sim"))
     )
     return spelled.unionByName(twins)

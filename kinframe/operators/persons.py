@@ -139,8 +139,8 @@ def cluster_vs_main(faces: DataFrame, identity: str = "true_label") -> DataFrame
     rows = rows.select(F.col(identity).alias("identity"), "person_id", "face_id", "embedding")
     means = materialize(centroids(rows, ["identity", "person_id"]))
     main = means.groupBy("identity").agg(
-        F.max(F.struct("n", (-F.col("person_id")).alias("neg"), F.col("centroid").alias("c"))).alias("m")
-    ).select("identity", (-F.col("m.neg")).alias("main_person"), F.col("m.c").alias("main_centroid"))
+        F.min(F.struct((-F.col("n")).alias("s"), "person_id", F.col("centroid").alias("c"))).alias("m")
+    ).select("identity", F.col("m.person_id").alias("main_person"), F.col("m.c").alias("main_centroid"))
     return (
         rows.join(main, "identity")
         .where(F.col("person_id") != F.col("main_person"))

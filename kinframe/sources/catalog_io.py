@@ -66,7 +66,7 @@ def save_catalog(catalog: dict[str, DataFrame], root: str) -> str:
     """Write all tables to a new version folder, then point the catalog at it.
 
     The pointer is replaced only after every table is complete, so readers see either
-    the old or the new catalog. Faces are laid out by photo for the common joins.
+    the old or the new catalog.
     """
     spark = next(iter(catalog.values())).sparkSession
     version = uuid.uuid4().hex
