@@ -66,3 +66,37 @@ def test_golden_match(spark):
     assert got == {("p", 0): (1, True), ("p", 1): (2, False), ("p", 2): (0, None), ("q", 0): (0, True), ("q", 1): (None, False)}
     s = evaluate.golden_summary(out, d, g).first()
     assert (s["detections"], s["passed"], s["failed"], s["skipped"], s["count_mismatches"]) == (5, 2, 2, 1, 1)
+
+
+def test_within_photo_chunks(spark):
+    """A photo cut into many chunks gives the same pairs and counts as one handled whole."""
+    rng = np.random.default_rng(4)
+    rows = [
+        (i, i, 0 if i < 40 else i % 7, None, "high", [float(x) for x in rng.normal(size=6)]) for i in range(70)
+    ]
+    df = spark.createDataFrame(rows, FACES)
+
+    def cos(a, b):
+        a, b = np.array(a), np.array(b)
+        return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+    sims = {(a[0], b[0]): cos(a[5], b[5]) for i, a in enumerate(rows) for b in rows[i + 1:] if a[2] == b[2]}
+    want = {k for k, s in sims.items() if s >= 0.3}
+    for chunk in (1024, 6):
+        got = evaluate.within_photo_pairs(df, 0.3, chunk=chunk).collect()
+        assert len(got) == len(want) and {(r["id_a"], r["id_b"]) for r in got} == want
+        risk = {r["threshold"]: (r["pairs"], r["risky"]) for r in evaluate.false_merge_risk(df, [0.1, 0.3], chunk=chunk).collect()}
+        assert risk == {t: (len(sims), sum(s >= t for s in sims.values())) for t in (0.1, 0.3)}
+
+
+def test_propagated_labels_in_chunks(spark):
+    rng = np.random.default_rng(5)
+    vec = lambda: [float(x) for x in rng.normal(size=5)]
+    crops = [(i, "a" if i < 20 else "b", vec()) for i in range(26)]
+    faces = [(100 + i, "a" if i < 30 else "b", vec()) for i in range(40)]
+    cos = lambda a, b: np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
+    want = {f[0] for f in faces if any(c[1] == f[1] and cos(c[2], f[2]) >= 0.9 for c in crops)}
+    c = spark.createDataFrame(crops, "id long, label string, embedding array<float>")
+    f = spark.createDataFrame(faces, "face_id long, folder_label string, embedding array<float>")
+    got = {r["face_id"] for r in evaluate.propagate_labels(c, f, 0.9).collect()}
+    assert got == want
