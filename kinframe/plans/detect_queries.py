@@ -152,7 +152,16 @@ def p13(v):
     return dt.detection_breakdown(v.detections, classified(v))
 
 
-@query("p13_breakdown_after_nms")
+@query("p13_breakdown_after_nms", nms_sql(0.3, 0).rsplit("SELECT image_id, k.seq", 1)[0] + "," + GEO_SQL + """,
+m AS (SELECT cls.*, q.det_seq IS NOT NULL AS kept, q.det_seq IS NOT NULL AND reject_reason IS NULL AS ok
+      FROM cls LEFT JOIN (SELECT image_id, k.seq AS det_seq FROM f) q ON q.image_id = cls.image_id AND q.det_seq = cls.det_seq)
+SELECT image_id, count(*) FILTER (WHERE pass = 0) AS raw_full, count(*) FILTER (WHERE pass > 0) AS raw_tile, count(*) FILTER (WHERE kept) AS after_nms,
+  count(*) FILTER (WHERE ok) AS after_gate, count(*) FILTER (WHERE kept AND reject_reason = 'tiny') AS rejected_tiny,
+  count(*) FILTER (WHERE kept AND reject_reason = 'score') AS rejected_score, count(*) FILTER (WHERE kept AND reject_reason = 'kps') AS rejected_kps,
+  count(*) FILTER (WHERE ok AND downgraded) AS quality_downgraded, count(*) FILTER (WHERE ok AND embed) AS embedded,
+  count(*) FILTER (WHERE ok AND face_quality = 'high') AS high, count(*) FILTER (WHERE ok AND face_quality = 'medium') AS medium,
+  count(*) FILTER (WHERE ok AND face_quality = 'low') AS low, count(*) FILTER (WHERE ok AND face_quality = 'very_low') AS very_low
+FROM m GROUP BY ROLLUP (image_id)""")
 def p13n(v):
     return dt.detection_breakdown(v.detections, dt.classify(dt.nms(v.detections)))
 
