@@ -34,7 +34,7 @@ MIN_DOCS = 5
 MIN_Z = 6.0
 RIDGE = 0.01
 STEPS = 1200
-TOXIC_AT = 0.5
+TOXIC_AT = 0.3
 
 
 @dataclass(frozen=True)
