@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm import decontaminate, minhash_forest, mixing, range_join, token_shards, toxicity
+from kinframe.llm import decontaminate, language, minhash_forest, mixing, range_join, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_split(table(spark, sf_dir, "documents"))
