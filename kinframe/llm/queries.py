@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm import decontaminate, language, minhash_forest, mixing, range_join, token_shards, toxicity
+from kinframe.llm import decontaminate, language, licenses, minhash_forest, mixing, range_join, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_split(table(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scan", licenses.duckdb_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
