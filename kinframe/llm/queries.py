@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm import decontaminate, language, licenses, minhash_forest, mixing, range_join, token_shards, toxicity
+from kinframe.llm import decontaminate, language, licenses, minhash_forest, mixing, pseudonyms, range_join, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_license_scan", licenses.duckdb_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pseudonyms")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, counts=("n_candidates", "n_replaced"))
