@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm import decontaminate, language, licenses, minhash_forest, mixing, pseudonyms, range_join, token_shards, toxicity
+from kinframe.llm import decontaminate, katz, language, licenses, minhash_forest, mixing, pseudonyms, range_join, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, counts=("n_candidates", "n_replaced"))
+
+
+@query("op5_katz_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.held_out_scores(table(spark, sf_dir, "documents"))
