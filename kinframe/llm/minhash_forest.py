@@ -9,12 +9,14 @@ shared prefix nor equal signatures meet in one task, and each class meets the ne
 ``min_depth`` values is enough, in a crowded one only the deepest neighbours are met.
 Rows at the edge of a sorted partition are paired through a small table of edges.
 
-Candidates whose whole signatures agree far too seldom (five standard errors below the
-threshold) are left out; the others are confirmed on the full sets, built again from the
-texts, in two rounds: the best candidate of each class first, then those whose ends still
-lie in different components. Where a neighbour at the full reach still shares a long
-prefix and lies in another component, the region is searched again with a reach eight
-times as long, until no neighbour is cut off or a search joins nothing new.
+Neighbours whose 128 sketch bits differ by far more than the threshold allows (five
+standard errors) are left out; the others are confirmed on the full sets, built again
+from the texts, in two rounds: the best candidate of each class first, then those whose
+ends still lie in different components.
+
+A region is crowded where a neighbour at the full reach still shares ``crowded`` values.
+Classes of crowded regions that do not lie in one component are searched again in new
+trees, twice as deep and with hash functions of their own, until a search joins nothing.
 
 Rows: a null text and a text without words have an empty set and link with nothing. A row
 without a ``doc_id`` cannot be named; it links with nothing and is kept. Every row counts
@@ -39,8 +41,7 @@ TREES = 16
 DEPTH = 8
 MIN_DEPTH = 3
 REACH = 4
-WIDER = 8
-DEEPER = 2
+CROWDED = 5
 PERCENT = 80
 
 
@@ -65,156 +66,164 @@ def _signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (low ^ (low >> np.uint64(32))).astype(np.uint32)
 
 
-def signatures(docs: DataFrame, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """``(doc_id, n_shingles, cls, sig)``: set size, fingerprint of the set, signature bytes."""
-    factors = mix(np.arange(1, trees * depth + 1, dtype=np.uint64)) | np.uint64(1)
+SKETCH = 128
+
+
+def _sketch(signature: np.ndarray) -> bytes:
+    """One bit of each of the first values."""
+    return np.packbits((signature[:SKETCH] & np.uint32(1)).astype(np.uint8)).tobytes()
+
+
+def _fingerprint(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def signatures(docs: DataFrame, width: int, trees: int, depth: int, seed: int = 0) -> DataFrame:
+    """``(doc_id, n_shingles, cls, sketch, sig)``: set size, fingerprint, sketch, signature."""
+    factors = mix(np.arange(1, trees * depth + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
 
     def run(batches):
         for batch in slices(batches, "text"):
-            size, cls, sig = [], [], []
+            size, cls, sketch, sig = [], [], [], []
             for s in _sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width):
+                values = _signature(s, factors)
                 size.append(len(s))
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(_signature(s, factors).astype(">u4").tobytes() if len(s) else None)
+                cls.append(_fingerprint(s))
+                sketch.append(_sketch(values))
+                sig.append(values.astype(">u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "cls", "sig"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in (cls, sketch, sig))],
+                ["doc_id", "n_shingles", "cls", "sketch", "sig"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, cls binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, cls binary, sketch binary, sig binary")
+
+
+def _too_far(percent: int) -> int:
+    """Most sketch bits in which similar sets differ, five standard errors allowed."""
+    p = (1 - percent / 100) / 2
+    return int(np.ceil(SKETCH * p + 5 * np.sqrt(SKETCH * p * (1 - p))))
+
 
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _neighbours(keys: list[bytes], cls: list[bytes], size: np.ndarray, tree: np.ndarray, at_least: int, reach: int, min_depth: int, percent: int):
+def _neighbours(rows: list[tuple], at_least: int, reach: int, min_depth: int, crowded: int, percent: int):
     """Pairs of rows of one tree, at most ``reach`` apart, with ``min_depth`` common values.
 
-    The later row has position ``at_least`` or more. Returns the two classes, the number
-    of common values, and whether the pair lies at the full reach.
+    Rows are ``(tree, key, cls, n_shingles, sketch)``; the later one has position
+    ``at_least`` or more. Returns the classes, how many sketch bits agree (0 for a pair
+    that cannot be similar), and whether the pair shows a crowded region.
     """
-    n = len(keys)
+    tree, keys, cls, size, sketch = zip(*rows)
+    n = len(rows)
+    tree, size = np.array(tree), np.array(size)
     values = np.frombuffer(b"".join(keys), ">u4").reshape(n, -1)
-    left, right, deep, cut = [], [], [], []
+    bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
+    left, right, agree, crowd = [], [], [], []
     for step in range(1, min(reach, n - 1) + 1):
         differ = values[:-step] != values[step:]
         lcp = np.where(differ.any(1), differ.argmax(1), differ.shape[1])
         hit = (lcp >= min_depth) & (tree[:-step] == tree[step:])
         hit[: max(0, at_least - step)] = False
-        small, large = np.minimum(size[:-step], size[step:]), np.maximum(size[:-step], size[step:])
-        # Sets whose sizes are too far apart cannot be similar enough, but show a cut.
-        fits = 100 * small >= percent * large
-        at = np.flatnonzero(hit & (fits | (step == reach)))
-        left.append(at)
-        right.append(at + step)
-        deep.append(np.where(fits[at], lcp[at], 0))
-        cut.append(np.full(len(at), step == reach))
+        at = np.flatnonzero(hit)
+        small, large = np.minimum(size[at], size[at + step]), np.maximum(size[at], size[at + step])
+        off = _ONES[bits[at] ^ bits[at + step]].sum(1)
+        fits = (100 * small >= percent * large) & (off <= _too_far(percent))
+        full = (lcp[at] >= crowded) & (step == reach)
+        keep = fits | full
+        left.append(at[keep])
+        right.append(at[keep] + step)
+        agree.append(np.where(fits, SKETCH - off, 0)[keep])
+        crowd.append(full[keep])
     if not left:
         return [], [], [], []
-    left, right, deep, cut = map(np.concatenate, (left, right, deep, cut))
-    return [cls[i] for i in left], [cls[i] for i in right], deep.tolist(), cut.tolist()
+    left, right, agree, crowd = map(np.concatenate, (left, right, agree, crowd))
+    return [cls[i] for i in left], [cls[i] for i in right], agree.tolist(), crowd.tolist()
 
 
-def forest_rows(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """One row per class and tree with the tree's part of the signature as sort key."""
-    key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
-    rows = classes.select("cls", "n_shingles", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    return rows.select("tree", key.alias("key"), "cls", "n_shingles")
-
+ROW = ("tree", "key", "cls", "n_shingles", "sketch")
+FOUND = "kind int, a binary, b binary, agree int, crowd boolean, tree int, key binary, n_shingles long, sketch binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("agree", pa.int32()), ("crowd", pa.bool_()), ("tree", pa.int32()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
 
-FOUND = "kind int, a binary, b binary, depth int, cut boolean, tree int, key binary, n_shingles long"
 
+def _rows_of(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in ROW)))
 
-def candidates(rows: DataFrame, percent: int, min_depth: int, reach: int) -> DataFrame:
-    """``(a, b, votes, cut)`` with ``a < b``: classes that are neighbours in some order.
 
-    ``votes`` sums the common prefixes over the trees; it is 0 for pairs that only show
-    that a neighbourhood was cut off.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def candidates(classes: DataFrame, trees: int, depth: int, percent: int, min_depth: int, crowded: int, reach: int) -> DataFrame:
+    """``(a, b, agree, crowd)`` with ``a < b``: classes that are neighbours in some order."""
+    key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
+    rows = classes.select("cls", "n_shingles", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", key.alias("key"), "cls", "n_shingles", "sketch")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("tree", "key", "cls")
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("depth", pa.int32()), ("cut", pa.bool_()), ("tree", pa.int32()), ("key", pa.binary()), ("n_shingles", pa.int64())])
 
-    def met(held: list[tuple], at_least: int):
-        tree, keys, cls, size = zip(*held)
-        a, b, deep, cut = _neighbours(keys, cls, np.array(size), np.array(tree), at_least, reach, min_depth, percent)
-        none = [None] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[0] * len(a), a, b, deep, cut, none, none, none], schema)], schema=schema)
+    def met(rows: list[tuple], at_least: int):
+        a, b, agree, crowd = _neighbours(rows, at_least, reach, min_depth, crowded, percent)
+        columns = [[0] * len(a), a, b, agree, crowd, *([[None] * len(a)] * 4)]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FOUND)], schema=_FOUND)
 
     def edge(rows: list[tuple]):
-        tree, keys, cls, size = zip(*rows)
+        tree, keys, cls, size, sketch = zip(*rows)
         none = [None] * len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[1] * len(rows), cls, none, none, none, tree, keys, size], schema)], schema=schema)
+        columns = [[1] * len(rows), cls, none, none, none, tree, keys, size, sketch]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FOUND)], schema=_FOUND)
 
     def run(batches):
         held, first = [], []
         for batch in batches:
-            new = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "cls", "n_shingles"))))
+            new = _rows_of(batch)
             if not new:
                 continue
-            if len(first) < reach:
-                first += new[: reach - len(first)]
+            first += new[: max(0, reach - len(first))]
             yield met(held + new, len(held))
             held = (held + new)[-reach:]
         if held:
             yield edge(first)
             yield edge(held)
 
-    found = materialize(dealt.mapInArrow(run, FOUND))
+    found = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, FOUND))
     # At most 2 * reach rows of each sorted partition.
-    borders = found.where("kind = 1").select("tree", "key", F.col("a").alias("cls"), "n_shingles").distinct()
+    borders = found.where("kind = 1").select("tree", "key", F.col("a").alias("cls"), "n_shingles", "sketch").distinct()
 
     def across(batches):
-        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "cls", "n_shingles")))]
+        rows = [r for batch in batches for r in _rows_of(batch)]
         if rows:
             yield met(rows, 0)
 
     pairs = found.where("kind = 0").unionByName(borders.coalesce(1).sortWithinPartitions(*order).mapInArrow(across, FOUND))
     return (
         pairs.where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth", "cut")
-        .groupBy("a", "b")
-        .agg(F.sum("depth").alias("votes"), F.max("cut").alias("cut"))
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.max("agree").alias("agree"), F.max("crowd").alias("crowd"))
     )
 
 
-def _both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-    """``pairs`` with ``value`` of both classes as ``value_a`` and ``value_b``."""
+def _both(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` with the texts of both classes."""
     for end in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("cls").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        pairs = pairs.join(texts.select(F.col("cls").alias(end), F.col("text").alias(f"text_{end}")), end)
     return pairs
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, est)`` of the pairs whose signatures do not rule out the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            est = (x == y).mean(1)
-            low = percent / 100
-            keep = est >= low - 5 * np.sqrt(low * (1 - low) / x.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "est"]).filter(pa.array(keep))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
-    return _both(pairs.where("votes > 0").select("a", "b"), classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, est double")
 
-
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``(cls, text)`` of one document of every class in ``pairs``."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    reps = classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(cls, doc_id, text)`` of one document of every wanted class."""
 
     def run(batches):
         # Of rows that repeat an id, those with the set of the class.
         for batch in slices(batches, "text"):
-            cls = batch.column("cls").to_pylist()
             sets = _sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width)
-            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(sets, cls)]
+            same = [_fingerprint(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return docs.select("doc_id", "text").join(reps, "doc_id").select("cls", "text").mapInArrow(run, "cls binary, text string")
+    named = reps.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").join(named, "doc_id").select("cls", "doc_id", "text").mapInArrow(run, f"cls binary, doc_id {id_type}, text string")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -229,7 +238,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _both(pairs.select("a", "b"), texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return _both(pairs.select("a", "b"), texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -253,6 +262,7 @@ def near_duplicates(
     trees: int = TREES,
     depth: int = DEPTH,
     min_depth: int = MIN_DEPTH,
+    crowded: int = CROWDED,
     reach: int = REACH,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``.
@@ -262,38 +272,36 @@ def near_duplicates(
     """
     rows = materialize(signatures(docs, width, trees, depth))
     named = rows.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
-    classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    forest = forest_rows(classes, trees, depth)
-
-    pairs = materialize(candidates(forest, percent, min_depth, reach))
-    alike = materialize(_alike(pairs, classes, percent))
-    texts = materialize(_texts(docs, classes, alike, width))
-    either = alike.select("a", "b", "est", F.col("a").alias("own")).unionByName(alike.select("a", "b", "est", F.col("b").alias("own")))
-    best = either.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "sig")]
+    classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), *alike))
+    reps = classes.select("cls", "rep")
+
+    pairs = materialize(candidates(classes, trees, depth, percent, min_depth, crowded, reach))
+    similar = pairs.where("agree > 0")
+    texts = materialize(_texts(docs, reps, _ends(similar), width))
+    either = similar.withColumn("own", F.explode(F.array("a", "b")))
+    best = either.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = materialize(_links(best, texts, width, percent))
     comps = _components(links)
-    links = links.unionByName(materialize(_links(_apart(alike, comps), texts, width, percent)))
+    links = links.unionByName(materialize(_links(_apart(similar.select("a", "b"), comps), texts, width, percent)))
     comps = _components(links)
 
-    deep, far = min(depth, min_depth + DEEPER), reach
+    search = 0
     while True:
-        open_ends = _apart(pairs.where("cut"), comps)
-        ends = materialize(open_ends.select(F.col("a").alias("cls")).unionByName(open_ends.select(F.col("b").alias("cls"))).distinct())
+        ends = materialize(_ends(_apart(pairs.where("crowd").select("a", "b"), comps)))
         if ends.isEmpty():
             break
-        far *= WIDER
-        prefix = F.expr(f"substring(key, 1, {4 * deep})")
-        regions = forest.join(ends, "cls", "left_semi").select("tree", prefix.alias("prefix")).distinct()
-        crowded = forest.withColumn("prefix", prefix).join(regions, ["tree", "prefix"], "left_semi").drop("prefix")
-        pairs = materialize(candidates(crowded, percent, deep, far))
-        alike = materialize(_alike(_apart(pairs, comps), classes, percent))
-        more = materialize(_links(alike, _texts(docs, classes, alike, width), width, percent))
+        search += 1
+        texts = materialize(_texts(docs, reps, ends, width))
+        deeper = signatures(texts, width, trees, 2 * depth, search).withColumnRenamed("doc_id", "rep").dropDuplicates(["cls"])
+        pairs = materialize(candidates(deeper, trees, 2 * depth, percent, min_depth, crowded, reach))
+        more = materialize(_links(_apart(pairs.where("agree > 0").select("a", "b"), comps), texts, width, percent))
         if more.isEmpty():
             break
         links = links.unionByName(more)
         comps = _components(links)
 
-    own = classes.select("cls", "rep").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    own = reps.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     low = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = own.join(low, "comp").select("cls", "component_id")
     out = rows.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
