@@ -10,8 +10,9 @@ executor only repeats its tasks; the dictionary is a one-row table beside it.
 
 Encoding works on distinct words. Byte-level BPE never joins what stands on both sides of
 a space that follows a visible character, so a text is cut there, each distinct piece is
-encoded once, and the ids are put together again. Texts with other white space before a
-space are encoded as a whole.
+encoded once, and the ids are put together again. New pieces are encoded many at a time in
+one string and told apart by the byte lengths of their tokens. Texts with other white space
+before a space are encoded as a whole.
 
 Rows: a null or empty text has no ids but the end id. Documents without an id come first;
 rows that repeat an id stay side by side, in order of their content's checksum. An empty
@@ -43,7 +44,8 @@ DICTIONARY_BYTES = 65_536
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 65_536
 SLICE = 4 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
+JOINED_PIECES = 256
 END_ID = 0
 MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sHBx32sII")
@@ -68,6 +70,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # Bytes that a token of a byte-level vocabulary stands for: one per character.
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.token_bytes[i] = len(token.content.encode())
         self.reset()
 
     def reset(self) -> None:
@@ -79,25 +87,61 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of separate pieces, end to end, and how many each has.
+
+        Pieces that start with a space and end with a visible character stay apart when
+        joined. The token ends must then meet the piece ends; a group where they do not
+        is encoded piece by piece.
+        """
+        joins = [p[0] == " " and len(p) > 1 and not p[-1].isspace() for p in pieces]
+        groups, singles = [], []
+        inner = [i for i, j in enumerate(joins) if j]
+        for at in range(0, len(inner), JOINED_PIECES):
+            groups.append(inner[at : at + JOINED_PIECES])
+        singles = [i for i, j in enumerate(joins) if not j]
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        for group, ids in zip(groups, self._encode(["".join(pieces[i] for i in g) for g in groups])):
+            ids = np.array(ids, np.uint32)
+            ends = np.cumsum(self.token_bytes[ids])
+            want = np.cumsum([len(pieces[i].encode()) for i in group])
+            cuts = np.searchsorted(ends, want)
+            if len(ends) and cuts[-1] == len(ends) - 1 and (ends[cuts] == want).all():
+                found.append((group, ids, np.diff(cuts, prepend=-1)))
+            else:
+                singles += group
+        apart = self._encode([pieces[i] for i in singles])
+        if singles:
+            found.append((singles, np.array([x for y in apart for x in y], np.uint32), np.array([len(y) for y in apart], np.int64)))
+        # Back in the order of the pieces.
+        lengths = np.zeros(len(pieces), np.int64)
+        for group, _, n in found:
+            lengths[group] = n
+        starts = np.cumsum(lengths) - lengths
+        flat = np.zeros(int(lengths.sum()), np.uint32)
+        for group, ids, n in found:
+            flat[np.repeat(starts[group] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, lengths
+
     def _store(self, pieces: list[str]) -> np.ndarray:
         """Positions of pieces in the cache, encoding those that are new."""
         if len(self.known) > CACHE_PIECES:
             self.reset()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            ids = self._encode(part)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            n, used = len(self.known), self.size
-            while used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(ids) + 1 > len(self.offsets):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.flat[used : used + len(flat)] = flat
-            self.offsets[n : n + len(ids) + 1] = used + np.concatenate([[0], np.cumsum(lengths)])
-            self.size = used + len(flat)
-            self.known.update(zip(part, range(n, n + len(ids))))
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known and p]
+        if "" not in self.known:
+            new.append("")
+        flat, lengths = self._pieces([p for p in new if p])
+        if new and not new[-1]:
+            lengths = np.append(lengths, 0)
+        n, used = len(self.known), self.size
+        while used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(new) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.flat[used : used + len(flat)] = flat
+        self.offsets[n : n + len(new) + 1] = used + np.concatenate([[0], np.cumsum(lengths)])
+        self.size = used + len(flat)
+        self.known.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
