@@ -37,9 +37,12 @@ def l2_normalize(v) -> Column:
 
 
 def vector_dim(df: DataFrame, vec: str = "embedding") -> int:
-    """Length of the vectors in ``df`` (0 when there are none)."""
-    row = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
-    return int(row["d"]) if row else 0
+    """The one length of all vectors in ``df`` (0 when there are none); lengths must agree."""
+    size = F.size(vec)
+    low, high = df.where(F.col(vec).isNotNull()).agg(F.min(size), F.max(size)).first()
+    if low != high:
+        raise ValueError(f"vectors of different lengths in {vec}: {low} to {high}")
+    return low or 0
 
 
 def centroids(

@@ -157,7 +157,8 @@ def list_photos(
         rows = rows.where(under_folder("path", host_path))
     newest = [F.col("created_at").desc(), F.col("photo_id").desc()]
     page = rows.orderBy(*newest).offset(offset).limit(limit)
-    counts = faces.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
+    shown = faces.join(page.select("photo_id"), "photo_id", "left_semi")
+    counts = shown.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
     return (
         page.join(counts, "photo_id", "left")
         .select(*PHOTO_COLS, "created_at", F.coalesce("_n", F.lit(0)).cast("long").alias("faces_detected"))
@@ -182,8 +183,8 @@ def search_by_name(
     wanted = persons.where(
         F.instr(F.lower("name"), F.lower(F.trim(F.lit(text)))) > 0
     ).select("person_id", F.col("name").alias("person_name"))
-    seen = faces.where(F.col("person_id").isNotNull()).select("photo_id", "person_id").distinct()
-    hits = live(photos).join(seen, "photo_id").join(wanted, "person_id")
+    seen = faces.select("photo_id", "person_id").join(wanted, "person_id").distinct()
+    hits = live(photos).join(seen, "photo_id")
     return _newest(hits, limit, tie=("photo_id", "person_id")).select(
         *PHOTO_COLS, "created_at", "person_id", "person_name"
     )
@@ -250,6 +251,7 @@ def person_sizes(persons: DataFrame, faces: DataFrame, photos: DataFrame) -> Dat
         )
     )
     zero = F.lit(0).cast("long")
+    persons = persons.select("person_id", "name", "created_at")
     return persons.join(totals, "person_id", "left").select(
         "person_id",
         "name",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinframe.functions.vectors import centroids
+from kinframe.functions.vectors import centroids, norm
 from kinframe.operators.catalog import live
 from kinframe.operators.pairs import (
     BLOCK_ROWS,
@@ -123,7 +123,8 @@ def _nodes(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Starting clusters, and which face is already part of which one.
 
     Faces with the same vector merge before anything else, the first of them keeping the
-    root: all join it, except low-tier faces when that first face is low-tier as well.
+    root: all join it, except low-tier faces when that first face is low-tier as well. A
+    vector without length is similar to nothing, not even to itself.
     """
     base = faces.where(F.col("embedding").isNotNull()).select(
         F.col("face_order").alias("id"),
@@ -134,7 +135,7 @@ def _nodes(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "low")).alias("lead")
     )
     shared = materialize(
-        groups.where("n > 1").select(
+        groups.where((F.col("n") > 1) & (norm("vec") > 0)).select(
             "vec", F.col("lead.id").alias("lead_id"), F.col("lead.low").alias("lead_low")
         )
     )
@@ -657,7 +658,7 @@ def cluster_greedy(
         )
     )
     # Copies of one tier always merge first, so linking them to their first face is enough.
-    edges = similar_pairs(rows, threshold, "id", "vec", block_rows=block_rows, keep=["tier"])
+    edges = similar_pairs(rows, threshold, "id", "vec", block_rows=block_rows, copies="linked", keep=["tier"])
     edges = materialize(
         _greedy_gate(edges, rows.select("id", "tier"), threshold, anchor, low_join, low_low, drop_very_low)
     )
@@ -753,10 +754,15 @@ def recluster_catalog(
 ) -> tuple[DataFrame, DataFrame]:
     """Rebuild persons from scratch: new ``(faces, persons)``.
 
-    Persons edited by hand, and their faces, stay as they are. All other live embedded
-    faces are clustered; a cluster keeps the custom name of its first named member and
-    is otherwise called ``Person N`` in order of its first face. Person ids are longs;
-    new ones continue after the largest id in use.
+    Persons edited by hand, and their faces, stay exactly as they are. All other live
+    embedded faces are clustered; a cluster keeps the custom name of its first named
+    member and is otherwise called ``Person N`` in order of its first face. Without such
+    faces nothing changes.
+
+    The persons have the columns of ``persons`` and a ``centroid``; a new person's
+    ``created_at`` and ``updated_at`` are the time of the call, other columns are null.
+    Numeric ids continue after the largest id in use. Text ids come from the first face of
+    the cluster, so a repeat gives the same id.
     """
     manual = person_manual.select("person_id").distinct()
     frozen = faces.join(manual, "person_id", "left_semi")
@@ -764,6 +770,8 @@ def recluster_catalog(
     pool = materialize(
         auto.where(F.col("embedding").isNotNull()).join(live(photos).select("photo_id"), "photo_id", "left_semi")
     )
+    if pool.isEmpty():
+        return faces, persons
     found = materialize(cluster_faces(pool, threshold, low_join, **kwargs))
     named = persons.where(~F.lower("name").like("person %")).select("person_id", "name")
     custom = (
@@ -771,28 +779,32 @@ def recluster_catalog(
         .join(named, "person_id")
         .groupBy("cluster").agg(F.min_by("name", "face_order").alias("custom"))
     )
-    starts = found.select("cluster").distinct()
+    starts = found.groupBy("cluster").agg(F.min("face_order").alias("face_order"))
+    starts = starts.join(pool.select("face_order", "face_id"), "face_order").select("cluster", "face_id")
     numbered = rank_in_group(starts, [], ["cluster"], "number")
-    highest = persons.agg(F.coalesce(F.max("person_id"), F.lit(0)).alias("highest")).first()["highest"]
+    kind = persons.schema["person_id"].dataType
+    if isinstance(kind, T.StringType):
+        new_id = F.concat(F.lit("person-"), F.col("face_id").cast("string"))
+    else:
+        highest = persons.agg(F.coalesce(F.max("person_id"), F.lit(0)).alias("highest")).first()["highest"]
+        new_id = (F.col("number") + F.lit(highest)).cast(kind)
     means = centroids(found.join(pool.select("face_order", "embedding"), "face_order"), ["cluster"])
-    created = materialize(
-        numbered.join(custom, "cluster", "left").join(means, "cluster").select(
-            "cluster",
-            (F.col("number") + F.lit(highest)).cast("long").alias("person_id"),
-            F.coalesce("custom", F.concat(F.lit("Person "), F.col("number").cast("string"))).alias("name"),
-            "centroid",
-            F.col("n").alias("face_count"),
-        )
-    )
-    links = found.join(created.select("cluster", F.col("person_id").alias("new_person")), "cluster").select(
-        "face_order", "new_person"
-    )
+    stored = persons if "centroid" in persons.columns else persons.withColumn("centroid", F.lit(None).cast("array<double>"))
+    now = F.current_timestamp()
+    values = {
+        "person_id": F.col("_id"),
+        "name": F.coalesce("custom", F.concat(F.lit("Person "), F.col("number").cast("string"))),
+        "centroid": F.col("centroid"),
+        "created_at": now,
+        "updated_at": now,
+    }
+    rows = materialize(numbered.withColumn("_id", new_id).join(custom, "cluster", "left").join(means, "cluster"))
+    created = rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema])
+    links = found.join(rows.select("cluster", F.col("_id").alias("new_person")), "cluster").select("face_order", "new_person")
     rest = auto.drop("person_id").join(links, "face_order", "left").withColumnRenamed("new_person", "person_id")
     new_faces = rest.select(*faces.columns).unionByName(frozen.select(*faces.columns))
-    kept = persons.join(manual, "person_id", "left_semi").select("person_id", "name")
-    kept = kept.withColumn("centroid", F.lit(None).cast("array<double>")).withColumn("face_count", F.lit(None).cast("long"))
-    new_persons = created.drop("cluster").unionByName(kept)
-    return new_faces, new_persons
+    kept = stored.join(manual, "person_id", "left_semi").select(*stored.columns)
+    return new_faces, materialize(created).unionByName(kept)
 
 
 def merge_duplicate_persons(

@@ -120,18 +120,22 @@ def propagate_labels(crops: DataFrame, faces: DataFrame, threshold: float = CROP
 # ------------------------------------------------------------------ pair data
 
 
-def pair_dataset(faces: DataFrame, min_sim: float, label: str = "label", block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+def pair_dataset(
+    faces: DataFrame, min_sim: float, label: str = "label", block_rows: int | None = BLOCK_ROWS, copies: str = "spelled"
+) -> DataFrame:
     """Labelled face pairs at or over ``min_sim`` with kind, tiers and size band.
 
-    Faces with the same vector and label are linked to the first of them. Totals over all pairs come from ``pair_counts``; lower similarities only matter as
-    counts, which ``sim_distribution`` and ``threshold_sweep`` take without listing them.
+    Every pair is listed with the attributes of both faces; ``copies="linked"`` lists
+    faces with the same vector and label by the first of them only. Totals over all pairs
+    come from ``pair_counts``; lower similarities only matter as counts, which
+    ``sim_distribution`` and ``threshold_sweep`` take without listing them.
     """
     rows = materialize(
         faces.where(F.col("embedding").isNotNull() & F.col(label).isNotNull()).select(
             "face_id", "photo_id", F.col(label).alias("label"), "face_quality", bx.long_side().alias("side"), "embedding"
         )
     )
-    pairs = similar_pairs(rows, min_sim, block_rows=block_rows, keep=["label"])
+    pairs = similar_pairs(rows, min_sim, block_rows=block_rows, copies=copies, keep=["label"])
     slim = rows.drop("embedding")
 
     def tagged(tag):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinframe.functions.boxes import round_half_up
 from kinframe.functions.vectors import centroids
@@ -261,8 +262,9 @@ def merge_persons(
 ) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Fold ``sources`` into ``target``: new persons, faces, manual marks, and the count.
 
-    The target takes over all faces, gets a fresh unit centroid and a joined name, and is
-    marked as edited by hand. Source rows go away.
+    The target takes over all faces, gets a fresh unit centroid and a joined name, is
+    marked as edited by hand, and ``updated_at``, where there is one, becomes the time of
+    the call. Source rows go away.
     """
     valid = [s for s in sources if s is not None and s != "" and s != target]
     if not valid:
@@ -288,6 +290,7 @@ def merge_persons(
                 "name": F.when(hit, F.col("_joined")).otherwise(F.col("name")),
                 "centroid": F.when(hit, F.col("_mean").cast(rows.schema["centroid"].dataType)).otherwise(F.col("centroid")),
             }
+            | ({"updated_at": F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))} if "updated_at" in rows.columns else {})
         )
         .select(*rows.columns)
     )
@@ -307,21 +310,26 @@ def split_person(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turn each face of a person into a person of its own, all marked as edited by hand.
 
-    New ids and names count on from the largest id and the number of persons. A person
-    with at most one face is only marked. Person ids are longs.
+    New names count on from the number of persons. Numeric ids count on from the largest
+    id; text ids come from the face, so a repeat gives the same id. ``created_at`` and
+    ``updated_at``, where there are any, become the time of the call. A person with at
+    most one face is only marked.
     """
     own = faces.where(F.col("person_id") == person_id)
     if len(own.select("face_id").take(2)) < 2:
         return persons, faces, mark_manual(person_manual, persons.where(F.col("person_id") == person_id))
     base = persons.agg(F.max("person_id").alias("top"), F.count(F.lit(1)).alias("n")).first()
     ranked = rank_in_group(own.select("face_id", "face_order", "created_at", "embedding"), [], ["created_at", "face_order"])
+    kind = persons.schema["person_id"].dataType
+    text = isinstance(kind, T.StringType)
+    new_id = F.concat(F.lit("person-"), F.col("face_id").cast("string")) if text else (F.col("rn") + F.lit(base["top"])).cast(kind)
     singles = ranked.select(
-        "face_id", (F.col("rn") + F.lit(base["top"])).alias("_new"),
-        F.concat(F.lit("Person "), (F.col("rn") + F.lit(base["n"])).cast("string")).alias("name"), "embedding", "created_at",
+        "face_id", new_id.alias("_new"),
+        F.concat(F.lit("Person "), (F.col("rn") + F.lit(base["n"])).cast("string")).alias("name"), "embedding",
     )
-    added = singles.select(
-        F.col("_new").alias("person_id"), "name", F.col("embedding").alias("centroid"), "created_at"
-    ).select(*[c for c in ("person_id", "name", "centroid", "created_at") if c in persons.columns])
+    times = {c: F.current_timestamp().cast(persons.schema[c].dataType) for c in ("created_at", "updated_at") if c in persons.columns}
+    added = singles.select(F.col("_new").alias("person_id"), "name", F.col("embedding").alias("centroid")).withColumns(times)
+    added = added.select(*[c for c in ("person_id", "name", "centroid", *times) if c in persons.columns])
     new_persons = persons.where(F.col("person_id") != person_id).unionByName(added, allowMissingColumns=True)
     new_faces = (
         faces.join(singles.select("face_id", "_new"), "face_id", "left")

@@ -176,29 +176,26 @@ def _spread(df: DataFrame, side: int, self_join: bool, place: Placement, reach:
             mine = first + np.mod(sub, count)
             if len(place.pivots):
                 angles = _angles(unit_rows(to_matrix(table.column("vec"))), place.pivots)
-            rows, a, b, is_a = [], [], [], []
+            plain = table.select([f.name for f in kept])
             for q, (_, radius) in targets.items():
                 if len(place.pivots):
                     near = np.nonzero(angles[:, q] <= radius + reach)[0]
                 else:
                     near = np.arange(len(mine))
+                if not len(near):
+                    continue
+                own, copies = mine[near], plain.take(pa.array(near))
+                # One target block at a time, so a batch never holds more than one copy.
                 for theirs in range(place.offset[other][q], place.offset[other][q] + place.blocks[other][q]):
-                    rows.append(near)
-                    own = mine[near]
+                    fixed = np.full(len(near), theirs)
                     if self_join:
-                        a.append(np.minimum(own, theirs))
-                        b.append(np.maximum(own, theirs))
-                        is_a.append(own <= theirs)
+                        a, b, is_a = np.minimum(own, theirs), np.maximum(own, theirs), own <= theirs
                     else:
-                        a.append(own if side == 0 else np.full(len(near), theirs))
-                        b.append(np.full(len(near), theirs) if side == 0 else own)
-                        is_a.append(np.full(len(near), side == 0))
-            take = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-            out = table.select([f.name for f in kept]).take(pa.array(take))
-            out = out.append_column("block_a", pa.array(np.concatenate(a).astype(np.int32)))
-            out = out.append_column("block_b", pa.array(np.concatenate(b).astype(np.int32)))
-            out = out.append_column("is_a", pa.array(np.concatenate(is_a)))
-            yield from out.to_batches()
+                        a, b = (own, fixed) if side == 0 else (fixed, own)
+                        is_a = np.full(len(near), side == 0)
+                    out = copies.append_column("block_a", pa.array(a.astype(np.int32)))
+                    out = out.append_column("block_b", pa.array(b.astype(np.int32)))
+                    yield from out.append_column("is_a", pa.array(is_a)).to_batches()
 
     salted = df.withColumn("sub", F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)).cast("int"))
     return salted.mapInArrow(run, T.StructType([*kept, *extra]))
@@ -224,6 +221,23 @@ class Side:
 
 Reducer = Callable[[Side, Side, bool], pa.Table]
 
+# A left side of at most so many rows is sent to the tasks; a larger one is blocked.
+SMALL_SIDE = 2048
+
+
+def _beside_small(left: pa.Table, right: DataFrame, reducer: Reducer, schema: T.StructType) -> DataFrame:
+    """Compare a bounded left side with every row of ``right`` where it lies."""
+    shared = right.sparkSession.sparkContext.broadcast(left)
+    names = schema.names
+
+    def run(batches):
+        a = Side(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield from reducer(a, Side(pa.Table.from_batches([batch])), False).select(names).to_batches()
+
+    return right.mapInArrow(run, schema)
+
 
 def block_pairs(
     left: DataFrame,
@@ -237,9 +251,14 @@ def block_pairs(
 
     Inputs carry ``id`` and ``vec``, plus any attributes the reducer reads. Without
     ``right`` the input meets itself, each unordered block pair once. A threshold at or
-    below zero (or none) switches pruning off.
+    below zero (or none) switches pruning off. A left side of at most ``SMALL_SIDE`` rows
+    is compared with the right side in place: the right vectors are not moved or written.
     """
     self_join = right is None
+    if not self_join:
+        small = left.limit(SMALL_SIDE + 1).toArrow()
+        if small.num_rows <= SMALL_SIDE:
+            return _beside_small(small, right, reducer, schema)
     prune = threshold is not None and threshold > 0
     placed, place = _placement(left, right, block_rows, prune)
     reach = math.acos(min(1.0, threshold)) + ANGLE_SLACK if prune else math.pi
@@ -343,15 +362,15 @@ def similar_pairs(
     strict: bool = False,
     single: bool = False,
     block_rows: int | None = BLOCK_ROWS,
-    copies: str = "linked",
+    copies: str = "spelled",
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of rows over the threshold: ``id_a < id_b, sim``.
 
     Rows with the same vector (and ``keep`` columns) are compared once, as their
-    smallest id. ``copies="linked"`` adds one row per further copy, linking it to that
-    id with similarity 1: everything needed to rebuild all pairs, in linear size.
-    ``copies="spelled"`` lists every pair of copies and partners.
+    smallest id. Every pair of rows is listed, copies included. ``copies="linked"`` lists
+    pairs of those ids only, and one row per further copy, linking it to its id with
+    similarity 1: everything needed to rebuild all pairs, in linear size.
     """
     if threshold <= 0:
         raise ValueError("a similarity join needs a threshold above zero")

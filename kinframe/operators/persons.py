@@ -51,18 +51,17 @@ def person_centroids(faces: DataFrame, normalize: bool = False) -> DataFrame:
     return centroids(faces.where(F.col("person_id").isNotNull()), ["person_id"], normalize=normalize)
 
 
-def _centroid_reps(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    means = materialize(
+def _centroid_reps(faces: DataFrame) -> DataFrame:
+    return materialize(
         person_centroids(faces).select(
             F.col("person_id").alias("id"), F.col("centroid").alias("embedding"), F.col("n").alias("faces")
         )
     )
-    return means, materialize(collapse_copies(means, "id", "embedding"))
 
 
 def closest_person_pairs(faces: DataFrame, top: int = 30, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Person pairs with the most similar centroids."""
-    means, _ = _centroid_reps(faces)
+    means = _centroid_reps(faces)
     rows = means.select("id", F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("n"))
     return closest_pairs(rows, top, block_rows).select(
         F.col("id_a").alias("person_a"), F.col("id_b").alias("person_b"), "sim"
@@ -71,7 +70,7 @@ def closest_person_pairs(faces: DataFrame, top: int = 30, block_rows: int | None
 
 def grey_zone(faces: DataFrame, low: float = 0.45, high: float = 0.55, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Person pairs whose centroid similarity lies between the two bounds."""
-    means, _ = _centroid_reps(faces)
+    means = _centroid_reps(faces)
     pairs = rep_pairs(means.select("id", F.col("embedding").alias("vec")), low, block_rows=block_rows)
     size = means.select("id", "faces")
     return (

@@ -114,28 +114,40 @@ def search_batch(
     k: int = SEARCH_LIMIT,
     min_sim: float = SEARCH_MIN_SIM,
     block_rows: int | None = BLOCK_ROWS,
+    all_persons: bool = False,
 ) -> DataFrame:
-    """The ``k`` best photos of every query photo, with the matched face and its person."""
+    """The ``k`` best photos of every query photo, with the matched face and its person.
+
+    ``all_persons`` adds ``matched_persons``: the names of all persons that any query face
+    matches in the photo, at most as many as the photo has faces.
+    """
     best = materialize(_best_photos(queries, searchable_faces(faces, photos), k, min_sim, block_rows))
     boxes = faces.select("face_order", "face_id", "person_id", "x1", "y1", "x2", "y2")
     names = persons.select("person_id", F.col("name").alias("person_name"))
     shown = photos.select("photo_id", "path", "thumb_path", "width", "height")
-    return (
+    hits = (
         best.join(boxes, "face_order").join(names, "person_id", "left").join(shown, "photo_id")
         .select(
             "query_photo", "rank", "photo_id", "path", "thumb_path", "face_id", "person_id", "person_name",
             "similarity", "x1", "y1", "x2", "y2", "width", "height",
         )
     )
+    if not all_persons:
+        return hits
+    rows = matched_persons(best, queries, faces, persons, min_sim, block_rows)
+    lists = rows.groupBy("query_photo", "photo_id").agg(F.array_sort(F.collect_list("person_name")).alias("matched_persons"))
+    return hits.join(lists, ["query_photo", "photo_id"], "left").withColumn(
+        "matched_persons", F.coalesce("matched_persons", F.array().cast("array<string>"))
+    )
 
 
 def search_faces(
     queries: DataFrame, faces: DataFrame, photos: DataFrame, persons: DataFrame,
-    k: int = SEARCH_LIMIT, min_sim: float = SEARCH_MIN_SIM, block_rows: int | None = BLOCK_ROWS,
+    k: int = SEARCH_LIMIT, min_sim: float = SEARCH_MIN_SIM, block_rows: int | None = BLOCK_ROWS, all_persons: bool = False,
 ) -> DataFrame:
     """One search with all query faces together; best photos first."""
     together = queries.withColumn("query_photo", F.lit(0).cast("long"))
-    hits = search_batch(together, faces, photos, persons, k, min_sim, block_rows)
+    hits = search_batch(together, faces, photos, persons, k, min_sim, block_rows, all_persons)
     return hits.drop("query_photo").orderBy("rank")
 
 

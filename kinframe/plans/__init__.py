@@ -13,6 +13,7 @@ MODULES = [
     "evaluate_queries",
     "ingest_queries",
     "streaming_queries",
+    "source_queries",
 ]
 
 

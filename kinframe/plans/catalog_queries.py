@@ -296,10 +296,11 @@ def q28(v):
 
 
 @query("q29_single_face_photos", ctes("photos", "faces") + """
-SELECT p.photo_id, p.path, f.face_id, f.x1, f.y1, f.x2, f.y2 FROM photos p JOIN faces f ON f.photo_id = p.photo_id
-WHERE p.photo_id IN (SELECT photo_id FROM faces GROUP BY photo_id HAVING count(*) = 1)""")
+SELECT p.photo_id, p.path, f.face_id, f.x1, f.y1, f.x2, f.y2 FROM photos p JOIN faces f ON f.photo_id = p.photo_id AND f.face_id % 7 = 0
+WHERE p.photo_id IN (SELECT photo_id FROM faces WHERE face_id % 7 = 0 GROUP BY photo_id HAVING count(*) = 1)""")
 def q29(v):
-    return cat.single_face_photos(v.photos, v.faces)
+    """Over a seventh of the faces: with all of them every photo has several."""
+    return cat.single_face_photos(v.photos, v.faces.where("face_id % 7 = 0"))
 
 
 @query("q30_invariants", ctes("faces") + """

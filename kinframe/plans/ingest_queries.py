@@ -116,10 +116,11 @@ def i07(v):
 
 
 @query("i08_scan_summary", ctes("scan_events") + """
-SELECT scan_id, max(event_id) AS total, max(event_id % 97) AS scanned, bool_or(status = 'cancelled') AS cancelled,
+SELECT scan_id, max(event_id) AS total, max(event_id % 97) AS scanned, bool_or(status = 'done' AND event_id % 3 = 0) AS cancelled,
        CAST(round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS elapsed_ms FROM scan_events GROUP BY scan_id""")
 def i08(v):
-    events = v.scan_events.withColumns({"total": F.col("event_id"), "scanned": F.col("event_id") % 97})
+    ended = F.when((F.col("status") == "done") & (F.col("event_id") % 3 == 0), "cancelled").otherwise(F.col("status"))
+    events = v.scan_events.withColumns({"total": F.col("event_id"), "scanned": F.col("event_id") % 97, "status": ended})
     return ing.scan_summary(events)
 
 

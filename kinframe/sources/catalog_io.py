@@ -56,36 +56,57 @@ def content_hash(df: DataFrame, content: str = "content", method: str = "xxhash6
 # ------------------------------------------------------------------ catalogs
 
 
-def _pointer(spark: SparkSession, root: str):
+POINTER = "CATALOG-{:012d}.json"
+
+
+def _folder(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.json")
+    path = jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
 
 
+def _pointers(fs, folder) -> list[int]:
+    """The numbers of the catalog's pointers, oldest first."""
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n[8:-5]) for n in names if n.startswith("CATALOG-") and n.endswith(".json"))
+
+
 def save_catalog(catalog: dict[str, DataFrame], root: str) -> str:
     """Write all tables to a new version folder, then point the catalog at it.
 
-    The pointer is replaced only after every table is complete, so readers see either
-    the old or the new catalog.
+    Pointers are numbered and never replaced: the new one appears by one rename after
+    every table is complete, and readers take the newest, so they see either the old or
+    the new catalog. Two writers cannot both take a number; the later one fails. Pointers
+    older than the last two go.
     """
     spark = next(iter(catalog.values())).sparkSession
     version = uuid.uuid4().hex
     for name, df in catalog.items():
         df.write.parquet(f"{root}/v-{version}/{name}")
-    fs, path, jvm = _pointer(spark, root)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}.tmp")
+    fs, folder, jvm = _folder(spark, root)
+    old = _pointers(fs, folder)
+    number = old[-1] + 1 if old else 1
+    fresh = jvm.org.apache.hadoop.fs.Path(folder, f"{version}.tmp")
     out = fs.create(fresh, True)
     out.write(bytearray(json.dumps({"version": version, "schema": SCHEMA_VERSION, "tables": sorted(catalog)}), "utf-8"))
     out.close()
-    fs.delete(path, False)
-    if not fs.rename(fresh, path):
+    target = jvm.org.apache.hadoop.fs.Path(folder, POINTER.format(number))
+    if fs.exists(target) or not fs.rename(fresh, target):
         raise RuntimeError(f"could not switch {root} to version {version}")
+    for gone in old[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, POINTER.format(gone)), False)
     return version
 
 
 def load_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The current tables, brought up to the newest schema version."""
-    line = spark.read.option("wholetext", True).text(f"{root}/CURRENT.json").first()["value"]
+    fs, folder, _ = _folder(spark, root)
+    numbers = _pointers(fs, folder)
+    if not numbers:
+        raise FileNotFoundError(f"no catalog in {root}")
+    line = spark.read.option("wholetext", True).text(f"{root}/{POINTER.format(numbers[-1])}").first()["value"]
     info = json.loads(line)
     tables = {
         name: upgrade_schema(spark.read.parquet(f"{root}/v-{info['version']}/{name}"), name) for name in info["tables"]

@@ -26,7 +26,7 @@ def apply_batch(
     out = {**catalog, "photos": new_photos, "faces": new_faces}
     if recluster:
         faces, persons = recluster_catalog(new_photos, new_faces, catalog["persons"], catalog["person_manual"], threshold)
-        out |= {"faces": faces, "persons": persons.select("person_id", "name", "centroid")}
+        out |= {"faces": faces, "persons": persons}
     return out
 
 
