@@ -318,22 +318,22 @@ def detection_breakdown(raw: DataFrame, classified: DataFrame) -> DataFrame:
 
     ``raw`` is before suppression, ``classified`` the suppressed rows after ``classify``.
     """
-    before = raw.groupBy("image_id").agg(
-        F.count_if(F.col("pass") == 0).alias("raw_full"), F.count_if(F.col("pass") > 0).alias("raw_tile")
-    )
-    ok = F.col("reject_reason").isNull()
-    tiers = {t: F.count_if(ok & (F.col("face_quality") == t)).alias(t) for t in bx.TIERS}
-    after = classified.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("after_nms"),
-        F.count_if(ok).alias("after_gate"),
-        *[F.count_if(F.col("reject_reason") == r).alias(f"rejected_{r}") for r in ("tiny", "score", "kps")],
-        F.count_if(ok & F.col("downgraded")).alias("quality_downgraded"),
-        F.count_if(ok & F.col("embed")).alias("embedded"),
-        *tiers.values(),
-    )
-    joined = before.join(after, "image_id", "left").na.fill(0)
-    measures = [c for c in joined.columns if c != "image_id"]
-    return joined.rollup("image_id").agg(*[F.sum(c).cast("long").alias(c) for c in measures])
+    kept = ["image_id", "reject_reason", "face_quality", "downgraded", "embed"]
+    rows = raw.select("image_id", "pass").unionByName(classified.select(*kept, F.lit(True).alias("_after")), allowMissingColumns=True)
+    after = F.coalesce("_after", F.lit(False))
+    ok = after & F.col("reject_reason").isNull()
+    counts = {
+        "raw_full": ~after & (F.col("pass") == 0),
+        "raw_tile": ~after & (F.col("pass") > 0),
+        "after_nms": after,
+        "after_gate": ok,
+        **{f"rejected_{r}": after & (F.col("reject_reason") == r) for r in ("tiny", "score", "kps")},
+        "quality_downgraded": ok & F.col("downgraded"),
+        "embedded": ok & F.col("embed"),
+        **{t: ok & (F.col("face_quality") == t) for t in bx.TIERS},
+    }
+    per_image = rows.groupBy("image_id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    return per_image.rollup("image_id").agg(*[F.sum(n).cast("long").alias(n) for n in counts])
 
 
 def landmark_ratios(dets: DataFrame) -> DataFrame:

@@ -328,25 +328,34 @@ def sim_distribution(
 def threshold_sweep(
     faces: DataFrame, thresholds: Sequence[float] = THRESHOLDS, label: str = "label", block_rows: int | None = BLOCK_ROWS
 ) -> DataFrame:
-    """Pair-level TP, FP, FN, TN and rates at each threshold."""
+    """Pair-level TP, FP, FN, TN and rates at each threshold.
+
+    Only pairs at or over the lowest threshold are compared; the others are what group
+    sizes say there must be besides.
+    """
     rows = faces.where(F.col("embedding").isNotNull() & F.col(label).isNotNull()).withColumn(
         "label_key", F.xxhash64(F.col(label).cast("string"))
     )
     reps = materialize(collapse_copies(rows, "face_id", "embedding", ["label_key"]))
     bin_of, bins = threshold_bins(thresholds)
     same = lambda a, b: (a["label_key"] != b["label_key"]).astype(np.int64)
-    counts = binned_counts(reps, ["label_key"], same, 2, bin_of, bins, block_rows=block_rows)
     cuts = sorted(thresholds)
+    counts = binned_counts(reps, ["label_key"], same, 2, bin_of, bins, block_rows=block_rows, at_least=cuts[0])
+    sizes = reps.groupBy("label_key").agg(F.sum("n").alias("n"))
+    totals = sizes.agg(
+        F.coalesce(F.sum(_choose2(F.col("n"))), F.lit(0)).cast("long").alias("_same"),
+        _choose2(F.coalesce(F.sum("n"), F.lit(0))).alias("_all"), F.lit(1).alias("_one"),
+    )
 
     def total(kind, above):
         hit = (F.col("stratum") == kind) & (F.col("bin") > above)
         return F.coalesce(F.sum(F.when(hit, F.col("pairs"))), F.lit(0)).cast("long")
 
     row = counts.agg(
-        total(0, -1).alias("_same"), total(1, -1).alias("_diff"),
+        F.lit(1).alias("_one"),
         *[total(0, i).alias(f"_tp{i}") for i in range(len(cuts))],
         *[total(1, i).alias(f"_fp{i}") for i in range(len(cuts))],
-    )
+    ).join(totals, "_one").withColumn("_diff", F.col("_all") - F.col("_same"))
     listed = F.explode(
         F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_tp{i}").alias("tp"), F.col(f"_fp{i}").alias("fp")) for i, t in enumerate(cuts)])
     )

@@ -494,12 +494,14 @@ def binned_counts(
     bins: int,
     right: DataFrame | None = None,
     block_rows: int | None = BLOCK_ROWS,
+    at_least: float | None = None,
 ) -> DataFrame:
     """Number of row pairs per ``(stratum, bin)``, weighted by copy multiplicities.
 
     ``stratify`` maps attribute arrays shaped (rows, 1) and (1, cols) to stratum codes;
     pairs with a negative code are left out. ``bin_of`` maps similarities to bin codes,
-    negative meaning left out.
+    negative meaning left out. ``at_least`` promises that lower similarities are not
+    wanted, so that blocks too far apart need not meet.
     """
     schema = T.StructType(
         [
@@ -548,7 +550,7 @@ def binned_counts(
 
     cols = ["id", "vec", "n", *attrs]
     parts = block_pairs(
-        reps.select(*cols), None if right is None else right.select(*cols), reduce, schema, None, block_rows
+        reps.select(*cols), None if right is None else right.select(*cols), reduce, schema, at_least, block_rows
     )
     return parts.groupBy("stratum", "bin").agg(F.sum("pairs").alias("pairs"))
 

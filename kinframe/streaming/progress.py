@@ -204,10 +204,15 @@ def keep_latest(stream: DataFrame, keys: list[str], path: str, state: str | None
     """Maintain a Parquet table with the newest row per key from an update-mode stream.
 
     Each micro-batch writes a new version folder from the previous one; the batch id in
-    its name makes a repeated batch overwrite itself.
+    its name makes a repeated batch overwrite itself. Versions before the previous one are
+    removed, as neither a repeat nor a reader of the newest needs them.
     """
     spark = stream.sparkSession
 
+    def forget(batch_id: int) -> None:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{batch_id - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
         target = f"{path}/v{batch_id}"
         if batch_id == 0:
@@ -215,6 +220,8 @@ def keep_latest(stream: DataFrame, keys: list[str], path: str, state: str | None
             return
         old = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}")
         old.join(batch.select(*keys), keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(target)
+        if batch_id >= 2:
+            forget(batch_id)
 
     return (
         stream.writeStream.outputMode("update").foreachBatch(upsert)
