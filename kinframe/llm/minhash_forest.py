@@ -319,4 +319,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, **options) ->
     gone = found.where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
     return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

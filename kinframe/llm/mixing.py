@@ -189,12 +189,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: float
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: a document once for each time its first word is taken."""
-    number = lambda by: F.row_number().over(Window.partitionBy("doc_id", "__key", "__size").orderBy(by))
-    plan = mix(docs, **options).where("copies > 0").select("doc_id", _key().alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    plan = materialize(plan.withColumn("__n", number(F.desc("__copies"))))
-    sized = with_size(docs, docs.columns, "__size").withColumn("__key", _key())
-    sized = sized.withColumn("__n", number(F.xxhash64("text"))).withColumn("__id", F.struct("doc_id"))
-    plan = plan.withColumn("__id", F.struct("doc_id")).drop("doc_id")
-    taken = sized.join(plan, ["__id", "__key", "__size", "__n"])
+    """``docs`` as the mix takes them: a document once for each time its first word is taken.
+
+    Rows that agree in id, source and size are told apart by a number; where there are
+    none, the texts are spared that sort.
+    """
+    keys = ["__id", "__key", "__size"]
+    rows = mix(docs, **options).select(F.struct("doc_id").alias("__id"), _key().alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    rows = materialize(rows)
+    sized = with_size(docs, docs.columns, "__size").withColumn("__key", _key()).withColumn("__id", F.struct("doc_id"))
+    if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
+        number = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))
+        rows = materialize(rows.withColumn("__n", number(F.desc("__copies"))))
+        sized = sized.withColumn("__n", number(F.xxhash64("text")))
+        keys = [*keys, "__n"]
+    taken = sized.join(rows.where("__copies > 0"), keys)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
