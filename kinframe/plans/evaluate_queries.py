@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinframe.functions import boxes as bx
 from kinframe.operators import evaluate as ev
 from kinframe.plans.registry import ctes, query
-from kinframe.plans.vector_queries import COS, rounded
+from kinframe.plans.vector_queries import COS, recursive, rounded, running_average_sql
 
 
 def labelled(v):
@@ -231,7 +231,10 @@ def e17s(v):
     return rounded(ev.split_summary(labelled(v)), "split_percent")
 
 
-@query("e18_mean_clusters_per_identity")
+@query("e18_mean_clusters_per_identity", recursive(ctes("faces")) + "," + running_average_sql("true_label", "[0.05, 0.1, 0.2]") + """,
+p AS (SELECT threshold, label, max(cluster) AS c FROM r WHERE label IN (SELECT true_label FROM faces WHERE embedding IS NOT NULL GROUP BY 1 HAVING count(*) >= 2) GROUP BY ALL)
+SELECT threshold, round(avg(c), 6) AS clusters_per_identity, sum(c)::BIGINT AS clusters, count(*) AS identities, count(*) FILTER (WHERE c > 1) AS split,
+       coalesce(max(c) FILTER (WHERE c > 1), 0)::BIGINT AS max_clusters FROM p GROUP BY threshold""")
 def e18(v):
     return rounded(ev.mean_clusters_per_identity(labelled(v), [0.05, 0.1, 0.2]), "clusters_per_identity")
 

@@ -61,17 +61,82 @@ def v03(v):
     return rounded(pairs.similar_pairs(v.faces, 0.30), "sim")
 
 
-@query("v04_cluster_faces")
+def recursive(ctes_sql: str) -> str:
+    return ctes_sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def root_linkage_sql(rows: str, threshold: float, low_join: float = 0.6) -> str:
+    """Best pair of live roots first, the larger one kept: the state holds size, first member and parent.
+
+    Root similarities never change, so pairs are met in falling order and a pair whose root
+    is gone never counts again.
+    """
+    return f"""
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY face_order) AS k FROM ({rows})),
+x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s DESC, a, b) AS rn FROM (
+  SELECT a.k AS a, b.k AS b, a.low AS la, b.low AS lb, CAST(CAST({COS}(a.e, b.e) AS FLOAT) AS DOUBLE) AS s FROM n a JOIN n b ON a.k < b.k)
+  WHERE s > {threshold} AND NOT (la AND lb) AND (s >= {low_join} OR NOT (la OR lb))),
+m AS (SELECT 0::BIGINT AS rn, (SELECT list(1::BIGINT ORDER BY k) FROM n) AS size, (SELECT list(k ORDER BY k) FROM n) AS first, (SELECT list(k ORDER BY k) FROM n) AS up
+      UNION ALL
+      SELECT rn, list_transform(size, lambda v, i: CASE WHEN i = gone THEN 0 WHEN i = keep THEN v + size[gone] ELSE v END),
+             list_transform(first, lambda v, i: CASE WHEN i = keep THEN least(v, first[gone]) ELSE v END),
+             list_transform(up, lambda v, i: CASE WHEN i = gone THEN keep ELSE v END)
+      FROM (SELECT *, CASE WHEN size[p] >= size[q] THEN p ELSE q END AS keep, CASE WHEN size[p] >= size[q] THEN q ELSE p END AS gone
+            FROM (SELECT x.rn, m.size, m.first, m.up, CASE WHEN m.first[x.a] < m.first[x.b] THEN x.a ELSE x.b END AS p, CASE WHEN m.first[x.a] < m.first[x.b] THEN x.b ELSE x.a END AS q
+                  FROM m JOIN x ON x.rn > m.rn AND m.size[x.a] > 0 AND m.size[x.b] > 0 ORDER BY x.rn LIMIT 1))),
+u AS (SELECT unnest(up) AS up, unnest(range(1, len(up) + 1)) AS k FROM (SELECT up FROM m ORDER BY rn DESC LIMIT 1)),
+w AS (SELECT k, k AS root FROM u UNION ALL SELECT w.k, u.up FROM w JOIN u ON u.k = w.root AND u.up <> w.root),
+z AS (SELECT w.k, w.root FROM w JOIN u ON u.k = w.root AND u.up = u.k),
+linked AS (SELECT f.*, r.face_order AS root, min(f.face_order) OVER (PARTITION BY z.root) AS cluster FROM z JOIN n f ON f.k = z.k JOIN n r ON r.k = z.root)"""
+
+
+LOW = "face_quality IN ('low', 'very_low') AS low"
+
+
+@query("v04_cluster_faces", recursive(ctes("faces")) + "," + root_linkage_sql(f"SELECT face_order, embedding AS e, {LOW} FROM faces WHERE embedding IS NOT NULL", 0.30) + """
+SELECT face_order, root, cluster FROM linked""")
 def v04(v):
     return cluster.cluster_faces(v.faces.select("face_order", "embedding", "face_quality"), 0.30)
 
 
-@query("v05_cluster_greedy")
+@query("v05_cluster_greedy", recursive(ctes("faces")) + f""",
+n AS MATERIALIZED (SELECT face_order, row_number() OVER (ORDER BY face_order) AS k, CAST(embedding AS DOUBLE[]) AS e, face_quality AS tier FROM faces WHERE embedding IS NOT NULL),
+x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s DESC, a, b) AS rn FROM (
+  SELECT a.k AS a, b.k AS b, {COS}(a.e, b.e) AS s, (a.tier = 'low')::INT + (b.tier = 'low')::INT AS lows FROM n a JOIN n b ON a.k < b.k WHERE a.tier <> 'very_low' AND b.tier <> 'very_low')
+  WHERE s >= [0.30, 0.35, 0.40][lows + 1]),
+m AS (SELECT 0::BIGINT AS rn, (SELECT list(k ORDER BY k) FROM n) AS cl, (SELECT list(1::BIGINT ORDER BY k) FROM n) AS size, (SELECT list(CAST(e AS FLOAT[]) ORDER BY k) FROM n) AS cent
+      UNION ALL
+      SELECT rn, list_transform(cl, lambda v: CASE WHEN v = q THEN p ELSE v END),
+             list_transform(size, lambda v, i: CASE WHEN i = p THEN v + size[q] ELSE v END),
+             list_transform(cent, lambda v, i: CASE WHEN i = p THEN CAST(list_transform(list_zip(v, cent[q]), lambda z: (CAST(z[1] AS DOUBLE) * size[p] + CAST(z[2] AS DOUBLE) * size[q]) / (size[p] + size[q])) AS FLOAT[]) ELSE v END)
+      FROM (SELECT x.rn, m.cl, m.size, m.cent, m.cl[x.a] AS p, m.cl[x.b] AS q FROM m JOIN x ON x.rn > m.rn AND m.cl[x.a] <> m.cl[x.b]
+            WHERE {COS}(CAST(m.cent[m.cl[x.a]] AS DOUBLE[]), CAST(m.cent[m.cl[x.b]] AS DOUBLE[])) >= 0.30 ORDER BY x.rn LIMIT 1)),
+u AS (SELECT unnest(cl) AS c, unnest(range(1, len(cl) + 1)) AS k FROM (SELECT cl FROM m ORDER BY rn DESC LIMIT 1))
+SELECT n.face_order, min(n.face_order) OVER (PARTITION BY u.c) AS cluster FROM u JOIN n ON n.k = u.k""")
 def v05(v):
     return cluster.cluster_greedy(v.faces, 0.30, low_join=0.35, low_low=0.40)
 
 
-@query("v06_cluster_running_average")
+def running_average_sql(label: str, thresholds: str) -> str:
+    """One pass per label and threshold in face order, carrying the list of centroids."""
+    return f"""
+o AS (SELECT {label} AS label, face_order, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY {label} ORDER BY face_order) AS rn
+      FROM faces WHERE embedding IS NOT NULL AND {label} IS NOT NULL),
+t AS (SELECT unnest({thresholds}::DOUBLE[]) AS threshold),
+r AS (SELECT threshold, label, rn, face_order, 1::BIGINT AS cluster, [CAST(e AS FLOAT[])] AS cents FROM o, t WHERE rn = 1
+      UNION ALL
+      SELECT threshold, label, rn, face_order, CASE WHEN best > threshold THEN pick ELSE len(cents) + 1 END::BIGINT,
+             CASE WHEN best > threshold
+                  THEN list_transform(cents, lambda c, i: CASE WHEN i = pick THEN CAST(list_transform(list_zip(c, e), lambda z: (CAST(z[1] AS DOUBLE) + z[2]) / 2) AS FLOAT[]) ELSE c END)
+                  ELSE list_append(cents, CAST(e AS FLOAT[])) END
+      FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS pick
+            FROM (SELECT r.threshold, o.label, o.rn, o.face_order, o.e, r.cents,
+                         list_transform(r.cents, lambda c: list_cosine_similarity(CAST(c AS DOUBLE[]), o.e)) AS sims
+                  FROM r JOIN o ON o.label = r.label AND o.rn = r.rn + 1)))"""
+
+
+@query("v06_cluster_running_average", recursive(ctes("faces")) + "," + running_average_sql("true_label", "[0.10]") + """
+SELECT label AS true_label, face_order, cluster FROM r""")
 def v06(v):
     return cluster.cluster_running_average(v.faces, 0.10, "true_label")
 
@@ -86,7 +151,15 @@ def v07(v):
     return cluster.connected_components(pairs.similar_pairs(v.faces, 0.40))
 
 
-@query("v08_recluster_catalog")
+@query("v08_recluster_catalog", recursive(ctes("photos", "faces", "persons", "person_manual")) + "," + root_linkage_sql(f"""
+  SELECT f.face_order, f.face_id, f.person_id, embedding AS e, {LOW} FROM faces f JOIN photos p ON p.photo_id = f.photo_id
+  WHERE p.deleted_at IS NULL AND embedding IS NOT NULL AND (f.person_id IS NULL OR f.person_id NOT IN (SELECT person_id FROM person_manual))""", 0.30) + """,
+c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS number, arg_min(name, face_order) AS custom
+      FROM linked l LEFT JOIN (SELECT person_id AS pid, name FROM persons WHERE lower(name) NOT LIKE 'person %') pe ON pe.pid = l.person_id GROUP BY cluster),
+made AS (SELECT l.face_id, (SELECT max(person_id) FROM persons) + c.number AS person_id, coalesce(c.custom, concat('Person ', c.number)) AS name FROM linked l JOIN c ON c.cluster = l.cluster)
+SELECT f.face_id, CASE WHEN mm.face_id IS NOT NULL THEN mm.person_id WHEN f.person_id IN (SELECT person_id FROM person_manual) THEN f.person_id END AS person_id,
+       CASE WHEN mm.face_id IS NOT NULL THEN mm.name WHEN f.person_id IN (SELECT person_id FROM person_manual) THEN pe.name END AS name
+FROM faces f LEFT JOIN made mm ON mm.face_id = f.face_id LEFT JOIN persons pe ON pe.person_id = f.person_id""")
 def v08(v):
     faces, people = cluster.recluster_catalog(v.photos, v.faces, v.persons, v.person_manual, 0.30)
     return faces.join(people.select("person_id", "name"), "person_id", "left").select("face_id", "person_id", "name")
