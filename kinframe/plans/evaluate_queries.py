@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinframe.functions import boxes as bx
 from kinframe.operators import evaluate as ev
 from kinframe.plans.registry import ctes, query
-from kinframe.plans.vector_queries import COS, recursive, rounded, running_average_sql
+from kinframe.plans.vector_queries import COS, LOW, recursive, root_linkage_sql, rounded, running_average_sql
 
 
 def labelled(v):
@@ -189,14 +189,40 @@ def e14(v):
     return rounded(ev.purity(assigned(v)), "purity")
 
 
-@query("e15_config_sweep")
+CONFIGS = [
+    {"name": "global 0.30", "threshold": 0.30, "gated": False},
+    {"name": "global 0.35", "threshold": 0.35, "gated": False},
+    {"name": "gated 0.30", "threshold": 0.30, "gated": True, "low_join": 0.35},
+]
+
+
+def config_sweep_sql() -> str:
+    """The clustering of every config, and its sizes and pair metrics."""
+    parts, rows = [], []
+    for i, c in enumerate(CONFIGS):
+        low = LOW if c["gated"] else "false AS low"
+        faces = f"SELECT face_order, true_label AS label, embedding AS e, {low} FROM faces WHERE embedding IS NOT NULL"
+        parts.append(root_linkage_sql(faces, c["threshold"], c.get("low_join", 0.6), f"_{i}"))
+        rows.append(f"SELECT '{c['name']}' AS config, {c['threshold']}::DOUBLE AS threshold, cluster, label FROM linked_{i}")
+    return recursive(ctes("faces")) + "," + ",".join(parts) + f""",
+a AS MATERIALIZED ({' UNION ALL '.join(rows)}),
+s AS (SELECT config, threshold, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest
+      FROM (SELECT config, threshold, cluster, count(*) AS n FROM a GROUP BY ALL) GROUP BY ALL),
+cell AS (SELECT config, cluster, label, count(*) AS n FROM a WHERE label IS NOT NULL GROUP BY ALL),
+tp AS (SELECT config, sum(n * (n - 1) // 2)::BIGINT AS tp FROM cell GROUP BY config),
+pc AS (SELECT config, sum(n * (n - 1) // 2)::BIGINT AS c, sum(top) / sum(n) AS purity FROM (SELECT config, cluster, sum(n)::BIGINT AS n, max(n) AS top FROM cell GROUP BY ALL) GROUP BY config),
+pl AS (SELECT config, sum(n * (n - 1) // 2)::BIGINT AS l FROM (SELECT config, label, sum(n)::BIGINT AS n FROM cell GROUP BY ALL) GROUP BY config),
+al AS (SELECT config, (sum(n) * (sum(n) - 1) // 2)::BIGINT AS t FROM cell GROUP BY config),
+c AS (SELECT s.*, tp.tp, pc.c - tp.tp AS fp, pl.l - tp.tp AS fn, al.t - pc.c - pl.l + tp.tp AS tn, purity
+      FROM s JOIN tp USING (config) JOIN pc USING (config) JOIN pl USING (config) JOIN al USING (config)),
+m AS (SELECT *, {RATES} FROM c)
+SELECT clusters, singletons, largest, tp, fp, fn, tn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round({F1}, 6) AS f1,
+       round(purity, 6) AS purity, config, threshold FROM m"""
+
+
+@query("e15_config_sweep", config_sweep_sql())
 def e15(v):
-    configs = [
-        {"name": "global 0.30", "threshold": 0.30, "gated": False},
-        {"name": "global 0.35", "threshold": 0.35, "gated": False},
-        {"name": "gated 0.30", "threshold": 0.30, "gated": True, "low_join": 0.35},
-    ]
-    return rounded(ev.config_sweep(labelled(v), configs), "precision", "recall", "f1", "purity")
+    return rounded(ev.config_sweep(labelled(v), CONFIGS), "precision", "recall", "f1", "purity")
 
 
 @query("e16_false_merges", ctes("faces") + f""", {ASG},
@@ -283,7 +309,25 @@ def e22(v):
     return ev.size_report(both(v), "a")
 
 
-@query("e23_golden_match")
+IOU = "CASE WHEN {u} > 0 THEN {i} / {u} ELSE 0 END"
+INTER = "greatest(least(o.x2, b.x2) - greatest(o.x1, b.x1), 0) * greatest(least(o.y2, b.y2) - greatest(o.y1, b.y1), 0)"
+UNION_AREA = f"((o.x2 - o.x1) * (o.y2 - o.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {INTER})"
+GOLDEN_SQL = f"""
+o AS (SELECT CAST(photo_id AS VARCHAR) AS photo, face_order AS det_seq, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, embedding AS e,
+             row_number() OVER (PARTITION BY photo_id ORDER BY face_order) AS rn FROM faces),
+gl AS (SELECT photo, list(struct_pack(face_seq := det_seq, x1 := x1 + 1, y1 := y1, x2 := x2 + 1, y2 := y2, e := e) ORDER BY det_seq) AS boxes FROM o GROUP BY photo),
+r AS (SELECT photo, 0::BIGINT AS rn, 0::BIGINT AS det_seq, 0::BIGINT AS pick, 0.0::DOUBLE AS iou, NULL::DOUBLE AS cos, CAST([] AS BIGINT[]) AS used FROM gl
+      UNION ALL
+      SELECT photo, rn, det_seq, best, ratios[best], CASE WHEN e IS NOT NULL AND boxes[best].e IS NOT NULL THEN {COS}(e, boxes[best].e) END, list_append(used, best)
+      FROM (SELECT *, list_position(ratios, list_max(ratios))::BIGINT AS best FROM (
+        SELECT o.photo, o.rn, o.det_seq, o.e, gl.boxes, r.used,
+               list_transform(gl.boxes, lambda b, i: CASE WHEN list_contains(r.used, i) THEN -1.0::DOUBLE ELSE {IOU.format(i=INTER, u=UNION_AREA)} END) AS ratios
+        FROM r JOIN o ON o.photo = r.photo AND o.rn = r.rn + 1 JOIN gl ON gl.photo = r.photo)))
+SELECT r.photo, r.det_seq, gl.boxes[pick].face_seq AS face_seq, round(iou, 6) AS iou, round(cos, 6) AS cos,
+       CASE WHEN cos IS NOT NULL THEN iou >= 0.9 AND cos >= 0.97 END AS passed FROM r JOIN gl ON gl.photo = r.photo WHERE r.rn > 0"""
+
+
+@query("e23_golden_match", recursive(ctes("faces")) + "," + GOLDEN_SQL)
 def e23(v):
     rows = v.faces.select(
         F.col("photo_id").cast("string").alias("photo"), F.col("face_order").alias("det_seq"), "x1", "y1", "x2", "y2", "embedding"

@@ -65,29 +65,29 @@ def recursive(ctes_sql: str) -> str:
     return ctes_sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def root_linkage_sql(rows: str, threshold: float, low_join: float = 0.6) -> str:
+def root_linkage_sql(rows: str, threshold: float, low_join: float = 0.6, tag: str = "") -> str:
     """Best pair of live roots first, the larger one kept: the state holds size, first member and parent.
 
     Root similarities never change, so pairs are met in falling order and a pair whose root
-    is gone never counts again.
+    is gone never counts again. ``tag`` ends the names of the parts.
     """
     return f"""
-n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY face_order) AS k FROM ({rows})),
-x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s DESC, a, b) AS rn FROM (
-  SELECT a.k AS a, b.k AS b, a.low AS la, b.low AS lb, CAST(CAST({COS}(a.e, b.e) AS FLOAT) AS DOUBLE) AS s FROM n a JOIN n b ON a.k < b.k)
+n{tag} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY face_order) AS k FROM ({rows})),
+x{tag} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s DESC, a, b) AS rn FROM (
+  SELECT a.k AS a, b.k AS b, a.low AS la, b.low AS lb, CAST(CAST({COS}(a.e, b.e) AS FLOAT) AS DOUBLE) AS s FROM n{tag} a JOIN n{tag} b ON a.k < b.k)
   WHERE s > {threshold} AND NOT (la AND lb) AND (s >= {low_join} OR NOT (la OR lb))),
-m AS (SELECT 0::BIGINT AS rn, (SELECT list(1::BIGINT ORDER BY k) FROM n) AS size, (SELECT list(k ORDER BY k) FROM n) AS first, (SELECT list(k ORDER BY k) FROM n) AS up
+m{tag} AS (SELECT 0::BIGINT AS rn, (SELECT list(1::BIGINT ORDER BY k) FROM n{tag} n) AS size, (SELECT list(k ORDER BY k) FROM n{tag} n) AS first, (SELECT list(k ORDER BY k) FROM n{tag} n) AS up
       UNION ALL
       SELECT rn, list_transform(size, lambda v, i: CASE WHEN i = gone THEN 0 WHEN i = keep THEN v + size[gone] ELSE v END),
              list_transform(first, lambda v, i: CASE WHEN i = keep THEN least(v, first[gone]) ELSE v END),
              list_transform(up, lambda v, i: CASE WHEN i = gone THEN keep ELSE v END)
       FROM (SELECT *, CASE WHEN size[p] >= size[q] THEN p ELSE q END AS keep, CASE WHEN size[p] >= size[q] THEN q ELSE p END AS gone
             FROM (SELECT x.rn, m.size, m.first, m.up, CASE WHEN m.first[x.a] < m.first[x.b] THEN x.a ELSE x.b END AS p, CASE WHEN m.first[x.a] < m.first[x.b] THEN x.b ELSE x.a END AS q
-                  FROM m JOIN x ON x.rn > m.rn AND m.size[x.a] > 0 AND m.size[x.b] > 0 ORDER BY x.rn LIMIT 1))),
-u AS (SELECT unnest(up) AS up, unnest(range(1, len(up) + 1)) AS k FROM (SELECT up FROM m ORDER BY rn DESC LIMIT 1)),
-w AS (SELECT k, k AS root FROM u UNION ALL SELECT w.k, u.up FROM w JOIN u ON u.k = w.root AND u.up <> w.root),
-z AS (SELECT w.k, w.root FROM w JOIN u ON u.k = w.root AND u.up = u.k),
-linked AS (SELECT f.*, r.face_order AS root, min(f.face_order) OVER (PARTITION BY z.root) AS cluster FROM z JOIN n f ON f.k = z.k JOIN n r ON r.k = z.root)"""
+                  FROM m{tag} m JOIN x{tag} x ON x.rn > m.rn AND m.size[x.a] > 0 AND m.size[x.b] > 0 ORDER BY x.rn LIMIT 1))),
+u{tag} AS (SELECT unnest(up) AS up, unnest(range(1, len(up) + 1)) AS k FROM (SELECT up FROM m{tag} m ORDER BY rn DESC LIMIT 1)),
+w{tag} AS (SELECT k, k AS root FROM u{tag} u UNION ALL SELECT w.k, u.up FROM w{tag} w JOIN u{tag} u ON u.k = w.root AND u.up <> w.root),
+z{tag} AS (SELECT w.k, w.root FROM w{tag} w JOIN u{tag} u ON u.k = w.root AND u.up = u.k),
+linked{tag} AS (SELECT f.*, r.face_order AS root, min(f.face_order) OVER (PARTITION BY z.root) AS cluster FROM z{tag} z JOIN n{tag} f ON f.k = z.k JOIN n{tag} r ON r.k = z.root)"""
 
 
 LOW = "face_quality IN ('low', 'very_low') AS low"
