@@ -165,7 +165,24 @@ def v08(v):
     return faces.join(people.select("person_id", "name"), "person_id", "left").select("face_id", "person_id", "name")
 
 
-@query("v09_merge_duplicate_persons")
+@query("v09_merge_duplicate_persons", recursive(ctes("faces")) + f""",
+v AS (SELECT person_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS val FROM faces WHERE person_id IS NOT NULL AND embedding IS NOT NULL),
+means AS (SELECT person_id, list(val ORDER BY pos) AS vec FROM (SELECT person_id, pos, avg(val) AS val FROM v GROUP BY ALL) GROUP BY person_id),
+sizes AS (SELECT person_id, count(*) AS n FROM faces WHERE person_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1),
+r AS (SELECT 0 AS round, person_id, person_id AS rep, vec, n FROM means JOIN sizes USING (person_id)
+      UNION ALL
+      SELECT * FROM (
+        WITH reps AS (SELECT DISTINCT round, rep, vec, n FROM r),
+        ends AS (SELECT a.rep AS a, b.rep AS b, {COS}(a.vec, b.vec) AS s FROM reps a JOIN reps b ON a.rep <> b.rep),
+        best AS (SELECT a, arg_min(b, (-s, b)) AS b FROM ends WHERE s >= 0.35 GROUP BY a),
+        mutual AS (SELECT x.a, x.b FROM best x JOIN best y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b),
+        pick AS (SELECT CASE WHEN p.n >= q.n THEN p.rep ELSE q.rep END AS keep, CASE WHEN p.n >= q.n THEN q.rep ELSE p.rep END AS gone
+                 FROM mutual m JOIN reps p ON p.rep = m.a JOIN reps q ON q.rep = m.b),
+        fresh AS (SELECT k.rep, CASE WHEN g.rep IS NULL THEN k.vec ELSE list_transform(list_zip(k.vec, g.vec), lambda z: (z[1] * k.n + z[2] * g.n) / (k.n + g.n)) END AS vec, k.n + coalesce(g.n, 0) AS n
+                  FROM reps k LEFT JOIN pick ON pick.keep = k.rep LEFT JOIN reps g ON g.rep = pick.gone)
+        SELECT r.round + 1, r.person_id, coalesce(pick.keep, r.rep), fresh.vec, fresh.n
+        FROM r LEFT JOIN pick ON pick.gone = r.rep JOIN fresh ON fresh.rep = coalesce(pick.keep, r.rep) WHERE EXISTS (SELECT 1 FROM pick)))
+SELECT person_id, rep AS merged_into FROM r WHERE round = (SELECT max(round) FROM r)""")
 def v09(v):
     return cluster.merge_duplicate_persons(v.faces, 0.35)
 
