@@ -15,8 +15,11 @@ from the texts, in two rounds: the best candidate of each class first, then thos
 ends still lie in different components.
 
 A region is crowded where a neighbour at the full reach still shares ``crowded`` values.
-Classes of crowded regions that do not lie in one component are searched again in new
-trees, twice as deep and with hash functions of their own, until a search joins nothing.
+There many texts are like one text, but less like each other, and meet it too seldom. So
+classes of crowded regions that do not lie in one component are compared with the hub of
+each of their regions, the class with the most links found so far, at the shallow and at
+the crowded depth. What still does not lie in one component is searched once more in new
+trees, twice as deep and with hash functions of their own.
 
 Rows: a null text and a text without words have an empty set and link with nothing. A row
 without a ``doc_id`` cannot be named; it links with nothing and is kept. Every row counts
@@ -40,7 +43,7 @@ WIDTH = 5
 TREES = 16
 DEPTH = 8
 MIN_DEPTH = 3
-REACH = 4
+REACH = 3
 CROWDED = 5
 PERCENT = 80
 
@@ -152,10 +155,16 @@ def _rows_of(batch: pa.RecordBatch) -> list[tuple]:
     return list(zip(*(batch.column(c).to_pylist() for c in ROW)))
 
 
+def forest_rows(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """One row per class and tree with the tree's part of the signature as sort key."""
+    key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
+    rows = classes.select("cls", "n_shingles", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    return rows.select("tree", key.alias("key"), "cls", "n_shingles", "sketch")
+
+
 def candidates(classes: DataFrame, trees: int, depth: int, percent: int, min_depth: int, crowded: int, reach: int) -> DataFrame:
     """``(a, b, agree, crowd)`` with ``a < b``: classes that are neighbours in some order."""
-    key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
-    rows = classes.select("cls", "n_shingles", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", key.alias("key"), "cls", "n_shingles", "sketch")
+    rows = forest_rows(classes, trees, depth)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("tree", "key", "cls")
 
@@ -200,6 +209,33 @@ def candidates(classes: DataFrame, trees: int, depth: int, percent: int, min_dep
     )
 
 
+def hub_pairs(classes: DataFrame, ends: DataFrame, links: DataFrame, trees: int, depth: int, percent: int, depths: tuple[int, ...]) -> DataFrame:
+    """``(a, b)``: every class of ``ends`` with the class of most links in each of its regions."""
+    either = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
+    degree = either.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+
+    def regions(some: DataFrame) -> DataFrame:
+        prefixes = F.array(*[F.expr(f"substring(key, 1, {4 * d})") for d in depths])
+        return forest_rows(some, trees, depth).withColumn("prefix", F.explode(prefixes)).drop("key")
+
+    linked = regions(classes.join(degree.select("cls"), "cls", "left_semi")).join(degree, "cls")
+    top = F.max_by(F.struct("cls", "n_shingles", "sketch"), F.struct("degree", "cls"))
+    hubs = linked.groupBy("tree", "prefix").agg(top.alias("hub"))
+    met = regions(classes.join(ends, "cls", "left_semi")).join(hubs, ["tree", "prefix"]).where("cls <> hub.cls")
+    met = met.select("cls", "n_shingles", "sketch", F.col("hub.cls").alias("hub"), F.col("hub.n_shingles").alias("hub_size"), F.col("hub.sketch").alias("hub_sketch"))
+
+    def fitting(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "hub_sketch"))
+            n, m = (batch.column(c).to_numpy() for c in ("n_shingles", "hub_size"))
+            keep = (_ONES[x ^ y].sum(1) <= _too_far(percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield batch.select(["cls", "hub"]).filter(pa.array(keep))
+
+    return met.mapInArrow(fitting, "cls binary, hub binary").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
 def _both(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with the texts of both classes."""
     for end in ("a", "b"):
@@ -286,19 +322,17 @@ def near_duplicates(
     links = links.unionByName(materialize(_links(_apart(similar.select("a", "b"), comps), texts, width, percent)))
     comps = _components(links)
 
-    search = 0
-    while True:
-        ends = materialize(_ends(_apart(pairs.where("crowd").select("a", "b"), comps)))
-        if ends.isEmpty():
-            break
-        search += 1
+    crowd = pairs.where("crowd").select("a", "b")
+    ends = materialize(_ends(_apart(crowd, comps)))
+    if not ends.isEmpty():
+        hubs = materialize(_apart(hub_pairs(classes, ends, links, trees, depth, percent, (min_depth, crowded)), comps))
+        links = links.unionByName(materialize(_links(hubs, _texts(docs, reps, _ends(hubs), width), width, percent)))
+        comps = _components(links)
+        ends = materialize(_ends(_apart(crowd, comps)))
         texts = materialize(_texts(docs, reps, ends, width))
-        deeper = signatures(texts, width, trees, 2 * depth, search).withColumnRenamed("doc_id", "rep").dropDuplicates(["cls"])
+        deeper = signatures(texts, width, trees, 2 * depth, 1).withColumnRenamed("doc_id", "rep").dropDuplicates(["cls"])
         pairs = materialize(candidates(deeper, trees, 2 * depth, percent, min_depth, crowded, reach))
-        more = materialize(_links(_apart(pairs.where("agree > 0").select("a", "b"), comps), texts, width, percent))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+        links = links.unionByName(materialize(_links(_apart(pairs.where("agree > 0").select("a", "b"), comps), texts, width, percent)))
         comps = _components(links)
 
     own = reps.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
