@@ -170,9 +170,16 @@ class Encoder:
 
 
 def _sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> list[str]:
-    """Texts of the documents with the lowest hashes: a bounded number of bounded texts."""
+    """Texts of the documents with the lowest hashes: a bounded number of bounded texts.
+
+    Only hashes below a level that about twice the number stay under reach the driver.
+    """
     short = docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars))
-    return [r["text"] for r in short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()]
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0**63)
+    level = 2 * sample_docs / max(1, short.count())
+    rows = short.withColumn("place", place).where(F.col("place") < level).collect()
+    rows.sort(key=lambda r: (r["place"], r["doc_id"] or 0, r["text"]))
+    return [r["text"] for r in rows[:sample_docs]]
 
 
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
