@@ -118,9 +118,9 @@ def test_quality_example(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 6: 4}
 
 
-@pytest.mark.parametrize("seed,local_edges", [(3, 100_000), (4, 100_000), (4, 2)])
+@pytest.mark.parametrize("seed,local_edges", [(3, 100_000), (4, 100_000), (3, 2), (4, 2)])
 def test_greedy(spark, seed, local_edges):
-    rows = make_faces(seed, n=26, copies=local_edges > 2)
+    rows = make_faces(seed, n=26)
     df = spark.createDataFrame(rows, SCHEMA)
     out = cluster.cluster_greedy(df, 0.5, low_join=0.6, low_low=0.65, local_edges=local_edges, block_rows=16).collect()
     got = {r["face_order"]: r["cluster"] for r in out}
@@ -167,14 +167,14 @@ def test_components(spark):
 def test_similar_pairs(spark, block_rows):
     rows = make_faces(6, n=70)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r["id_a"], r["id_b"]): round(r["sim"], 6) for r in pairs.similar_pairs(df, 0.8, block_rows=block_rows, copies="spelled").collect()}
+    got = {(r["id_a"], r["id_b"]): round(r["sim"], 6) for r in pairs.similar_pairs(df, 0.8, block_rows=block_rows).collect()}
     want = {
         (a[1], b[1]): round(cos(a[4], b[4]), 6)
         for i, a in enumerate(rows) for b in rows[i + 1:] if cos(a[4], b[4]) >= 0.8 - 1e-12
     }
     assert got == want
     # Linked copies carry the same information: following the links gives all pairs back.
-    linked = {(r["id_a"], r["id_b"]): round(r["sim"], 6) for r in pairs.similar_pairs(df, 0.8, block_rows=block_rows).collect()}
+    linked = {(r["id_a"], r["id_b"]): round(r["sim"], 6) for r in pairs.similar_pairs(df, 0.8, block_rows=block_rows, copies="linked").collect()}
     assert set(linked) < set(want) and all(want[k] == s for k, s in linked.items())
     by_vec = {}
     for r in rows:

@@ -52,3 +52,14 @@ def test_persons_aggregate_before_the_join(stored):
 def test_new_files_without_window(stored):
     text = plan(new_files(stored["photos"], stored["photos"].select("photo_id", "path", "content_hash", "created_at")))
     assert "Window" not in text and "LeftAnti" in text
+
+
+def test_search_leaves_vectors_in_place(spark, stored):
+    """The comparison reads the faces once and passes on matches, not vectors."""
+    from kinframe.operators import search
+
+    queries = search.query_faces(stored["faces"], [42])
+    tree = plan(search._best_photos(queries, stored["faces"], 10, 0.25, None)).split("\n\n")[0]
+    assert tree.count("Scan parquet") == 1
+    below = tree[tree.index("MapInArrow") :]
+    assert "Exchange" not in below and "Scan parquet" in below
