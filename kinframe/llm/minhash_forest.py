@@ -314,7 +314,8 @@ def near_duplicates(
 
     pairs = materialize(candidates(classes, trees, depth, percent, min_depth, crowded, reach))
     similar = pairs.where("agree > 0")
-    texts = materialize(_texts(docs, reps, _ends(similar), width))
+    # The documents are joined once, for every class that any round may compare.
+    texts = materialize(_texts(docs, reps, _ends(pairs), width))
     either = similar.withColumn("own", F.explode(F.array("a", "b")))
     best = either.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = materialize(_links(best, texts, width, percent))
@@ -326,11 +327,10 @@ def near_duplicates(
     ends = materialize(_ends(_apart(crowd, comps)))
     if not ends.isEmpty():
         hubs = materialize(_apart(hub_pairs(classes, ends, links, trees, depth, percent, (min_depth, crowded)), comps))
-        links = links.unionByName(materialize(_links(hubs, _texts(docs, reps, _ends(hubs), width), width, percent)))
+        links = links.unionByName(materialize(_links(hubs, texts, width, percent)))
         comps = _components(links)
-        ends = materialize(_ends(_apart(crowd, comps)))
-        texts = materialize(_texts(docs, reps, ends, width))
-        deeper = signatures(texts, width, trees, 2 * depth, 1).withColumnRenamed("doc_id", "rep").dropDuplicates(["cls"])
+        some = texts.join(_ends(_apart(crowd, comps)), "cls", "left_semi")
+        deeper = signatures(some, width, trees, 2 * depth, 1).dropDuplicates(["cls"])
         pairs = materialize(candidates(deeper, trees, 2 * depth, percent, min_depth, crowded, reach))
         links = links.unionByName(materialize(_links(_apart(pairs.where("agree > 0").select("a", "b"), comps), texts, width, percent)))
         comps = _components(links)
