@@ -43,8 +43,8 @@ SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 65_536
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 65_536
-SLICE = 4 << 20
-CACHE_PIECES = 500_000
+SLICE = 2 << 20
+CACHE_PIECES = 300_000
 JOINED_PIECES = 256
 END_ID = 0
 MAGIC = b"TIDS"
