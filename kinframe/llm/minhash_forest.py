@@ -18,8 +18,12 @@ A region is crowded where a neighbour at the full reach still shares ``crowded``
 There many texts are like one text, but less like each other, and meet it too seldom. So
 classes of crowded regions that do not lie in one component are compared with the hub of
 each of their regions, the class with the most links found so far, at the shallow and at
-the crowded depth. What still does not lie in one component is searched once more in new
-trees, twice as deep and with hash functions of their own.
+the crowded depth, and searched again in new trees, twice as deep and with hash functions
+of their own, until a search joins nothing or few enough are left. Then comes an exact
+finish: classes that candidate pairs connect, with a crowded pair among them, are one
+region, and every class outside the largest component of its region is compared by its
+full set with every class of other components in such regions. The texts are scanned once
+per ``at_once`` of these classes, whose sets are broadcast, so no key gathers a family.
 
 Rows: a null text and a text without words have an empty set and link with nothing. A row
 without a ``doc_id`` cannot be named; it links with nothing and is kept. Every row counts
@@ -29,6 +33,7 @@ by its own set, also where an id repeats.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +48,12 @@ WIDTH = 5
 TREES = 16
 DEPTH = 8
 MIN_DEPTH = 3
-REACH = 3
+REACH = 4
 CROWDED = 5
 PERCENT = 80
+# Classes, and shingles of theirs, that one pass of the exact finish broadcasts.
+AT_ONCE = 2048
+SHINGLES_AT_ONCE = 1_000_000
 
 
 def _sets(w: Words, width: int):
@@ -291,6 +299,108 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("comp_a <> comp_b").drop("comp_a", "comp_b")
 
 
+def _parties(regions: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(cls, comp, probe)`` of the regions that lie in several components.
+
+    Every class outside the largest component of its region is a probe.
+    """
+    members = regions.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    homes = sizes.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.count(F.lit(1)).alias("parts"))
+    return members.join(homes.where("parts > 1"), "region").select("cls", "comp", (F.col("comp") != F.col("home")).alias("probe"))
+
+
+def _regions(pairs: DataFrame) -> DataFrame:
+    """``(cls, region)``: classes that pairs connect, where a pair is crowded."""
+    found = _components(pairs.select("a", "b")).withColumnRenamed("comp", "region")
+    crowded = pairs.where("crowd").select(F.col("a").alias("cls")).join(found, "cls").select("region").distinct()
+    return materialize(found.join(crowded, "region", "left_semi").select("cls", "region"))
+
+
+class _Probes:
+    """Sets of one pass, by shingle: frequent ones as columns of a matrix, others as lists."""
+
+    COLUMNS = 2048
+
+    def __init__(self, cls: list[bytes], comp: list[bytes], sets: list[np.ndarray]):
+        self.cls, self.comp, self.size = cls, comp, np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        self.shingles, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = np.argsort(-df, kind="stable")[: self.COLUMNS]
+        often = often[64 * df[often] >= len(sets)]
+        self.column = np.full(len(df), -1)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), len(sets)), np.float32)
+        dense = self.column[at] >= 0
+        self.matrix[self.column[at[dense]], owner[dense]] = 1
+        order = np.argsort(at, kind="stable")
+        self.owner, self.df, self.start = owner[order], df, np.cumsum(df) - df
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Common shingles of every set with every probe."""
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(self.shingles, flat), len(self.shingles) - 1)
+        hit = self.shingles[at] == flat
+        at, row = at[hit], row[hit]
+        dense = self.column[at] >= 0
+        marks = np.zeros((len(sets), len(self.matrix)), np.float32)
+        marks[row[dense], self.column[at[dense]]] = 1
+        out = (marks @ self.matrix).astype(np.int64)
+        at, row = at[~dense], row[~dense]
+        n = self.df[at]
+        each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(out, (np.repeat(row, n), self.owner[np.repeat(self.start[at], n) + each]), 1)
+        return out
+
+
+def _exact_links(parties: DataFrame, texts: DataFrame, width: int, percent: int, at_once: int) -> DataFrame | None:
+    """``(a, b)``: links of all probes with classes of other components, one per component and task."""
+    spark = parties.sparkSession
+
+    def sets_of(batches):
+        for batch in slices(batches, "text"):
+            sets = [s.tobytes() for s in _sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("comp"), pa.array(sets, pa.binary())], ["cls", "comp", "shingles"])
+
+    some = materialize(texts.join(parties, "cls").select("cls", "comp", "probe", "text"))
+    probes = materialize(some.where("probe").select("cls", "comp", "text").mapInArrow(sets_of, "cls binary, comp binary, shingles binary").dropDuplicates(["cls"]))
+    n, total = probes.agg(F.count(F.lit(1)), F.sum(F.length("shingles"))).first()
+    if not n:
+        return None
+    passes = math.ceil(max(n / at_once, total / 8 / SHINGLES_AT_ONCE))
+    links = None
+    for number in range(passes):
+        rows = probes.where(F.pmod(F.xxhash64("cls"), F.lit(passes)) == number).collect()
+        if not rows:
+            continue
+        held = _Probes([bytes(r["cls"]) for r in rows], [bytes(r["comp"]) for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows])
+        shared = spark.sparkContext.broadcast(held)
+
+        def run(batches):
+            held, seen = shared.value, set()
+            for batch in slices(batches, "text"):
+                cls, comp = batch.column("cls").to_pylist(), batch.column("comp").to_pylist()
+                sets = list(_sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width))
+                a, b = [], []
+                for at in range(0, len(sets), 256):
+                    part = sets[at : at + 256]
+                    common = held.common(part)
+                    size = np.array([len(s) for s in part])[:, None] + held.size[None, :]
+                    for i, j in zip(*(x.tolist() for x in np.nonzero(100 * common >= percent * (size - common)))):
+                        mark = (j, comp[at + i])
+                        if held.comp[j] != comp[at + i] and mark not in seen:
+                            seen.add(mark)
+                            a.append(min(cls[at + i], held.cls[j]))
+                            b.append(max(cls[at + i], held.cls[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        more = materialize(some.select("cls", "comp", "text").mapInArrow(run, "a binary, b binary"))
+        links = more if links is None else links.unionByName(more)
+        shared.unpersist()
+    return links
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = PERCENT,
@@ -300,6 +410,7 @@ def near_duplicates(
     min_depth: int = MIN_DEPTH,
     crowded: int = CROWDED,
     reach: int = REACH,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``.
 
@@ -329,11 +440,26 @@ def near_duplicates(
         hubs = materialize(_apart(hub_pairs(classes, ends, links, trees, depth, percent, (min_depth, crowded)), comps))
         links = links.unionByName(materialize(_links(hubs, texts, width, percent)))
         comps = _components(links)
-        some = texts.join(_ends(_apart(crowd, comps)), "cls", "left_semi")
-        deeper = signatures(some, width, trees, 2 * depth, 1).dropDuplicates(["cls"])
-        pairs = materialize(candidates(deeper, trees, 2 * depth, percent, min_depth, crowded, reach))
-        links = links.unionByName(materialize(_links(_apart(pairs.where("agree > 0").select("a", "b"), comps), texts, width, percent)))
-        comps = _components(links)
+    if not crowd.isEmpty():
+        regions = _regions(pairs)
+        search = 0
+        while True:
+            parties = materialize(_parties(regions, comps))
+            if parties.where("probe").count() <= at_once:
+                break
+            search += 1
+            some = texts.join(_ends(_apart(crowd, comps)), "cls", "left_semi")
+            deeper = signatures(some, width, trees, 2 * depth, search).dropDuplicates(["cls"])
+            deep = materialize(candidates(deeper, trees, 2 * depth, percent, min_depth, crowded, reach))
+            more = materialize(_links(_apart(deep.where("agree > 0").select("a", "b"), comps), texts, width, percent))
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            comps = _components(links)
+        more = _exact_links(parties, texts, width, percent, at_once)
+        if more is not None:
+            links = links.unionByName(more)
+            comps = _components(links)
 
     own = reps.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     low = own.groupBy("comp").agg(F.min("rep").alias("component_id"))

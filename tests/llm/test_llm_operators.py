@@ -365,6 +365,45 @@ def test_forest_finds_every_component(spark, awkward, nothing, options):
     assert minhash_forest.near_duplicates(nothing).count() == 0 and minhash_forest.drop_near_duplicates(nothing).count() == 0
 
 
+def test_forest_finishes_a_family_without_its_original(spark):
+    """Thousands of copies that resemble a text which is not there, each like few others."""
+    rng = random.Random(11)
+    n, size = 2500, 150
+    base, kept, rows = [f"w{i}" for i in range(size)], np.ones((n, size - 4), np.float32), []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(size), 2):
+            copy[at] = f"edit{i}x{at}"
+            kept[i, max(0, at - 4) : at + 1] = 0
+        rows.append((i, " ".join(copy), "en", "s"))
+    # Edited runs occur once, so only those of the missing original are common.
+    common = kept @ kept.T
+    near = 100 * common >= 85 * (2 * (size - 4) - common)
+    label = np.arange(n)
+    while True:
+        low = np.where(near, label[None, :], n).min(1)
+        if (low == label).all():
+            break
+        label = low
+    got = minhash_forest.near_duplicates(docs_of(spark, rows), 85).collect()
+    assert len(set(label.tolist())) < n / 10
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(label.tolist()))
+
+
+def test_exact_finish_in_several_passes(spark):
+    """Every probe meets every class of another component, over passes and list and matrix shingles."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(12):
+        base = prose(rng, 80, 5000).split()
+        texts += [" ".join([*base[:40], f"e{g}x{k}", *base[41:]]) for k in range(4)]
+    cls = [bytes([i]) for i in range(len(texts))]
+    parties = spark.createDataFrame([(c, c, True) for c in cls], "cls binary, comp binary, probe boolean")
+    table = spark.createDataFrame(list(zip(cls, texts)), "cls binary, text string")
+    got = {(r.a[0], r.b[0]) for r in minhash_forest._exact_links(parties, table, 5, 85, 7).collect()}
+    assert got == {(i, j) for i in range(48) for j in range(i + 1, 48) if i // 4 == j // 4}
+
+
 # ------------------------------------------------------------------ 7 token shards
 
 
