@@ -1,9 +1,11 @@
 """Licence recognition by sentences and rules, in SQL expressions only.
 
-A text is cut into sentences at line ends and at marks followed by white space. A sentence
-is normalised (ASCII letters lowered, every other ASCII character a single space, trimmed)
-and compared with known licence sentences: whole words, anywhere in the sentence, the
-first of the list that occurs. Patterns cover sentences with free parts. The identifiers
+A text is cut into sentences at lines without a word and at marks followed by white space,
+but not after "v."; a copyright line starts a sentence and an SPDX line is one. A single
+line end does not cut, so wrapped texts and comment blocks are read whole. A sentence is
+normalised (ASCII letters lowered, every other ASCII character a single space, trimmed)
+and searched for known licence sentences: whole words, all that occur, by position, the
+longest at each. Patterns cover sentences with free parts and come first. The identifiers
 of a text's known sentences, in order, are matched against ordered rules; what a rule has
 matched is used up, so a later, weaker rule cannot claim it again. Identifiers left over
 are reported.
@@ -54,6 +56,19 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("public-domain", "released into the public domain"),
     ("reserved", "all rights reserved"),
 )
+# Wording of standard headers that is known besides the list above.
+_PUBLISHED = "public license as published by the free software foundation"
+HEADERS: tuple[tuple[str, str], ...] = tuple(
+    (name, f"gnu {kind}{_PUBLISHED} {either}version {version}")
+    for name, kind, version in (
+        ("agpl-3-ref", "affero general ", "3"),
+        ("lgpl-3-ref", "lesser general ", "3"),
+        ("lgpl-2-ref", "lesser general ", "2 1"),
+        ("gpl-3-ref", "general ", "3"),
+        ("gpl-2-ref", "general ", "2"),
+    )
+    for either in ("either ", "")
+) + (("as-is", "the software is provided as is and the author disclaims all warranties"),)
 # Sentences with free parts, as patterns over the normalised sentence.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("spdx", "^spdx license identifier [a-z0-9 ]+$"),
@@ -92,7 +107,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 # Every known sentence and pattern holds one of these.
 TRIGGERS = "licen|copyright|permission|redistribut|warranty|endorse|spdx|compliance|public domain|rights reserved|cc by|cc0"
 _RAW_TRIGGERS = "(?i)licen|copyright|permission|redistribut|warranty|endorse|spdx|compliance|domain|reserved|cc[^a-z0-9]+by|cc0|holders"
+# Where the SQL twin cuts: line by line. It agrees where every notice stands on one line.
 SENTENCE_END = r"[\n\r]+|[.!?;]+[ \t\n\r]+"
+# Where the scan cuts, after line ends became \n and SPDX lines stand alone: lines without
+# a word, line ends in front of a copyright line, and marks in front of white space.
+_WORD = r"a-zA-Z0-9\x{80}-\x{10FFFF}"
+BREAKS = (
+    rf"\n[^{_WORD}]*\n|\n(?=[^{_WORD}\n]*(?i:portions )?(?i:copyright)[^{_WORD}\n]+(?!(?i:notice|holder|owner|law|licen|statement|and|or)))"
+    r"|(?<!\b[vV])[.!?]+[ \t\n]+"
+)
+SPDX_LINE = r"(?i)(spdx-license-identifier:[^\n]*)"
+# Words that start comment lines; marks are spaces anyway.
+COMMENT_WORDS = r"(?m)^[ \t]*(?i:rem|dnl)[ \t]+"
 
 
 def _quoted(text: str) -> str:
@@ -105,7 +131,7 @@ def _sentence_id(sentences: Sequence[tuple[str, str]], patterns: Sequence[tuple[
     return f"CASE {' '.join(cases)} END"
 
 
-def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES, patterns=PATTERNS, rules=RULES, triggers: tuple[str, str] = (_RAW_TRIGGERS, TRIGGERS)) -> DataFrame:
+def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES + HEADERS, patterns=PATTERNS, rules=RULES, triggers: tuple[str, str] = (_RAW_TRIGGERS, TRIGGERS)) -> DataFrame:
     """The ``keep`` columns with the sentence identifiers and licences of each text.
 
     ``sentence_ids`` is the sequence in text order, ``licenses`` the licences in rule
@@ -116,8 +142,16 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES
     raw, normal = triggers
     text = f"CASE WHEN text RLIKE {_sql(raw)} THEN text ELSE '' END"
     cleaned = "concat(' ', trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\\\x{80}-\\\\x{10FFFF}]+', ' ')), ' ')"
-    parts = f"filter(transform(split({text}, {_sql(SENTENCE_END)}), s -> {cleaned}), s -> s RLIKE {_sql(normal)})"
-    named = f"filter(transform({parts}, s -> {_sentence_id(sentences, patterns, 'contains(s, {})', 'trim(s) RLIKE {}')}), x -> x IS NOT NULL)"
+    lines = f"regexp_replace(replace(replace({text}, '\\r\\n', '\\n'), '\\r', '\\n'), {_sql(COMMENT_WORDS)}, '')"
+    lines = f"regexp_replace({lines}, {_sql(SPDX_LINE)}, '\\n\\n$1\\n\\n')"
+    parts = f"filter(transform(split({lines}, {_sql(BREAKS)}), s -> {cleaned}), s -> s RLIKE {_sql(normal)})"
+    # The space in front is looked at, not taken, so that sentences may overlap.
+    longest = sorted(sentences, key=lambda x: -len(x[1]))
+    known = f"map({', '.join(f'{_quoted(words)}, {_quoted(name)}' for name, words in dict((w, (n, w)) for n, w in longest).values())})"
+    held = _sql("(?= (" + "|".join(words for _, words in longest) + ") )")
+    fixed = [f"CASE WHEN trim(s) RLIKE {_quoted(pattern)} THEN {_quoted(name)} END" for name, pattern in patterns]
+    every = f"concat(array({', '.join(fixed)}), transform(regexp_extract_all(s, {held}, 1), w -> element_at({known}, w)))"
+    named = f"filter(flatten(transform({parts}, s -> {every})), x -> x IS NOT NULL)"
     found = docs.select(*keep, F.expr(named).alias("__ids"))
     found = found.withColumn("sentence_ids", F.coalesce(F.array_join("__ids", ","), F.lit("")))
     state = "concat('<', array_join(__ids, '><'), '>')"

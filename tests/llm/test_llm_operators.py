@@ -80,6 +80,61 @@ def test_licences(spark):
     assert found[8] == (1, "spdx", "", 1)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Ann Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD_TEXT = """Copyright 2020 Ann Other
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+GPL_TEXT = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_wrapped_licences(spark):
+    """The standard texts as they are wrapped, plain, with \\r\\n, and as comment blocks."""
+    texts = {"MIT": MIT_TEXT, "BSD-3-Clause": BSD_TEXT, "GPL-3.0": GPL_TEXT.format(":", ",", 3), "GPL-2.0": GPL_TEXT.format(";", ";", 2), "MPL-2.0": MPL_TEXT}
+    rows = []
+    for name, text in texts.items():
+        lines = text.split("\n")
+        forms = [text, "\r\n".join(lines), *("\n".join(f"{mark} {x}".rstrip() for x in lines) for mark in ("#", " *", "//", "REM"))]
+        rows += [(f"{name}/{k}", "some code\n\n" + form) for k, form in enumerate(forms)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {key: key.split("/")[0] for key, _ in rows}
+
+
 def test_every_sentence_passes_the_triggers():
     for _, text in licenses.SENTENCES:
         assert re.search(licenses.TRIGGERS, text) and re.search(licenses._RAW_TRIGGERS, text), text
