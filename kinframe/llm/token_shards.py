@@ -1,7 +1,7 @@
 """Token ids in binary shards, every document compressed alone with a shared dictionary.
 
 A zstandard dictionary is trained on the serialized ids of a bounded sample (the lowest
-``sample_docs`` documents by hash of their id, none longer than ``sample_chars``). Every
+``sample_docs`` documents by hash of their id and text, none longer than ``sample_chars``). Every
 document's ids become one frame compressed with it, so that a short document can be read
 without its neighbours. Shards hold, in ascending id order: a header with the hash of the
 dictionary, the ids and token counts of the documents, the offsets of their frames, and
@@ -172,14 +172,14 @@ class Encoder:
 def _sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> list[str]:
     """Texts of the documents with the lowest hashes: a bounded number of bounded texts.
 
-    Only hashes below a level that about twice the number stay under reach the driver.
+    Only hashes below a level that about twice the number stay under are sorted, and no
+    more than ``sample_docs`` rows reach the driver, whatever ids repeat or are missing.
     """
     short = docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0**63)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / F.lit(2.0**63)
     level = 2 * sample_docs / max(1, short.count())
-    rows = short.withColumn("place", place).where(F.col("place") < level).collect()
-    rows.sort(key=lambda r: (r["place"], r["doc_id"] or 0, r["text"]))
-    return [r["text"] for r in rows[:sample_docs]]
+    rows = short.withColumn("place", place).where(F.col("place") < level)
+    return [r["text"] for r in rows.orderBy("place", "doc_id", "text").limit(sample_docs).collect()]
 
 
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes:

@@ -107,16 +107,24 @@ def vocabulary(sample: DataFrame, totals: dict[int, int], max_words: int = MAX_W
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def _features(sample: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per sampled document its grade and word positions (row lengths, flat positions)."""
+def _features(sample: DataFrame, words: np.ndarray, max_rows: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sampled document its grade and word positions (row lengths, flat positions).
+
+    ``max_rows`` bounds the rows where documents repeat a labelled id: the lowest by hash
+    of id and text, equal rows once.
+    """
 
     def run(batches):
         for batch in slices(batches, "text"):
             found = [np.searchsorted(words, h[np.isin(h, words)]).astype(np.int32) for _, h in _rows(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32())), batch.column("place")], ["doc_id", "grade", "at", "place"])
 
+    place = F.lit(0).cast("long") if max_rows is None else F.xxhash64("doc_id", "text")
     id_type = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {id_type}, grade int, at array<int>").orderBy("doc_id").collect()
+    rows = sample.withColumn("place", place).mapInArrow(run, f"doc_id {id_type}, grade int, at array<int>, place long")
+    if max_rows is not None:
+        rows = rows.dropDuplicates(["doc_id", "place"]).orderBy("place", "doc_id").limit(max_rows)
+    rows = rows.orderBy("doc_id").collect()
     lengths = np.array([len(r["at"]) for r in rows], np.int64)
     flat = np.array([p for r in rows for p in r["at"]], np.int64)
     return np.array([r["grade"] for r in rows], np.int64), lengths, flat
@@ -177,7 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", max_rows
     if len(totals) < 2 or min(totals) < 0:
         return none
     words = vocabulary(sample, totals, **limits)
-    grade, lengths, flat = _features(sample, words)
+    grade, lengths, flat = _features(sample, words, max_rows if sum(totals.values()) > max_rows else None)
+    if not grade.size or grade.min() == grade.max():
+        return none
     weights, thresholds = fit(severity_grades(grade, lengths), lengths, flat, len(words))
     return Model(words, weights, thresholds)
 

@@ -481,6 +481,15 @@ def test_token_shards_round_trip(spark, awkward, nothing):
     assert token_shards.round_trip(nothing, tokenizer_path()).count() == 0
 
 
+def test_sample_reaching_the_driver_is_bounded(spark, monkeypatch):
+    """Rows without an id, or with one and the same, do not all go to the driver."""
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i}") for i in range(900)], "doc_id long, text string")
+    sent, plain = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(plain(self)) or sent[-1])
+    texts = token_shards._sample(docs, 8, 100)
+    assert len(texts) == len(set(texts)) == 8 and max(map(len, sent)) == 8
+
+
 def test_shard_reads_one_document():
     import hashlib
 
@@ -526,6 +535,15 @@ def test_toxicity_learns_words(spark, awkward, nothing):
     assert toxicity.score(nothing, model, ["doc_id"]).count() == 0 and toxicity.drop_toxic(nothing, none).count() == 0
 
 
+def test_repeated_labelled_documents_are_bounded(spark, monkeypatch):
+    rows = [(i % 4, f"word{i % 4} text{i}", "en", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    seen, plain = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda grade, *rest: seen.append(len(grade)) or plain(grade, *rest))
+    toxicity.train(docs_of(spark, rows), labels, max_rows=20, min_z=1.0)
+    assert seen == [20]
+
+
 def test_ordinal_fit_orders_thresholds_and_grades():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 3, 900)
