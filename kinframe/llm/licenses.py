@@ -117,6 +117,12 @@ BREAKS = (
     r"|(?<!\b[vV])[.!?]+[ \t\n]+"
 )
 SPDX_LINE = r"(?i)(spdx-license-identifier:[^\n]*)"
+# The licences of all SPDX lines of a text, exceptions and brackets left out.
+SPDX_NAMES = (
+    "filter(transform(flatten(transform(regexp_extract_all(coalesce(text, ''), r'(?i)spdx-license-identifier:[ \\t]*([a-z0-9.+() \\t-]+)', 1), "
+    "v -> split(regexp_replace(v, r'(?i)[ \\t]with[ \\t]+[^ \\t()]+|[()]', ' '), r'(?i)[ \\t]+(?:or|and)[ \\t]+'))), "
+    "x -> rtrim('.', regexp_extract(trim(x), '^[A-Za-z0-9.+-]+', 0))), x -> x <> '')"
+)
 # Words that start comment lines; marks are spaces anyway.
 COMMENT_WORDS = r"(?m)^[ \t]*(?i:rem|dnl)[ \t]+"
 
@@ -131,13 +137,15 @@ def _sentence_id(sentences: Sequence[tuple[str, str]], patterns: Sequence[tuple[
     return f"CASE {' '.join(cases)} END"
 
 
-def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES + HEADERS, patterns=PATTERNS, rules=RULES, triggers: tuple[str, str] = (_RAW_TRIGGERS, TRIGGERS)) -> DataFrame:
+def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES + HEADERS, patterns=PATTERNS, rules=RULES, triggers: tuple[str, str] = (_RAW_TRIGGERS, TRIGGERS), spdx: bool = False) -> DataFrame:
     """The ``keep`` columns with the sentence identifiers and licences of each text.
 
     ``sentence_ids`` is the sequence in text order, ``licenses`` the licences in rule
     order, each once per match, ``left_over`` the number of identifiers that no rule took.
     ``triggers`` are two patterns, over the raw text and over a normalised sentence, that
-    every text or sentence with a known sentence must match.
+    every text or sentence with a known sentence must match. With ``spdx`` the licences
+    named on SPDX lines follow those of the rules, as they are written and without
+    exceptions, and their identifiers count as taken.
     """
     raw, normal = triggers
     text = f"CASE WHEN text RLIKE {_sql(raw)} THEN text ELSE '' END"
@@ -152,7 +160,7 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES
     fixed = [f"CASE WHEN trim(s) RLIKE {_quoted(pattern)} THEN {_quoted(name)} END" for name, pattern in patterns]
     every = f"concat(array({', '.join(fixed)}), transform(regexp_extract_all(s, {held}, 1), w -> element_at({known}, w)))"
     named = f"filter(flatten(transform({parts}, s -> {every})), x -> x IS NOT NULL)"
-    found = docs.select(*keep, F.expr(named).alias("__ids"))
+    found = docs.select(*keep, F.expr(named).alias("__ids"), F.expr(SPDX_NAMES if spdx else "CAST(array() AS array<string>)").alias("__spdx"))
     found = found.withColumn("sentence_ids", F.coalesce(F.array_join("__ids", ","), F.lit("")))
     state = "concat('<', array_join(__ids, '><'), '>')"
     # One pass over the rules: the state is what is left of the sequence and what was found.
@@ -163,12 +171,13 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), sentences=SENTENCES
     )
     matched = f"CASE WHEN size(__ids) > 0 THEN aggregate(array({table}), named_struct('rest', {state}, 'found', ''), {step}) END"
     found = found.withColumn("__m", F.expr(matched))
+    taken = "CASE WHEN size(__spdx) > 0 THEN size(filter(__ids, x -> x = 'spdx')) ELSE 0 END"
     return found.select(
         *keep,
         F.size(F.coalesce("__ids", F.array().cast("array<string>"))).cast("long").alias("n_sentences"),
         "sentence_ids",
-        F.coalesce(F.expr("rtrim(',', __m.found)"), F.lit("")).alias("licenses"),
-        F.coalesce(F.expr("length(__m.rest) - length(replace(__m.rest, '<', ''))"), F.lit(0)).cast("long").alias("left_over"),
+        F.expr("concat_ws(',', nullif(rtrim(',', __m.found), ''), __spdx)").alias("licenses"),
+        F.coalesce(F.expr(f"length(__m.rest) - length(replace(__m.rest, '<', '')) - {taken}"), F.lit(0)).cast("long").alias("left_over"),
     )
 
 

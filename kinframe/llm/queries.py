@@ -95,7 +95,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_license_scan", licenses.duckdb_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), spdx=True)
 
 
 @query("op4_pseudonyms")

@@ -135,6 +135,13 @@ def test_wrapped_licences(spark):
     assert got == {key: key.split("/")[0] for key, _ in rows}
 
 
+def test_spdx_lines_and_dual_licences(spark):
+    rows = [(1, "// SPDX-License-Identifier: MIT\n#include <x>"), (2, "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note OR BSD-3-Clause) */")]
+    rows += [(3, "released under the MIT license and licensed under the Apache License, Version 2.0"), (4, "x\n# SPDX-License-Identifier: Apache-2.0\nAll rights reserved."), (5, None)]
+    got = {r.doc_id: (r.licenses, r.left_over) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), spdx=True).collect()}
+    assert got == {1: ("MIT", 0), 2: ("GPL-2.0-only,BSD-3-Clause", 0), 3: ("Apache-2.0,MIT", 0), 4: ("Proprietary,Apache-2.0", 0), 5: ("", 0)}
+
+
 def test_every_sentence_passes_the_triggers():
     for _, text in licenses.SENTENCES:
         assert re.search(licenses.TRIGGERS, text) and re.search(licenses._RAW_TRIGGERS, text), text
