@@ -78,13 +78,23 @@ def s07(v):
     return v.spark.read.schema("face_quality string, faces long, score double").json(f"{root}/tiers")
 
 
+# Every document is listed; those that play missing files have a name that no photo has.
+def listed(v, there: str) -> DataFrame:
+    """A file of every document, under its photo's path only where ``there`` holds."""
+    path = f"CASE WHEN {there} THEN concat('/lib/', source, '/', lang, '/', doc_id, '.jpg') ELSE concat('/lost/', doc_id, '.jpg') END"
+    return v.raw("documents").selectExpr(f"{path} AS path", "n_chars AS length")
+
+
+def thumbs(v) -> DataFrame:
+    """A thumbnail of every document, empty where it plays a missing one."""
+    return v.raw("documents").selectExpr("CASE WHEN doc_id % 5 <> 4 THEN n_chars ELSE 0 END AS length")
+
+
 @query("s10_library_storage", ctes("photos") + """
 SELECT (SELECT coalesce(sum(d.n_chars), 0)::BIGINT FROM documents d JOIN photos p ON p.photo_id = d.doc_id WHERE p.deleted_at IS NULL AND d.doc_id % 3 <> 0) AS photo_bytes,
        (SELECT coalesce(sum(n_chars), 0)::BIGINT FROM documents WHERE doc_id % 5 <> 4) AS thumb_bytes""")
 def s10(v):
-    files = v.raw("documents").where("doc_id % 3 <> 0").selectExpr("concat('/lib/', source, '/', lang, '/', doc_id, '.jpg') AS path", "n_chars AS length")
-    thumbs = v.raw("documents").where("doc_id % 5 <> 4").selectExpr("n_chars AS length")
-    return io.library_storage(v.photos, files, thumbs)
+    return io.library_storage(v.photos, listed(v, "doc_id % 3 <> 0"), thumbs(v))
 
 
 @query("q02_folder_bytes", ctes("photos", "folders") + """,
@@ -92,20 +102,25 @@ files AS (SELECT concat('/lib/', source, '/', lang, '/', doc_id, '.jpg') AS path
 SELECT f.folder_id, (SELECT coalesce(sum(length), 0)::BIGINT FROM files JOIN photos p ON p.path = files.path WHERE p.deleted_at IS NULL AND starts_with(p.path, f.host_path || '/')) AS size_bytes,
        EXISTS (SELECT 1 FROM files WHERE starts_with(files.path, f.host_path || '/')) AS available FROM folders f""")
 def q02_bytes(v):
-    files = v.raw("documents").where("doc_id % 3 <> 0 AND source <> 'src3'").selectExpr("concat('/lib/', source, '/', lang, '/', doc_id, '.jpg') AS path", "n_chars AS length")
+    files = listed(v, "doc_id % 3 <> 0 AND source <> 'src3'")
     return cat.folder_breakdown(v.folders, v.photos, v.faces, files).select("folder_id", "size_bytes", "available")
 
 
 ASSET = "concat(substr(md5(CAST({0} AS VARCHAR(20))), 1, 8), '-0000-4000-8000-', lpad(CAST({0} AS VARCHAR(20)), 12, '0'), '{1}')"
 
 
+def cached(v) -> DataFrame:
+    """A cache file of every document, under another ending where it is no asset."""
+    name = f"CASE WHEN doc_id % 4 <> 0 THEN {ASSET.format('doc_id', '.jpg')} ELSE {ASSET.format('doc_id', '.tmp')} END"
+    return v.raw("documents").selectExpr(f"{name} AS name")
+
+
 @query("q18_orphans", ctes("faces") + f"""
 SELECT count(*) AS orphan_thumbs FROM (SELECT {ASSET.format('doc_id', '')} AS id FROM documents WHERE doc_id % 4 <> 0)
 WHERE id NOT IN (SELECT {ASSET.format('face_id', '')} FROM faces)""")
 def q18_orphans(v):
-    assets = v.raw("documents").where("doc_id % 4 <> 0").selectExpr(f"{ASSET.format('doc_id', '.jpg')} AS name")
     faces = v.faces.withColumn("face_id", F.expr(ASSET.format("face_id", "")))
-    return cat.cleanup_stats(v.photos, faces, v.persons, assets).select("orphan_thumbs")
+    return cat.cleanup_stats(v.photos, faces, v.persons, cached(v)).select("orphan_thumbs")
 
 
 @query("q20_has_path_and_hash", ctes("photos") + """,

@@ -63,3 +63,12 @@ def test_search_leaves_vectors_in_place(spark, stored):
     assert tree.count("Scan parquet") == 1
     below = tree[tree.index("MapInArrow") :]
     assert "Exchange" not in below and "Scan parquet" in below
+
+
+def test_listings_hold_every_document(spark):
+    from kinframe.plans import source_queries as q
+
+    v = Views(spark, SF)
+    n = v.raw("documents").count()
+    assert q.listed(v, "doc_id % 3 <> 0").count() == q.thumbs(v).count() == q.cached(v).count() == n
+    assert 0 < q.listed(v, "doc_id % 3 <> 0").where("path LIKE '/lost/%'").count() < n
