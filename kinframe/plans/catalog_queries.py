@@ -303,6 +303,16 @@ def q29(v):
     return cat.single_face_photos(v.photos, v.faces.where("face_id % 7 = 0"))
 
 
+@query("q29_single_face_photos_all", ctes("photos", "faces") + """,
+placed AS (SELECT face_id, CASE WHEN face_id < 150 THEN face_id + 200 ELSE photo_id END AS photo_id, x1, y1, x2, y2 FROM faces)
+SELECT p.photo_id, p.path, f.face_id, f.x1, f.y1, f.x2, f.y2 FROM photos p JOIN placed f ON f.photo_id = p.photo_id
+WHERE p.photo_id IN (SELECT photo_id FROM placed GROUP BY photo_id HAVING count(*) = 1)""")
+def q29_all(v):
+    """Over all faces, the first of which get photos of their own."""
+    placed = v.faces.withColumn("photo_id", F.expr("CASE WHEN face_id < 150 THEN face_id + 200 ELSE photo_id END"))
+    return cat.single_face_photos(v.photos, placed)
+
+
 @query("q30_invariants", ctes("faces") + """
 SELECT count(*) FILTER (WHERE low_quality AND embedding IS NOT NULL) AS very_low_embedded,
        count(*) FILTER (WHERE (face_quality = 'very_low') <> low_quality) AS tier_flag_mismatch,

@@ -72,3 +72,11 @@ def test_listings_hold_every_document(spark):
     n = v.raw("documents").count()
     assert q.listed(v, "doc_id % 3 <> 0").count() == q.thumbs(v).count() == q.cached(v).count() == n
     assert 0 < q.listed(v, "doc_id % 3 <> 0").where("path LIKE '/lost/%'").count() < n
+
+
+def test_single_face_photos_over_all_faces(spark):
+    """No face is left out: a photo with a second face never counts as single."""
+    from kinframe.plans import catalog_queries as q
+
+    rows = q.q29_all(Views(spark, SF)).collect()
+    assert rows and all(r["photo_id"] == r["face_id"] + 200 for r in rows)
