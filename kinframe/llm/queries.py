@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm import decontaminate, katz, language, licenses, minhash_forest, mixing, pseudonyms, range_join, token_shards, toxicity
+from kinframe.llm import decontaminate, katz, language, licenses, minhash_forest, mixing, pseudonyms, quality, range_join, ranking, spelling, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,53 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_katz_scores")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+_LOWER_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# The checksum is worked out bit by bit over the bytes of the text, as SQL has no crc32.
+SPELLING_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER_TEXT}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i))),
+sums AS (SELECT doc_id, run, n, xor(list_reduce([('0x' || bytes[2 * j + 1 : 2 * j + 2])::BIGINT FOR j IN range(length(bytes) // 2)], lambda c, b: xor(t[(xor(c, b) & 255) + 1], c // 256), 4294967295::BIGINT), 4294967295) AS h FROM per_doc, tab),
+lost AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM lost WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS cut FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)),
+near AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+         UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+         UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+          FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN roots USING (word)"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.perturbed_words(table(spark, sf_dir, "documents")))
+
+
+@query("op12_quality_attention")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+RANKING_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER_TEXT}, '{ranking.TERM}') AS w FROM documents),
+lengths AS (SELECT row, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER_TEXT}, '{ranking.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+impact AS (SELECT tf.row, tf.term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS part FROM tf JOIN weight USING (term) JOIN lengths USING (row), totals),
+scores AS (SELECT item_id, row, sum(times * part)::BIGINT AS score FROM impact JOIN asked USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores JOIN lengths USING (row) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op13_ranked_search", RANKING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
