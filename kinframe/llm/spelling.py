@@ -44,6 +44,7 @@ MIN_COUNT = 2
 FORM_FACTOR = 10
 DELETE_EVERY = 31
 FLUSH = 500_000
+LOOK = 3
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -168,7 +169,11 @@ def _paths(words: DataFrame) -> DataFrame:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """``(node, child, label, leaf, leaf_n)``: the chains between nodes, and the word that ends there."""
+    """``(node, child, label, leaf, leaf_n, ahead)``: the chains between nodes, and the word that ends there.
+
+    ``ahead`` lists the first ``LOOK`` letters of the labels that leave ``child``, so that a
+    round can drop states that the next one could not read.
+    """
     spelled = F.when(F.col("side") == FORWARD, F.col("word")).otherwise(F.reverse("word"))
     hops = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
     rows = paths.where(F.size("path") > 1).select("word", "n", spelled.alias("spelled"), F.explode(hops).alias("hop"))
@@ -181,7 +186,10 @@ def _edges(paths: DataFrame) -> DataFrame:
         F.when(ends, F.col("word")).alias("leaf"),
         F.when(ends, F.col("n")).alias("leaf_n"),
     )
-    return rows.groupBy("node", "child", "label").agg(F.max("leaf").alias("leaf"), F.max("leaf_n").alias("leaf_n"))
+    edges = materialize(rows.groupBy("node", "child", "label").agg(F.max("leaf").alias("leaf"), F.max("leaf_n").alias("leaf_n")))
+    out = edges.groupBy("node").agg(F.array_join(F.collect_set(F.substring("label", 1, LOOK)), "|").alias("labels"))
+    ahead = out.select(F.col("node").alias("child"), F.concat(F.lit("|"), F.col("labels"), F.lit("|")).alias("ahead"))
+    return edges.join(ahead, "child", "left")
 
 
 # ------------------------------------------------------------------ frontier
@@ -196,15 +204,17 @@ def _start(paths: DataFrame) -> DataFrame:
     return paths.select("word", F.substring(spelled, half + 1, F.length("word")).alias("rest"), node.alias("node"), F.lit(0).alias("edits"))
 
 
-_ONE_EDIT = "edits = 0 AND size + {d} >= 0 AND length(rest) >= size + {d} AND levenshtein(label, left(rest, size + {d}), 1) = 1"
-_READ = "array_compact(array(if(startswith(rest, label), struct(size AS taken, edits AS spent), null), {} ))".format(
-    ", ".join(f"if({_ONE_EDIT.format(d=d)}, struct(size + {d} AS taken, 1 AS spent), null)" for d in (-1, 0, 1))
+_GOES_ON = " OR ".join(["length(rest) = {n} AND leaf IS NOT NULL", f"instr(ahead, concat('|', substring(rest, {{n}} + 1, {LOOK}))) > 0"] + [f"instr(ahead, concat('|', substring(rest, {{n}} + 1, {k}), '|')) > 0" for k in range(1, LOOK)])
+_ONE_EDIT = f"edits = 0 AND {{n}} >= 0 AND length(rest) >= {{n}} AND ({_GOES_ON}) AND levenshtein(label, left(rest, {{n}}), 1) = 1"
+_AS_IT_IS = f"startswith(rest, label) AND (edits = 0 OR {_GOES_ON.format(n='size')})"
+_READ = "array_compact(array(if({}, struct(size AS taken, edits AS spent), null), {}))".format(
+    _AS_IT_IS, ", ".join(f"if({_ONE_EDIT.format(n=n)}, struct({n} AS taken, 1 AS spent), null)" for n in ("(size - 1)", "size", "(size + 1)"))
 )
 
 
 def _round(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """All states one edge further."""
-    met = frontier.join(edges.withColumn("size", F.length("label")), "node").where(F.expr(f"(edits = 0 OR startswith(rest, label)) AND size({_READ}) > 0"))
+    met = frontier.join(edges.withColumn("size", F.length("label")), "node").where(F.expr(f"(edits = 0 OR {_AS_IT_IS}) AND size({_READ}) > 0"))
     read = met.select("word", "rest", "child", "leaf", "leaf_n", F.explode(F.expr(_READ)).alias("r"))
     return read.select("word", F.expr("substring(rest, r.taken + 1)").alias("rest"), F.col("child").alias("node"), F.col("r.spent").alias("edits"), "leaf", "leaf_n")
 
