@@ -1,23 +1,27 @@
-"""Spelling variants: words one edit apart, found by walking a trie kept as tables.
+"""Spelling variants: words one edit apart, found by walking a trie kept as a table.
 
-The trie is a distributed table of edges ``(node, child, label, leaf)`` and the search a
-frontier of states ``(word, rest, node, edits)``: the part of a word still to be read, the
-node reached, and the edits spent. Each round joins the frontier with the edges of its
-nodes; a label is read as it is, or with one inserted, deleted or replaced code point if
-no edit was spent before. States that read their word to the end at a leaf after one edit
-name a neighbour. Rounds go on until the frontier is empty.
+The trie is a distributed table of edges and the search a frontier of states ``(word,
+rest, node, edits)``: the part of a word still to be read, the node reached, and the edits
+spent. Each round joins the frontier with the edges of its nodes. An inner edge is read as
+it is, or with one inserted, deleted or replaced code point if no edit was spent before; an
+edge to a leaf must use up the rest of the word with exactly one edit in all, and names a
+neighbour. Rounds go on until the frontier is empty.
 
-Two things keep the frontier small. Every word is walked twice, from its start and from
+Three things keep the frontier small. Every word is walked twice, from its start and from
 its end, and starts in the middle: an edit in the second half leaves the first half as it
-is, so the walk begins at the node of that half, deep in the trie where few edges leave
-a node; the other half is found by the walk over the reversed words. And chains without a
-branch are one edge, so a round passes a whole chain and the number of rounds is that of
-branches on a path, not of letters. A node has at most as many edges as the alphabet has
-letters, so a hot node (many words with one half) multiplies its states by that at most,
-and adaptive execution splits such a join; pairs within a group are never listed.
-
-Nodes are 64-bit hashes of prefixes. A collision can only add edges to a node, and leaves
-are compared with the word itself before they count, so it cannot change a result.
+is, so the walk begins at the node of that half, deep in the trie; the other half is found
+by the walk over the reversed words. A node with at most ``BURST`` words below it has
+one leaf edge for each of them, with all that is left of the word, and chains without a
+branch are one edge, so a walk takes few rounds. And inner edges know which two letters
+can follow, so that states which the next round could not read are dropped.
+
+The trie is made in sorted order: words are range-partitioned by the node of their half
+and the rest, and each partition writes the edges of its own stretch. A node whose words
+fall into several partitions has several sets of edges, each complete for its own words. A
+node has at most as many edges as the alphabet has letters, or ``BURST``, per partition: a
+hot half multiplies its states by that at most, adaptive execution splits the join, and
+pairs within a group are never listed. Nodes are hashes; leaves are compared with the word
+itself before they count, so a collision cannot change a result.
 
 Rows: a null or empty text has no words; a null id counts as the empty text in the
 checksum of ``perturbed_words``. Repeated rows count each. A word without neighbours has
@@ -27,16 +31,19 @@ order is the form. Empty tables give empty results.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import os
 import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm.words import mix, slices, texts_of
+from kinframe.llm.words import slices, texts_of
 from kinframe.session import materialize
 
 MIN_LENGTH = 7
@@ -44,8 +51,9 @@ MIN_COUNT = 2
 FORM_FACTOR = 10
 DELETE_EVERY = 31
 FLUSH = 500_000
-LOOK = 3
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Words below a node that get an edge each, and letters that an inner edge looks ahead.
+BURST = 32
+LOOK = 2
 
 
 # ------------------------------------------------------------------ words
@@ -90,149 +98,125 @@ def _count_batch(counts: Counter) -> pa.RecordBatch:
 
 # ------------------------------------------------------------------ trie
 
-FORWARD, BACKWARD = 0, 1
-_STEPS = "side int, w1 long, w2 long, node long, depth int, letter int, stop boolean"
-
-
-def _prefix_hashes(letters: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int, base: int):
-    """Hash of every prefix of every word: position ``start + i`` holds that of ``i + 1`` letters."""
-    n = len(letters)
-    up = np.full(n, base, np.uint64)
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    sums = np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up)
-    before = np.where(start > 0, sums[np.maximum(start, 1) - 1], np.uint64(0))
-    depth = np.arange(n) - np.repeat(start, length) + 1
-    polynomial = (sums - np.repeat(before, length)) * np.repeat(down[start], length)
-    return mix(polynomial + mix(depth.astype(np.uint64) + np.uint64(seed))), depth
-
 
-def _steps(words: DataFrame) -> DataFrame:
-    """Every prefix of at least about half a word, from both ends.
+def _halves(words: DataFrame) -> DataFrame:
+    """``(word, n, spelled, length, side)``: words as read from both ends."""
+    both = words.select("word", "n", F.length("word").alias("length"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    return both.withColumn("spelled", F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")))
 
-    ``letter`` is the code point that follows (-1 at the end), ``stop`` marks where a walk
-    starts or ends. The two 64-bit hashes ``w1, w2`` stand for the word.
-    """
-
-    def run(batches):
-        for batch in slices(batches, "word", 1 << 20):
-            texts = batch.column("word").to_pylist()
-            length = np.array([len(t) for t in texts], np.int64)
-            start = np.cumsum(length) - length
-            forward = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-            backward = np.frombuffer("".join(t[::-1] for t in texts).encode("utf-32-le"), np.uint32)
-            last = start + length - 1
-            whole = [_prefix_hashes(forward, start, length, 5, b)[0][last].view(np.int64) for b in _BASES]
-            for side, letters in ((FORWARD, forward), (BACKWARD, backward)):
-                node, depth = _prefix_hashes(letters, start, length, side, _BASES[0])
-                of = np.repeat(length, length)
-                begins = (of + 1) // 2 if side == FORWARD else of // 2
-                # A word one letter shorter may start its walk here.
-                kept = depth >= (of // 2 if side == FORWARD else (of - 1) // 2)
-                follows = np.append(letters[1:], 0).astype(np.int32)
-                follows[last] = -1
-                columns = [
-                    np.full(len(of), side, np.int32), np.repeat(whole[0], length), np.repeat(whole[1], length),
-                    node.view(np.int64), depth.astype(np.int32), follows, (depth == begins) | (depth == of),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], ["side", "w1", "w2", "node", "depth", "letter", "stop"])
-
-    return words.select("word").mapInArrow(run, _STEPS)
-
-
-def _word_hashes(words: DataFrame) -> DataFrame:
-    """``words`` with the hashes that ``_steps`` gives them."""
 
-    def run(batches):
-        for batch in slices(batches, "word", 1 << 20):
-            texts = batch.column("word").to_pylist()
-            length = np.array([len(t) for t in texts], np.int64)
-            start = np.cumsum(length) - length
-            letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-            whole = [_prefix_hashes(letters, start, length, 5, b)[0][start + length - 1].view(np.int64) for b in _BASES]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *map(pa.array, whole)], ["word", "n", "w1", "w2"])
+def _half(length: Column) -> Column:
+    """Letters before the walk of a word of this length: together the two sides leave none out."""
+    return F.when(F.col("side") == 0, F.ceil(length / 2)).otherwise(F.floor(length / 2)).cast("int")
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, w1 long, w2 long")
 
+def _node(depth: Column) -> Column:
+    return F.xxhash64("side", depth, F.substring(F.col("spelled"), F.lit(1), depth))
 
-def _paths(words: DataFrame) -> DataFrame:
-    """Per word and side: the nodes on its way, as ``(depth, node)`` in order.
 
-    A prefix is a node where ways part, where a word ends, and where a walk starts.
-    """
-    steps = materialize(_steps(words))
-    parts = F.bool_or("stop") | (F.min("letter") != F.max("letter"))
-    nodes = steps.groupBy("node").agg(parts.alias("is_node")).where("is_node").select("node")
-    own = steps.join(nodes, "node", "left_semi").groupBy("w1", "w2", "side").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
-    return materialize(own.join(_word_hashes(words), ["w1", "w2"]).select("word", "n", "side", "path"))
+def _start(words: DataFrame) -> DataFrame:
+    """The first frontier: every word at the node of its half, no edit spent."""
+    half = _half(F.col("length"))
+    return _halves(words).select("word", F.substring(F.col("spelled"), half + 1, F.col("length")).alias("rest"), _node(half).alias("node"), F.lit(0).alias("edits"))
+
+
+_EDGES = "node long, inner boolean, label string, child long, ahead string, leaf string, leaf_n long"
+
+
+def _subtree(start: int, rests: list[str], words: list[str], counts: list[int], number, burst: int) -> list[tuple]:
+    """The edges below a node for sorted remainders of words."""
+    out, todo = [], [(start, 0, 0, len(rests))]
+    while todo:
+        node, depth, low, high = todo.pop()
+        inner = node != start
+        if high - low <= burst:
+            out += [(node, inner, rests[i][depth:], None, None, words[i], counts[i]) for i in range(low, high)]
+            continue
+        while low < high and len(rests[low]) == depth:  # words that end here
+            out.append((node, inner, "", None, None, words[low], counts[low]))
+            low += 1
+        while low < high:
+            letter = rests[low][depth]
+            end = bisect.bisect_left(rests, rests[low][:depth] + chr(ord(letter) + 1), low, high)
+            if end - low == 1:
+                out.append((node, inner, rests[low][depth:], None, None, words[low], counts[low]))
+            else:
+                below = len(os.path.commonprefix([rests[low], rests[end - 1]]))
+                child = next(number)
+                follows = sorted({r[below : below + LOOK] for r in rests[low:end]})
+                out.append((node, inner, rests[low][depth:below], child, f"|{'|'.join(follows)}|", None, None))
+                todo.append((child, below, low, end))
+            low = end
+    return out
+
+
+def _edges(words: DataFrame, burst: int) -> DataFrame:
+    """The edges of all nodes from the halves down; ``inner`` ones are met from the second round on."""
 
+    def run(batches):
+        number = itertools.count((TaskContext.get().partitionId() << 40) + 1)
+        group, out = (None, [], [], []), []
+        for batch in batches:
+            for node, rest, word, n in zip(*(batch.column(c).to_pylist() for c in ("node", "rest", "word", "n"))):
+                if node != group[0]:
+                    out += _subtree(*group, number, burst)
+                    group = (node, [], [], [])
+                for column, value in zip(group[1:], (rest, word, n)):
+                    column.append(value)
+            if len(out) > 50_000:
+                yield _edge_batch(out)
+                out = []
+        yield _edge_batch(out + _subtree(*group, number, burst))
+
+    halves = _halves(words)
+    # Words one letter shorter or longer may start their walk here.
+    depths = F.array_distinct(F.array(*[_half(F.col("length") + d) for d in (-1, 0, 1)]))
+    rows = halves.withColumn("depth", F.explode(depths)).where("depth <= length")
+    rows = rows.select(_node(F.col("depth")).alias("node"), F.substring(F.col("spelled"), F.col("depth") + 1, F.col("length")).alias("rest"), "word", "n")
+    return rows.repartitionByRange("node", "rest").sortWithinPartitions("node", "rest").mapInArrow(run, _EDGES)
+
+
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [x.split(" ")[0] for x in _EDGES.split(", ")])
 
-def _edges(paths: DataFrame) -> DataFrame:
-    """``(node, child, label, leaf, leaf_n, ahead)``: the chains between nodes, and the word that ends there.
 
-    ``ahead`` lists the first ``LOOK`` letters of the labels that leave ``child``, so that a
-    round can drop states that the next one could not read.
-    """
-    spelled = F.when(F.col("side") == FORWARD, F.col("word")).otherwise(F.reverse("word"))
-    hops = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
-    rows = paths.where(F.size("path") > 1).select("word", "n", spelled.alias("spelled"), F.explode(hops).alias("hop"))
-    a, b = F.col("hop.a"), F.col("hop.b")
-    ends = b["depth"] == F.length("spelled")
-    rows = rows.select(
-        a["node"].alias("node"),
-        b["node"].alias("child"),
-        F.substring(F.col("spelled"), a["depth"] + 1, b["depth"] - a["depth"]).alias("label"),
-        F.when(ends, F.col("word")).alias("leaf"),
-        F.when(ends, F.col("n")).alias("leaf_n"),
-    )
-    edges = materialize(rows.groupBy("node", "child", "label").agg(F.max("leaf").alias("leaf"), F.max("leaf_n").alias("leaf_n")))
-    out = edges.groupBy("node").agg(F.array_join(F.collect_set(F.substring("label", 1, LOOK)), "|").alias("labels"))
-    ahead = out.select(F.col("node").alias("child"), F.concat(F.lit("|"), F.col("labels"), F.lit("|")).alias("ahead"))
-    return edges.join(ahead, "child", "left")
+# ------------------------------------------------------------------ frontier
 
 
-# ------------------------------------------------------------------ frontier
+def _goes_on(n: str) -> str:
+    return f"instr(ahead, concat('|', substring(rest, {n} + 1, {LOOK}), '|')) > 0"
 
 
-def _start(paths: DataFrame) -> DataFrame:
-    """The first frontier: every word at the node of its half, no edit spent."""
-    forward = F.col("side") == FORWARD
-    half = F.when(forward, F.ceil(F.length("word") / 2)).otherwise(F.floor(F.length("word") / 2)).cast("int")
-    spelled = F.when(forward, F.col("word")).otherwise(F.reverse("word"))
-    node = F.get(F.filter("path", lambda p: p["depth"] == half), F.lit(0))["node"]
-    return paths.select("word", F.substring(spelled, half + 1, F.length("word")).alias("rest"), node.alias("node"), F.lit(0).alias("edits"))
-
-
-_GOES_ON = " OR ".join(["length(rest) = {n} AND leaf IS NOT NULL", f"instr(ahead, concat('|', substring(rest, {{n}} + 1, {LOOK}))) > 0"] + [f"instr(ahead, concat('|', substring(rest, {{n}} + 1, {k}), '|')) > 0" for k in range(1, LOOK)])
-_ONE_EDIT = f"edits = 0 AND {{n}} >= 0 AND length(rest) >= {{n}} AND ({_GOES_ON}) AND levenshtein(label, left(rest, {{n}}), 1) = 1"
-_AS_IT_IS = f"startswith(rest, label) AND (edits = 0 OR {_GOES_ON.format(n='size')})"
-_READ = "array_compact(array(if({}, struct(size AS taken, edits AS spent), null), {}))".format(
-    _AS_IT_IS, ", ".join(f"if({_ONE_EDIT.format(n=n)}, struct({n} AS taken, 1 AS spent), null)" for n in ("(size - 1)", "size", "(size + 1)"))
+_HIT = "leaf IS NOT NULL AND if(edits = 0, abs(length(label) - length(rest)) <= 1 AND levenshtein(label, rest, 1) = 1, label = rest)"
+_EDITED = "edits = 0 AND {n} >= 0 AND length(rest) >= {n} AND {on} AND levenshtein(label, left(rest, {n}), 1) = 1"
+_READ = "array_compact(array(if(startswith(rest, label) AND (edits = 0 OR {on}), struct(length(label) AS taken, edits AS spent), null), {edited}))".format(
+    on=_goes_on("length(label)"),
+    edited=", ".join(f"if({_EDITED.format(n=n, on=_goes_on(n))}, struct({n} AS taken, 1 AS spent), null)" for n in ("(length(label) - 1)", "length(label)", "(length(label) + 1)")),
 )
 
 
 def _round(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """All states one edge further."""
-    met = frontier.join(edges.withColumn("size", F.length("label")), "node").where(F.expr(f"(edits = 0 OR {_AS_IT_IS}) AND size({_READ}) > 0"))
-    read = met.select("word", "rest", "child", "leaf", "leaf_n", F.explode(F.expr(_READ)).alias("r"))
-    return read.select("word", F.expr("substring(rest, r.taken + 1)").alias("rest"), F.col("child").alias("node"), F.col("r.spent").alias("edits"), "leaf", "leaf_n")
+    """What one edge further finds: neighbours (``near``), and states at inner nodes."""
+    met = frontier.join(edges, "node").where(F.expr(f"if(leaf IS NOT NULL, {_HIT}, edits = 0 OR startswith(rest, label))"))
+    read = met.select("word", "rest", "child", F.col("leaf").alias("near"), F.col("leaf_n").alias("near_n"), F.explode_outer(F.when(F.col("leaf").isNull(), F.expr(_READ))).alias("r"))
+    read = read.where("near IS NOT NULL OR r IS NOT NULL")
+    return read.select("word", F.when(F.col("near").isNull(), F.expr("substring(rest, r.taken + 1)")).alias("rest"), F.col("child").alias("node"), F.col("r.spent").alias("edits"), "near", "near_n")
 
 
-def neighbours(words: DataFrame) -> DataFrame:
+def neighbours(words: DataFrame, burst: int = BURST) -> DataFrame:
     """``(word, near, near_n)``: for every word the words one edit away, in both directions.
 
     ``words`` holds distinct ``word`` of at least two letters, with ``n``.
     """
-    paths = _paths(words)
-    edges = materialize(_edges(paths))
-    frontier, found = _start(paths), []
+    edges = materialize(_edges(words, burst))
+    found = []
+    frontier, mine = _start(words), edges.where("NOT inner")
     while True:
-        states = materialize(_round(frontier, edges))
-        done = (F.col("edits") == 1) & (F.col("rest") == "")
-        last = (F.col("edits") == 0) & (F.length("rest") == 1)
-        found.append(states.where(F.col("leaf").isNotNull() & (done | last)).select("word", F.col("leaf").alias("near"), F.col("leaf_n").alias("near_n")))
-        frontier = states.where(~done).select("word", "rest", "node", "edits")
+        states = materialize(_round(frontier, mine))
+        found.append(states.where("near IS NOT NULL").select("word", "near", "near_n"))
+        frontier, mine = states.where("near IS NULL").select("word", "rest", "node", "edits"), edges.where("inner")
         if frontier.isEmpty():
             break
     pairs = found[0]
@@ -244,7 +228,7 @@ def neighbours(words: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ groups
 
 
-def variants(words: DataFrame, factor: int = FORM_FACTOR) -> DataFrame:
+def variants(words: DataFrame, factor: int = FORM_FACTOR, burst: int = BURST) -> DataFrame:
     """Per word: its form, the root of its chain of forms, and counts.
 
     The form is the most frequent neighbour with at least ``factor`` times the occurrences.
@@ -252,7 +236,7 @@ def variants(words: DataFrame, factor: int = FORM_FACTOR) -> DataFrame:
     """
     words = materialize(words.select("word", "n"))
     best = F.min(F.struct((-F.col("near_n")).alias("minus_n"), F.col("near")))
-    near = neighbours(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+    near = neighbours(words, burst).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     enough = -F.col("best.minus_n") >= factor * F.col("n")
     out = words.join(near, "word", "left").select(
         "word", "n",

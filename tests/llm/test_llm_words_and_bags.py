@@ -38,14 +38,15 @@ def plain_variants(words):
     return {w: tuple(v) for w, v in out.items()}
 
 
-def found_variants(spark, words):
-    df = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+def found_variants(spark, words, **options):
+    df = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"), **options)
     rows = df.collect()
     assert len(rows) == len({r.word for r in rows})
     return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
 
 
-def test_variants_of_a_dense_vocabulary(spark):
+@pytest.mark.parametrize("burst", [1, 32])
+def test_variants_of_a_dense_vocabulary(spark, burst):
     """Few letters, so ways part everywhere, letters repeat and words end inside others."""
     rng = random.Random(5)
     words = {}
@@ -57,7 +58,7 @@ def test_variants_of_a_dense_vocabulary(spark):
         words[stem[:i] + "q" + stem[i + 1 :]] = 3
         words[stem[:i] + "q" + stem[i:]] = 2
     words |= {stem: 500, stem + "z": 5000, "aaaaaaa": 2, "aaaaaaaa": 20, "aaaaaaaaa": 200, "aaaaaaaaaa": 2000}
-    assert found_variants(spark, words) == plain_variants(words)
+    assert found_variants(spark, words, burst=burst) == plain_variants(words)
 
 
 def test_variants_of_very_long_words_and_of_one_hot_half(spark):
