@@ -195,8 +195,8 @@ def _gated_edges(nodes: DataFrame, threshold: float, low_join: float, block_rows
     return block_pairs(nodes.select("id", "vec", "low"), None, reduce, schema, threshold, block_rows)
 
 
-def merge_by_root(sizes: dict, edges: list[tuple]) -> dict:
-    """Agglomerate one component: ``{node: root}``.
+def merge_steps(sizes: dict, edges: list[tuple]) -> dict:
+    """The merges of one component: ``{absorbed root: (root that took it in, similarity)}``.
 
     ``sizes`` maps node to its starting size; ``edges`` are ``(sim, a, b)``. The best
     edge between two live roots merges them; ties go to the smaller first members. The
@@ -214,24 +214,30 @@ def merge_by_root(sizes: dict, edges: list[tuple]) -> dict:
 
     heap = [entry(*e) for e in edges]
     heapq.heapify(heap)
-    parent: dict = {}
+    steps: dict = {}
     while heap:
         item = heapq.heappop(heap)
-        _, f_lo, f_hi, lo, hi = item
-        if lo in parent or hi in parent or first[lo] != f_lo or first[hi] != f_hi:
+        minus_s, f_lo, f_hi, lo, hi = item
+        if lo in steps or hi in steps or first[lo] != f_lo or first[hi] != f_hi:
             continue
         keep, gone = (lo, hi) if size[lo] >= size[hi] else (hi, lo)
-        parent[gone] = keep
+        steps[gone] = keep, -minus_s
         size[keep] += size[gone]
         if first[gone] < first[keep]:
             first[keep] = first[gone]
             for s, other in around[keep]:
-                if other not in parent:
+                if other not in steps:
                     heapq.heappush(heap, entry(s, keep, other))
+    return steps
+
+
+def merge_by_root(sizes: dict, edges: list[tuple]) -> dict:
+    """Agglomerate one component: ``{node: root}``."""
+    steps = merge_steps(sizes, edges)
 
     def root(n):
-        while n in parent:
-            n = parent[n]
+        while n in steps:
+            n = steps[n][0]
         return n
 
     return {n: root(n) for n in sizes}
@@ -370,12 +376,15 @@ def _first_obstacle(state: DataFrame, threshold: float, low_join: float, block_r
     return found.groupBy("id").agg(F.max(F.struct("sim", "neg_first")).alias("stop"))
 
 
-def _solve_rounds(nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None) -> DataFrame:
+def solve_rounds(
+    nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None, steps: list[DataFrame] | None = None
+) -> DataFrame:
     """Agglomerate without an edge list: ``(id, root)``.
 
     Per round every root looks up its best partner with one blocked comparison. Mutual
     best pairs merge; the survivor also takes in, best first, every root that prefers it,
     up to the first edge that has to wait. Memory and shuffles follow the live roots.
+    ``steps`` collects the merges ``(id, parent, sim)`` of every round.
     """
     alive = nodes
     assign = nodes.select("id", F.col("id").alias("root"))
@@ -406,8 +415,10 @@ def _solve_rounds(nodes: DataFrame, threshold: float, low_join: float, block_row
         gone = materialize(
             state.join(centres, "partner")
             .where(F.col("stop").isNull() | (mine > F.col("stop")))
-            .select("id", F.col("partner").alias("into"), "size", "first")
+            .select("id", F.col("partner").alias("into"), "size", "first", "sim")
         )
+        if steps is not None:
+            steps.append(gone.select("id", F.col("into").alias("parent"), "sim"))
         gains = gone.groupBy(F.col("into").alias("id")).agg(
             F.sum("size").alias("gain"), F.min("first").alias("gain_first")
         )
@@ -458,7 +469,7 @@ def cluster_faces(
         edges = materialize(_gated_edges(nodes, threshold, low_join, block_rows, False))
         solved = _solve_edges(edges, nodes, threshold, low_join, block_rows, local_edges)
     else:
-        solved = _solve_rounds(nodes, threshold, low_join, block_rows)
+        solved = solve_rounds(nodes, threshold, low_join, block_rows)
     roots = members.join(solved.withColumnRenamed("id", "node"), "node", "left").select(
         F.col("id").alias("face_order"), F.coalesce("root", "node").alias("root")
     )
@@ -488,7 +499,7 @@ def _solve_edges(edges, nodes, threshold, low_join, block_rows, local_edges) ->
         total,
     )
     hard = placed.join(big, "component", "left_semi").select(*nodes.columns)
-    return small.unionByName(_solve_rounds(materialize(hard), threshold, low_join, block_rows))
+    return small.unionByName(solve_rounds(materialize(hard), threshold, low_join, block_rows))
 
 
 # ------------------------------------------------------------------ greedy centroid linkage

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from kinframe.functions import boxes as bx
 from kinframe.functions.vectors import cosine
-from kinframe.operators.cluster import LOW_JOIN, cluster_faces, cluster_running_average
+from kinframe.operators.cluster import LOW_JOIN, cluster_running_average
+from kinframe.operators.merge_tree import MergeForest
 from kinframe.operators.pairs import (
     BLOCK_ROWS,
     Side,
@@ -640,30 +641,53 @@ def size_report(assign: DataFrame, cluster: str = "cluster", top: int = 10) -> D
     return best.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def config_sweep(faces: DataFrame, configs: Sequence[dict], label: str = "label", **kwargs) -> DataFrame:
+def config_sweep(faces: DataFrame, configs: Sequence[dict], label: str = "label", **limits) -> DataFrame:
     """Cluster at several settings and report sizes and pair metrics for each.
 
     A config has ``name``, ``threshold`` and ``gated`` (tier rules on or off), and may
-    set ``low_join``.
+    set ``low_join``. Faces are compared once, at the lowest threshold; every set of tier
+    rules has one forest of merges, which each of its thresholds cuts.
     """
     base = materialize(faces.select("face_order", "embedding", "face_quality", F.col(label).alias("label")))
-    out = None
+    forest = MergeForest(base, min(float(c["threshold"]) for c in configs), **limits)
+    rules: dict[tuple, list[dict]] = {}
     for c in configs:
-        rows = base if c.get("gated", True) else base.withColumn("face_quality", F.lit("high"))
-        found = cluster_faces(rows, c["threshold"], c.get("low_join", LOW_JOIN), **kwargs)
-        assign = materialize(found.join(base.select("face_order", "label"), "face_order"))
-        sizes = assign.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(
-            F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"),
-        )
-        one = F.lit(1).alias("_one")
-        row = (
-            sizes.select("*", one).join(pair_metrics(assign).select("*", one), "_one")
-            .join(purity(assign).select("purity", one), "_one").drop("_one")
-            .withColumns({"config": F.lit(c["name"]), "threshold": F.lit(float(c["threshold"]))})
-        )
-        row = materialize(row)
-        out = row if out is None else out.unionByName(row)
-    return out
+        gated = c.get("gated", True)
+        rules.setdefault((gated, c.get("low_join", LOW_JOIN) if gated else LOW_JOIN), []).append(c)
+    assign = None
+    for (gated, low_join), group in rules.items():
+        cuts = forest.cuts([c["threshold"] for c in group], gated, low_join)
+        named = F.array(*[F.struct(F.lit(c["name"]).alias("config"), F.lit(float(c["threshold"])).alias("at")) for c in group])
+        cuts = cuts.select("*", F.explode(named).alias("c")).where("threshold = c.at").select("c.config", "threshold", "face_order", "cluster")
+        assign = cuts if assign is None else assign.unionByName(cuts)
+    assign = assign.join(base.select("face_order", "label"), "face_order")
+    every = [(c["name"], float(c["threshold"])) for c in configs]
+    return grouped_metrics(assign, base.sparkSession.createDataFrame(every, "config string, threshold double"), ["config", "threshold"])
+
+
+def grouped_metrics(assign: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Cluster sizes, pair metrics and purity for every row of ``groups``, in one pass.
+
+    ``assign`` has the keys, ``cluster`` and ``label``; a group without faces has zeros.
+    """
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    cells = materialize(assign.groupBy(*keys, "cluster", "label").agg(F.count(F.lit(1)).alias("n")))
+    labelled = cells.where(F.col("label").isNotNull())
+    sizes = cells.groupBy(*keys, "cluster").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("clusters"), F.count_if(n == 1).alias("singletons"), F.max("n").alias("largest")
+    )
+    by_cluster = labelled.groupBy(*keys, "cluster").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum(_choose2(n)).alias("same"))
+    by_cluster = by_cluster.groupBy(*keys).agg(
+        F.sum("same").alias("tp"), F.sum(_choose2(n)).alias("_c"), _choose2(F.sum("n")).alias("_all"), (F.sum("top") / F.sum("n")).alias("purity")
+    )
+    by_label = labelled.groupBy(*keys, "label").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(_choose2(n)).alias("_l"))
+    t = groups.join(sizes, keys, "left").join(by_cluster, keys, "left").join(by_label, keys, "left")
+    t = t.withColumns({c: F.coalesce(c, zero) for c in ("clusters", "singletons", "tp", "_c", "_l", "_all")})
+    t = t.select(
+        *keys, "clusters", "singletons", "largest", "tp", (F.col("_c") - F.col("tp")).alias("fp"), (F.col("_l") - F.col("tp")).alias("fn"),
+        (F.col("_all") - F.col("_c") - F.col("_l") + F.col("tp")).alias("tn"), "purity",
+    )
+    return _with_rates(t)
 
 
 # ------------------------------------------------------------------ golden comparison
