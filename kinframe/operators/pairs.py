@@ -4,7 +4,11 @@ Vectors are grouped around pivots, each group is cut into blocks of bounded size
 only block pairs that can hold a pair above the threshold meet in a task, where one
 matrix product compares them. By the triangle inequality on angles a vector ``x`` can
 match something in a group with pivot ``p`` and radius ``r`` only when
-``angle(x, p) <= r + acos(threshold)``, so the pruning never loses a pair.
+``angle(x, p) <= r + acos(threshold)``. At low thresholds that alone prunes little, so
+each group also knows, in the leading ``k`` principal directions of a sample, how far its
+members lie from the pivot (``gap``) and how much of them lies outside (``tail``): no
+member can be more similar to ``x`` than ``head(x).head(p) + |head(x)| gap + |tail(x)| tail``.
+Both bounds are exact, so the pruning never loses a pair.
 
 What leaves a task is decided by a reducer: the pairs above a threshold, counts per
 bin, the best partner per row, or whether a row has any partner. The last three stay
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,8 @@ TILE_CELLS = 4_000_000
 DENSE_CELLS = 4_000_000
 MAX_PIVOTS = 512
 ANGLE_SLACK = 1e-6
+# Leading directions for which groups keep bounds.
+HEADS = (4, 8, 16, 32, 64, 128)
 
 
 def to_matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -87,45 +94,94 @@ def copy_members(
 # ------------------------------------------------------------------ placement
 
 
+@dataclass(frozen=True)
+class Group:
+    """What is known of the rows around one pivot: number, largest angle, bounds per head."""
+
+    rows: int
+    radius: float
+    gap: tuple[float, ...] = ()
+    tail: tuple[float, ...] = ()
+
+
 class Placement:
-    """Pivots plus, for each side, the size and radius of every group."""
+    """Pivots, principal directions, and the groups of each side with their blocks."""
 
-    def __init__(self, pivots: np.ndarray, sides: list[dict[int, tuple[int, float]]], block_rows: int):
-        self.pivots = pivots
-        self.sides = sides
+    def __init__(self, pivots: np.ndarray, basis: np.ndarray, sides: list[dict[int, Group]], block_rows: int):
+        self.pivots, self.basis, self.sides = pivots, basis, sides
+        self.heads = _heads(basis)
         self.offset: list[dict[int, int]] = []
         self.blocks: list[dict[int, int]] = []
         for groups in sides:
             offset, blocks, at = {}, {}, 0
             for cell in sorted(groups):
-                blocks[cell] = max(1, math.ceil(groups[cell][0] / block_rows))
+                blocks[cell] = max(1, math.ceil(groups[cell].rows / block_rows))
                 offset[cell] = at
                 at += blocks[cell]
             self.offset.append(offset)
             self.blocks.append(blocks)
 
-
-def _pivot_rows(df: DataFrame, count: int) -> np.ndarray:
+    def reachable(self, units: np.ndarray, side: int, threshold: float | None, bounds: bool = True) -> np.ndarray:
+        """Rows by groups of ``side``: where a row may find a partner over the threshold."""
+        groups = [self.sides[side][q] for q in sorted(self.sides[side])]
+        if not len(self.pivots) or threshold is None or threshold <= 0:
+            return np.ones((len(units), len(groups)), bool)
+        cells = sorted(self.sides[side])
+        reach = math.acos(min(1.0, threshold)) + ANGLE_SLACK
+        near = _angles(units, self.pivots[cells]) <= np.array([g.radius for g in groups])[None, :] + reach
+        if bounds:
+            turned, centres = units @ self.basis, self.pivots[cells] @ self.basis
+            for i, k in enumerate(self.heads):
+                head, tail = turned[:, :k], np.sqrt((turned[:, k:] ** 2).sum(1))
+                most = head @ centres[:, :k].T
+                most += np.sqrt((head**2).sum(1))[:, None] * np.array([g.gap[i] for g in groups])[None, :]
+                most += tail[:, None] * np.array([g.tail[i] for g in groups])[None, :]
+                near &= most >= threshold - ANGLE_SLACK
+        return near
+
+
+def _heads(basis: np.ndarray) -> list[int]:
+    return [k for k in HEADS if k < len(basis)]
+
+
+def _sample_rows(df: DataFrame) -> np.ndarray:
     """A fixed, hash-chosen set of at most MAX_PIVOTS vectors."""
-    rows = df.orderBy(F.xxhash64("vec")).limit(min(count, MAX_PIVOTS)).select("vec").collect()
+    rows = df.orderBy(F.xxhash64("vec")).limit(MAX_PIVOTS).select("vec").collect()
     return unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64))
 
 
+def _directions(sample: np.ndarray) -> np.ndarray:
+    """Orthonormal directions of a sample, the most telling first; all of the space."""
+    return np.linalg.svd(sample, full_matrices=True)[2].T
+
+
 def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
-def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot ``cell`` and the angle to it."""
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("ang", T.DoubleType())])
+def _place(df: DataFrame, pivots: np.ndarray, basis: np.ndarray) -> DataFrame:
+    """Add the nearest pivot ``cell``, the angle to it, and the bounds per head."""
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("ang", T.DoubleType()), T.StructField("gap", numbers), T.StructField("tail", numbers)])
+    heads, turned_pivots = _heads(basis), pivots @ basis
 
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            angles = _angles(unit_rows(to_matrix(table.column("vec"))), pivots)
+            units = unit_rows(to_matrix(table.column("vec")))
+            if not len(units):
+                continue
+            angles = _angles(units, pivots)
             cell = angles.argmin(axis=1)
+            turned = units @ basis
+            apart = np.cumsum((turned - turned_pivots[cell]) ** 2, axis=1)
+            inside = np.cumsum(turned**2, axis=1)
+            gap = np.sqrt(np.stack([apart[:, k - 1] for k in heads], 1)) if heads else np.zeros((len(cell), 0))
+            tail = np.sqrt(np.maximum(np.stack([inside[:, -1] - inside[:, k - 1] for k in heads], 1), 0)) if heads else gap
             table = table.append_column("cell", pa.array(cell.astype(np.int32)))
             table = table.append_column("ang", pa.array(angles[np.arange(len(cell)), cell]))
+            for name, values in (("gap", gap), ("tail", tail)):
+                table = table.append_column(name, pa.array(list(values), pa.list_(pa.float64())))
             yield from table.to_batches()
 
     return df.mapInArrow(run, schema)
@@ -144,27 +200,29 @@ def _placement(left: DataFrame, right: DataFrame | None, block_rows: int | None,
     if wanted <= 1:
         # One group around no pivot: blocks alone bound the work.
         placed = [s.withColumn("cell", F.lit(0)).withColumn("ang", F.lit(0.0)) for s in sides]
-        stats = [{0: (n, math.pi)} for n in sizes]
-        return placed, Placement(np.zeros((0, 0)), stats, block_rows)
-    pivots = _pivot_rows(sides[-1], wanted)
-    placed = [materialize(_place(s, pivots)) for s in sides]
-    stats = []
+        groups = [{0: Group(n, math.pi)} for n in sizes]
+        return placed, Placement(np.zeros((0, 0)), np.zeros((0, 0)), groups, block_rows)
+    sample = _sample_rows(sides[-1])
+    pivots, basis = sample[:wanted], _directions(sample)
+    heads = range(len(_heads(basis)))
+    placed = [materialize(_place(s, pivots, basis)) for s in sides]
+    groups = []
     for p in placed:
-        rows = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("ang").alias("r")).collect()
-        stats.append({r["cell"]: (r["n"], r["r"]) for r in rows})
-    return placed, Placement(pivots, stats, block_rows)
+        most = [F.max(F.col(c)[i]).alias(f"{c}{i}") for c in ("gap", "tail") for i in heads]
+        rows = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("ang").alias("r"), *most).collect()
+        groups.append({r["cell"]: Group(r["n"], r["r"], tuple(r[f"gap{i}"] for i in heads), tuple(r[f"tail{i}"] for i in heads)) for r in rows})
+    return placed, Placement(pivots, basis, groups, block_rows)
 
 
-def _spread(df: DataFrame, side: int, self_join: bool, place: Placement, reach: float) -> DataFrame:
+def _spread(df: DataFrame, side: int, self_join: bool, place: Placement, threshold: float | None) -> DataFrame:
     """Copy each row to every block pair it can contribute to."""
     extra = [
         T.StructField("block_a", T.IntegerType()),
         T.StructField("block_b", T.IntegerType()),
         T.StructField("is_a", T.BooleanType()),
     ]
-    kept = [f for f in df.schema.fields if f.name not in ("cell", "ang", "sub")]
+    kept = [f for f in df.schema.fields if f.name not in ("cell", "ang", "gap", "tail", "sub")]
     other = 0 if self_join else 1 - side
-    targets = place.sides[other]
 
     def run(batches):
         for batch in batches:
@@ -174,14 +232,10 @@ def _spread(df: DataFrame, side: int, self_join: bool, place: Placement, reach:
             first = np.array([place.offset[side][c] for c in cell.tolist()], dtype=np.int64)
             count = np.array([place.blocks[side][c] for c in cell.tolist()], dtype=np.int64)
             mine = first + np.mod(sub, count)
-            if len(place.pivots):
-                angles = _angles(unit_rows(to_matrix(table.column("vec"))), place.pivots)
+            reachable = place.reachable(unit_rows(to_matrix(table.column("vec"))), other, threshold)
             plain = table.select([f.name for f in kept])
-            for q, (_, radius) in targets.items():
-                if len(place.pivots):
-                    near = np.nonzero(angles[:, q] <= radius + reach)[0]
-                else:
-                    near = np.arange(len(mine))
+            for column, q in enumerate(sorted(place.sides[other])):
+                near = np.nonzero(reachable[:, column])[0]
                 if not len(near):
                     continue
                 own, copies = mine[near], plain.take(pa.array(near))
@@ -261,10 +315,9 @@ def block_pairs(
             return _beside_small(small, right, reducer, schema)
     prune = threshold is not None and threshold > 0
     placed, place = _placement(left, right, block_rows, prune)
-    reach = math.acos(min(1.0, threshold)) + ANGLE_SLACK if prune else math.pi
-    spread = _spread(placed[0], 0, self_join, place, reach)
+    spread = _spread(placed[0], 0, self_join, place, threshold if prune else None)
     if not self_join:
-        other = _spread(placed[1], 1, False, place, reach)
+        other = _spread(placed[1], 1, False, place, threshold if prune else None)
         spread = spread.unionByName(other, allowMissingColumns=True)
     arrow = [f.name for f in schema]
 
@@ -285,6 +338,39 @@ def block_pairs(
     return spread.repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, schema)
 
 
+def pruning_report(reps: DataFrame, threshold: float, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+    """How much a self join at a threshold is pruned: one row.
+
+    ``meetings`` counts rows times blocks, ``by_angle`` those that the angle bound alone
+    would keep, ``kept`` those that remain; ``block_pairs`` and ``block_pairs_kept`` count
+    pairs of blocks, the latter those where both blocks have rows for the other.
+    """
+    placed, place = _placement(reps.select("id", "vec"), None, block_rows, threshold > 0)
+    cells = sorted(place.sides[0])
+    blocks = np.array([place.blocks[0][c] for c in cells])
+
+    def run(batches):
+        for batch in batches:
+            units = unit_rows(to_matrix(pa.chunked_array([batch.column("vec")])))
+            if not len(units):
+                continue
+            cell = column_values(batch.column("cell"))
+            angle, kept = (place.reachable(units, 0, threshold, both) for both in (False, True))
+            for c in np.unique(cell):
+                mine = cell == c
+                for q, (x, y) in enumerate(zip(angle[mine].sum(0), kept[mine].sum(0))):
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (int(c), cells[q], int(mine.sum() * blocks[q]), int(x * blocks[q]), int(y * blocks[q]))], ["a", "b", "meetings", "by_angle", "kept"])
+
+    rows = placed[0].mapInArrow(run, "a long, b long, meetings long, by_angle long, kept long")
+    cell_pairs = rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") <= F.col("b")).alias("up")).agg(*[F.sum(c).alias(c) for c in ("meetings", "by_angle", "kept")])
+    numbers = reps.sparkSession.createDataFrame([(int(c), int(n)) for c, n in zip(cells, blocks)] or [(0, 0)], "cell long, n long")
+    cell_pairs = cell_pairs.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("meetings", "by_angle", "kept")], F.min("kept").alias("least"))
+    pairs = cell_pairs.join(numbers.select(F.col("cell").alias("a"), F.col("n").alias("na")), "a").join(numbers.select(F.col("cell").alias("b"), F.col("n").alias("nb")), "b")
+    count = F.when(F.col("a") == F.col("b"), F.expr("na * (na + 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return pairs.agg(total("meetings", "meetings"), total("by_angle", "by_angle"), total("kept", "kept"), total(count, "block_pairs"), total(F.when(F.col("least") > 0, count), "block_pairs_kept"))
+
+
 def tiles(a: Side, b: Side):
     """Similarity tiles ``(start, stop, S)`` of bounded size."""
     rows = max(1, TILE_CELLS // max(1, len(b)))

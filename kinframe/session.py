@@ -28,19 +28,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster.
 
-    Only a local master may fall back to a fresh temporary folder: on a cluster a
-    machine-local path would be unreadable from the other executors.
+    Only a local master may fall back to a fresh temporary folder, one per application: on
+    a cluster a machine-local path would be unreadable from the other executors. The
+    setting itself is fixed once a session runs, so that folder is remembered here.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="spark-")
+    return _own_folders[app]
 
 
+_own_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
