@@ -761,6 +761,7 @@ def recluster_catalog(
     person_manual: DataFrame,
     threshold: float = LINKAGE_THRESHOLD,
     low_join: float = LOW_JOIN,
+    solve=None,
     **kwargs,
 ) -> tuple[DataFrame, DataFrame]:
     """Rebuild persons from scratch: new ``(faces, persons)``.
@@ -773,7 +774,8 @@ def recluster_catalog(
     The persons have the columns of ``persons`` and a ``centroid``; a new person's
     ``created_at`` and ``updated_at`` are the time of the call, other columns are null.
     Numeric ids continue after the largest id in use. Text ids come from the first face of
-    the cluster, so a repeat gives the same id.
+    the cluster, so a repeat gives the same id. ``solve`` may take the pool of faces and
+    return their clusters some other way, as from a store that knows most of them.
     """
     manual = person_manual.select("person_id").distinct()
     frozen = faces.join(manual, "person_id", "left_semi")
@@ -783,7 +785,7 @@ def recluster_catalog(
     )
     if pool.isEmpty():
         return faces, persons
-    found = materialize(cluster_faces(pool, threshold, low_join, **kwargs))
+    found = materialize(solve(pool) if solve else cluster_faces(pool, threshold, low_join, **kwargs))
     named = persons.where(~F.lower("name").like("person %")).select("person_id", "name")
     custom = (
         found.join(pool.select("face_order", "person_id"), "face_order")

@@ -295,19 +295,11 @@ def q28(v):
     return cat.suspect_faces(v.faces)
 
 
-@query("q29_single_face_photos", ctes("photos", "faces") + """
-SELECT p.photo_id, p.path, f.face_id, f.x1, f.y1, f.x2, f.y2 FROM photos p JOIN faces f ON f.photo_id = p.photo_id AND f.face_id % 7 = 0
-WHERE p.photo_id IN (SELECT photo_id FROM faces WHERE face_id % 7 = 0 GROUP BY photo_id HAVING count(*) = 1)""")
-def q29(v):
-    """Over a seventh of the faces: with all of them every photo has several."""
-    return cat.single_face_photos(v.photos, v.faces.where("face_id % 7 = 0"))
-
-
-@query("q29_single_face_photos_all", ctes("photos", "faces") + """,
+@query("q29_single_face_photos", ctes("photos", "faces") + """,
 placed AS (SELECT face_id, CASE WHEN face_id < 150 THEN face_id + 200 ELSE photo_id END AS photo_id, x1, y1, x2, y2 FROM faces)
 SELECT p.photo_id, p.path, f.face_id, f.x1, f.y1, f.x2, f.y2 FROM photos p JOIN placed f ON f.photo_id = p.photo_id
 WHERE p.photo_id IN (SELECT photo_id FROM placed GROUP BY photo_id HAVING count(*) = 1)""")
-def q29_all(v):
+def q29(v):
     """Over all faces, the first of which get photos of their own."""
     placed = v.faces.withColumn("photo_id", F.expr("CASE WHEN face_id < 150 THEN face_id + 200 ELSE photo_id END"))
     return cat.single_face_photos(v.photos, placed)

@@ -5,12 +5,16 @@ Two clusterings serve as input: ``person_id``, and faces spread over seven group
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinframe.functions import boxes as bx
 from kinframe.operators import evaluate as ev
 from kinframe.plans.registry import ctes, query
 from kinframe.plans.vector_queries import COS, LOW, recursive, root_linkage_sql, rounded, running_average_sql
+from kinframe.session import checkpoint_root
+from kinframe.sources import catalog_io as io
 
 
 def labelled(v):
@@ -337,3 +341,14 @@ def e23(v):
         "photo", F.col("det_seq").alias("face_seq"), (F.col("x1") + 1).alias("x1"), "y1", (F.col("x2") + 1).alias("x2"), "y2", "embedding"
     )
     return rounded(ev.golden_match(rows, golden), "iou", "cos")
+
+
+@query("s06_golden_files", recursive(ctes("faces")) + "," + GOLDEN_SQL.replace("gl.boxes[pick].face_seq AS face_seq", "pick - 1 AS face_seq"))
+def s06(v):
+    """The golden side of e23 written as nested files and read back."""
+    rows = v.faces.select(
+        F.col("photo_id").cast("string").alias("photo"), F.col("face_order").alias("det_seq"), "x1", "y1", "x2", "y2", "embedding"
+    )
+    root = f"{checkpoint_root(v.spark)}/golden-{uuid.uuid4().hex}"
+    io.write_golden(rows.selectExpr("photo", "640 AS width", "480 AS height", "det_seq AS face_seq", "x1 + 1 AS x1", "y1", "x2 + 1 AS x2", "y2", "embedding"), root)
+    return rounded(ev.golden_match(rows, io.read_golden(v.spark, root)), "iou", "cos")

@@ -11,7 +11,7 @@ from kinframe.operators import catalog as cat
 from kinframe.plans.registry import ctes, query
 from kinframe.session import checkpoint_root
 from kinframe.sources import catalog_io as io
-from kinframe.sources.schema import upgrade_schema
+from kinframe.sources.schema import read_versions, upgrade_schema
 
 LISTING = (
     "concat('/lib/', source, '/', lang, '/', CASE WHEN doc_id % 13 = 0 THEN '._' ELSE '' END, doc_id, "
@@ -60,6 +60,31 @@ def s04(v):
     return upgrade_schema(old, "faces").select("face_id", "face_quality", "low_quality", "quality_score")
 
 
+@query("s02_file_hashes", """
+SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS content_hash FROM documents WHERE text IS NOT NULL""")
+def s02_files(v):
+    """A file per document, written by Spark, found by a scan of the folder and hashed."""
+    root = folder(v)
+    docs = v.raw("documents").where("text IS NOT NULL").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    files = io.content_hash(io.read_files(v.spark, root, "*.txt"), method="sha256")
+    return files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "length", "content_hash")
+
+
+@query("s04_mixed_versions", ctes("faces") + """
+SELECT face_id, version, CASE WHEN version < 2 THEN 'medium' ELSE face_quality END AS face_quality,
+       CASE WHEN version < 2 THEN 0.5::DOUBLE ELSE quality_score END AS quality_score
+FROM (SELECT *, CAST(1 + face_id % 3 AS INT) AS version FROM faces)""")
+def s04_mixed(v):
+    """Three versions side by side; the first knows no quality."""
+    root, faces = folder(v), v.faces.withColumn("version", F.expr("CAST(1 + face_id % 3 AS INT)"))
+    added = ["face_quality", "low_quality", "quality_score"]
+    for version in (1, 2, 3):
+        rows = faces.where(F.col("version") == version).drop("version", *(added if version < 2 else []))
+        rows.write.parquet(f"{root}/version={version}")
+    return read_versions(v.spark, root, "faces").select("face_id", "version", "face_quality", "quality_score")
+
+
 @query("s05_vector_blobs", """
 SELECT vec_id, 4 * len(embedding) AS bytes, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings""")
 def s05(v):

@@ -6,7 +6,8 @@ import json
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,9 @@ from kinframe.sources.schema import SCHEMA_VERSION, TABLES, upgrade_schema
 # File extensions taken as images.
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "webp"]
 
+# Largest file whose content is read.
+MAX_CONTENT = 256 << 20
+
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Image files under ``root``, ordered by path: ``path, length, modified_at``.
@@ -37,9 +41,22 @@ def image_files(files: DataFrame) -> DataFrame:
     )
 
 
-def read_contents(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return image_files(files.select("path", "length", "content"))
+def read_contents(spark: SparkSession, root: str, max_bytes: int = MAX_CONTENT) -> DataFrame:
+    """``path, length, content`` of the image files under ``root``."""
+    return image_files(read_files(spark, root, max_bytes=max_bytes))
+
+
+def read_files(spark: SparkSession, root: str, pattern: str | None = None, max_bytes: int = MAX_CONTENT) -> DataFrame:
+    """``path, length, content`` of files by name pattern.
+
+    The pattern narrows the listing. A file's content is one value in memory, so content of
+    files above ``max_bytes`` is null; it is never read, as the length is known before.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
+    small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def content_hash(df: DataFrame, content: str = "content", method: str = "xxhash64") -> DataFrame:
@@ -79,7 +96,8 @@ def save_catalog(catalog: dict[str, DataFrame], root: str) -> str:
     Pointers are numbered and never replaced: the new one appears by one rename after
     every table is complete, and readers take the newest, so they see either the old or
     the new catalog. Two writers cannot both take a number; the later one fails. Pointers
-    older than the last two go.
+    older than the last two go, and with them the folders of their versions: who reads the
+    version before the newest can go on, until another one is saved.
     """
     spark = next(iter(catalog.values())).sparkSession
     version = uuid.uuid4().hex
@@ -96,18 +114,24 @@ def save_catalog(catalog: dict[str, DataFrame], root: str) -> str:
     if fs.exists(target) or not fs.rename(fresh, target):
         raise RuntimeError(f"could not switch {root} to version {version}")
     for gone in old[:-1]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, POINTER.format(gone)), False)
+        pointer = f"{root}/{POINTER.format(gone)}"
+        # The folder first: if this stops half-way, the next save finds the pointer again.
+        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"v-{_pointed(spark, pointer)['version']}"), True)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(pointer), False)
     return version
 
 
+def _pointed(spark: SparkSession, pointer: str) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(pointer).first()["value"])
+
+
 def load_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The current tables, brought up to the newest schema version."""
     fs, folder, _ = _folder(spark, root)
     numbers = _pointers(fs, folder)
     if not numbers:
         raise FileNotFoundError(f"no catalog in {root}")
-    line = spark.read.option("wholetext", True).text(f"{root}/{POINTER.format(numbers[-1])}").first()["value"]
-    info = json.loads(line)
+    info = _pointed(spark, f"{root}/{POINTER.format(numbers[-1])}")
     tables = {
         name: upgrade_schema(spark.read.parquet(f"{root}/v-{info['version']}/{name}"), name) for name in info["tables"]
     }
@@ -127,16 +151,25 @@ def library_storage(photos: DataFrame, files: DataFrame, thumbs: DataFrame | Non
 # ------------------------------------------------------------------ vectors
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def embedding_from_blob(blob: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def embedding_from_blob(blob: pa.Array) -> pa.Array:
     """Little-endian float32 bytes to an array; null stays null."""
-    return blob.map(lambda b: None if b is None else np.frombuffer(bytes(b), dtype="<f4"))
+    size = pc.fill_null(pc.binary_length(blob), 0).to_numpy(zero_copy_only=False)
+    starts = np.append(0, np.cumsum(size // 4)).astype(np.int32)
+    values = np.frombuffer(b"".join(blob.drop_null().to_pylist()), "<f4")
+    offsets = pa.array(starts, mask=np.append(blob.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))
 
 
-@F.pandas_udf(T.BinaryType())
-def embedding_to_blob(vector: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def embedding_to_blob(vector: pa.Array) -> pa.Array:
     """An array to little-endian float32 bytes; null stays null."""
-    return vector.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+    size = pc.fill_null(pc.list_value_length(vector), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vector.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
+    offsets = (np.append(0, np.cumsum(size)) * 4).astype(np.int32)
+    present = pa.array(~vector.is_null().to_numpy(zero_copy_only=False))
+    packed = pa.Array.from_buffers(pa.binary(), len(vector), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+    return pc.if_else(present, packed, pa.scalar(None, pa.binary()))
 
 
 # ------------------------------------------------------------------ golden files and reports
@@ -148,9 +181,28 @@ GOLDEN_SCHEMA = (
 )
 
 
+def write_golden(faces: DataFrame, root: str, photos_per_file: int = 25) -> None:
+    """Faces as nested golden files: ``faces(photo, width, height, face_seq, x1..y2, embedding)``.
+
+    A file holds some photos with all their faces, in the order of ``face_seq``.
+    """
+    face = F.struct(
+        F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), F.lit(1.0).alias("det_score"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+    )
+    photos = faces.groupBy("photo").agg(
+        F.first("width").alias("width"), F.first("height").alias("height"),
+        F.array_sort(F.collect_list(F.struct("face_seq", face.alias("f")))).alias("all"),
+    )
+    files = max(1, photos.count() // photos_per_file)
+    photo = F.struct("photo", "width", "height", F.col("all.f").alias("faces"))
+    rows = photos.groupBy(F.pmod(F.xxhash64("photo"), F.lit(files)).alias("part")).agg(F.collect_list(photo).alias("photos"))
+    rows.select("part", F.to_json(F.struct("photos")).alias("value")).repartition("part").write.partitionBy("part").text(root)
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """A nested golden file as one row per face."""
-    photos = spark.read.schema(GOLDEN_SCHEMA).json(path, multiLine=True).select(F.explode("photos").alias("p"))
+    photos = spark.read.schema(GOLDEN_SCHEMA).option("recursiveFileLookup", True).json(path, multiLine=True).select(F.explode("photos").alias("p"))
     faces = photos.select("p.photo", "p.width", "p.height", F.posexplode("p.faces").alias("face_seq", "f"))
     box = [F.get("f.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
     kps = F.transform("f.kps", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 3
@@ -54,3 +54,18 @@ def upgrade_schema(df: DataFrame, table: str, version: int = SCHEMA_VERSION) ->
             if name == table and column not in df.columns:
                 df = df.withColumn(column, F.lit(default).cast(kind))
     return df
+
+
+def read_versions(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Folders ``version=<n>`` of one table, written under different schemas, as one table.
+
+    Columns are merged on read. A row from before the version that added a column gets that
+    column's default; a null stored since then stays null.
+    """
+    df = spark.read.option("mergeSchema", True).parquet(root)
+    for step, columns in sorted(ADDED_COLUMNS.items()):
+        for name, column, kind, default in columns:
+            if name == table:
+                stored = F.col(column) if column in df.columns else F.lit(None)
+                df = df.withColumn(column, F.when(F.col("version") < step, F.lit(default)).otherwise(stored).cast(kind))
+    return df

@@ -129,7 +129,8 @@ def live_events_state(events: DataFrame, ignored_after: tuple[str, ...] = IGNORE
     """Events up to each scan's first stopping one, on a stream.
 
     Within a micro-batch events are taken by time; a scan that stopped stays stopped for
-    ``ttl_ms`` after that, or for good. Start it inside ``rocks_state``.
+    ``ttl_ms`` after that, or for good. A query with a time to live runs until it is stopped,
+    so runs that end with their input leave it out. Start it inside ``rocks_state``.
     """
     rows = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     out = rows.groupBy("scan_id").transformWithStateInPandas(_Stops(ignored_after, ttl_ms), rows.schema, "Append", "None" if ttl_ms is None else "ProcessingTime")
@@ -170,7 +171,8 @@ def rate_limit_state(events: DataFrame, limit: int, window_ms: int, key: str | C
     """Anchored fixed windows per key, on a stream: hit number, flag, remaining, retry-after.
 
     Within a micro-batch events are taken by time. A key's window is forgotten ``ttl_ms``
-    after its last hit, which must be longer than a window. Start it inside ``rocks_state``.
+    after its last hit, which must be longer than a window; as above, such a query runs until
+    it is stopped. Start it inside ``rocks_state``.
     """
     if ttl_ms is not None and ttl_ms < window_ms:
         raise ValueError("a window must not be forgotten before it ends")

@@ -1,17 +1,13 @@
-"""Scan progress and rate limiting: batch forms and Structured Streaming jobs."""
+"""Scan progress and rate limiting over tables; ``live`` has the streaming forms."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinframe.operators.ranking import rank_in_group
 from kinframe.session import materialize
@@ -55,42 +51,6 @@ def live_events(events: DataFrame, ignored_after: tuple[str, ...] = IGNORED_AFTE
     ).select(*events.columns)
 
 
-def _timer(idle_ms: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
-def live_events_stream(
-    events: DataFrame, ignored_after: tuple[str, ...] = IGNORED_AFTER, idle_ms: int | None = None
-) -> DataFrame:
-    """Streaming form: one flag per scan; stragglers of a stopped scan are dropped.
-
-    With ``idle_ms`` a flag is forgotten after that long without events. Timers keep a
-    query alive, so leave it out for runs that end when the input does.
-    """
-    columns = events.columns
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stopped = state.get[0] if state.exists else False
-        parts = [] if stopped else [b for b in batches if len(b)]
-        if parts:
-            rows = pd.concat(parts).sort_values(["ts", "event_id"], kind="stable")
-            stop = np.nonzero(rows["status"].isin(ignored_after).to_numpy())[0]
-            if len(stop):
-                stopped = True
-                rows = rows.iloc[: stop[0] + 1]
-            yield rows[columns]
-        state.update((stopped,))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-
-    return events.groupBy("scan_id").applyInPandasWithState(
-        run, events.schema, "stopped boolean", "append", _timer(idle_ms)
-    )
-
-
 # ------------------------------------------------------------------ rate limiting
 
 
@@ -151,43 +111,6 @@ def rate_limit(events: DataFrame, limit: int, window_ms: int, key: str = "key")
     )
 
 
-def rate_limit_stream(
-    events: DataFrame, limit: int, window_ms: int, key: str = "key", idle_ms: int | None = None
-) -> DataFrame:
-    """Streaming form: window start and count per key, dropped after ``idle_ms`` when given.
-
-    Within a micro-batch events are taken by time; between batches by arrival.
-    """
-    rows = events.where(F.col(key).isNotNull()).select("event_id", F.col(key).alias("key"), event_ms().alias("ms"))
-    out = T.StructType([*rows.schema.fields, T.StructField("opened", T.LongType()), T.StructField("hits", T.LongType())])
-
-    def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened, hits = state.get if state.exists else (None, 0)
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        batch = pd.concat(parts).sort_values(["ms", "event_id"], kind="stable")
-        openings, counts = [], []
-        for ms in batch["ms"].tolist():
-            if opened is None or ms >= opened + window_ms:
-                opened, hits = ms, 0
-            hits += 1
-            openings.append(opened)
-            counts.append(hits)
-        state.update((opened, hits))
-        if idle_ms is not None:
-            state.setTimeoutDuration(max(window_ms, idle_ms))
-        yield batch.assign(opened=openings, hits=counts)[["event_id", "key", "ms", "opened", "hits"]]
-
-    counted = rows.groupBy("key").applyInPandasWithState(
-        run, out, "opened long, hits long", "append", _timer(idle_ms)
-    )
-    return _limit_columns(counted, limit, window_ms)
-
-
 # ------------------------------------------------------------------ running a job
 
 
@@ -198,33 +121,3 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> Streami
         .option("path", path).option("checkpointLocation", f"{path}-state")
         .trigger(availableNow=True).start()
     )
-
-
-def keep_latest(stream: DataFrame, keys: list[str], path: str, state: str | None = None) -> StreamingQuery:
-    """Maintain a Parquet table with the newest row per key from an update-mode stream.
-
-    Each micro-batch writes a new version folder from the previous one; the batch id in
-    its name makes a repeated batch overwrite itself. Versions before the previous one are
-    removed, as neither a repeat nor a reader of the newest needs them.
-    """
-    spark = stream.sparkSession
-
-    def forget(batch_id: int) -> None:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{batch_id - 2}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/v{batch_id}"
-        if batch_id == 0:
-            batch.write.mode("overwrite").parquet(target)
-            return
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}")
-        old.join(batch.select(*keys), keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(target)
-        if batch_id >= 2:
-            forget(batch_id)
-
-    return (
-        stream.writeStream.outputMode("update").foreachBatch(upsert)
-        .option("checkpointLocation", state or f"{path}-state")
-        .trigger(availableNow=True).start()
-    )

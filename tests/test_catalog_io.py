@@ -53,6 +53,10 @@ def test_catalog_versions(spark, tmp_path):
     io.save_catalog({**loaded, "photos": loaded["photos"].unionByName(loaded["photos"])}, root)
     assert io.load_catalog(spark, root)["photos"].count() == 2
     assert len(list((tmp_path / "cat").glob("v-*"))) == 2
+    for _ in range(3):
+        io.save_catalog({"photos": io.load_catalog(spark, root)["photos"].limit(1)}, root)
+        assert len(list((tmp_path / "cat").glob("v-*"))) == 2
+    assert io.load_catalog(spark, root)["photos"].count() == 1
 
 
 def test_golden_and_reports(spark, tmp_path):

@@ -51,15 +51,34 @@ def test_typed_state(spark, tmp_path, hot):
     if hot:  # nearly all events belong to one key
         df = df.withColumn("scan_id", F.when(F.col("event_id") % 17 == 0, F.col("scan_id")).otherwise(F.lit(1).cast("long")))
     jobs = {
-        "live": (lambda s: live.live_events_state(s, ttl_ms=3_600_000), pg.live_events(df)),
-        "limit": (lambda s: live.rate_limit_state(s, 3, 600_000, "scan_id", ttl_ms=3_600_000), pg.rate_limit(df, 3, 600_000, "scan_id")),
+        "live": (live.live_events_state, pg.live_events(df)),
+        "limit": (lambda s: live.rate_limit_state(s, 3, 600_000, "scan_id"), pg.rate_limit(df, 3, 600_000, "scan_id")),
     }
     for name, (job, want) in jobs.items():
         with live.rocks_state(spark):
             query = pg.run_available(job(stream_of(spark, df, str(tmp_path / f"in-{name}"))), str(tmp_path / name))
-        assert query.awaitTermination(180) and query.exception() is None
+        assert query.awaitTermination(300) and query.exception() is None
         got = spark.read.parquet(str(tmp_path / name)).select(*want.columns)
         assert rows_of(got) == rows_of(want) and 0 < want.count()
+
+
+def test_typed_state_is_forgotten(spark, tmp_path):
+    """A stream with a time to live runs on by itself; its state goes without new events."""
+    df = events(spark).where("scan_id < 2")
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    with live.rocks_state(spark):
+        query = live.rate_limit_state(source, 3, 600, "scan_id", ttl_ms=1_000).writeStream.format("memory").queryName("forgotten").start()
+    try:
+        for _ in range(60):
+            states = [p["stateOperators"][0]["customMetrics"] for p in query.recentProgress if p["stateOperators"]]
+            if sum(m.get("numValuesRemovedDueToTTLExpiry", 0) for m in states) >= 2:
+                break
+            assert not query.awaitTermination(2)
+        else:
+            raise AssertionError("state was kept")
+    finally:
+        query.stop()
     with pytest.raises(ValueError):
         live.rate_limit_state(df, 3, 600_000, "scan_id", ttl_ms=10)
 

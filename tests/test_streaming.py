@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from kinframe.sources import catalog_io as io
 from kinframe.streaming import ingest_job
-from kinframe.streaming import progress as pg
 
 EVENTS = "event_id long, ts timestamp, scan_id long, status string, value double"
 
@@ -27,36 +26,6 @@ def rows_of(df):
     return sorted(tuple(str(v) for v in r) for r in df.collect())
 
 
-def test_status_and_counts(spark, tmp_path):
-    df = events(spark)
-    for name, fn in (("status", pg.scan_status), ("counts", pg.progress_counts)):
-        stream = stream_of(spark, df, str(tmp_path / f"in-{name}"))
-        out = str(tmp_path / name)
-        pg.keep_latest(fn(stream), ["scan_id"], out, str(tmp_path / f"st-{name}")).awaitTermination(60)
-        last = max((p for p in (tmp_path / name).iterdir()), key=lambda p: int(p.name[1:]))
-        assert rows_of(spark.read.parquet(str(last))) == rows_of(fn(df))
-
-
-def test_stragglers_are_dropped(spark, tmp_path):
-    df = events(spark)
-    stream = pg.live_events_stream(stream_of(spark, df, str(tmp_path / "in")))
-    pg.run_available(stream, str(tmp_path / "out")).awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    want = pg.live_events(df)
-    assert 0 < want.count() < df.count()
-    assert rows_of(got.select(*df.columns)) == rows_of(want)
-
-
-def test_rate_limit(spark, tmp_path):
-    df = events(spark)
-    stream = pg.rate_limit_stream(stream_of(spark, df, str(tmp_path / "in")), 3, 600_000, "scan_id")
-    pg.run_available(stream, str(tmp_path / "out")).awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    want = pg.rate_limit(df, 3, 600_000, "scan_id")
-    assert rows_of(got.select(*want.columns)) == rows_of(want)
-    assert want.where("limited").count() > 0
-
-
 def test_incremental_ingest(spark, tmp_path):
     root = str(tmp_path / "cat")
     io.save_catalog(
