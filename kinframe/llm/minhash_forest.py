@@ -10,20 +10,22 @@ shared prefix nor equal signatures meet in one task, and each class meets the ne
 Rows at the edge of a sorted partition are paired through a small table of edges.
 
 Neighbours whose 128 sketch bits differ by far more than the threshold allows (five
-standard errors) are left out; the others are confirmed on the full sets, built again
-from the texts, in two rounds: the best candidate of each class first, then those whose
-ends still lie in different components.
-
-A region is crowded where a neighbour at the full reach still shares ``crowded`` values.
-There many texts are like one text, but less like each other, and meet it too seldom. So
-classes of crowded regions that do not lie in one component are compared with the hub of
-each of their regions, the class with the most links found so far, at the shallow and at
-the crowded depth, and searched again in new trees, twice as deep and with hash functions
-of their own, until a search joins nothing or few enough are left. Then comes an exact
-finish: classes that candidate pairs connect, with a crowded pair among them, are one
-region, and every class outside the largest component of its region is compared by its
-full set with every class of other components in such regions. The texts are scanned once
-per ``at_once`` of these classes, whose sets are broadcast, so no key gathers a family.
+standard errors) are left out; the others are confirmed on the full sets of both.
+
+A region is crowded where more than ``reach`` classes share ``crowded`` values of an order.
+There a class would meet too few of those that resemble it, so nothing is paired; the
+order only says that these classes belong together. Classes that pairs or crowded runs
+connect, with a crowded run among them, are one region, and a region is finished exactly:
+every class outside its largest component is compared with every class of the other
+components. Blocks of such classes meet blocks of the region in a task, where common
+shingles are counted by one matrix product over the frequent ones and lists of the rest;
+blocks are bounded in rows and bytes, and a task names one link per class and component.
+So two similar classes are missed only if they share no long prefix in any order: where
+they do, they are neighbours, or lie in one crowded region.
+
+The sets of candidate classes are written once, and only they are joined with pairs and
+blocks. Components are found over nodes whose names begin with the smallest id, so their
+smallest node is the answer and no join goes by component.
 
 Rows: a null text and a text without words have an empty set and link with nothing. A row
 without a ``doc_id`` cannot be named; it links with nothing and is kept. Every row counts
@@ -33,12 +35,12 @@ by its own set, also where an id repeats.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinframe.llm.words import WHITESPACE_WORDS, Words, mix, slices, texts_of, windows
 from kinframe.operators.cluster import connected_components
@@ -51,9 +53,8 @@ MIN_DEPTH = 3
 REACH = 4
 CROWDED = 5
 PERCENT = 80
-# Classes, and shingles of theirs, that one pass of the exact finish broadcasts.
-AT_ONCE = 2048
-SHINGLES_AT_ONCE = 1_000_000
+# Largest blocks of the exact finish: classes to place, classes of the region, bytes of both.
+PROBES, MEMBERS, BLOCK_BYTES = 2048, 4096, 16 << 20
 
 
 def _sets(w: Words, width: int):
@@ -124,32 +125,44 @@ def _neighbours(rows: list[tuple], at_least: int, reach: int, min_depth: int, cr
     """Pairs of rows of one tree, at most ``reach`` apart, with ``min_depth`` common values.
 
     Rows are ``(tree, key, cls, n_shingles, sketch)``; the later one has position
-    ``at_least`` or more. Returns the classes, how many sketch bits agree (0 for a pair
-    that cannot be similar), and whether the pair shows a crowded region.
+    ``at_least`` or more. Returns the classes, how many sketch bits agree, and whether the
+    pair only joins two rows of a crowded run (then no bits are given).
     """
     tree, keys, cls, size, sketch = zip(*rows)
     n = len(rows)
     tree, size = np.array(tree), np.array(size)
     values = np.frombuffer(b"".join(keys), ">u4").reshape(n, -1)
     bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, -1)
-    left, right, agree, crowd = [], [], [], []
-    for step in range(1, min(reach, n - 1) + 1):
+
+    def common(step: int) -> np.ndarray:
         differ = values[:-step] != values[step:]
         lcp = np.where(differ.any(1), differ.argmax(1), differ.shape[1])
-        hit = (lcp >= min_depth) & (tree[:-step] == tree[step:])
+        return np.where(tree[:-step] == tree[step:], lcp, -1)
+
+    # A run begins where the row ``reach`` further shares ``crowded`` values; all rows between do.
+    run = np.zeros(n + 1, np.int64)
+    if n > reach:
+        starts = np.flatnonzero(common(reach) >= crowded)
+        np.add.at(run, starts, 1)
+        np.add.at(run, starts + reach, -1)
+    inside = np.cumsum(run)[: n - 1] > 0  # whether a row and the next are of one run
+    at = np.flatnonzero(inside)
+    at = at[at + 1 >= at_least - reach]  # known since the last call, or new
+    left, right, agree, crowd = [at], [at + 1], [np.zeros(len(at), np.int64)], [np.ones(len(at), bool)]
+    covered = np.concatenate([[0], np.cumsum(inside)])
+    for step in range(1, min(reach, n - 1) + 1):
+        lcp = common(step)
+        hit = (lcp >= min_depth) & ~((covered[step:] - covered[:-step] == step) & (lcp >= crowded))
         hit[: max(0, at_least - step)] = False
         at = np.flatnonzero(hit)
         small, large = np.minimum(size[at], size[at + step]), np.maximum(size[at], size[at + step])
         off = _ONES[bits[at] ^ bits[at + step]].sum(1)
         fits = (100 * small >= percent * large) & (off <= _too_far(percent))
-        full = (lcp[at] >= crowded) & (step == reach)
-        keep = fits | full
-        left.append(at[keep])
-        right.append(at[keep] + step)
-        agree.append(np.where(fits, SKETCH - off, 0)[keep])
-        crowd.append(full[keep])
-    if not left:
-        return [], [], [], []
+        at, off = at[fits], off[fits]
+        left.append(at)
+        right.append(at + step)
+        agree.append(SKETCH - off)
+        crowd.append(np.zeros(len(at), bool))
     left, right, agree, crowd = map(np.concatenate, (left, right, agree, crowd))
     return [cls[i] for i in left], [cls[i] for i in right], agree.tolist(), crowd.tolist()
 
@@ -217,104 +230,80 @@ def candidates(classes: DataFrame, trees: int, depth: int, percent: int, min_dep
     )
 
 
-def hub_pairs(classes: DataFrame, ends: DataFrame, links: DataFrame, trees: int, depth: int, percent: int, depths: tuple[int, ...]) -> DataFrame:
-    """``(a, b)``: every class of ``ends`` with the class of most links in each of its regions."""
-    either = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
-    degree = either.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
-
-    def regions(some: DataFrame) -> DataFrame:
-        prefixes = F.array(*[F.expr(f"substring(key, 1, {4 * d})") for d in depths])
-        return forest_rows(some, trees, depth).withColumn("prefix", F.explode(prefixes)).drop("key")
-
-    linked = regions(classes.join(degree.select("cls"), "cls", "left_semi")).join(degree, "cls")
-    top = F.max_by(F.struct("cls", "n_shingles", "sketch"), F.struct("degree", "cls"))
-    hubs = linked.groupBy("tree", "prefix").agg(top.alias("hub"))
-    met = regions(classes.join(ends, "cls", "left_semi")).join(hubs, ["tree", "prefix"]).where("cls <> hub.cls")
-    met = met.select("cls", "n_shingles", "sketch", F.col("hub.cls").alias("hub"), F.col("hub.n_shingles").alias("hub_size"), F.col("hub.sketch").alias("hub_sketch"))
-
-    def fitting(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "hub_sketch"))
-            n, m = (batch.column(c).to_numpy() for c in ("n_shingles", "hub_size"))
-            keep = (_ONES[x ^ y].sum(1) <= _too_far(percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield batch.select(["cls", "hub"]).filter(pa.array(keep))
-
-    return met.mapInArrow(fitting, "cls binary, hub binary").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-
-
-def _both(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` with the texts of both classes."""
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("cls").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return pairs
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
-def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(cls, doc_id, text)`` of one document of every wanted class."""
+def _class_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(cls, shingles)``: the sorted shingle hashes of every wanted class, from one of its documents."""
 
     def run(batches):
         # Of rows that repeat an id, those with the set of the class.
         for batch in slices(batches, "text"):
-            sets = _sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width)
-            same = [_fingerprint(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
+            own = batch.column("cls").to_pylist()
+            sets = list(_sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width))
+            same = [i for i, (s, c) in enumerate(zip(sets, own)) if _fingerprint(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in same], pa.binary()), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["cls", "shingles"])
 
     named = reps.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(named, "doc_id").select("cls", "doc_id", "text").mapInArrow(run, f"cls binary, doc_id {id_type}, text string")
+    found = docs.select("doc_id", "text").join(named, "doc_id").select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
+    return found.dropDuplicates(["cls"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def run(batches):
-        for batch in slices(slices(batches, "text_a"), "text_b"):
-            x, y = (list(_sets(Words(texts_of(batch, c), WHITESPACE_WORDS), width)) for c in ("text_a", "text_b"))
+        for batch in batches:
             keep = []
-            for s, t in zip(x, y):
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _both(pairs.select("a", "b"), texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cls").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """``(cls, comp)`` of the linked classes."""
-    found = connected_components(links.select(F.hex("a").alias("a"), F.hex("b").alias("b")), "a", "b")
-    return materialize(found.select(F.unhex("id").alias("cls"), F.unhex("component").alias("comp")))
+def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(cls, node, comp)`` of the linked classes; ``comp`` is the smallest node."""
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("cls").alias(end), F.col("node").alias(f"node_{end}")), end)
+    found = connected_components(edges, "node_a", "node_b")
+    return materialize(found.select(F.col("id").alias("node"), F.col("component").alias("comp")).join(nodes, "node").select("cls", "node", "comp"))
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    for end in ("a", "b"):
-        side = comps.select(F.col("cls").alias(end), F.col("comp").alias(f"comp_{end}"))
-        pairs = pairs.join(side, end, "left").withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
-    return pairs.where("comp_a <> comp_b").drop("comp_a", "comp_b")
+def _nodes(reps: DataFrame) -> DataFrame:
+    """``(cls, node)``: texts in the order of the classes' smallest ids, told apart by class."""
+    if isinstance(reps.schema["rep"].dataType, T.StringType):
+        first = F.concat("rep", F.lit("\0"))
+    else:
+        first = F.lpad(F.hex(F.col("rep").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return reps.select("cls", F.concat(first, F.hex("cls")).alias("node"))
+
+
+def _id_of(node, kind: T.DataType):
+    """The smallest id that a node begins with."""
+    if isinstance(kind, T.StringType):
+        return F.split_part(node, F.lit("\0"), F.lit(1))
+    return (F.conv(F.substring(node, 1, 16), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast(kind)
 
 
-def _parties(regions: DataFrame, comps: DataFrame) -> DataFrame:
-    """``(cls, comp, probe)`` of the regions that lie in several components.
+def _parties(pairs: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(cls, comp, region, probe)`` of the crowded regions that lie in several components.
 
     Every class outside the largest component of its region is a probe.
     """
-    members = regions.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    found = _components(pairs.select("a", "b"), nodes).select("cls", "node", F.col("comp").alias("region"))
+    crowded = pairs.where("crowd").select(F.col("a").alias("cls")).distinct().join(found, "cls").select("region").distinct()
+    members = found.join(crowded, "region", "left_semi").join(comps.select("cls", "comp"), "cls", "left")
+    members = materialize(members.select("cls", "region", F.coalesce("comp", "node").alias("comp")))
     sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     homes = sizes.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.count(F.lit(1)).alias("parts"))
-    return members.join(homes.where("parts > 1"), "region").select("cls", "comp", (F.col("comp") != F.col("home")).alias("probe"))
-
-
-def _regions(pairs: DataFrame) -> DataFrame:
-    """``(cls, region)``: classes that pairs connect, where a pair is crowded."""
-    found = _components(pairs.select("a", "b")).withColumnRenamed("comp", "region")
-    crowded = pairs.where("crowd").select(F.col("a").alias("cls")).join(found, "cls").select("region").distinct()
-    return materialize(found.join(crowded, "region", "left_semi").select("cls", "region"))
+    return materialize(members.join(homes.where("parts > 1"), "region").select("cls", "comp", "region", (F.col("comp") != F.col("home")).alias("probe")))
 
 
 class _Probes:
@@ -354,51 +343,52 @@ class _Probes:
         return out
 
 
-def _exact_links(parties: DataFrame, texts: DataFrame, width: int, percent: int, at_once: int) -> DataFrame | None:
-    """``(a, b)``: links of all probes with classes of other components, one per component and task."""
-    spark = parties.sparkSession
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def sets_of(batches):
-        for batch in slices(batches, "text"):
-            sets = [s.tobytes() for s in _sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("comp"), pa.array(sets, pa.binary())], ["cls", "comp", "shingles"])
-
-    some = materialize(texts.join(parties, "cls").select("cls", "comp", "probe", "text"))
-    probes = materialize(some.where("probe").select("cls", "comp", "text").mapInArrow(sets_of, "cls binary, comp binary, shingles binary").dropDuplicates(["cls"]))
-    n, total = probes.agg(F.count(F.lit(1)), F.sum(F.length("shingles"))).first()
-    if not n:
-        return None
-    passes = math.ceil(max(n / at_once, total / 8 / SHINGLES_AT_ONCE))
-    links = None
-    for number in range(passes):
-        rows = probes.where(F.pmod(F.xxhash64("cls"), F.lit(passes)) == number).collect()
-        if not rows:
-            continue
-        held = _Probes([bytes(r["cls"]) for r in rows], [bytes(r["comp"]) for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows])
-        shared = spark.sparkContext.broadcast(held)
-
-        def run(batches):
-            held, seen = shared.value, set()
-            for batch in slices(batches, "text"):
-                cls, comp = batch.column("cls").to_pylist(), batch.column("comp").to_pylist()
-                sets = list(_sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width))
-                a, b = [], []
-                for at in range(0, len(sets), 256):
-                    part = sets[at : at + 256]
-                    common = held.common(part)
-                    size = np.array([len(s) for s in part])[:, None] + held.size[None, :]
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(100 * common >= percent * (size - common)))):
-                        mark = (j, comp[at + i])
-                        if held.comp[j] != comp[at + i] and mark not in seen:
-                            seen.add(mark)
-                            a.append(min(cls[at + i], held.cls[j]))
-                            b.append(max(cls[at + i], held.cls[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-        more = materialize(some.select("cls", "comp", "text").mapInArrow(run, "a binary, b binary"))
-        links = more if links is None else links.unionByName(more)
-        shared.unpersist()
-    return links
+
+def _exact_links(parties: DataFrame, sets: DataFrame, percent: int, probes: int = PROBES, members: int = MEMBERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(a, b)``: links of all probes with classes of other components of their region.
+
+    A block of probes meets a block of members in a task, which names one link per probe
+    and component.
+    """
+    rows = materialize(parties.join(sets, "cls"))
+    size = F.octet_length("shingles")
+    blocks = lambda n, most, total: F.greatest(F.ceil(n / most), F.ceil(total / block_bytes), F.lit(1)).cast("int")
+    deal = rows.groupBy("region").agg(
+        blocks(F.count_if("probe"), probes, F.sum(F.when(F.col("probe"), size).otherwise(0))).alias("across"),
+        blocks(F.count(F.lit(1)), members, F.sum(size)).alias("down"),
+    )
+    dealt = rows.join(deal, "region")
+    place = F.xxhash64("cls")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = dealt.where("probe").select("region", F.pmod(place, "across").alias("x"), F.explode(upto("down")).alias("y"), F.lit(True).alias("asks"), "cls", "comp", "shingles")
+    shown = dealt.select("region", F.explode(upto("across")).alias("x"), F.pmod(place, "down").alias("y"), F.lit(False).alias("asks"), "cls", "comp", "shingles")
+
+    def run(table):
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        cls, comp = table.column("cls").to_pylist(), table.column("comp").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        ask, show = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b, seen = [], [], set()
+        if len(ask):
+            held = _Probes([cls[i] for i in ask], [comp[i] for i in ask], [sets[i] for i in ask])
+            codes = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+            probe_comp = np.array([codes[c] for c in held.comp])
+            for at in range(0, len(show), 256):
+                part = show[at : at + 256]
+                common = held.common([sets[i] for i in part])
+                total = np.array([len(sets[i]) for i in part])[:, None] + held.size[None, :]
+                own = np.array([codes[comp[i]] for i in part])
+                hit = (100 * common >= percent * (total - common)) & (own[:, None] != probe_comp[None, :])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(hit))):
+                    if (j, own[i]) not in seen:
+                        seen.add((j, own[i]))
+                        a.append(min(cls[part[i]], held.cls[j]))
+                        b.append(max(cls[part[i]], held.cls[j]))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINK)
+
+    return asked.unionByName(shown).groupBy("region", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -410,61 +400,34 @@ def near_duplicates(
     min_depth: int = MIN_DEPTH,
     crowded: int = CROWDED,
     reach: int = REACH,
-    at_once: int = AT_ONCE,
+    **blocks: int,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``.
 
     Documents are linked when their sets have a Jaccard similarity of ``percent`` / 100 or
-    more; ``component_id`` is the smallest id of the component.
+    more; ``component_id`` is the smallest id of the component. ``blocks`` bounds the
+    blocks of the exact finish.
     """
     rows = materialize(signatures(docs, width, trees, depth))
     named = rows.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
     alike = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "sig")]
     classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), *alike))
     reps = classes.select("cls", "rep")
+    nodes = _nodes(reps)
 
     pairs = materialize(candidates(classes, trees, depth, percent, min_depth, crowded, reach))
-    similar = pairs.where("agree > 0")
-    # The documents are joined once, for every class that any round may compare.
-    texts = materialize(_texts(docs, reps, _ends(pairs), width))
-    either = similar.withColumn("own", F.explode(F.array("a", "b")))
-    best = either.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = materialize(_links(best, texts, width, percent))
-    comps = _components(links)
-    links = links.unionByName(materialize(_links(_apart(similar.select("a", "b"), comps), texts, width, percent)))
-    comps = _components(links)
-
-    crowd = pairs.where("crowd").select("a", "b")
-    ends = materialize(_ends(_apart(crowd, comps)))
-    if not ends.isEmpty():
-        hubs = materialize(_apart(hub_pairs(classes, ends, links, trees, depth, percent, (min_depth, crowded)), comps))
-        links = links.unionByName(materialize(_links(hubs, texts, width, percent)))
-        comps = _components(links)
-    if not crowd.isEmpty():
-        regions = _regions(pairs)
-        search = 0
-        while True:
-            parties = materialize(_parties(regions, comps))
-            if parties.where("probe").count() <= at_once:
-                break
-            search += 1
-            some = texts.join(_ends(_apart(crowd, comps)), "cls", "left_semi")
-            deeper = signatures(some, width, trees, 2 * depth, search).dropDuplicates(["cls"])
-            deep = materialize(candidates(deeper, trees, 2 * depth, percent, min_depth, crowded, reach))
-            more = materialize(_links(_apart(deep.where("agree > 0").select("a", "b"), comps), texts, width, percent))
-            if more.isEmpty():
-                break
-            links = links.unionByName(more)
-            comps = _components(links)
-        more = _exact_links(parties, texts, width, percent, at_once)
-        if more is not None:
-            links = links.unionByName(more)
-            comps = _components(links)
-
-    own = reps.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    low = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labels = own.join(low, "comp").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
+    sets = materialize(_class_sets(docs, reps, _ends(pairs), width))
+    links = materialize(_links(pairs.where("agree > 0").select("a", "b"), sets, percent))
+    comps = _components(links, nodes)
+    if not pairs.where("crowd").isEmpty():
+        parties = _parties(pairs, comps, nodes)
+        more = materialize(_exact_links(parties, sets, percent, **blocks))
+        if not more.isEmpty():
+            comps = _components(links.unionByName(more), nodes)
+
+    kind = reps.schema["rep"].dataType
+    labels = comps.select("cls", _id_of(F.col("comp"), kind).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "cls").join(reps.join(labels, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id")), "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

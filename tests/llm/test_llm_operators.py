@@ -452,18 +452,33 @@ def test_forest_finishes_a_family_without_its_original(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(label.tolist()))
 
 
-def test_exact_finish_in_several_passes(spark):
-    """Every probe meets every class of another component, over passes and list and matrix shingles."""
+def test_exact_finish_in_blocks(spark):
+    """Every probe meets every class of its region, over blocks and list and matrix shingles."""
     rng = random.Random(12)
-    texts = []
+    rows, texts = [], []
     for g in range(12):
         base = prose(rng, 80, 5000).split()
         texts += [" ".join([*base[:40], f"e{g}x{k}", *base[41:]]) for k in range(4)]
+    found = list(minhash_forest._sets(words.Words([t.encode() for t in texts], words.WHITESPACE_WORDS), 5))
     cls = [bytes([i]) for i in range(len(texts))]
-    parties = spark.createDataFrame([(c, c, True) for c in cls], "cls binary, comp binary, probe boolean")
-    table = spark.createDataFrame(list(zip(cls, texts)), "cls binary, text string")
-    got = {(r.a[0], r.b[0]) for r in minhash_forest._exact_links(parties, table, 5, 85, 7).collect()}
-    assert got == {(i, j) for i in range(48) for j in range(i + 1, 48) if i // 4 == j // 4}
+    # Groups lie in one of two regions; class 4k is at home.
+    rows = [(c, str(i), str(i // 24), i % 4 > 0) for i, c in enumerate(cls)]
+    parties = spark.createDataFrame(rows, "cls binary, comp string, region string, probe boolean")
+    table = spark.createDataFrame([(c, s.tobytes()) for c, s in zip(cls, found)], "cls binary, shingles binary")
+    for limits in ({}, {"probes": 5, "members": 7}, {"block_bytes": 2_000}):
+        got = {(r.a[0], r.b[0]) for r in minhash_forest._exact_links(parties, table, 85, **limits).collect()}
+        assert got == {(i, j) for i in range(48) for j in range(i + 1, 48) if i // 4 == j // 4}
+
+
+def test_forest_with_text_and_negative_ids(spark):
+    rng = random.Random(13)
+    base = prose(rng, 60)
+    rows = [(-5, base), (3, base + " x"), (-9, base + " y"), (7, prose(rng, 60)), (-(2**63), "a b c d e f"), (2**63 - 1, "a b c d e f g")]
+    for kind, cast in (("long", int), ("string", str)):
+        docs = spark.createDataFrame([(cast(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs, 80).collect()}
+        low = min(cast(i) for i in (-5, 3, -9))
+        assert got == {**{cast(i): low for i in (-5, 3, -9)}, **{cast(i): cast(i) for i in (7, -(2**63), 2**63 - 1)}}
 
 
 # ------------------------------------------------------------------ 7 token shards
