@@ -128,7 +128,7 @@ class Placement:
             return np.ones((len(units), len(groups)), bool)
         cells = sorted(self.sides[side])
         reach = math.acos(min(1.0, threshold)) + ANGLE_SLACK
-        near = _angles(units, self.pivots[cells]) <= np.array([g.radius for g in groups])[None, :] + reach
+        near = angles(units, self.pivots[cells]) <= np.array([g.radius for g in groups])[None, :] + reach
         if bounds:
             turned, centres = units @ self.basis, self.pivots[cells] @ self.basis
             for i, k in enumerate(self.heads):
@@ -144,10 +144,10 @@ def _heads(basis: np.ndarray) -> list[int]:
     return [k for k in HEADS if k < len(basis)]
 
 
-def _sample_rows(df: DataFrame) -> np.ndarray:
+def sample_rows(df: DataFrame) -> np.ndarray:
     """A fixed, hash-chosen set of at most MAX_PIVOTS vectors."""
     rows = df.orderBy(F.xxhash64("vec")).limit(MAX_PIVOTS).select("vec").collect()
-    return unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64))
+    return unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
 
 
 def _directions(sample: np.ndarray) -> np.ndarray:
@@ -155,14 +155,15 @@ def _directions(sample: np.ndarray) -> np.ndarray:
     return np.linalg.svd(sample, full_matrices=True)[2].T
 
 
-def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
-def _place(df: DataFrame, pivots: np.ndarray, basis: np.ndarray) -> DataFrame:
+def place_rows(df: DataFrame, pivots: np.ndarray, basis: np.ndarray | None = None) -> DataFrame:
     """Add the nearest pivot ``cell``, the angle to it, and the bounds per head."""
     numbers = T.ArrayType(T.DoubleType())
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("ang", T.DoubleType()), T.StructField("gap", numbers), T.StructField("tail", numbers)])
+    basis = np.eye(pivots.shape[1]) if basis is None else basis
     heads, turned_pivots = _heads(basis), pivots @ basis
 
     def run(batches):
@@ -171,15 +172,15 @@ def _place(df: DataFrame, pivots: np.ndarray, basis: np.ndarray) -> DataFrame:
             units = unit_rows(to_matrix(table.column("vec")))
             if not len(units):
                 continue
-            angles = _angles(units, pivots)
-            cell = angles.argmin(axis=1)
+            near = angles(units, pivots)
+            cell = near.argmin(axis=1)
             turned = units @ basis
             apart = np.cumsum((turned - turned_pivots[cell]) ** 2, axis=1)
             inside = np.cumsum(turned**2, axis=1)
             gap = np.sqrt(np.stack([apart[:, k - 1] for k in heads], 1)) if heads else np.zeros((len(cell), 0))
             tail = np.sqrt(np.maximum(np.stack([inside[:, -1] - inside[:, k - 1] for k in heads], 1), 0)) if heads else gap
             table = table.append_column("cell", pa.array(cell.astype(np.int32)))
-            table = table.append_column("ang", pa.array(angles[np.arange(len(cell)), cell]))
+            table = table.append_column("ang", pa.array(near[np.arange(len(cell)), cell]))
             for name, values in (("gap", gap), ("tail", tail)):
                 table = table.append_column(name, pa.array(list(values), pa.list_(pa.float64())))
             yield from table.to_batches()
@@ -202,10 +203,10 @@ def _placement(left: DataFrame, right: DataFrame | None, block_rows: int | None,
         placed = [s.withColumn("cell", F.lit(0)).withColumn("ang", F.lit(0.0)) for s in sides]
         groups = [{0: Group(n, math.pi)} for n in sizes]
         return placed, Placement(np.zeros((0, 0)), np.zeros((0, 0)), groups, block_rows)
-    sample = _sample_rows(sides[-1])
+    sample = sample_rows(sides[-1])
     pivots, basis = sample[:wanted], _directions(sample)
     heads = range(len(_heads(basis)))
-    placed = [materialize(_place(s, pivots, basis)) for s in sides]
+    placed = [materialize(place_rows(s, pivots, basis)) for s in sides]
     groups = []
     for p in placed:
         most = [F.max(F.col(c)[i]).alias(f"{c}{i}") for c in ("gap", "tail") for i in heads]

@@ -36,10 +36,10 @@ def query_faces(faces: DataFrame, photo_ids: list | None = None) -> DataFrame:
     )
 
 
-def _best_photos(
-    queries: DataFrame, faces: DataFrame, k: int, min_sim: float, block_rows: int
+def photo_hits(
+    queries: DataFrame, faces: DataFrame, k: int, min_sim: float, block_rows: int | None = BLOCK_ROWS
 ) -> DataFrame:
-    """Per query photo the ``k`` best photos, each with its best face.
+    """Matches that hold the ``k`` best photos of every query photo: photo, face, similarity.
 
     A photo among the overall best is also among the best of the block its best face
     lies in, so a task only sends ``k`` photos per query photo.
@@ -93,7 +93,11 @@ def _best_photos(
                           F.lit(None).cast(faces.schema["photo_id"].dataType).alias("photo_id"))
     right = faces.select(F.col("face_order").alias("id"), F.col("embedding").alias("vec"),
                          F.lit(None).cast(queries.schema["query_photo"].dataType).alias("query_photo"), "photo_id")
-    found = block_pairs(left, right, reduce, schema, min_sim, block_rows)
+    return block_pairs(left, right, reduce, schema, min_sim, block_rows)
+
+
+def rank_hits(found: DataFrame, k: int) -> DataFrame:
+    """Per query photo the ``k`` best photos of ``photo_hits``, each with its best face."""
     best = found.groupBy("query_photo", "photo_id").agg(
         F.max(F.struct("similarity", (-F.col("query_order")).alias("q"), (-F.col("face_order")).alias("f"))).alias("m")
     )
@@ -102,7 +106,21 @@ def _best_photos(
     )
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_photo", "rank", "photo_id", F.col("m.similarity").alias("similarity"),
-        (-F.col("m.f")).alias("face_order"),
+        (-F.col("m.f")).alias("face_order"), (-F.col("m.q")).alias("query_order"),
+    )
+
+
+def describe_hits(best: DataFrame, faces: DataFrame, photos: DataFrame, persons: DataFrame) -> DataFrame:
+    """Ranked photos with the matched face, its person, and the photo's file."""
+    boxes = faces.select("face_order", "face_id", "person_id", "x1", "y1", "x2", "y2")
+    names = persons.select("person_id", F.col("name").alias("person_name"))
+    shown = photos.select("photo_id", "path", "thumb_path", "width", "height")
+    return (
+        best.join(boxes, "face_order").join(names, "person_id", "left").join(shown, "photo_id")
+        .select(
+            "query_photo", "rank", "photo_id", "path", "thumb_path", "face_id", "person_id", "person_name",
+            "similarity", "x1", "y1", "x2", "y2", "width", "height",
+        )
     )
 
 
@@ -121,17 +139,8 @@ def search_batch(
     ``all_persons`` adds ``matched_persons``: the names of all persons that any query face
     matches in the photo, at most as many as the photo has faces.
     """
-    best = materialize(_best_photos(queries, searchable_faces(faces, photos), k, min_sim, block_rows))
-    boxes = faces.select("face_order", "face_id", "person_id", "x1", "y1", "x2", "y2")
-    names = persons.select("person_id", F.col("name").alias("person_name"))
-    shown = photos.select("photo_id", "path", "thumb_path", "width", "height")
-    hits = (
-        best.join(boxes, "face_order").join(names, "person_id", "left").join(shown, "photo_id")
-        .select(
-            "query_photo", "rank", "photo_id", "path", "thumb_path", "face_id", "person_id", "person_name",
-            "similarity", "x1", "y1", "x2", "y2", "width", "height",
-        )
-    )
+    best = materialize(rank_hits(photo_hits(queries, searchable_faces(faces, photos), k, min_sim, block_rows), k))
+    hits = describe_hits(best, faces, photos, persons)
     if not all_persons:
         return hits
     rows = matched_persons(best, queries, faces, persons, min_sim, block_rows)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinframe.functions.vectors import centroids, cosine, dot, l2_normalize
-from kinframe.operators import cluster, pairs, persons, search
-from kinframe.plans.registry import ctes, query
+from kinframe.operators import cluster, pairs, persons, search, vector_index
+from kinframe.plans.registry import REGISTRY, ctes, query
+from kinframe.session import checkpoint_root
 
 COS = "list_cosine_similarity"
 
@@ -237,6 +240,19 @@ def v12(v):
     return rounded(search.search_batch(queries, v.faces, v.photos, v.persons, 5, 0.25), "similarity")
 
 
+def index(v):
+    root = f"{checkpoint_root(v.spark)}/index-{uuid.uuid4().hex}"
+    return vector_index.build_index(v.faces.select("face_order", "photo_id", "embedding"), root, cell_rows=100)
+
+
+@query("v10_indexed_search", REGISTRY["v10_search_faces"].sql)
+def v10i(v):
+    """The cells of a stored index, best bound first, instead of all faces."""
+    queries = search.query_faces(v.faces, [42, 90]).withColumn("query_photo", F.lit(0).cast("long"))
+    hits = index(v).search_photos(queries, v.faces, v.photos, v.persons, 10, 0.25)
+    return rounded(hits.drop("query_photo"), "similarity")
+
+
 @query("v13_mean_sim_to_first", ctes("faces") + f""",
 r AS (SELECT person_id, embedding, row_number() OVER (PARTITION BY person_id ORDER BY face_order) AS rn FROM faces
       WHERE embedding IS NOT NULL AND person_id IS NOT NULL)
