@@ -43,8 +43,8 @@ SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 65_536
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 65_536
-SLICE = 2 << 20
-CACHE_PIECES = 300_000
+SLICE = 4 << 20
+CACHE_PIECES = 400_000
 JOINED_PIECES = 256
 END_ID = 0
 MAGIC = b"TIDS"
@@ -82,6 +82,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.offsets = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.uint16)
         self.size = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -123,26 +124,50 @@ class Encoder:
             flat[np.repeat(starts[group] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return flat, lengths
 
+    def _forget(self) -> None:
+        """Keep the pieces that most slices had, half of the cache at most; of the rest, none.
+
+        Pieces seen once, as in junk, go; what is frequent is never encoded again.
+        """
+        seen = self.seen[: len(self.known)]
+        level = max(2, int(np.partition(seen, -(CACHE_PIECES // 2))[-(CACHE_PIECES // 2)]) + 1)
+        kept = np.flatnonzero(seen >= level)
+        names = np.array(list(self.known), object)[kept].tolist()
+        lengths = np.diff(self.offsets[: len(seen) + 1])[kept]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.offsets[kept] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        marks = seen[kept] // 2
+        self.reset()
+        self._keep(names, flat, lengths)
+        self.seen[: len(marks)] = marks
+
+    def _keep(self, names: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Append pieces with their ids."""
+        n, used = len(self.known), self.size
+        while used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(names) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        self.flat[used : used + len(flat)] = flat
+        self.offsets[n : n + len(names) + 1] = used + np.concatenate([[0], np.cumsum(lengths)])
+        self.size = used + len(flat)
+        self.known.update(zip(names, range(n, n + len(names))))
+
     def _store(self, pieces: list[str]) -> np.ndarray:
         """Positions of pieces in the cache, encoding those that are new."""
         if len(self.known) > CACHE_PIECES:
-            self.reset()
+            self._forget()
         new = [p for p in dict.fromkeys(pieces) if p not in self.known and p]
         if "" not in self.known:
             new.append("")
         flat, lengths = self._pieces([p for p in new if p])
         if new and not new[-1]:
             lengths = np.append(lengths, 0)
-        n, used = len(self.known), self.size
-        while used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(new) + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.flat[used : used + len(flat)] = flat
-        self.offsets[n : n + len(new) + 1] = used + np.concatenate([[0], np.cumsum(lengths)])
-        self.size = used + len(flat)
-        self.known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self._keep(new, flat, lengths)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.seen[at] = np.minimum(self.seen[at], 60_000) + 1
+        return at
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text, without the end id."""

@@ -503,6 +503,24 @@ def test_token_shards_round_trip(spark, awkward, nothing):
     assert token_shards.round_trip(nothing, tokenizer_path()).count() == 0
 
 
+def test_cache_keeps_frequent_pieces(monkeypatch):
+    """Ids stay those of the tokenizer while the cache is cut again and again."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_shards, "CACHE_PIECES", 300)
+    encoder = token_shards.Encoder(tokenizer_path())
+    rng = random.Random(5)
+    encoded = []
+    pieces = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda p: encoded.extend(p) or pieces(p))
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "of", "Größe", "x" * 9]) if rng.random() < 0.7 else f"junk{rng.random()}" for _ in range(40)) for _ in range(10)]
+        got = encoder.encode(pa.array([*texts, "", None, " a  b"]))
+        want = encoder._encode([*texts, "", "", " a  b"])
+        assert [x.tolist() for x in got] == want
+    assert len(encoder.known) < 900 and encoded.count(" the") == 1
+
+
 def test_sample_reaching_the_driver_is_bounded(spark, monkeypatch):
     """Rows without an id, or with one and the same, do not all go to the driver."""
     docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i}") for i in range(900)], "doc_id long, text string")
