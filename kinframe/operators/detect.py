@@ -277,16 +277,16 @@ def quality_tier(dets: DataFrame, use_eq: bool = True, blur_eq: float = BLUR_EQ)
 
 def composite_gate(
     dets: DataFrame,
-    det_score: float = GATE_DET_SCORE,
-    eq_score: float = GATE_EQ_SCORE,
-    tiny_side: float = GATE_TINY_SIDE,
-    eq_tiny: float = GATE_EQ_TINY,
+    det_score: float | Column = GATE_DET_SCORE,
+    eq_score: float | Column = GATE_EQ_SCORE,
+    tiny_side: float | Column = GATE_TINY_SIDE,
+    eq_tiny: float | Column = GATE_EQ_TINY,
     use_eq: bool = True,
 ) -> DataFrame:
     """Add ``downgraded`` and the final ``face_quality``.
 
     Weak detections with a poor blur score drop to the last tier; pose and
-    false-positive penalties come on top.
+    false-positive penalties come on top. Limits may be columns, one per row.
     """
     side, eq = bx.long_side(), F.col("eq_score")
     weak = ((F.col("det_score") < det_score) & (eq < eq_score)) | ((side < tiny_side) & (eq < eq_tiny))
@@ -390,12 +390,20 @@ def gate_effect(classified: DataFrame, truth: DataFrame) -> DataFrame:
     ``truth(image_id, x1..y2)`` lists unwanted target faces, matched by grid cell. A good
     face is any other of at least 64 px with a detector score of 0.7 or more.
     """
+    return _marked(classified, truth).agg(*_effects())
+
+
+def _marked(classified: DataFrame, truth: DataFrame) -> DataFrame:
+    """Accepted detections with ``_target``: whether they are one of the listed faces."""
     keys = ["image_id", "_cx", "_cy"]
     targets = truth.select("image_id", *cell_key()).distinct().withColumn("_target", F.lit(True))
-    rows = classified.where(F.col("reject_reason").isNull()).select("*", *cell_key()).join(targets, keys, "left")
+    return classified.where(F.col("reject_reason").isNull()).select("*", *cell_key()).join(targets, keys, "left")
+
+
+def _effects() -> list[Column]:
     target = F.col("_target").isNotNull()
     good = ~target & (bx.long_side() >= 64) & (F.col("det_score") >= 0.7)
-    return rows.agg(
+    return [
         F.count(F.lit(1)).alias("detections"),
         F.count_if("embed").alias("embedded"),
         *[F.count_if(F.col("face_quality") == t).alias(t) for t in bx.TIERS],
@@ -403,7 +411,24 @@ def gate_effect(classified: DataFrame, truth: DataFrame) -> DataFrame:
         F.count_if(target & F.col("embed")).alias("target_embedded"),
         F.count_if(good).alias("good_faces"),
         F.count_if(good & ~F.col("embed")).alias("good_downgraded"),
-    )
+    ]
+
+
+def gate_comparison(dets: DataFrame, truth: DataFrame, settings: Sequence[dict]) -> DataFrame:
+    """``gate_effect`` of several gate settings side by side, from one pass over the detections.
+
+    A setting has a ``name`` and may set ``det_score``, ``eq_score``, ``tiny_side`` and
+    ``eq_tiny``; ``"off": True`` switches the gate off. Geometry, tiers and targets do not
+    depend on the setting and are found once; each detection then meets every setting.
+    """
+    limits = {"det_score": GATE_DET_SCORE, "eq_score": GATE_EQ_SCORE, "tiny_side": GATE_TINY_SIDE, "eq_tiny": GATE_EQ_TINY}
+    rows = _marked(quality_tier(gate(face_geometry(dets))), truth)
+    # A blur score never lies below zero, so with limits of zero the gate stays open.
+    values = [{**limits, **({"eq_score": 0.0, "eq_tiny": 0.0} if c.get("off") else c)} for c in settings]
+    each = F.array(*[F.struct(F.lit(c["name"]).alias("setting"), *[F.lit(float(v[k])).alias(k) for k in limits]) for c, v in zip(settings, values)])
+    rows = rows.withColumn("_s", F.explode(each))
+    gated = embed_eligible(composite_gate(rows, *[F.col(f"_s.{k}") for k in limits]))
+    return gated.groupBy(F.col("_s.setting").alias("setting")).agg(*_effects())
 
 
 def detection_recall(dets: DataFrame, expected: DataFrame) -> DataFrame:

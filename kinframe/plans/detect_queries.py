@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import boxes as bx
 from kinframe.operators import detect as dt
-from kinframe.plans.registry import ctes, query
+from kinframe.plans.registry import REGISTRY, ctes, query
 from kinframe.plans.vector_queries import rounded
 
 GEO_SQL = """
@@ -201,6 +201,33 @@ def p16(v):
     return dt.gate_effect(classified(v), truth)
 
 
+SETTINGS = [
+    {"name": "off", "off": True},
+    {"name": "blur 0.15", "eq_score": 0.15},
+    {"name": "default"},
+    {"name": "strict", "det_score": 0.7, "eq_score": 0.4, "tiny_side": 100, "eq_tiny": 0.3},
+]
+
+
+def gate_comparison_sql() -> str:
+    values = []
+    for c in SETTINGS:
+        limits = (0.5, 0, 80, 0) if c.get("off") else (c.get("det_score", 0.5), c.get("eq_score", 0.25), c.get("tiny_side", 80), c.get("eq_tiny", 0.15))
+        values.append(f"('{c['name']}', {', '.join(f'{x}::DOUBLE' for x in limits)})")
+    settings = f"settings(setting, g_det, g_eq, g_side, g_tiny) AS (VALUES {', '.join(values)})"
+    default = "((det_score < 0.5::DOUBLE AND eq_score < 0.25::DOUBLE) OR (side < 80 AND eq_score < 0.15::DOUBLE)) AS downgraded FROM c0)"
+    gated = "((det_score < g_det AND eq_score < g_eq) OR (side < g_side AND eq_score < g_tiny)) AS downgraded FROM c0, settings)"
+    assert default in GEO_SQL
+    report = REGISTRY["p16_gate_effect"].sql.split(GEO_SQL)[1]
+    report = report.replace("SELECT count(*) AS detections", "SELECT setting, count(*) AS detections") + " GROUP BY setting"
+    return ctes("detections") + f", {settings}, " + GEO_SQL.replace(default, gated) + report
+
+
+@query("p16_gate_comparison", gate_comparison_sql())
+def p16c(v):
+    return dt.gate_comparison(v.detections, v.detections.where("eq_score < 0.05D"), SETTINGS)
+
+
 EXPECTED = "SELECT o_orderkey AS image_id, CAST(1 + o_custkey % 7 AS BIGINT) AS expected FROM orders"
 
 
