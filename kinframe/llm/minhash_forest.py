@@ -24,8 +24,8 @@ So two similar classes are missed only if they share no long prefix in any order
 they do, they are neighbours, or lie in one crowded region.
 
 The sets of candidate classes are written once, and only they are joined with pairs and
-blocks. Components are found over nodes whose names begin with the smallest id, so their
-smallest node is the answer and no join goes by component.
+blocks. A class is named by its smallest id and its fingerprint, so the smallest class of a
+component is the answer and no join goes by component.
 
 Rows: a null text and a text without words have an empty set and link with nothing. A row
 without a ``doc_id`` cannot be named; it links with nothing and is kept. Every row counts
@@ -54,7 +54,7 @@ REACH = 4
 CROWDED = 5
 PERCENT = 80
 # Largest blocks of the exact finish: classes to place, classes of the region, bytes of both.
-PROBES, MEMBERS, BLOCK_BYTES = 2048, 4096, 16 << 20
+PROBES, MEMBERS, BLOCK_BYTES = 1024, 2048, 16 << 20
 
 
 def _sets(w: Words, width: int):
@@ -242,7 +242,7 @@ def _class_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int)
         for batch in slices(batches, "text"):
             own = batch.column("cls").to_pylist()
             sets = list(_sets(Words(texts_of(batch, "text"), WHITESPACE_WORDS), width))
-            same = [i for i, (s, c) in enumerate(zip(sets, own)) if _fingerprint(s) == c]
+            same = [i for i, (s, c) in enumerate(zip(sets, own)) if _fingerprint(s) == c[-16:]]
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in same], pa.binary()), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["cls", "shingles"])
 
     named = reps.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
@@ -267,40 +267,34 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(cls, node, comp)`` of the linked classes; ``comp`` is the smallest node."""
-    edges = links
-    for end in ("a", "b"):
-        edges = edges.join(nodes.select(F.col("cls").alias(end), F.col("node").alias(f"node_{end}")), end)
-    found = connected_components(edges, "node_a", "node_b")
-    return materialize(found.select(F.col("id").alias("node"), F.col("component").alias("comp")).join(nodes, "node").select("cls", "node", "comp"))
+def _components(links: DataFrame) -> DataFrame:
+    """``(cls, comp)`` of the linked classes; ``comp`` is the smallest one."""
+    return materialize(connected_components(links, "a", "b").select(F.col("id").alias("cls"), F.col("component").alias("comp")))
 
 
-def _nodes(reps: DataFrame) -> DataFrame:
-    """``(cls, node)``: texts in the order of the classes' smallest ids, told apart by class."""
-    if isinstance(reps.schema["rep"].dataType, T.StringType):
-        first = F.concat("rep", F.lit("\0"))
-    else:
-        first = F.lpad(F.hex(F.col("rep").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    return reps.select("cls", F.concat(first, F.hex("cls")).alias("node"))
+def _name(kind: T.DataType):
+    """The key of a class: its smallest id in a form that sorts as the id, then its fingerprint."""
+    if isinstance(kind, T.StringType):
+        return F.concat(F.encode("rep", "utf-8"), F.unhex(F.lit("00")), F.col("mark"))
+    return F.concat(F.unhex(F.lpad(F.hex(F.col("rep").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")), F.col("mark"))
 
 
-def _id_of(node, kind: T.DataType):
-    """The smallest id that a node begins with."""
+def _id_of(kind: T.DataType):
+    """The smallest id of the component ``comp``."""
     if isinstance(kind, T.StringType):
-        return F.split_part(node, F.lit("\0"), F.lit(1))
-    return (F.conv(F.substring(node, 1, 16), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast(kind)
+        return F.decode(F.expr("substring(comp, 1, length(comp) - 17)"), "utf-8")
+    return (F.conv(F.hex(F.substring("comp", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast(kind)
 
 
-def _parties(pairs: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+def _parties(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """``(cls, comp, region, probe)`` of the crowded regions that lie in several components.
 
     Every class outside the largest component of its region is a probe.
     """
-    found = _components(pairs.select("a", "b"), nodes).select("cls", "node", F.col("comp").alias("region"))
+    found = _components(pairs.select("a", "b")).withColumnRenamed("comp", "region")
     crowded = pairs.where("crowd").select(F.col("a").alias("cls")).distinct().join(found, "cls").select("region").distinct()
     members = found.join(crowded, "region", "left_semi").join(comps.select("cls", "comp"), "cls", "left")
-    members = materialize(members.select("cls", "region", F.coalesce("comp", "node").alias("comp")))
+    members = materialize(members.select("cls", "region", F.coalesce("comp", "cls").alias("comp")))
     sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     homes = sizes.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.count(F.lit(1)).alias("parts"))
     return materialize(members.join(homes.where("parts > 1"), "region").select("cls", "comp", "region", (F.col("comp") != F.col("home")).alias("probe")))
@@ -388,7 +382,9 @@ def _exact_links(parties: DataFrame, sets: DataFrame, percent: int, probes: int
                         b.append(max(cls[part[i]], held.cls[j]))
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINK)
 
-    return asked.unionByName(shown).groupBy("region", "x", "y").applyInArrow(run, "a binary, b binary")
+    # Dealt anew: the rows lie by region, which would leave a region to one task.
+    blocks_of = asked.unionByName(shown).repartition("region", "x", "y")
+    return blocks_of.groupBy("region", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -408,26 +404,23 @@ def near_duplicates(
     more; ``component_id`` is the smallest id of the component. ``blocks`` bounds the
     blocks of the exact finish.
     """
-    rows = materialize(signatures(docs, width, trees, depth))
-    named = rows.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
+    rows = materialize(signatures(docs, width, trees, depth).withColumnRenamed("cls", "mark"))
+    named = rows.where(F.col("doc_id").isNotNull() & F.col("mark").isNotNull())
+    kind = rows.schema["doc_id"].dataType
     alike = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "sig")]
-    classes = materialize(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), *alike))
-    reps = classes.select("cls", "rep")
-    nodes = _nodes(reps)
+    classes = materialize(named.groupBy("mark").agg(F.min("doc_id").alias("rep"), *alike).withColumn("cls", _name(kind)))
 
     pairs = materialize(candidates(classes, trees, depth, percent, min_depth, crowded, reach))
-    sets = materialize(_class_sets(docs, reps, _ends(pairs), width))
+    sets = materialize(_class_sets(docs, classes.select("cls", "rep"), _ends(pairs), width))
     links = materialize(_links(pairs.where("agree > 0").select("a", "b"), sets, percent))
-    comps = _components(links, nodes)
+    comps = _components(links)
     if not pairs.where("crowd").isEmpty():
-        parties = _parties(pairs, comps, nodes)
-        more = materialize(_exact_links(parties, sets, percent, **blocks))
+        more = materialize(_exact_links(_parties(pairs, comps), sets, percent, **blocks))
         if not more.isEmpty():
-            comps = _components(links.unionByName(more), nodes)
+            comps = _components(links.unionByName(more))
 
-    kind = reps.schema["rep"].dataType
-    labels = comps.select("cls", _id_of(F.col("comp"), kind).alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(reps.join(labels, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id")), "cls", "left")
+    labels = classes.select("mark", "rep", "cls").join(comps.select("cls", _id_of(kind).alias("component_id")), "cls", "left")
+    out = rows.select("doc_id", "n_shingles", "mark").join(labels.select("mark", F.coalesce("component_id", "rep").alias("component_id")), "mark", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
