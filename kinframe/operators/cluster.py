@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinframe.functions.vectors import centroids, norm
 from kinframe.operators.catalog import live
@@ -67,14 +68,13 @@ def _contract(edges: DataFrame) -> DataFrame:
                     parent[max(ru, rv)] = min(ru, rv)
         links = [(n, root(n)) for n in parent]
         links = [x for x in links if x[0] != x[1]]
-        kind = pa.string() if is_text else pa.int64()
         for at in range(0, len(links), 100_000):
             part = links[at : at + 100_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in part], kind), pa.array([x[1] for x in part], kind)], ["u", "v"]
             )
 
-    is_text = isinstance(edges.schema["u"].dataType, T.StringType)
+    kind = to_arrow_type(edges.schema["u"].dataType)
     return edges.mapInArrow(run, edges.schema)
 
 
@@ -92,14 +92,20 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
     Edges are first contracted inside their partitions. What is left alternates the
     large-star and small-star steps, in which every node above its smallest neighbour is
     re-linked to it, until all edges point at component minima. Each step is a partial
-    aggregate and a lookup join.
+    aggregate and a lookup join. As soon as at most ``LOCAL_EDGES`` edges are left, one
+    task contracts them: that many rows are a few megabytes, far below any task's share.
     """
     e = materialize(
         _contract(
             edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         ).distinct()
     )
-    while not _settled(e):
+    while True:
+        if e.count() <= LOCAL_EDGES:
+            e = materialize(_contract(e.coalesce(1)))
+            break
+        if _settled(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (

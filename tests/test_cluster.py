@@ -146,7 +146,9 @@ def test_running_average(spark):
             assert got[r[0]] == (label, at + 1)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [cluster.LOCAL_EDGES, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(cluster, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(0, 30) if i % 7] + [(40, 41), (41, 40), (50, 99)]
     got = {r["id"]: r["component"] for r in cluster.connected_components(spark.createDataFrame(edges, "id_a long, id_b long")).collect()}
     parent = {}
