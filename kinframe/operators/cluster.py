@@ -44,6 +44,8 @@ LOW_TIERS = ("low", "very_low")
 LOCAL_EDGES = 100_000
 EDGES_PER_FACE = 200
 SURE_EDGES = 5_000_000
+# Faces that running-average clustering compares with all centroids at once.
+LEADER_BLOCK = 256
 
 
 # ------------------------------------------------------------------ connected components
@@ -704,6 +706,47 @@ def cluster_greedy(
 # ------------------------------------------------------------------ running average
 
 
+class _Leaders:
+    """The centroids of one label, in the order in which they came up.
+
+    Faces come in blocks: one matrix product compares the whole block with all centroids as
+    they stand. A face moves or adds a single centroid, so only that one's similarities to
+    the faces left in the block are worked out again; the others stay right.
+    """
+
+    def __init__(self, size: int, threshold: float):
+        self.threshold, self.used = threshold, 0
+        self.centres, self.lengths = np.zeros((16, size), np.float32), np.zeros(16)
+
+    def _cosines(self, rows: np.ndarray, norms: np.ndarray, which) -> np.ndarray:
+        scale = norms[:, None] * self.lengths[which][None, :]
+        return np.divide(rows @ self.centres[which].astype(np.float64).T, scale, out=np.zeros(scale.shape), where=scale > 0)
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The cluster of every row, from 1, each decided in its turn."""
+        while self.used + len(rows) > len(self.centres):
+            self.centres = np.concatenate([self.centres, np.zeros_like(self.centres)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        norms = np.sqrt((rows * rows).sum(axis=1))
+        s = np.zeros((len(rows), self.used + len(rows)))
+        s[:, : self.used] = self._cosines(rows, norms, slice(0, self.used))
+        out = np.zeros(len(rows), np.int64)
+        for i, v in enumerate(rows):
+            pick = int(s[i, : self.used].argmax()) if self.used and norms[i] > 0 else -1
+            if pick < 0 or s[i, pick] <= self.threshold:
+                pick = self.used
+                self.used += 1
+                self.centres[pick] = v
+            else:
+                self.centres[pick] = (self.centres[pick].astype(np.float64) + v) / 2
+            c = self.centres[pick].astype(np.float64)
+            self.lengths[pick] = np.sqrt(c @ c)
+            if i + 1 < len(rows):
+                s[i + 1 :, pick : pick + 1] = self._cosines(rows[i + 1 :], norms[i + 1 :], slice(pick, pick + 1))
+            out[i] = pick + 1
+        return out
+
+
 def cluster_running_average(faces: DataFrame, threshold: float, label: str = "label") -> DataFrame:
     """Sequential leader clustering inside each label: ``label, face_order, cluster`` (from 1).
 
@@ -723,35 +766,20 @@ def cluster_running_average(faces: DataFrame, threshold: float, label: str = "la
     )
 
     def run(batches):
-        current, centres, lengths, used = None, None, None, 0
+        current, found = None, None
         for batch in batches:
             vectors = to_matrix(pa.chunked_array([batch.column("embedding")]))
-            labels = batch.column(label).to_pylist()
-            found = np.zeros(len(labels), np.int64)
-            for i, (name, v) in enumerate(zip(labels, vectors)):
-                if name != current or centres is None:
-                    current, used = name, 0
-                    centres, lengths = np.zeros((16, len(v)), np.float32), np.zeros(16)
-                length = np.sqrt(v @ v)
-                pick = -1
-                if used and length > 0:
-                    scale = lengths[:used] * length
-                    sims = np.divide(centres[:used].astype(np.float64) @ v, scale, out=np.zeros(used), where=scale > 0)
-                    pick = int(sims.argmax())
-                    pick = pick if sims[pick] > threshold else -1
-                if pick < 0:
-                    if used == len(centres):
-                        centres = np.concatenate([centres, np.zeros_like(centres)])
-                        lengths = np.concatenate([lengths, np.zeros_like(lengths)])
-                    pick, used = used, used + 1
-                    centres[pick] = v
-                else:
-                    centres[pick] = (centres[pick].astype(np.float64) + v) / 2
-                c = centres[pick].astype(np.float64)
-                lengths[pick] = np.sqrt(c @ c)
-                found[i] = pick + 1
+            names = batch.column(label).to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)] if names else [0]
+            clusters = []
+            for start, stop in zip(cuts, cuts[1:]):
+                if found is None or names[start] != current:
+                    current, found = names[start], _Leaders(vectors.shape[1], threshold)
+                for at in range(start, stop, LEADER_BLOCK):
+                    clusters.append(found.take(vectors[at : min(stop, at + LEADER_BLOCK)]))
+            numbers = np.concatenate(clusters) if clusters else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(label), batch.column("face_order"), pa.array(found)], [label, "face_order", "cluster"]
+                [batch.column(label), batch.column("face_order"), pa.array(numbers)], [label, "face_order", "cluster"]
             )
 
     return ordered.mapInArrow(run, schema)

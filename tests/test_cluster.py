@@ -146,6 +146,27 @@ def test_running_average(spark):
             assert got[r[0]] == (label, at + 1)
 
 
+def test_running_average_of_one_hot_label(spark):
+    """Hundreds of centroids, over many blocks and batches, beside small labels."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "hot" if i % 9 else f"l{i % 4}", rng.normal(size=6).astype(np.float32).tolist()) for i in range(3000)]
+    rows[77] = (77, "hot", [0.0] * 6)
+    df = spark.createDataFrame(rows, "face_order long, label string, embedding array<float>")
+    got = {r.face_order: r.cluster for r in cluster.cluster_running_average(df, 0.9).collect()}
+    centres = {}
+    for order, label, v in rows:
+        v, mine = np.asarray(v, float), centres.setdefault(label, [])
+        sims = [cos(c, v) if np.any(v) and np.any(c) else 0.0 for c in mine]
+        at = int(np.argmax(sims)) if sims and np.any(v) else -1
+        if at < 0 or sims[at] <= 0.9:
+            mine.append(np.float32(v).astype(float))
+            at = len(mine) - 1
+        else:
+            mine[at] = np.float32((mine[at] + v) / 2).astype(float)
+        assert got[order] == at + 1
+    assert len(centres["hot"]) > 300
+
+
 @pytest.mark.parametrize("local", [cluster.LOCAL_EDGES, 0])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(cluster, "LOCAL_EDGES", local)
