@@ -59,7 +59,7 @@ def test_search_leaves_vectors_in_place(spark, stored):
     from kinframe.operators import search
 
     queries = search.query_faces(stored["faces"], [42])
-    tree = plan(search._best_photos(queries, stored["faces"], 10, 0.25, None)).split("\n\n")[0]
+    tree = plan(search.rank_hits(search.photo_hits(queries, stored["faces"], 10, 0.25, None), 10)).split("\n\n")[0]
     assert tree.count("Scan parquet") == 1
     below = tree[tree.index("MapInArrow") :]
     assert "Exchange" not in below and "Scan parquet" in below
