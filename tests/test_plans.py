@@ -78,5 +78,5 @@ def test_single_face_photos_over_all_faces(spark):
     """No face is left out: a photo with a second face never counts as single."""
     from kinframe.plans import catalog_queries as q
 
-    rows = q.q29_all(Views(spark, SF)).collect()
+    rows = q.q29(Views(spark, SF)).collect()
     assert rows and all(r["photo_id"] == r["face_id"] + 200 for r in rows)
