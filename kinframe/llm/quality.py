@@ -109,7 +109,8 @@ class Model:
         """Scores per bag, attention per passage, and what the gradient needs."""
         first = np.cumsum(bags) - bags
         bag = np.repeat(np.arange(len(bags)), bags)
-        h = np.tanh(x @ self.w + self.b)
+        # Features stay in their own precision; everything behind them is in double.
+        h = np.tanh((x @ self.w.astype(x.dtype)).astype(np.float64) + self.b)
         t, s = np.tanh(h @ self.v), _logistic(h @ self.g)
         e = (t * s) @ self.u
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
@@ -131,7 +132,7 @@ class Model:
         loss = float(-np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
         loss += ridge / 2 * float((self.w**2).sum() + (self.v**2).sum() + (self.g**2).sum() + (self.u**2).sum() + (self.c**2).sum())
         return loss, Model(
-            x.T @ dh + ridge * self.w, dh.sum(0), h.T @ dt + ridge * self.v, h.T @ ds + ridge * self.g,
+            x.T @ dh.astype(x.dtype) + ridge * self.w, dh.sum(0), h.T @ dt + ridge * self.v, h.T @ ds + ridge * self.g,
             gate.T @ de + ridge * self.u, z.T @ d + ridge * self.c, np.array([d.sum()]),
         )
 
@@ -152,7 +153,7 @@ def untrained(seed: int = 1) -> Model:
 
 def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> Model:
     """Adam over the whole sample, with a fixed start and fixed number of steps."""
-    model, x = untrained(), x.astype(np.float64)
+    model = untrained()
     if not len(y):
         return model
     m = {k: np.zeros_like(getattr(model, k)) for k in PARTS}
@@ -199,8 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_do
     if not rows:
         return untrained()
     bags = np.array([len(r["x"]) // (2 * WIDTH) for r in rows], np.int64)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(-1, WIDTH)
-    return fit(x, bags, np.array([r["y"] for r in rows]), **options)
+    y, x, at = np.array([r["y"] for r in rows]), np.empty((int(bags.sum()), WIDTH), np.float32), 0
+    for n, r in zip(bags, rows):
+        x[at : at + n] = np.frombuffer(r["x"], np.float16).reshape(n, WIDTH)
+        at += n
+    del rows
+    return fit(x, bags, y, **options)
 
 
 _ADDED = "score double, predicted int, n_passages long, top_passage long, top_share double"
