@@ -1,6 +1,7 @@
 """The training-data operators against plain loops, and on awkward rows."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -275,7 +276,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     rows += [(200, "+1 (743) 555-3824 (743) 555-3824"), (201, "10.1.2.3 and 300.1.2.3"), (202, "born 2024-02-29, 29.02.2024; 2023-02-29 12/31/1999 31/12/1999 1700-01-01")]
     rows += [(203, "a.Bc-9@Mail.example.com a.bc-9@other.org"), (204, "123-45-6789 666-45-6789"), (205, None), (206, ""), (207, "v 2.0."), (207, "v 2.0."), (208, "1" * 200_000), (209, "a" * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r for r in pseudonyms.pseudonymise(df, counts=("found", "changed")).collect()}
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(df, "k", counts=("found", "changed")).collect()}
     new = []
     for i in range(60):
         m = re.fullmatch(r"pay (\d{16}) now; or (\d{4})-(\d{4})-(\d{4})-(\d{4})!!", out[i].text)
@@ -296,10 +297,108 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert (out[205].text, out[206].text, out[207].text) == (None, "", "v 2.0.") and out[209].text == rows[-1][1]
     other = pseudonyms.pseudonymise(df, key="other").where("doc_id = 0").first().text
     assert other != out[0].text
-    empty = pseudonyms.pseudonymise(df.limit(0))
+    empty = pseudonyms.pseudonymise(df.limit(0), "k")
     assert empty.count() == 0 and empty.columns == df.columns
 
 
+def plain_feistel(key, tag, a, b, ma, mb):
+    for r in range(pseudonyms.ROUNDS):
+        seed = f"{key}|{tag}|{ma}|{mb}|{r}|{b}"
+        a, b, ma, mb = b, (a + int(hashlib.sha256(seed.encode()).hexdigest()[:12], 16)) % ma, mb, ma
+    return a, b
+
+
+def plain_number(key, tag, x):
+    h = len(x) // 2
+    a, b = plain_feistel(key, tag, int("0" + x[:h]), int(x[h:]), 10**h, 10 ** (len(x) - h))
+    return (str(a).zfill(h) if h else "") + str(b).zfill(len(x) - h)
+
+
+def plain_check(x):
+    return next(c for c in "0123456789" if luhn(x + c))
+
+
+def iban_rest(x):
+    return int("".join(str(int(c, 36)) for c in x)) % 97
+
+
+def put(old, new, kind="[0-9]"):
+    it = iter(new)
+    return re.sub(kind, lambda m: next(it), old)
+
+
+def plain_pseudonym(key, kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "social":
+        area = int(m[:3])
+        a, b = plain_feistel(key, "social", area - 1 - (area > 666), (int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1, 898, 99 * 9999)
+        return f"{a + (1 if a + 1 < 666 else 2):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    if kind == "phone":
+        head, d = d[:-10], d[-10:]
+        low = [0 if int(c) < 200 else 200 for c in (d[:3], d[3:6])]
+        n = [800 if x else 200 for x in low]
+        a, b = plain_feistel(key, "phone", int(d[:3]) - low[0], (int(d[3:6]) - low[1]) * 10000 + int(d[6:]), n[0], n[1] * 10000)
+        return put(m, f"{head}{a + low[0]:03}{b // 10000 + low[1]:03}{b % 10000:04}")
+    if kind == "card":
+        k = 1 if d[0] == "4" else 2 if re.match("5[1-5]|3[4678]|65", d) else 4
+        new = d[:k] + plain_number(key, "card", d[k:-1])
+        return put(m, new + plain_check(new))
+    if kind == "iban":
+        x = m.replace(" ", "")
+        own = re.sub("[^0-9]", "", x[4:])
+        body = put(x[4:], "".join(plain_number(key, "iban", own[i : i + 18]) for i in range(0, len(own), 18)))
+        return put(m, f"{x[:2]}{98 - iban_rest(body + x[:2] + '00'):02}{body}", "[A-Z0-9]")
+    k = 2 if kind == "french" else len(re.match(r"\+([0-9]+)", m)[1]) + 1 + ("(0)" in m)
+    return put(m, d[:k] + plain_number(key, kind, d[k:]))
+
+
+def test_pseudonyms_match_a_plain_feistel_and_stay_valid(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    values = []
+    for _ in range(150):
+        values.append(("social", f"{rng.choice([x for x in range(1, 900) if x != 666]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}"))
+        values.append(("phone", rng.choice(["({}) {}-{}", "+1 {}-{}-{}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4))))
+        start = rng.choice(["4", "51", "55", "2221", "2720", "34", "37", "6011", "65", "3528"])
+        body = start + digits(15 - len(start))
+        values.append(("card", body + plain_check(body)))
+        country, size = rng.choice([("DE", 18), ("GB", 18), ("FR", 23), ("NO", 11), ("MT", 27)])
+        account = ("NWBK" if country == "GB" else "") + digits(size - 4 * (country == "GB"))
+        whole = f"{country}{98 - iban_rest(account + country + '00'):02}{account}"
+        values.append(("iban", rng.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])))
+        values.append(("world", rng.choice(["+44 20 {} {}", "+49 (0)30 {}{}", "+353 1 {} {}", "+33 6 {}{}"]).format(digits(4), digits(4))))
+        values.append(("french", "0" + rng.choice("123456789") + "".join(rng.choice([" ", "."]) + digits(2) for _ in range(4))))
+    df = spark.createDataFrame([(i, f"x: {v}; IS {v}, MY end", "o", 1, "t", 2) for i, (_, v) in enumerate(values)], "doc_id long, text string, __old string, __NEW int, __text string, `a.b` int")
+    out = pseudonyms.pseudonymise(df, "secret", counts=("n", "m"))
+    assert out.columns == [*df.columns, "n", "m"]
+    rows = {r.doc_id: r for r in out.collect()}
+    for i, (kind, v) in enumerate(values):
+        want = plain_pseudonym("secret", kind, v)
+        assert rows[i].text == f"x: {want}; IS {want}, MY end", (kind, v)
+        assert (rows[i]["__old"], rows[i]["__NEW"], rows[i]["__text"], rows[i]["a.b"], rows[i].n) == ("o", 1, "t", 2, 2)
+        d = re.sub("[^0-9]", "", want)
+        if kind == "social":
+            assert not re.search("^(000|666|9..)|-00-|0000$", want)
+        if kind == "phone":
+            old = re.sub("[^0-9]", "", v)
+            assert all((d[at] < "2") == (old[at] < "2") for at in (-10, -7))
+        if kind == "card":
+            assert luhn(d) and len(d) == 16 and (v[0] == "4" or d[:2] == v[:2])
+        if kind == "iban":
+            x = want.replace(" ", "")
+            assert iban_rest(x[4:] + x[:4]) == 1 and want[:2] == v[:2]
+    bad = spark.createDataFrame([("DE00 3704 0044 0532 0130 00",), ("GB29 NWBK",)], "text string")
+    assert {r.text for r in pseudonyms.pseudonymise(bad, "k").collect()} == {"DE00 3704 0044 0532 0130 00", "GB29 NWBK"}
+
+
+def test_social_numbers_and_codes_are_permuted_one_to_one(spark):
+    e = pseudonyms.Expressions(pseudonyms.Spark, "k")
+    areas = spark.range(1, 900).where("id <> 666").select(F.format_string("%03d", "id").alias("a"))
+    serials = spark.range(1, 61).select(F.format_string("%02d-%04d", (F.col("id") % 99 + 1).cast("int"), "id").alias("s"))
+    df = areas.join(serials, F.lit(True)).select(F.concat_ws("-", "a", "s").alias("m"))
+    assert df.select(F.expr(e.social("m")).alias("x")).distinct().count() == 898 * 60
+
+
 def test_feistel_is_a_permutation(spark):
     e = pseudonyms.Expressions(pseudonyms.Spark, "k")
     for digits in (1, 2, 3):
