@@ -104,16 +104,20 @@ def streams(sizes: DataFrame, seed: int = 0) -> DataFrame:
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(slot, key, rank)``: the source of every slot and the slot's rank in its source.
 
-    The table of sources is read by the driver: one row per source, not per document.
+    The tasks get the cumulative targets, eight bytes a source, through the driver; names
+    and quotas of the sources are a table that is joined. Of each chunk of slots only the
+    sources it deals to are counted.
     """
     spark = targets.sparkSession
-    rows = [r for r in targets.orderBy("key").collect() if r["target"] > 0]
-    keys = [r["key"] for r in rows]
-    quota = [_quota(r["source_size"], round(r["target"]), block) for r in rows]
-    share = np.array([r["target"] for r in rows])
+    words, size = F.round("target").cast("long"), F.col("source_size")
+    full = F.floor(words / size)
+    quota = full * F.ceil(size / block) + F.ceil((words - full * size) / block)
+    number = (F.row_number().over(Window.orderBy("key")) - 1).cast("int")
+    sources = materialize(targets.where("target > 0").select("key", number.alias("sid"), "target", quota.cast("long").alias("quota")))
+    share = sources.orderBy("sid").select("target").toPandas()["target"].to_numpy(np.float64)
     # Upper ends of the sources' intervals; the last one ends with the points.
     ends = np.cumsum(share)[:-1] / share.sum() if len(share) else share
-    total = sum(quota)
+    total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     chunk = max(CHUNK, math.isqrt(total))
 
     def dealt(ids: np.ndarray):
@@ -125,34 +129,25 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     def count(batches):
         for batch in batches:
             for c, _, source in dealt(batch.column("id").to_numpy()):
-                n = np.bincount(source, minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int32()), pa.array(n.astype(np.int64))], ["chunk", "sid", "n"])
+                sid, n = np.unique(source, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), c)), pa.array(sid.astype(np.int32)), pa.array(n.astype(np.int64))], ["chunk", "sid", "n"])
 
     def place(batches):
         for batch in batches:
             for c, slot, source in dealt(batch.column("id").to_numpy()):
                 order = np.argsort(source, kind="stable")
-                first = np.searchsorted(source[order], np.arange(len(keys)))
                 inner = np.empty(len(slot), np.int64)
-                inner[order] = np.arange(len(slot)) - first[source[order]]
+                inner[order] = np.arange(len(slot)) - np.searchsorted(source[order], source[order])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), c)), pa.array(slot), pa.array(source.astype(np.int32)), pa.array(inner)], ["chunk", "slot", "sid", "inner"])
 
     chunks = spark.range(-(-total // chunk))
     counts = materialize(chunks.mapInArrow(count, "chunk long, sid int, n long"))
     before = counts.select("chunk", "sid", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("before"))
-    named = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(i), F.lit(k))]) if keys else F.lit(None).cast("map<int,string>")
-    quotas = F.create_map(*[x for i, q in enumerate(quota) for x in (F.lit(i), F.lit(q).cast("long"))]) if keys else F.lit(None).cast("map<int,bigint>")
     slots = chunks.mapInArrow(place, "chunk long, slot long, sid int, inner long").join(before, ["chunk", "sid"]).select("slot", "sid", (F.col("before") + F.col("inner")).alias("rank"))
-    slots = slots.where(F.col("rank") < quotas[F.col("sid")])
-    have = counts.groupBy("sid").agg(F.sum("n").alias("n")).withColumn("quota", quotas[F.col("sid")]).where("n < quota")
-    rest = have.select(F.lit(total).cast("long").alias("slot"), "sid", F.explode(F.sequence("n", F.col("quota") - 1)).alias("rank"))
-    return slots.unionByName(rest).select("slot", named[F.col("sid")].alias("key"), "rank")
-
-
-def _quota(size: int, words: int, block: int) -> int:
-    """Slots that take ``words`` words of a stream of ``size`` words."""
-    full, rest = divmod(words, size)
-    return full * -(-size // block) + -(-rest // block)
+    slots = slots.join(sources.select("sid", "key", "quota"), "sid").where("rank < quota").select("slot", "key", "rank")
+    have = sources.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < quota")
+    rest = have.select(F.lit(total).cast("long").alias("slot"), "key", F.explode(F.sequence("n", F.col("quota") - 1)).alias("rank"))
+    return slots.unionByName(rest)
 
 
 def block_uses(targets: DataFrame, block: int = BLOCK) -> DataFrame:

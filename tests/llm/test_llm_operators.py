@@ -211,6 +211,13 @@ def test_schedule_is_spread_evenly(spark):
             assert abs(sum(r.key == key for r in slots[:at]) - share * at) < 15
 
 
+def test_mix_of_many_sources_meets_every_target(spark):
+    rows = [(i, "w " * (i % 7 + 1), "en", f"host{i % 1500}.org") for i in range(4000)] + [(-1, "w " * 20_000, "en", "big")]
+    out = mixing.mix(docs_of(spark, rows), block=64)
+    per = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(per) == 1501 and all(r.taken == round(r.target) for r in per)
+
+
 # ------------------------------------------------------------------ 3 decontamination
 
 
