@@ -124,11 +124,15 @@ def scan_summary(events: DataFrame) -> DataFrame:
     """
     highest = [F.max(c).alias(c) for c in ("total", "scanned", "removed", "faces", "errors") if c in events.columns]
     last = [F.max_by("persons", "ts").alias("persons")] if "persons" in events.columns else []
-    seconds = F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")
+    # Whole microseconds: as doubles, times since 1970 are too coarse to round halves rightly.
+    micros = F.expr(
+        "((extract(DAY FROM max(ts) - min(ts)) * 24L + extract(HOUR FROM max(ts) - min(ts))) * 60 + extract(MINUTE FROM max(ts) - min(ts)))"
+        " * 60000000 + CAST(extract(SECOND FROM max(ts) - min(ts)) * 1000000 AS LONG)"
+    )
     return events.groupBy("scan_id").agg(
         *highest, *last,
         F.coalesce(F.max(F.col("status") == "cancelled"), F.lit(False)).alias("cancelled"),
-        F.round(seconds * 1000).cast("long").alias("elapsed_ms"),
+        F.round(micros / 1000).cast("long").alias("elapsed_ms"),
     )
 
 
