@@ -314,6 +314,8 @@ def block_pairs(
         small = left.limit(SMALL_SIDE + 1).toArrow()
         if small.num_rows <= SMALL_SIDE:
             return _beside_small(small, right, reducer, schema)
+        if right.isEmpty():
+            return right.sparkSession.createDataFrame([], schema)
     prune = threshold is not None and threshold > 0
     placed, place = _placement(left, right, block_rows, prune)
     spread = _spread(placed[0], 0, self_join, place, threshold if prune else None)
