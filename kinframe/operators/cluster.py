@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from kinframe.functions.vectors import centroids, norm
 from kinframe.operators.catalog import live
 from kinframe.operators.pairs import (
+    ANGLE_SLACK,
     BLOCK_ROWS,
     Side,
     block_pairs,
@@ -44,6 +45,9 @@ LOW_TIERS = ("low", "very_low")
 LOCAL_EDGES = 100_000
 EDGES_PER_FACE = 200
 SURE_EDGES = 5_000_000
+# The best edges that one task merges at a time, and how finely their similarities are counted.
+BAND_EDGES = 1_000_000
+BAND_BINS = 4096
 # Faces that running-average clustering compares with all centroids at once.
 LEADER_BLOCK = 256
 
@@ -168,6 +172,18 @@ def _allowed(s: np.ndarray, low_a: np.ndarray, low_b: np.ndarray, threshold: flo
     return (s > threshold) & ~(low_a & low_b) & ((s >= low_join) | ~(low_a | low_b))
 
 
+def _gated_hits(a: Side, b: Side, same: bool, threshold: float, low_join: float):
+    """Rows, columns and similarities of the pairs that may merge, tile by tile."""
+    for start, _, s in tiles(a, b):
+        i, j = np.nonzero(s > threshold - ANGLE_SLACK)
+        s, i = single_precision(s[i, j]), i + start
+        low = a.attr["low"][i].astype(np.int8) + b.attr["low"][j].astype(np.int8)
+        hit = (s > threshold) & ((low == 0) | ((low == 1) & (s >= low_join)))
+        if same:
+            hit &= i < j
+        yield i[hit], j[hit], s[hit]
+
+
 def _gated_edges(nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None, count_only: bool) -> DataFrame:
     if count_only:
         schema = T.StructType([T.StructField("edges", T.LongType())])
@@ -178,17 +194,12 @@ def _gated_edges(nodes: DataFrame, threshold: float, low_join: float, block_rows
 
     def reduce(a: Side, b: Side, same: bool) -> pa.Table:
         found = []
-        for start, stop, s in tiles(a, b):
-            s = single_precision(s)
-            hit = _allowed(s, a.attr["low"][start:stop], b.attr["low"], threshold, low_join)
-            if same:
-                hit &= np.arange(start, stop)[:, None] < np.arange(len(b))[None, :]
-            i, j = np.nonzero(hit)
+        for i, j, s in _gated_hits(a, b, same, threshold, low_join):
             if count_only:
                 found.append(len(i))
             else:
-                x, y = a.attr["id"][start + i], b.attr["id"][j]
-                found.append((np.minimum(x, y), np.maximum(x, y), s[i, j]))
+                x, y = a.attr["id"][i], b.attr["id"][j]
+                found.append((np.minimum(x, y), np.maximum(x, y), s))
         if count_only:
             return pa.table({"edges": pa.array([sum(found)], pa.int64())})
         columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3)]
@@ -203,14 +214,15 @@ def _gated_edges(nodes: DataFrame, threshold: float, low_join: float, block_rows
     return block_pairs(nodes.select("id", "vec", "low"), None, reduce, schema, threshold, block_rows)
 
 
-def merge_steps(sizes: dict, edges: list[tuple]) -> dict:
+def merge_steps(sizes: dict, edges: list[tuple], firsts: dict | None = None) -> dict:
     """The merges of one component: ``{absorbed root: (root that took it in, similarity)}``.
 
-    ``sizes`` maps node to its starting size; ``edges`` are ``(sim, a, b)``. The best
-    edge between two live roots merges them; ties go to the smaller first members. The
-    larger cluster keeps its root, then the one with the smaller first member.
+    ``sizes`` maps node to its starting size, ``firsts`` to its first member, which is the
+    node itself unless given; ``edges`` are ``(sim, a, b)``. The best edge between two live
+    roots merges them; ties go to the smaller first members. The larger cluster keeps its
+    root, then the one with the smaller first member.
     """
-    size, first = dict(sizes), {n: n for n in sizes}
+    size, first = dict(sizes), dict(firsts) if firsts else {n: n for n in sizes}
     around: dict = {n: [] for n in sizes}
     for s, a, b in edges:
         around[a].append((s, b))
@@ -384,19 +396,99 @@ def _first_obstacle(state: DataFrame, threshold: float, low_join: float, block_r
     return found.groupBy("id").agg(F.max(F.struct("sim", "neg_first")).alias("stop"))
 
 
+def _next_cut(alive: DataFrame, threshold: float, low_join: float, block_rows: int | None, band_edges: int) -> float | None:
+    """The lowest similarity above which at most ``band_edges`` edges lie; none if even the top bin has more."""
+    n = alive.count()
+    if n * (n - 1) // 2 <= band_edges:
+        return threshold
+    # A bin holds what lies over its edge and not over the next one, as an edge list would.
+    edges = threshold + (1.0 - threshold) * np.arange(BAND_BINS) / BAND_BINS
+    schema = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("edges", T.LongType())])
+
+    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
+        total = np.zeros(BAND_BINS, np.int64)
+        for _, _, s in _gated_hits(a, b, same, threshold, low_join):
+            total += np.bincount(np.searchsorted(edges, s, side="left") - 1, minlength=BAND_BINS)
+        at = np.nonzero(total)[0]
+        return pa.table({"bin": pa.array(at.astype(np.int32)), "edges": pa.array(total[at])})
+
+    counts = block_pairs(alive.select("id", "vec", "low"), None, reduce, schema, threshold, block_rows)
+    total = np.zeros(BAND_BINS, np.int64)
+    for r in counts.groupBy("bin").agg(F.sum("edges").alias("edges")).collect():
+        total[r["bin"]] = r["edges"]
+    above = total[::-1].cumsum()[::-1]
+    if above[0] <= band_edges:
+        return threshold
+    fits = int(np.argmax(above <= band_edges)) if above[-1] <= band_edges else -1
+    return float(edges[fits]) if fits >= 0 and above[fits] else None
+
+
+def _merge_band(edges: DataFrame, alive: DataFrame) -> DataFrame:
+    """The merges along at most ``BAND_EDGES`` edges, in one task: ``(id, parent, sim, into)``."""
+    schema = T.StructType(
+        [T.StructField("id", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("sim", T.DoubleType()), T.StructField("into", T.LongType())]
+    )
+
+    def run(edge_table, node_table):
+        ids = node_table.column("id").to_pylist()
+        sizes, firsts = (dict(zip(ids, node_table.column(c).to_pylist())) for c in ("size", "first"))
+        steps = merge_steps(sizes, list(zip(*[edge_table.column(c).to_pylist() for c in ("sim", "id_a", "id_b")])), firsts)
+        into: dict = {}
+        # A root that is absorbed late is met before those it had taken in.
+        for gone in reversed(list(steps)):
+            into[gone] = into.get(steps[gone][0], steps[gone][0])
+        columns = [list(steps), [p for p, _ in steps.values()], [s for _, s in steps.values()], [into[n] for n in steps]]
+        return pa.table({f.name: pa.array(c, to_arrow_type(f.dataType)) for f, c in zip(schema, columns)})
+
+    ends = edges.select(F.col("id_a").alias("id")).unionByName(edges.select(F.col("id_b").alias("id"))).distinct()
+    touched = alive.join(ends, "id", "left_semi").select("id", "size", "first")
+    one = F.lit(0).alias("pack")
+    return edges.select(one, "id_a", "id_b", "sim").groupBy("pack").cogroup(touched.select(one, "*").groupBy("pack")).applyInArrow(run, schema)
+
+
+def _merged(alive: DataFrame, gone: DataFrame) -> DataFrame:
+    """The live roots after ``gone(id, into, size, first)`` has joined them."""
+    gains = gone.groupBy(F.col("into").alias("id")).agg(F.sum("size").alias("gain"), F.min("first").alias("gain_first"))
+    return materialize(
+        alive.join(gone.select("id"), "id", "left_anti")
+        .join(gains, "id", "left")
+        .select(
+            "id", "vec", "low",
+            (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"),
+            F.least("first", F.coalesce("gain_first", "first")).alias("first"),
+        )
+    )
+
+
 def solve_rounds(
-    nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None, steps: list[DataFrame] | None = None
+    nodes: DataFrame, threshold: float, low_join: float, block_rows: int | None, steps: list[DataFrame] | None = None, band_edges: int | None = None
 ) -> DataFrame:
     """Agglomerate without an edge list: ``(id, root)``.
 
-    Per round every root looks up its best partner with one blocked comparison. Mutual
-    best pairs merge; the survivor also takes in, best first, every root that prefers it,
-    up to the first edge that has to wait. Memory and shuffles follow the live roots.
-    ``steps`` collects the merges ``(id, parent, sim)`` of every round.
+    Similarities of roots never change, so only edges over some similarity decide the merges
+    over it. Each round lists the best edges, at most ``band_edges`` of them, and merges along
+    them in one task; roots that are gone take all their lower edges with them. Where so many
+    edges are level that they would not fit, a round has every root look up its best partner
+    with one blocked comparison instead. Mutual best pairs merge; the survivor also takes in,
+    best first, every root that prefers it, up to the first edge that has to wait. Memory and
+    shuffles follow the live roots. ``steps`` collects the merges ``(id, parent, sim)``.
     """
     alive = nodes
     assign = nodes.select("id", F.col("id").alias("root"))
     while True:
+        cut = _next_cut(alive, threshold, low_join, block_rows, BAND_EDGES if band_edges is None else band_edges)
+        if cut is not None:
+            edges = materialize(_gated_edges(alive, cut, low_join, block_rows, False))
+            found = materialize(_merge_band(edges, alive))
+            if steps is not None:
+                steps.append(found.select("id", "parent", "sim"))
+            assign = materialize(
+                assign.join(found.select(F.col("id").alias("root"), "into"), "root", "left").select("id", F.coalesce("into", "root").alias("root"))
+            )
+            if cut <= threshold:
+                return assign
+            alive = _merged(alive, found.join(alive.select("id", "size", "first"), "id"))
+            continue
         best = materialize(_best_partner(alive, threshold, low_join, block_rows))
         if best.isEmpty():
             return assign
@@ -427,18 +519,7 @@ def solve_rounds(
         )
         if steps is not None:
             steps.append(gone.select("id", F.col("into").alias("parent"), "sim"))
-        gains = gone.groupBy(F.col("into").alias("id")).agg(
-            F.sum("size").alias("gain"), F.min("first").alias("gain_first")
-        )
-        alive = materialize(
-            state.join(gone.select("id"), "id", "left_anti")
-            .join(gains, "id", "left")
-            .select(
-                "id", "vec", "low",
-                (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"),
-                F.least("first", F.coalesce("gain_first", "first")).alias("first"),
-            )
-        )
+        alive = _merged(state, gone)
         moved = gone.select(F.col("id").alias("root"), "into")
         assign = materialize(
             assign.join(moved, "root", "left").select("id", F.coalesce("into", "root").alias("root"))
