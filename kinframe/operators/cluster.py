@@ -8,6 +8,8 @@ merges that are each other's best choice commute and can be done together.
 from __future__ import annotations
 
 import heapq
+import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,15 @@ from kinframe.operators.pairs import (
     BLOCK_ROWS,
     Side,
     block_pairs,
+    column_values,
     rep_pairs,
     similar_pairs,
     single_precision,
     tiles,
     to_matrix,
-    unit_rows,
 )
 from kinframe.operators.ranking import rank_in_group
-from kinframe.session import materialize
+from kinframe.session import checkpoint_root, materialize
 
 # Linkage cut-off, and the similarity a low-tier face needs to join.
 LINKAGE_THRESHOLD = 0.45
@@ -48,6 +50,9 @@ SURE_EDGES = 5_000_000
 # The best edges that one task merges at a time, and how finely their similarities are counted.
 BAND_EDGES = 1_000_000
 BAND_BINS = 4096
+# Sorted edges that one task decides at a time in the greedy pass, and those it compares at once.
+SLICE_EDGES = 1_000_000
+SLICE_BLOCK = 4096
 # Faces that running-average clustering compares with all centroids at once.
 LEADER_BLOCK = 256
 
@@ -661,78 +666,93 @@ def _greedy_small(edges: DataFrame, nodes: DataFrame, threshold: float, total: i
     return left.groupBy("pack").cogroup(nodes.select(pack, "id", "vec").groupBy("pack")).applyInArrow(run, schema)
 
 
-def _greedy_rounds(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+class _Merged:
+    """Clusters of one slice of sorted edges: positions in id order, with centroid and size."""
+
+    def __init__(self, centroids: np.ndarray, sizes: np.ndarray, threshold: float):
+        self.centroids, self.sizes, self.threshold = centroids.astype(np.float32), sizes.copy(), threshold
+        self.parent = np.arange(len(sizes))
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        while True:
+            up = self.parent[at]
+            if (up == at).all():
+                return at
+            at = up
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.centroids[a].astype(np.float64), self.centroids[b].astype(np.float64)
+        scale = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+        s = np.divide((x * y).sum(1), scale, out=np.zeros(len(a)), where=scale > 0)
+        return (s >= self.threshold) & (a != b)
+
+    def take(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Decide edges in their order. Only those that touch a merge are compared again."""
+        a, b = self.roots(a), self.roots(b)
+        ok, at = self._alike(a, b), 0
+        while at < len(a) and ok[at:].any():
+            at += int(ok[at:].argmax())
+            keep, gone = min(a[at], b[at]), max(a[at], b[at])
+            total = self.sizes[keep] + self.sizes[gone]
+            mixed = self.centroids[keep].astype(np.float64) * self.sizes[keep] + self.centroids[gone].astype(np.float64) * self.sizes[gone]
+            self.centroids[keep], self.sizes[keep], self.parent[gone] = (mixed / total).astype(np.float32), total, keep
+            at += 1
+            a[at:][a[at:] == gone] = keep
+            b[at:][b[at:] == gone] = keep
+            moved = at + np.flatnonzero((a[at:] == keep) | (b[at:] == keep))
+            ok[moved] = self._alike(a[moved], b[moved])
+
+
+def _greedy_slices(edges: DataFrame, nodes: DataFrame, threshold: float, slice_edges: int | None = None) -> DataFrame:
     """The greedy pass for components too large for one task: ``(id, cluster)``.
 
-    An edge can be decided once no better undecided edge touches either of its two
-    clusters. All such edges are decided together, then edges are re-pointed at the
-    merged clusters and inner ones dropped.
+    Edges are sorted by Spark and cut into slices of about ``slice_edges``, which are decided
+    one after the other. A task holds one slice and the clusters that it touches; edges
+    inside a cluster are dropped before they come to it.
     """
-    state = nodes.select("id", "vec", F.lit(1).cast("long").alias("size"))
-    state = materialize(state.withColumn("vec", F.col("vec").cast("array<float>")))
+    spark, folder = edges.sparkSession, f"{checkpoint_root(edges.sparkSession)}/slices-{uuid.uuid4().hex}"
+    state = materialize(nodes.select("id", F.col("vec").cast("array<float>").alias("vec"), F.lit(1).cast("long").alias("size")))
     assign = nodes.select("id", F.col("id").alias("cluster"))
-    left = materialize(
-        edges.select(F.col("id_a").alias("ca"), F.col("id_b").alias("cb"), "sim", "id_a", "id_b")
-    )
-    cosine_schema = "ca long, cb long, ok boolean"
+    slices = max(1, math.ceil(edges.count() / (slice_edges or SLICE_EDGES)))
+    ranged = edges.repartitionByRange(slices, F.col("sim").desc(), "id_a", "id_b").withColumn("slice", F.spark_partition_id())
+    ranged.write.partitionBy("slice").parquet(folder)
+    stored = spark.read.parquet(folder)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("into", T.LongType()), *state.schema.fields[1:]])
+    one = F.lit(0).alias("pack")
 
-    def compare(batches):
-        for batch in batches:
-            a, b = unit_rows(to_matrix(pa.chunked_array([batch.column("va")]))), unit_rows(
-                to_matrix(pa.chunked_array([batch.column("vb")]))
-            )
-            ok = (a * b).sum(axis=1) >= threshold if len(a) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb"), pa.array(ok)], ["ca", "cb", "ok"])
+    def run(edge_table, node_table):
+        node_table = node_table.sort_by("id")
+        edge_table = edge_table.sort_by([("sim", "descending"), ("id_a", "ascending"), ("id_b", "ascending")])
+        ids = column_values(node_table.column("id"))
+        a, b = (np.searchsorted(ids, column_values(edge_table.column(c))) for c in ("ca", "cb"))
+        found = _Merged(to_matrix(node_table.column("vec")), column_values(node_table.column("size")), threshold)
+        for at in range(0, len(a), SLICE_BLOCK):
+            found.take(a[at : at + SLICE_BLOCK], b[at : at + SLICE_BLOCK])
+        into = found.roots(np.arange(len(ids)))
+        gone = np.flatnonzero(into != np.arange(len(ids)))
+        out = np.concatenate([gone, np.unique(into[gone])])
+        columns = [ids[out], ids[into[out]], list(found.centroids[out]), found.sizes[out]]
+        return pa.table({f.name: pa.array(c, to_arrow_type(f.dataType)) for f, c in zip(schema, columns)})
 
-    while not left.isEmpty():
-        order = F.struct((-F.col("sim")).alias("s"), "id_a", "id_b")
-        ends = left.select(F.col("ca").alias("c"), order.alias("o")).unionByName(
-            left.select(F.col("cb").alias("c"), order.alias("o"))
-        )
-        top = materialize(ends.groupBy("c").agg(F.min("o").alias("o")))
-        ready = (
-            left.withColumn("o", order)
-            .join(top.select(F.col("c").alias("ca"), F.col("o").alias("oa")), "ca")
-            .join(top.select(F.col("c").alias("cb"), F.col("o").alias("ob")), "cb")
-            .where("o = oa AND o = ob")
-            .select("ca", "cb", "id_a", "id_b")
-        )
-        ready = materialize(ready)
-        vectors = (
-            ready.join(state.select(F.col("id").alias("ca"), F.col("vec").alias("va")), "ca")
-            .join(state.select(F.col("id").alias("cb"), F.col("vec").alias("vb")), "cb")
-            .select("ca", "cb", "va", "vb")
-        )
-        merged = materialize(
-            vectors.mapInArrow(compare, cosine_schema).where("ok")
-            .select(F.least("ca", "cb").alias("into"), F.greatest("ca", "cb").alias("gone"))
+    for number in sorted(r[0] for r in stored.select("slice").distinct().collect()):
+        part = (
+            stored.where(F.col("slice") == number)
+            .join(assign.select(F.col("id").alias("id_a"), F.col("cluster").alias("ca")), "id_a")
+            .join(assign.select(F.col("id").alias("id_b"), F.col("cluster").alias("cb")), "id_b")
+            .where("ca <> cb")
         )
-        keep = merged.select(F.col("into").alias("id"), "gone")
-        absorbed = state.select(F.col("id").alias("gone"), F.col("vec").alias("v2"), F.col("size").alias("n2"))
-        mean = F.zip_with(
-            "vec", "v2",
-            lambda x, y: (x.cast("double") * F.col("size") + y.cast("double") * F.col("n2")) / (F.col("size") + F.col("n2")),
-        ).cast("array<float>")
+        part = materialize(part.select(one, "sim", "id_a", "id_b", "ca", "cb"))
+        ends = part.select(F.col("ca").alias("id")).unionByName(part.select(F.col("cb").alias("id"))).distinct()
+        touched = state.join(ends, "id", "left_semi").select(one, "*")
+        changed = materialize(part.groupBy("pack").cogroup(touched.groupBy("pack")).applyInArrow(run, schema))
+        if changed.isEmpty():
+            continue
         state = materialize(
-            state.join(merged.select(F.col("gone").alias("id")), "id", "left_anti")
-            .join(keep, "id", "left").join(absorbed, "gone", "left")
-            .select(
-                "id",
-                F.when(F.col("n2").isNull(), F.col("vec")).otherwise(mean).alias("vec"),
-                (F.col("size") + F.coalesce("n2", F.lit(0))).alias("size"),
-            )
+            state.join(changed.select("id"), "id", "left_anti").unionByName(changed.where("id = into").select("id", "vec", "size"))
         )
+        moved = changed.where("id <> into").select(F.col("id").alias("cluster"), "into")
         assign = materialize(
-            assign.join(merged.withColumnRenamed("gone", "cluster"), "cluster", "left")
-            .select("id", F.coalesce("into", "cluster").alias("cluster"))
-        )
-        to_a = merged.select(F.col("gone").alias("ca"), F.col("into").alias("na"))
-        to_b = merged.select(F.col("gone").alias("cb"), F.col("into").alias("nb"))
-        left = materialize(
-            left.join(ready.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
-            .join(to_a, "ca", "left").join(to_b, "cb", "left")
-            .select(F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb"), "sim", "id_a", "id_b")
-            .where("ca <> cb")
+            assign.join(moved, "cluster", "left").select("id", F.coalesce("into", "cluster").alias("cluster"))
         )
     return assign
 
@@ -773,7 +793,7 @@ def cluster_greedy(
         found = _greedy_small(
             tagged.join(big, "component", "left_anti"), placed.join(big, "component", "left_anti"), threshold, total
         ).unionByName(
-            _greedy_rounds(
+            _greedy_slices(
                 tagged.join(big, "component", "left_semi").select("id_a", "id_b", "sim"),
                 placed.join(big, "component", "left_semi").select("id", "vec"),
                 threshold,
