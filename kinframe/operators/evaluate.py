@@ -313,11 +313,11 @@ def sim_distribution(
         code = np.where(a["label_key"] == b["label_key"], 0, width)
         if by_quality:
             code = code + np.minimum(a["tier"], b["tier"]) * 4 + np.maximum(a["tier"], b["tier"])
-        if cross_photo_only:
-            code = np.where(a["photo_key"] == b["photo_key"], -1, code)
         return code
 
-    stats = similarity_quantiles(reps, attrs, stratify, 2 * width, list(quantiles), rule, block_rows=block_rows)
+    attrs = ["label_key", "tier"] if by_quality else ["label_key"]
+    apart = "photo_key" if cross_photo_only else None
+    stats = similarity_quantiles(reps, attrs, stratify, 2 * width, list(quantiles), rule, block_rows=block_rows, apart=apart)
     out = []
     for code, (n, values) in sorted(stats.items()):
         kind = "same" if code < width else "diff"

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,7 +38,9 @@ BLOCK_ROWS = None
 MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, BLOCKS_WANTED = 2048, 32768, 256
 MAX_TASKS = 20_000
 TILE_CELLS = 4_000_000
-DENSE_CELLS = 4_000_000
+# Pairs of one stratum that are counted at once, and how many groups of attributes are told apart.
+STRATA_CELLS = 1_000_000
+MAX_GROUPS = 256
 MAX_PIVOTS = 512
 ANGLE_SLACK = 1e-6
 # Leading directions for which groups keep bounds.
@@ -597,6 +599,124 @@ def closest_pairs(reps: DataFrame, top: int, block_rows: int | None = BLOCK_ROWS
 Stratify = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
 
 
+def _attr_groups(side: Side, attrs: Sequence[str]) -> list[np.ndarray] | None:
+    """Row numbers by equal attributes; none if there are too many groups to gain from them."""
+    if not attrs or not len(side):
+        return [np.arange(len(side))]
+    _, at = np.unique(np.stack([np.asarray(side.attr[c]) for c in attrs], 1), axis=0, return_inverse=True)
+    at = at.ravel()
+    if at.max() >= MAX_GROUPS:
+        return None
+    order = np.argsort(at, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+
+
+def strata_tiles(a: Side, b: Side, same: bool, attrs: Sequence[str], stratify: Stratify, apart: str | None):
+    """``(stratum, similarities, weights)`` of the row pairs, tile by tile; no weights where all are 1.
+
+    Rows are grouped by attributes, so that a tile has one stratum and none is worked out
+    per pair. With very many groups the strata of a tile are worked out and taken apart.
+    """
+    by_a = _attr_groups(a, attrs)
+    by_b = by_a if same else _attr_groups(b, attrs)
+    grouped = by_a is not None and by_b is not None
+    if not grouped:
+        by_a, by_b = [np.arange(len(a))], [np.arange(len(b))]
+    n_a, n_b = a.attr["n"].astype(float), b.attr["n"].astype(float)
+    plain = bool((n_a == 1).all() and (n_b == 1).all())
+    for p, rows in enumerate(by_a):
+        for q in range(p if same else 0, len(by_b)):
+            cols = by_b[q]
+            if not len(rows) or not len(cols):
+                continue
+            theirs = {k: x[cols][None, :] for k, x in b.attr.items()}
+            if grouped:
+                code = int(np.ravel(stratify({k: x[rows[:1], None] for k, x in a.attr.items()}, {k: x[:, :1] for k, x in theirs.items()}))[0])
+                if code < 0:
+                    continue
+            units, step = b.units[cols].T, max(1, STRATA_CELLS // len(cols))
+            for start in range(0, len(rows), step):
+                own = rows[start : start + step]
+                s = np.clip(a.units[own] @ units, -1.0, 1.0)
+                keep = None
+                if same and p == q:
+                    keep = np.arange(start, start + len(own))[:, None] < np.arange(len(cols))[None, :]
+                if apart is not None:
+                    other = a.attr[apart][own, None] != b.attr[apart][cols][None, :]
+                    keep = other if keep is None else keep & other
+                weight = None if plain else n_a[own, None] * n_b[cols][None, :]
+                if grouped:
+                    parts = [(code, keep)]
+                else:
+                    codes = np.broadcast_to(stratify({k: x[own, None] for k, x in a.attr.items()}, theirs), s.shape)
+                    parts = [(int(c), (codes == c) if keep is None else keep & (codes == c)) for c in np.unique(codes) if c >= 0]
+                for c, mask in parts:
+                    if mask is None or mask.all():
+                        yield c, s.ravel(), None if weight is None else weight.ravel()
+                    else:
+                        yield c, s[mask], None if weight is None else weight[mask]
+    if same and len(a) and apart is None and not plain:
+        # Pairs among the copies behind one row.
+        own = {k: x[:, None] for k, x in a.attr.items()}
+        codes = np.broadcast_to(stratify(own, own), (len(a), 1)).ravel()
+        whole = np.sign((a.units * a.units).sum(axis=1)).clip(0, 1)
+        for c in np.unique(codes[codes >= 0]):
+            mine = codes == c
+            yield int(c), whole[mine], (n_a * (n_a - 1) / 2)[mine]
+
+
+def _count_pairs(
+    reps: DataFrame, attrs: Sequence[str], stratify: Stratify, bin_of: Callable[[np.ndarray, int], np.ndarray], bins: int,
+    right: DataFrame | None, block_rows: int | None, at_least: float | None, apart: str | None = None,
+) -> DataFrame:
+    """Number of row pairs per ``(stratum, bin)``; ``bin_of`` takes similarities and their stratum."""
+    schema = T.StructType(
+        [
+            T.StructField("stratum", T.IntegerType()),
+            T.StructField("bin", T.IntegerType()),
+            T.StructField("pairs", T.LongType()),
+        ]
+    )
+    grouped = [c for c in attrs if c != apart]
+
+    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
+        totals: dict[int, np.ndarray] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def add(code, found, weight=None):
+            total = totals.setdefault(code, np.zeros(bins, np.int64))
+            total += np.rint(np.bincount(found, weights=weight, minlength=bins)).astype(np.int64)
+
+        for code, s, weight in strata_tiles(a, b, same, grouped, stratify, apart):
+            found = bin_of(s, code)
+            if len(found) and found.min() < 0:
+                keep = found >= 0
+                found, weight = found[keep], None if weight is None else weight[keep]
+            if weight is not None:
+                add(code, found, weight)
+                continue
+            waiting.setdefault(code, []).append(found.astype(np.int32))
+            if sum(map(len, waiting[code])) >= max(STRATA_CELLS, bins):
+                add(code, np.concatenate(waiting.pop(code)))
+        for code, parts in waiting.items():
+            add(code, np.concatenate(parts))
+        at = {code: np.flatnonzero(total) for code, total in totals.items()}
+        return arrow_table(
+            schema,
+            [
+                [np.full(len(k), code, np.int32) for code, k in at.items()],
+                [k.astype(np.int32) for k in at.values()],
+                [totals[code][k] for code, k in at.items()],
+            ],
+        )
+
+    cols = list(dict.fromkeys(["id", "vec", "n", *attrs, *([apart] if apart else [])]))
+    parts = block_pairs(
+        reps.select(*cols), None if right is None else right.select(*cols), reduce, schema, at_least, block_rows
+    )
+    return parts.groupBy("stratum", "bin").agg(F.sum("pairs").alias("pairs"))
+
+
 def binned_counts(
     reps: DataFrame,
     attrs: Sequence[str],
@@ -615,56 +735,7 @@ def binned_counts(
     negative meaning left out. ``at_least`` promises that lower similarities are not
     wanted, so that blocks too far apart need not meet.
     """
-    schema = T.StructType(
-        [
-            T.StructField("stratum", T.IntegerType()),
-            T.StructField("bin", T.IntegerType()),
-            T.StructField("pairs", T.LongType()),
-        ]
-    )
-
-    def count(codes, s, weight):
-        b = bin_of(s)
-        keep = (codes >= 0) & (b >= 0) & (weight > 0)
-        if strata * bins <= DENSE_CELLS:
-            total = np.bincount(codes[keep].astype(np.int64) * bins + b[keep], weights=weight[keep])
-            at = np.nonzero(total)[0]
-            return at, total[at]
-        found, at = np.unique(codes[keep].astype(np.int64) * bins + b[keep], return_inverse=True)
-        return found, np.bincount(at, weights=weight[keep], minlength=len(found))
-
-    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
-        parts = []
-        n_a, n_b = a.attr["n"].astype(float), b.attr["n"].astype(float)
-        cols = {k: x[None, :] for k, x in b.attr.items()}
-        for start, stop, s in tiles(a, b):
-            rows = {k: x[start:stop, None] for k, x in a.attr.items()}
-            codes = np.broadcast_to(stratify(rows, cols), s.shape)
-            weight = n_a[start:stop, None] * n_b[None, :]
-            if same:
-                weight = np.where(np.arange(start, stop)[:, None] < np.arange(len(b))[None, :], weight, 0.0)
-            parts.append(count(codes, s, weight))
-        if same and len(a):
-            # Pairs among the copies behind one row.
-            whole = np.sign((a.units * a.units).sum(axis=1)).clip(0, 1)[:, None]
-            own = {k: x[:, None] for k, x in a.attr.items()}
-            codes = np.broadcast_to(stratify(own, own), whole.shape)
-            parts.append(count(codes, whole, (n_a * (n_a - 1) / 2)[:, None]))
-        code = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        pairs = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
-        return pa.table(
-            {
-                "stratum": pa.array((code // bins).astype(np.int32)),
-                "bin": pa.array((code % bins).astype(np.int32)),
-                "pairs": pa.array(np.rint(pairs).astype(np.int64)),
-            }
-        )
-
-    cols = ["id", "vec", "n", *attrs]
-    parts = block_pairs(
-        reps.select(*cols), None if right is None else right.select(*cols), reduce, schema, at_least, block_rows
-    )
-    return parts.groupBy("stratum", "bin").agg(F.sum("pairs").alias("pairs"))
+    return _count_pairs(reps, attrs, stratify, lambda s, _: bin_of(s), bins, right, block_rows, at_least)
 
 
 def threshold_bins(thresholds: Sequence[float]) -> tuple[Callable, int]:
@@ -678,8 +749,12 @@ def threshold_bins(thresholds: Sequence[float]) -> tuple[Callable, int]:
 
 def _ordered_bits(s: np.ndarray) -> np.ndarray:
     """float32 bit patterns mapped to unsigned integers in value order."""
-    bits = np.ascontiguousarray(s.astype(np.float32) + np.float32(0.0)).view(np.uint32).astype(np.int64)
-    return np.where(bits >= 2**31, 2**32 - 1 - bits, bits + 2**31)
+    bits = (s.astype(np.float32) + np.float32(0.0)).view(np.int32)
+    return (bits ^ ((bits >> 31) | np.int32(-(2**31)))).view(np.uint32)
+
+
+# Low bits of a similarity's pattern that the second pass counts.
+LOW_BITS = 12
 
 
 def _from_ordered(code: int) -> float:
@@ -698,6 +773,16 @@ def quantile_rank(p, n: int, rule) -> int:
     raise ValueError(f"unknown quantile rule {rule!r}")
 
 
+def _at_ranks(counts: DataFrame, groups: list[str], wanted: list[tuple], kinds: list[str]) -> list:
+    """The bin of each wanted rank of its group, and the rank inside the bin."""
+    names = [*groups, "p", "rank"]
+    asked = counts.sparkSession.createDataFrame(wanted, ", ".join(f"{n} {k}" for n, k in zip(names, [*kinds, "int", "long"])))
+    upto = F.sum("pairs").over(Window.partitionBy(*groups).orderBy("bin"))
+    rows = counts.withColumn("upto", upto).join(F.broadcast(asked), groups)
+    hit = (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("pairs") <= F.col("rank"))
+    return rows.where(hit).select(*groups, "p", "bin", (F.col("rank") - F.col("upto") + F.col("pairs")).alias("rest")).collect()
+
+
 def similarity_quantiles(
     reps: DataFrame,
     attrs: Sequence[str],
@@ -707,80 +792,46 @@ def similarity_quantiles(
     rule="n",
     right: DataFrame | None = None,
     block_rows: int | None = BLOCK_ROWS,
+    apart: str | None = None,
 ) -> dict[int, tuple[int, dict[float, float]]]:
     """Exact quantiles of all pair similarities per stratum, at float32 resolution.
 
-    Two counting passes over the block pairs: the high half of the ordered bit pattern
-    locates the bin of each requested rank, the low half picks the value inside it. No
-    pair is ever written out. Returns ``{stratum: (n, {p: value})}``; the driver only
-    sees bin counts, at most 65536 per pass and stratum.
+    Two counting passes over the block pairs: the high bits of the ordered bit pattern
+    locate the bin of each requested rank, the low bits pick the value inside it. No
+    pair is ever written out, and Spark looks the ranks up in the counts. Returns
+    ``{stratum: (n, {p: value})}``; the driver only sees sizes and the bins asked for.
+    Pairs that share the attribute ``apart`` are left out.
     """
-    half = 2**16
-    coarse: dict[int, dict[int, int]] = {}
-    high = binned_counts(
-        reps, attrs, stratify, strata, lambda s: (_ordered_bits(s) >> 16), half, right, block_rows
+    low = 1 << LOW_BITS
+    high = materialize(
+        _count_pairs(reps, attrs, stratify, lambda s, _: (_ordered_bits(s) >> LOW_BITS).astype(np.int64), 2**32 >> LOW_BITS, right, block_rows, None, apart)
     )
-    for r in high.collect():
-        coarse.setdefault(r["stratum"], {})[r["bin"]] = r["pairs"]
-
-    wanted: dict[int, list[tuple[float, int, int]]] = {}
-    sizes: dict[int, int] = {}
-    for stratum, hist in coarse.items():
-        sizes[stratum] = n = sum(hist.values())
-        for p in probabilities:
-            rank, seen = quantile_rank(p, n, rule), 0
-            for b in sorted(hist):
-                if seen + hist[b] > rank:
-                    wanted.setdefault(stratum, []).append((p, b, rank - seen))
-                    break
-                seen += hist[b]
-
-    high_bins = np.array(sorted({b for rows in wanted.values() for _, b, _ in rows}), dtype=np.int64)
-
-    if not len(high_bins):
+    sizes = {r["stratum"]: r["n"] for r in high.groupBy("stratum").agg(F.sum("pairs").alias("n")).collect()}
+    if not sizes:
         return {}
-    fine: dict[tuple[int, int], dict[int, int]] = {}
-    low = _low_half_counts(reps, attrs, stratify, strata, high_bins, right, block_rows)
-    for r in low.collect():
-        fine.setdefault((r["stratum"], r["bin_high"]), {})[r["bin_low"]] = r["pairs"]
-
-    out: dict[int, tuple[int, dict[float, float]]] = {}
-    for stratum, rows in wanted.items():
-        values = {}
-        for p, b, rest in rows:
-            seen = 0
-            for lo in sorted(fine[(stratum, b)]):
-                seen += fine[(stratum, b)][lo]
-                if seen > rest:
-                    values[p] = _from_ordered(b * half + lo)
-                    break
-        out[stratum] = (sizes[stratum], values)
+    ranks = [(c, i, quantile_rank(p, n, rule)) for c, n in sizes.items() for i, p in enumerate(probabilities)]
+    found = _at_ranks(high, ["stratum"], ranks, ["int"])
+    bins: dict[int, list[int]] = {c: sorted({r["bin"] for r in found if r["stratum"] == c}) for c in sizes}
+    # Place of a high half among those asked for in its stratum, or -1.
+    listed = {c: np.array(b, np.int64) for c, b in bins.items()}
+
+    def bin_of(s: np.ndarray, code: int) -> np.ndarray:
+        bits = _ordered_bits(s)
+        top, own = (bits >> LOW_BITS).astype(np.int64), listed[code]
+        at = np.minimum(np.searchsorted(own, top), len(own) - 1)
+        return np.where(own[at] == top, at * low + (bits & (low - 1)), -1)
+
+    most = max(map(len, bins.values()))
+    fine = _count_pairs(reps, attrs, stratify, bin_of, most * low, right, block_rows, None, apart)
+    fine = materialize(fine.withColumn("place", F.floor(F.col("bin") / low).cast("int")))
+    inside = [(r["stratum"], bins[r["stratum"]].index(r["bin"]), r["p"], r["rest"]) for r in found]
+    out: dict[int, tuple[int, dict[float, float]]] = {c: (n, {}) for c, n in sizes.items()}
+    for r in _at_ranks(fine, ["stratum", "place"], inside, ["int", "int"]):
+        code = (bins[r["stratum"]][r["place"]] << LOW_BITS) + r["bin"] % low
+        out[r["stratum"]][1][probabilities[r["p"]]] = _from_ordered(code)
     return out
 
 
-def _low_half_counts(reps, attrs, stratify, strata, high_bins, right, block_rows) -> DataFrame:
-    """Counts by low half for the listed high halves."""
-    half = 2**16
-
-    def bin_of(s: np.ndarray) -> np.ndarray:
-        code = _ordered_bits(s)
-        at = np.searchsorted(high_bins, code >> 16)
-        at = np.minimum(at, len(high_bins) - 1)
-        found = high_bins[at] == (code >> 16)
-        return np.where(found, at * half + (code & (half - 1)), -1)
-
-    counts = binned_counts(
-        reps, attrs, stratify, strata, bin_of, half * len(high_bins), right, block_rows
-    )
-    table = F.array(*[F.lit(int(b)) for b in high_bins])
-    return counts.select(
-        "stratum",
-        F.get(table, (F.col("bin") / half).cast("int")).alias("bin_high"),
-        (F.col("bin") % half).alias("bin_low"),
-        "pairs",
-    )
-
-
 # ------------------------------------------------------------------ pairs inside groups
 
 GROUP_CHUNK = 1024
