@@ -15,12 +15,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinframe.operators.catalog import live
-from kinframe.operators.pairs import ANGLE_SLACK, MAX_PIVOTS, SMALL_SIDE, angles, place_rows, sample_rows, unit_rows
+from kinframe.operators.pairs import ANGLE_SLACK, MAX_PIVOTS, SMALL_SIDE, angles, column_values, place_rows, sample_rows, to_matrix, unit_rows
 from kinframe.operators.search import SEARCH_LIMIT, SEARCH_MIN_SIM, describe_hits, photo_hits, rank_hits
 from kinframe.session import materialize
 
@@ -40,6 +42,14 @@ class SearchReport:
     faces: int
 
 
+def cell_bounds(queries: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Queries by cells: the most similar that a face of the cell can be."""
+    if not len(radius):
+        return np.zeros((len(queries), 0))
+    gap = angles(unit_rows(queries), pivots) - radius[None, :] - ANGLE_SLACK
+    return np.cos(np.clip(gap, 0, math.pi))
+
+
 class VectorIndex:
     """Cells of faces below ``root``; ``build_index`` writes them."""
 
@@ -55,10 +65,7 @@ class VectorIndex:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Queries by cells: the most similar that a face of the cell can be."""
-        if not len(self.cell):
-            return np.zeros((len(queries), 0))
-        gap = angles(unit_rows(queries), self.pivots) - self.radius[None, :] - ANGLE_SLACK
-        return np.cos(np.clip(gap, 0, math.pi))
+        return cell_bounds(queries, self.pivots, self.radius)
 
     def search(
         self, queries: DataFrame, photos: DataFrame, k: int = SEARCH_LIMIT, min_sim: float = SEARCH_MIN_SIM, first_cells: int = FIRST_CELLS
@@ -67,21 +74,52 @@ class VectorIndex:
 
         ``queries`` has ``query_photo, query_order, embedding``, at most ``SMALL_SIDE`` rows.
         """
-        rows = queries.limit(SMALL_SIDE + 1).collect()
-        if len(rows) > SMALL_SIDE:
+        if queries.limit(SMALL_SIDE + 1).count() > SMALL_SIDE:
             raise ValueError(f"more than {SMALL_SIDE} query faces; use search_batch over all faces")
-        asked = sorted({r["query_photo"] for r in rows})
+        return self._search(queries, photos, k, min_sim, first_cells)
+
+    def _best_bounds(self, queries: DataFrame) -> tuple[list, np.ndarray]:
+        """The query photos, and per photo and cell the best bound of its faces."""
+        schema = T.StructType([queries.schema["query_photo"], T.StructField("place", T.IntegerType()), T.StructField("bound", T.DoubleType())])
+        kind, cells = to_arrow_type(schema["query_photo"].dataType), len(self.cell)
+
+        pivots, radius = self.pivots, self.radius
+
+        def bounds_of(vectors):
+            return cell_bounds(vectors, pivots, radius)
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, SMALL_SIDE):
+                    part = batch.slice(at, SMALL_SIDE)
+                    photos, own = np.unique(column_values(part.column("query_photo")), return_inverse=True)
+                    most = np.full((len(photos), cells), -2.0)
+                    np.maximum.at(most, own, bounds_of(to_matrix(pa.chunked_array([part.column("embedding")]))))
+                    columns = [pa.array(np.repeat(photos, cells), kind), pa.array(np.tile(np.arange(cells, dtype=np.int32), len(photos))), pa.array(most.ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        asked = sorted(r[0] for r in queries.select("query_photo").distinct().limit(SMALL_SIDE + 1).collect())
+        if len(asked) > SMALL_SIDE:
+            raise ValueError(f"more than {SMALL_SIDE} query photos; use search_batch over all faces")
+        most, number = np.full((len(asked), cells), -2.0), {q: i for i, q in enumerate(asked)}
+        if asked and cells:
+            found = queries.select("query_photo", "embedding").mapInArrow(run, schema).groupBy("query_photo", "place").agg(F.max("bound").alias("bound"))
+            # At most photos times cells rows, whatever the number of faces.
+            for r in found.toLocalIterator():
+                most[number[r["query_photo"]], r["place"]] = r["bound"]
+        return asked, most
+
+    def _search(self, queries: DataFrame, photos: DataFrame, k: int, min_sim: float, first_cells: int = FIRST_CELLS) -> tuple[DataFrame, SearchReport]:
+        """As ``search``, for any number of faces of at most ``SMALL_SIDE`` query photos."""
+        queries = materialize(queries)
+        asked, most = self._best_bounds(queries)
         number = {q: i for i, q in enumerate(asked)}
-        # Per query photo and cell: the best bound of its faces.
-        most = np.full((len(asked), len(self.cell)), -2.0)
-        if rows:
-            np.maximum.at(most, [number[r["query_photo"]] for r in rows], self.bounds(np.array([r["embedding"] for r in rows], np.float64)))
         beat = np.full(len(asked), float(min_sim))
         left = np.ones(len(self.cell), bool)
         on_show = materialize(live(photos).select("photo_id"))
         hits, rounds, read = None, 0, np.zeros(len(self.cell), bool)
         while True:
-            able = left & (most >= beat[:, None] - ANGLE_SLACK).any(0) if rows else np.zeros(0, bool)
+            able = left & (most >= beat[:, None] - ANGLE_SLACK).any(0) if asked else np.zeros(0, bool)
             if not able.any():
                 break
             # Twice as many cells in every round, so that rounds stay few.
@@ -103,7 +141,7 @@ class VectorIndex:
         self, queries: DataFrame, faces: DataFrame, photos: DataFrame, persons: DataFrame, k: int = SEARCH_LIMIT, min_sim: float = SEARCH_MIN_SIM
     ) -> DataFrame:
         """The hits of a batch with boxes, persons and paths, as ``search_batch`` gives them."""
-        return describe_hits(self.search(queries, photos, k, min_sim)[0], faces, photos, persons)
+        return describe_hits(self._search(queries, photos, k, min_sim)[0], faces, photos, persons)
 
 
 def build_index(faces: DataFrame, root: str, cell_rows: int = CELL_ROWS) -> VectorIndex:
