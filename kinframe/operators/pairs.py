@@ -603,8 +603,10 @@ def _attr_groups(side: Side, attrs: Sequence[str]) -> list[np.ndarray] | None:
     """Row numbers by equal attributes; none if there are too many groups to gain from them."""
     if not attrs or not len(side):
         return [np.arange(len(side))]
-    _, at = np.unique(np.stack([np.asarray(side.attr[c]) for c in attrs], 1), axis=0, return_inverse=True)
-    at = at.ravel()
+    at = np.zeros(len(side), np.int64)
+    for c in attrs:
+        values, own = np.unique(side.attr[c], return_inverse=True)
+        at = np.unique(at * len(values) + own.ravel(), return_inverse=True)[1].ravel()
     if at.max() >= MAX_GROUPS:
         return None
     order = np.argsort(at, kind="stable")
