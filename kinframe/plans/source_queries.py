@@ -13,6 +13,9 @@ from kinframe.session import checkpoint_root
 from kinframe.sources import catalog_io as io
 from kinframe.sources.schema import read_versions, upgrade_schema
 
+# Fixed value: folders that the files of all documents are dealt to.
+FOLDERS = 256
+
 LISTING = (
     "concat('/lib/', source, '/', lang, '/', CASE WHEN doc_id % 13 = 0 THEN '._' ELSE '' END, doc_id, "
     "CASE doc_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.txt' WHEN 3 THEN '.png' WHEN 4 THEN '.webp' ELSE '.pdf' END)"
@@ -63,12 +66,16 @@ def s04(v):
 @query("s02_file_hashes", """
 SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS content_hash FROM documents WHERE text IS NOT NULL""")
 def s02_files(v):
-    """A file per document, written by Spark, found by a scan of the folder and hashed."""
+    """A file per document, written by the tasks, found by a scan of the folder and hashed."""
     root = folder(v)
-    docs = v.raw("documents").where("text IS NOT NULL").select("doc_id", "text")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    name = F.concat_ws("-", "doc_id", F.monotonically_increasing_id())
+    docs = v.raw("documents").where("text IS NOT NULL").select(
+        F.concat(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(FOLDERS)), F.lit("/doc_"), name, F.lit(".txt")).alias("path"),
+        F.concat("text", F.lit("\n")).cast("binary").alias("content"),
+    )
+    io.write_files(docs, root)
     files = io.content_hash(io.read_files(v.spark, root, "*.txt"), method="sha256")
-    return files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "length", "content_hash")
+    return files.select(F.regexp_extract("path", r"/doc_(-?\d+)-\d+[.]txt$", 1).try_cast("long").alias("doc_id"), "length", "content_hash")
 
 
 @query("s04_mixed_versions", ctes("faces") + """

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,35 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None, max_b
     return small.unionByName(large)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write a file per row of ``files(path, content)`` below ``root``; returns their number.
+
+    Paths are relative and must differ. The tasks write the files themselves, as a commit by
+    Spark's writers costs several steps a file, partly in the driver. A repeated task
+    writes the same files again. ``root`` may be any address that Arrow can open: a shared
+    folder, HDFS or an object store.
+    """
+
+    def run(batches):
+        target, base = pafs.FileSystem.from_uri(root)
+        made, n = set(), 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                full = f"{base}/{path}"
+                folder = full.rpartition("/")[0]
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with target.open_output_stream(full) as out:
+                    out.write(content)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    pafs.FileSystem.from_uri(root)  # an address that Arrow does not know fails here, not in a task
+    rows = files.select(F.col("path"), F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def content_hash(df: DataFrame, content: str = "content", method: str = "xxhash64") -> DataFrame:
     """Add ``content_hash``: 16 hex digits of xxHash64, or SHA-256."""
     if method == "xxhash64":
