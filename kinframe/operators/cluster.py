@@ -854,6 +854,10 @@ def cluster_running_average(faces: DataFrame, threshold: float, label: str = "la
     A face joins the most similar centroid strictly above the threshold, which moves to
     the midpoint; otherwise it starts a new one. The result depends on the order of the
     faces, so a label is read in order by one task, which holds only its centroids.
+
+    The rows are dealt by a struct of the label: dealt by the label itself, Spark would drop
+    the shuffle behind a join by label, and the adaptive plan may turn that join into a
+    broadcast one that leaves the rows of a label in several tasks.
     """
     label_type = faces.schema[label].dataType
     schema = T.StructType(
@@ -862,7 +866,7 @@ def cluster_running_average(faces: DataFrame, threshold: float, label: str = "la
     ordered = (
         faces.where(F.col("embedding").isNotNull() & F.col(label).isNotNull())
         .select(label, "face_order", "embedding")
-        .repartition(label)
+        .repartition(F.struct(label))
         .sortWithinPartitions(label, "face_order")
     )
 

@@ -543,11 +543,11 @@ def mean_clusters_per_identity(faces: DataFrame, thresholds: Sequence[float], la
     rows = materialize(
         faces.where(F.col("embedding").isNotNull() & F.col(label).isNotNull()).select(label, "face_order", "embedding")
     )
-    multi = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(label)
-    rows = rows.join(multi, label, "left_semi")
     out = None
     for t in thresholds:
-        per = cluster_running_average(rows, t, label).groupBy(label).agg(F.max("cluster").alias("c"))
+        per = cluster_running_average(rows, t, label).groupBy(label).agg(
+            F.max("cluster").alias("c"), F.count(F.lit(1)).alias("n")
+        ).where("n >= 2")
         part = per.agg(
             F.lit(t).alias("threshold"), F.avg("c").alias("clusters_per_identity"), F.sum("c").alias("clusters"),
             F.count(F.lit(1)).alias("identities"), F.count_if(F.col("c") > 1).alias("split"),
