@@ -163,7 +163,8 @@ SELECT image_id, count(*) FILTER (WHERE pass = 0) AS raw_full, count(*) FILTER (
   count(*) FILTER (WHERE ok AND face_quality = 'low') AS low, count(*) FILTER (WHERE ok AND face_quality = 'very_low') AS very_low
 FROM m GROUP BY ROLLUP (image_id)""")
 def p13n(v):
-    return dt.detection_breakdown(v.detections, dt.classify(dt.nms(v.detections)))
+    """Rows are classified before suppression, so that their flags are shuffled and not their landmarks."""
+    return dt.detection_breakdown(v.detections, dt.nms(dt.classify(v.detections)))
 
 
 @query("p14_landmark_ratios", ctes("detections") + """,
