@@ -24,7 +24,7 @@ So two similar classes are missed only if they share no long prefix in any order
 they do, they are neighbours, or lie in one crowded region.
 
 The sets of candidate classes are written once, and only they are joined with pairs and
-blocks. A class is named by its smallest id and its fingerprint, so the smallest class of a
+blocks. Texts are joined by id only where a bit table of bounded size marks their id. A class is named by its smallest id and its fingerprint, so the smallest class of a
 component is the answer and no join goes by component.
 
 Rows: a null text and a text without words have an empty set and link with nothing. A row
@@ -55,6 +55,8 @@ CROWDED = 5
 PERCENT = 80
 # Largest blocks of the exact finish: classes to place, classes of the region, bytes of both.
 PROBES, MEMBERS, BLOCK_BYTES = 1024, 2048, 16 << 20
+# Most bits of the marks that spare texts a join by id: 262,144 rows, some megabytes.
+MARK_BITS = 1 << 24
 
 
 def _sets(w: Words, width: int):
@@ -234,6 +236,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
+def _apart(docs: DataFrame, ids: DataFrame, most_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that may have one of the ``ids``, and those that have none of them.
+
+    Each id sets one of about 16 bits an id, ``most_bits`` at most, 64 to a row. So the marks
+    are bounded however many ids there are, they are broadcast, and texts are not moved. With
+    more ids more rows only may have one, which a join by id then decides.
+    """
+    bits = min(most_bits or MARK_BITS, max(1024, 16 * ids.count()))
+    word, bit = f"cast(pmod(xxhash64(doc_id), {bits}L) div 64 as int)", f"cast(pmod(xxhash64(doc_id), {bits}L) % 64 as int)"
+    marks = materialize(ids.groupBy(F.expr(word).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("__bits")))
+    hit = F.expr(f"__word = {word} AND getbit(__bits, {bit}) = 1")
+    return docs.join(F.broadcast(marks), hit, "left_semi"), docs.join(F.broadcast(marks), hit, "left_anti")
+
+
 def _class_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``(cls, shingles)``: the sorted shingle hashes of every wanted class, from one of its documents."""
 
@@ -245,8 +261,8 @@ def _class_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int)
             same = [i for i, (s, c) in enumerate(zip(sets, own)) if _fingerprint(s) == c[-16:]]
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in same], pa.binary()), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["cls", "shingles"])
 
-    named = reps.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
-    found = docs.select("doc_id", "text").join(named, "doc_id").select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
+    named = materialize(reps.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls"))
+    found = _apart(docs.select("doc_id", "text"), named)[0].join(named, "doc_id").select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
     return found.dropDuplicates(["cls"])
 
 
@@ -432,8 +448,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, **options) ->
     """
     found = materialize(near_duplicates(docs, percent, **options))
     # Ids whose every row is in a group of a smaller one go; they are named once.
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(found.where("NOT kept").select("doc_id").distinct())
+    doubtful, others = _apart(docs, gone)
+    left = others.unionByName(doubtful.join(gone, "doc_id", "left_anti"))
     again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return left

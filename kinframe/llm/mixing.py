@@ -183,20 +183,33 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: float
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """``docs`` as the mix takes them: a document once for each time its first word is taken.
 
-    Rows that agree in id, source and size are told apart by a number; where there are
-    none, the texts are spared that sort.
+    Every pass over a stream starts at its beginning and only the last one may be cut, so up
+    to some document the mix takes all once more than those behind it. One row a source names
+    that document, and the texts are not moved to be joined by id. Only where several rows
+    agree in id, source and size with it are they told apart by a number.
     """
-    keys = ["__id", "__key", "__size"]
-    rows = mix(docs, **options).select(F.struct("doc_id").alias("__id"), _key().alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    rows = materialize(rows)
-    sized = with_size(docs, docs.columns, "__size").withColumn("__key", _key()).withColumn("__id", F.struct("doc_id"))
-    if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
-        number = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))
-        rows = materialize(rows.withColumn("__n", number(F.desc("__copies"))))
-        sized = sized.withColumn("__n", number(F.xxhash64("text")))
-        keys = [*keys, "__n"]
-    taken = sized.join(rows.where("__copies > 0"), keys)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    place = F.struct(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1).alias("place"), F.col("doc_id"), F.col("__size").alias("size"))
+    met = mix(docs, seed=seed, **options).where("size > 0").select(_key().alias("__key"), "doc_id", F.col("size").alias("__size"), "copies")
+    # Counted by place and then by source, so that a source with most of the rows meets in no task.
+    places = met.groupBy("__key", place.alias("at"), "copies").agg(F.count(F.lit(1)).alias("n"))
+    ends = places.groupBy("__key", "copies").agg(F.max(F.struct("at", "n")).alias("last"), F.min(F.struct("at", "n")).alias("first"))
+    cuts = ends.groupBy("__key").agg(F.min("copies").alias("__low"), F.max("copies").alias("high"), F.max_by("last", "copies").alias("last"), F.min_by("first", "copies").alias("first"))
+    last, first, cut = F.col("last"), F.col("first"), F.col("high") > F.col("__low")
+    less = F.when(cut & (first["at"] == last["at"]), first["n"]).otherwise(0)
+    cuts = cuts.select("__key", "__low", F.when(cut, last["at"]).alias("__cut"), F.when(cut, last["n"]).alias("__more"), less.alias("__less"))
+    cuts = materialize(cuts)
+
+    sized = with_size(docs, docs.columns, "__size").where("__size > 0").withColumn("__key", _key()).withColumn("__at", place)
+    rows = sized.join(cuts, "__key")
+    times = F.col("__low") + F.when(F.col("__at") <= F.col("__cut"), 1).otherwise(0)
+    if not cuts.where("__less > 0").isEmpty():
+        split = (F.col("__at") == F.col("__cut")) & (F.col("__less") > 0)
+        number = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
+        part = rows.where(split).withColumn("__times", F.col("__low") + F.when(number <= F.col("__more"), 1).otherwise(0))
+        rows = rows.where(F.coalesce(~split, F.lit(True))).withColumn("__times", times).unionByName(part)
+    else:
+        rows = rows.withColumn("__times", times)
+    return rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(docs.columns)
