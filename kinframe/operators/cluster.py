@@ -26,6 +26,7 @@ from kinframe.operators.pairs import (
     Side,
     block_pairs,
     column_values,
+    pairs_near,
     rep_pairs,
     similar_pairs,
     single_precision,
@@ -50,6 +51,8 @@ SURE_EDGES = 5_000_000
 # The best edges that one task merges at a time, and how finely their similarities are counted.
 BAND_EDGES = 1_000_000
 BAND_BINS = 4096
+# Rows whose partners are counted to foresee how many edges lie over a similarity.
+SAMPLE_NODES = 2048
 # Sorted edges that one task decides at a time in the greedy pass, and those it compares at once.
 SLICE_EDGES = 1_000_000
 SLICE_BLOCK = 4096
@@ -179,9 +182,8 @@ def _allowed(s: np.ndarray, low_a: np.ndarray, low_b: np.ndarray, threshold: flo
 
 def _gated_hits(a: Side, b: Side, same: bool, threshold: float, low_join: float):
     """Rows, columns and similarities of the pairs that may merge, tile by tile."""
-    for start, _, s in tiles(a, b):
-        i, j = np.nonzero(s > threshold - ANGLE_SLACK)
-        s, i = single_precision(s[i, j]), i + start
+    for i, j, s in pairs_near(a, b, threshold - ANGLE_SLACK):
+        s = single_precision(s)
         low = a.attr["low"][i].astype(np.int8) + b.attr["low"][j].astype(np.int8)
         hit = (s > threshold) & ((low == 0) | ((low == 1) & (s >= low_join)))
         if same:
@@ -401,31 +403,85 @@ def _first_obstacle(state: DataFrame, threshold: float, low_join: float, block_r
     return found.groupBy("id").agg(F.max(F.struct("sim", "neg_first")).alias("stop"))
 
 
-def _next_cut(alive: DataFrame, threshold: float, low_join: float, block_rows: int | None, band_edges: int) -> float | None:
-    """The lowest similarity above which at most ``band_edges`` edges lie; none if even the top bin has more."""
-    n = alive.count()
-    if n * (n - 1) // 2 <= band_edges:
-        return threshold
+def _bins(threshold: float) -> np.ndarray:
+    """Lower edges of the bins of similarities over a threshold."""
+    return threshold + (1.0 - threshold) * np.arange(BAND_BINS) / BAND_BINS
+
+
+def _binned(threshold: float, low_join: float):
+    """A reducer that counts allowed pairs per bin, a row with itself left out, and its schema."""
     # A bin holds what lies over its edge and not over the next one, as an edge list would.
-    edges = threshold + (1.0 - threshold) * np.arange(BAND_BINS) / BAND_BINS
-    schema = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("edges", T.LongType())])
+    edges = _bins(threshold)
 
     def reduce(a: Side, b: Side, same: bool) -> pa.Table:
         total = np.zeros(BAND_BINS, np.int64)
-        for _, _, s in _gated_hits(a, b, same, threshold, low_join):
+        for i, j, s in _gated_hits(a, b, same, threshold, low_join):
+            s = s[a.attr["id"][i] != b.attr["id"][j]]
             total += np.bincount(np.searchsorted(edges, s, side="left") - 1, minlength=BAND_BINS)
         at = np.nonzero(total)[0]
         return pa.table({"bin": pa.array(at.astype(np.int32)), "edges": pa.array(total[at])})
 
-    counts = block_pairs(alive.select("id", "vec", "low"), None, reduce, schema, threshold, block_rows)
-    total = np.zeros(BAND_BINS, np.int64)
+    return reduce, T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("edges", T.LongType())])
+
+
+def _above(counts: DataFrame) -> np.ndarray:
+    """How many edges lie over the lower edge of every bin."""
+    total = np.zeros(BAND_BINS)
     for r in counts.groupBy("bin").agg(F.sum("edges").alias("edges")).collect():
         total[r["bin"]] = r["edges"]
-    above = total[::-1].cumsum()[::-1]
+    return total[::-1].cumsum()[::-1]
+
+
+def foreseen(alive: DataFrame, threshold: float, low_join: float) -> np.ndarray:
+    """About how many edges lie over each bin's lower edge, from the partners of some roots.
+
+    A fixed, hash-chosen set of roots meets all others where they lie, so this is linear.
+    """
+    reduce, schema = _binned(threshold, low_join)
+    rows = alive.select("id", "vec", "low")
+    chosen, n = rows.orderBy(F.xxhash64("id")).limit(SAMPLE_NODES), alive.count()
+    return _above(block_pairs(chosen, rows, reduce, schema, threshold)) * (n / (2 * max(1, min(n, SAMPLE_NODES))))
+
+
+def _cut_of(above: np.ndarray, threshold: float, band_edges: int) -> float | None:
+    """The lowest edge of a bin over which at most ``band_edges`` edges lie; none if there are none over it."""
     if above[0] <= band_edges:
         return threshold
     fits = int(np.argmax(above <= band_edges)) if above[-1] <= band_edges else -1
-    return float(edges[fits]) if fits >= 0 and above[fits] else None
+    return float(_bins(threshold)[fits]) if fits >= 0 and above[fits] else None
+
+
+def _next_cut(alive: DataFrame, threshold: float, low_join: float, block_rows: int | None, band_edges: int) -> float | None:
+    """The lowest similarity above which at most ``band_edges`` edges lie; none if even the top bin has more."""
+    reduce, schema = _binned(threshold, low_join)
+    return _cut_of(_above(block_pairs(alive.select("id", "vec", "low"), None, reduce, schema, threshold, block_rows)), threshold, band_edges)
+
+
+def _best_edges(alive: DataFrame, threshold: float, low_join: float, block_rows: int | None, band_edges: int) -> tuple[DataFrame | None, float | None]:
+    """At most ``band_edges`` of the best edges, and the similarity over which they are all.
+
+    The cut is foreseen from some roots and the edges over it are listed with one comparison.
+    Where they are more than fit, the cut is raised among them; where there are none, or too
+    many for any cut, the edges are counted exactly by a comparison of their own.
+    """
+    n = alive.count()
+    if n * (n - 1) // 2 <= band_edges:
+        return materialize(_gated_edges(alive, threshold, low_join, block_rows, False)), threshold
+    cut = _cut_of(foreseen(alive, threshold, low_join), threshold, int(0.9 * band_edges))
+    if cut is not None:
+        edges = materialize(_gated_edges(alive, cut, low_join, block_rows, False))
+        found = edges.count()
+        if found > band_edges:
+            width = (1.0 - threshold) / BAND_BINS
+            counts = edges.groupBy(F.greatest(F.lit(0), F.ceil((F.col("sim") - threshold) / width) - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("edges"))
+            # A bin of room for rounding: what is kept is what lies over the cut.
+            cut = _cut_of(_above(counts), threshold, int(0.9 * band_edges))
+            edges = None if cut is None else edges.where(F.col("sim") > cut)
+            found = 0 if edges is None else edges.count()
+        if 0 < found <= band_edges or (cut == threshold and not found):
+            return edges, cut
+    cut = _next_cut(alive, threshold, low_join, block_rows, band_edges)
+    return (None, None) if cut is None else (materialize(_gated_edges(alive, cut, low_join, block_rows, False)), cut)
 
 
 def _merge_band(edges: DataFrame, alive: DataFrame) -> DataFrame:
@@ -481,9 +537,8 @@ def solve_rounds(
     alive = nodes
     assign = nodes.select("id", F.col("id").alias("root"))
     while True:
-        cut = _next_cut(alive, threshold, low_join, block_rows, BAND_EDGES if band_edges is None else band_edges)
+        edges, cut = _best_edges(alive, threshold, low_join, block_rows, BAND_EDGES if band_edges is None else band_edges)
         if cut is not None:
-            edges = materialize(_gated_edges(alive, cut, low_join, block_rows, False))
             found = materialize(_merge_band(edges, alive))
             if steps is not None:
                 steps.append(found.select("id", "parent", "sim"))
@@ -556,9 +611,8 @@ def cluster_faces(
     n = nodes.count()
     explicit = n * (n - 1) // 2 <= sure_edges
     if not explicit:
-        counted = _gated_edges(nodes, threshold, low_join, block_rows, True)
-        total = counted.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
-        explicit = total <= edges_per_face * n
+        # Either way gives the same clusters, so a forecast is enough to choose one.
+        explicit = foreseen(nodes, threshold, low_join)[0] <= edges_per_face * n
     if explicit:
         edges = materialize(_gated_edges(nodes, threshold, low_join, block_rows, False))
         solved = _solve_edges(edges, nodes, threshold, low_join, block_rows, local_edges)

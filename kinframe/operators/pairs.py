@@ -38,6 +38,8 @@ BLOCK_ROWS = None
 MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, BLOCKS_WANTED = 2048, 32768, 256
 MAX_TASKS = 20_000
 TILE_CELLS = 4_000_000
+# Named pairs that are worked out at once.
+PAIRS_AT_ONCE = 65_536
 # Pairs of one stratum that are counted at once, and how many groups of attributes are told apart.
 STRATA_CELLS = 1_000_000
 MAX_GROUPS = 256
@@ -385,6 +387,24 @@ def tiles(a: Side, b: Side):
             yield start, stop, np.clip(a.units[start:stop] @ b.units.T, -1.0, 1.0)
 
 
+def pairs_near(a: Side, b: Side, over: float):
+    """Rows, columns and similarities over ``over``, tile by tile.
+
+    A product in single precision, with room for its rounding, names the pairs; only these
+    are worked out in double precision.
+    """
+    own, other = a.units.astype(np.float32), np.ascontiguousarray(b.units.astype(np.float32).T)
+    room = (own.shape[1] + 8) * 2.0**-23
+    rows = max(1, TILE_CELLS // max(1, len(b)))
+    for start in range(0, len(a) if len(b) else 0, rows):
+        i, j = np.divmod(np.flatnonzero(own[start : start + rows] @ other > np.float32(over - room)), len(b))
+        i += start
+        parts = [np.einsum("ij,ij->i", a.units[i[k : k + PAIRS_AT_ONCE]], b.units[j[k : k + PAIRS_AT_ONCE]]) for k in range(0, len(i), PAIRS_AT_ONCE)]
+        s = np.clip(np.concatenate(parts), -1.0, 1.0) if parts else np.zeros(0)
+        hit = s > over
+        yield i[hit], j[hit], s[hit]
+
+
 def single_precision(s: np.ndarray) -> np.ndarray:
     """Round similarities to float32 and widen again, for comparisons at that precision."""
     return s.astype(np.float32).astype(np.float64)
