@@ -27,10 +27,11 @@ from kinframe.operators.cluster import (
     LOW_JOIN,
     LOW_TIERS,
     connected_components,
+    foreseen,
     merge_steps,
     solve_rounds,
 )
-from kinframe.operators.pairs import BLOCK_ROWS, pairs_over, rep_pairs
+from kinframe.operators.pairs import BLOCK_ROWS, rep_pairs
 from kinframe.session import materialize
 
 LINKS = T.StructType([T.StructField("id", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("sim", T.DoubleType())])
@@ -61,7 +62,8 @@ class MergeForest:
         self.vectors = materialize(base.select("id", "vec").join(self.members.where("id = rep").select("id"), "id"))
         n = self.vectors.count()
         # A pair list that would dwarf the faces is never written; rounds need none.
-        self.sparse = pairs_over(self.vectors, lowest, block_rows, edges_per_face * max(n, 1))
+        limit, plain = edges_per_face * max(n, 1), self.vectors.withColumn("low", F.lit(False))
+        self.sparse = n * (n - 1) // 2 <= limit or foreseen(plain, lowest, LOW_JOIN)[0] <= limit
         self.edges = materialize(rep_pairs(self.vectors, lowest, True, True, block_rows)) if self.sparse else None
 
     def _nodes(self, gated: bool) -> tuple[DataFrame, DataFrame]:

@@ -451,29 +451,6 @@ def rep_pairs(
     return block_pairs(reps.select("id", "vec"), None, reduce, schema, threshold, block_rows)
 
 
-def pairs_over(reps: DataFrame, threshold: float, block_rows: int | None, limit: int) -> bool:
-    """Whether at most ``limit`` pairs lie over the threshold.
-
-    Only counts leave the tasks; where even all pairs are few enough, nothing is compared.
-    """
-    n = reps.count()
-    if n * (n - 1) // 2 <= limit:
-        return True
-
-    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
-        found = 0
-        for start, stop, s in tiles(a, b):
-            hit = single_precision(s) > threshold
-            if same:
-                hit &= np.arange(start, stop)[:, None] < np.arange(len(b))[None, :]
-            found += int(hit.sum())
-        return pa.table({"n": pa.array([found], pa.int64())})
-
-    schema = T.StructType([T.StructField("n", T.LongType())])
-    counts = block_pairs(reps.select("id", "vec"), None, reduce, schema, threshold, block_rows)
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= limit
-
-
 def _pair_table(ids_a, ids_b, sims, schema: T.StructType) -> pa.Table:
     return arrow_table(schema, [ids_a, ids_b, sims])
 
