@@ -23,15 +23,17 @@ from kinframe.operators.catalog import live
 from kinframe.operators.pairs import (
     ANGLE_SLACK,
     BLOCK_ROWS,
+    SMALL_SIDE,
     Side,
+    arrow_table,
     block_pairs,
     column_values,
     pairs_near,
-    rep_pairs,
     similar_pairs,
     single_precision,
     tiles,
     to_matrix,
+    unit_rows,
 )
 from kinframe.operators.ranking import rank_in_group
 from kinframe.session import checkpoint_root, materialize
@@ -58,6 +60,8 @@ SLICE_EDGES = 1_000_000
 SLICE_BLOCK = 4096
 # Faces that running-average clustering compares with all centroids at once.
 LEADER_BLOCK = 256
+# Person centroids whose remaining merges one task does: a table of at most 128 MB.
+LOCAL_REPS = 4096
 
 
 # ------------------------------------------------------------------ connected components
@@ -287,8 +291,8 @@ def _solve_small(edges: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     return left.groupBy("pack").cogroup(right.groupBy("pack")).applyInArrow(run, schema)
 
 
-def _sorted_side(side: Side) -> Side:
-    order = np.argsort(side.attr["first"], kind="stable")
+def _sorted_side(side: Side, by: str = "first") -> Side:
+    order = np.argsort(side.attr[by], kind="stable")
     side.units = side.units[order]
     side.attr = side.rows(order)
     return side
@@ -1013,39 +1017,123 @@ def recluster_catalog(
     return new_faces, materialize(created).unionByName(kept)
 
 
+def _closest(reps: DataFrame, others: DataFrame | None, threshold: float, block_rows: int | None) -> DataFrame:
+    """``id, mate, sim``: the best partners that each pair of blocks holds, equal ones by smallest id.
+
+    With ``others``, which hold all of ``reps``, these meet them; otherwise ``reps`` meet themselves.
+    """
+    kind = reps.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("mate", kind), T.StructField("sim", T.DoubleType())])
+
+    def firsts(rows: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Where each row has its best hit, the first of equal ones."""
+        order = np.lexsort((-s, rows))
+        return order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+
+    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
+        a = _sorted_side(a, "id")
+        b = a if same else _sorted_side(b, "id")
+        ids_a, ids_b = a.attr["id"], b.attr["id"]
+        col_s, col_at = np.full(len(b), -2.0), np.zeros(len(b), np.int64)
+        ids, mates, sims = [], [], []
+        for i, j, s in pairs_near(a, b, threshold - ANGLE_SLACK):
+            hit = (s >= threshold) & (ids_a[i] != ids_b[j])
+            i, j, s = i[hit], j[hit], s[hit]
+            at = firsts(i, s)
+            ids.append(ids_a[i[at]])
+            mates.append(ids_b[j[at]])
+            sims.append(s[at])
+            if not same:
+                at = firsts(j, s)
+                at = at[s[at] > col_s[j[at]]]
+                col_s[j[at]], col_at[j[at]] = s[at], i[at]
+        has = np.flatnonzero(col_s > -2.0)
+        return arrow_table(schema, [[*ids, ids_b[has]], [*mates, ids_a[col_at[has]]], [*sims, col_s[has]]])
+
+    keep = ["id", "vec"]
+    return block_pairs(reps.select(keep), None if others is None else others.select(keep), reduce, schema, threshold, block_rows)
+
+
+def _merge_rest(ids: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """All rounds over a bounded number of centroids in order of their ids: where each ends up."""
+    n = len(ids)
+    vectors, sizes, into = vectors.copy(), sizes.astype(np.float64), np.arange(n)
+    live, table = np.ones(n, bool), np.full((n, n), -2.0)
+
+    def compare(rows: np.ndarray) -> None:
+        at = np.flatnonzero(live)
+        own, other = Side.__new__(Side), Side.__new__(Side)
+        own.units, other.units = unit_rows(vectors[rows]), unit_rows(vectors[at])
+        for i, j, s in pairs_near(own, other, threshold - ANGLE_SLACK):
+            i, j = rows[i], at[j]
+            hit = (s >= threshold) & (i != j)
+            table[i[hit], j[hit]] = s[hit]
+            table[j[hit], i[hit]] = s[hit]
+
+    compare(np.arange(n))
+    while True:
+        # Columns are ordered by id, so the first maximum settles ties.
+        mate = table.argmax(axis=1)
+        a = np.flatnonzero((table[np.arange(n), mate] > -2.0) & (mate[mate] == np.arange(n)) & (np.arange(n) < mate))
+        if not len(a):
+            break
+        b = mate[a]
+        keep, gone = np.where(sizes[a] >= sizes[b], a, b), np.where(sizes[a] >= sizes[b], b, a)
+        own, other = sizes[keep][:, None], sizes[gone][:, None]
+        vectors[keep] = (vectors[keep] * own + vectors[gone] * other) / (own + other)
+        sizes[keep] += sizes[gone]
+        into[gone], live[gone] = keep, False
+        for rows in (keep, gone):
+            table[rows] = table[:, rows] = -2.0
+        compare(keep)
+    while not np.array_equal(into, into[into]):
+        into = into[into]
+    return into
+
+
 def merge_duplicate_persons(
-    faces: DataFrame, threshold: float = 0.5, dry_run: bool = False, block_rows: int | None = BLOCK_ROWS
+    faces: DataFrame,
+    threshold: float = 0.5,
+    dry_run: bool = False,
+    block_rows: int | None = BLOCK_ROWS,
+    local_rows: int = LOCAL_REPS,
 ) -> DataFrame:
     """Fold near-identical persons together: ``person_id, merged_into``.
 
     Each round compares person centroids; two persons that are each other's best match
     merge, the smaller into the larger, and centroids are recomputed. A pair is final
     once merged. ``dry_run`` stops after the first round.
+
+    A round lists each centroid's best partner only. Where few lost theirs or moved, these
+    alone are compared again. Rounds are many and the late ones merge a pair or two: as soon
+    as a round leaves at most ``local_rows`` centroids, one task does those that remain over
+    a bounded table of similarities, however many persons there were.
     """
     rows = materialize(
         faces.where(F.col("person_id").isNotNull() & F.col("embedding").isNotNull()).select("person_id", "embedding")
     )
-    mapping = materialize(rows.select("person_id").distinct().withColumn("merged_into", F.col("person_id")))
     # Sums are additive, so a merge only adds vectors; faces are read once.
     means = centroids(rows, ["person_id"])
     state = materialize(
         means.select(F.col("person_id").alias("id"), "n", F.col("centroid").alias("vec"))
     )
-    while True:
-        reps = state.select("id", "vec", "n")
-        pairs = rep_pairs(reps, threshold, block_rows=block_rows)
-        ends = pairs.unionByName(
-            pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "sim")
-        )
+    mapping = state.select(F.col("id").alias("person_id"), F.col("id").alias("merged_into"))
+    left, best, dirty = state.count(), None, None
+    while best is None or left > local_rows:
+        if dirty is None or dirty.count() > SMALL_SIDE:
+            found = _closest(state, None, threshold, block_rows)
+        else:
+            # All others still have the partner they had, or a moved one that is better.
+            found = _closest(dirty, state, threshold, block_rows).unionByName(
+                best.join(dirty.select("id"), "id", "left_anti")
+            )
         best = materialize(
-            ends.groupBy("id_a").agg(F.min(F.struct((-F.col("sim")).alias("s"), "id_b")).alias("m"))
-            .select(F.col("id_a").alias("a"), F.col("m.id_b").alias("b"))
+            found.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "mate")).alias("m"))
+            .select("id", F.col("m.mate").alias("mate"), (-F.col("m.s")).alias("sim"))
         )
-        if best.isEmpty():
-            return mapping
-        mutual = best.alias("x").join(best.alias("y"), (F.col("x.b") == F.col("y.a")) & (F.col("y.b") == F.col("x.a"))).where(
-            "x.a < x.b"
-        ).select("x.a", "x.b")
+        mutual = best.alias("x").join(
+            best.alias("y"), (F.col("x.mate") == F.col("y.id")) & (F.col("y.mate") == F.col("x.id"))
+        ).where("x.id < x.mate").select(F.col("x.id").alias("a"), F.col("x.mate").alias("b"))
         sizes = state.select("id", "n")
         merged = materialize(
             mutual.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
@@ -1055,6 +1143,9 @@ def merge_duplicate_persons(
                 F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("gone"),
             )
         )
+        merges = merged.count()
+        if not merges:
+            return mapping
         mapping = materialize(
             mapping.join(merged.select(F.col("gone").alias("merged_into"), "keep"), "merged_into", "left")
             .select("person_id", F.coalesce("keep", "merged_into").alias("merged_into"))
@@ -1075,3 +1166,23 @@ def merge_duplicate_persons(
                 (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
             )
         )
+        left -= merges
+        if left > local_rows:
+            ends = merged.select(F.col("keep").alias("mate")).unionByName(merged.select(F.col("gone").alias("mate")))
+            changed = best.join(ends, "mate", "left_semi").select("id").unionByName(merged.select(F.col("keep").alias("id")))
+            dirty = materialize(state.join(changed, "id", "left_semi").select("id", "vec"))
+
+    kind = state.schema["id"].dataType
+    schema = T.StructType([T.StructField("merged_into", kind), T.StructField("rep", kind)])
+
+    def run(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if tables:
+            side = pa.concat_tables(tables)
+            order = np.argsort(column_values(side.column("id")), kind="stable")
+            ids, sizes = (column_values(side.column(c))[order] for c in ("id", "n"))
+            into = _merge_rest(ids, to_matrix(side.column("vec"))[order], sizes, threshold)
+            yield from arrow_table(schema, [[ids], [ids[into]]]).to_batches()
+
+    rest = materialize(state.select("id", "vec", "n").coalesce(1).mapInArrow(run, schema))
+    return mapping.join(rest, "merged_into").select("person_id", F.col("rep").alias("merged_into"))
