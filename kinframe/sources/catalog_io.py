@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
+import os
 import uuid
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +15,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinframe.operators.catalog import basename, live
 from kinframe.operators.ranking import rank_in_group
+from kinframe.session import materialize
 from kinframe.sources.schema import SCHEMA_VERSION, TABLES, upgrade_schema
 
 # File extensions taken as images.
@@ -22,15 +27,80 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "webp"]
 
 # Largest file whose content is read.
 MAX_CONTENT = 256 << 20
+# Files and bytes that one task reads, about; rows and bytes of content that it hands on at once.
+TASK_FILES, TASK_BYTES = 10_000, 128 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
+
+def open_root(root: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of an address, the folder there, and what precedes that folder's paths in addresses.
+
+    Local folders are named plainly or by ``file:``; all others are addresses that Arrow can
+    open: HDFS or an object store.
+    """
+    if "://" not in root or root.startswith("file:"):
+        return pafs.LocalFileSystem(), os.path.abspath("/" + root[5:].lstrip("/") if root.startswith("file:") else root), "file:"
+    files, base = pafs.FileSystem.from_uri(root)
+    return files, base, root[: -len(base)] if base and root.endswith(base) else root.split("://")[0] + "://"
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """Files under ``root`` by shell pattern of their name: ``path, length, modified_at``.
+
+    Tasks list the folders, one level after the other, and store what they found; the
+    driver never holds the files. Hidden names and empty files are left out, as Spark's
+    readers do.
+    """
+    target, base, before = open_root(root)
+    first = target.get_file_info(base)
+    if first.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("modified_at", T.TimestampType()), T.StructField("folder", T.BooleanType())])
+    names = schema.names
+
+    def wanted(info):
+        return info.type == pafs.FileType.Directory or (info.size > 0 and (pattern is None or fnmatchcase(info.base_name, pattern)))
+
+    def rows(infos):
+        stamp = pa.array([i.mtime_ns // 1000 if i.mtime_ns else None for i in infos], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        folder = [i.type == pafs.FileType.Directory for i in infos]
+        size = [0 if f else i.size for i, f in zip(infos, folder)]
+        return pa.RecordBatch.from_arrays([pa.array([before + i.path for i in infos], pa.string()), pa.array(size, pa.int64()), stamp, pa.array(folder, pa.bool_())], names)
+
+    def run(batches):
+        source = open_root(root)[0]
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = source.get_file_info(pafs.FileSelector(path.removeprefix(before)))
+                found = [i for i in found if not _hidden(i.base_name) and wanted(i)]
+                for at in range(0, len(found), BATCH_ROWS):
+                    yield rows(found[at : at + BATCH_ROWS])
+
+    if first.type != pafs.FileType.Directory:
+        return spark.createDataFrame(pa.Table.from_batches([rows([first] if wanted(first) else [])]), schema).drop("folder")
+    level, tasks, levels = spark.createDataFrame([(before + base,)], "path string"), 1, []
+    while tasks:
+        found = materialize(level.repartition(tasks).mapInArrow(run, schema))
+        levels.append(found.where("NOT folder").drop("folder"))
+        level = found.where("folder").select("path")
+        tasks = min(level.count(), 4 * spark.sparkContext.defaultParallelism)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Image files under ``root``, ordered by path: ``path, length, modified_at``.
 
-    File contents are not read: only the listing columns are selected.
+    File contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return image_files(files.select("path", "length", F.col("modificationTime").alias("modified_at"))).orderBy("path")
+    return image_files(list_files(spark, root)).orderBy("path")
 
 
 def image_files(files: DataFrame) -> DataFrame:
@@ -52,12 +122,38 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None, max_b
 
     The pattern narrows the listing. A file's content is one value in memory, so content of
     files above ``max_bytes`` is null; it is never read, as the length is known before.
+    The listing is stored and dealt to tasks by its number of files and bytes, so neither
+    the driver nor a task holds more as folders grow.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
-    small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
-    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    files = list_files(spark, root, pattern).select("path", "length")
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("length") <= max_bytes, F.col("length"))), F.lit(0))).first()
+    tasks = max(min(n, spark.sparkContext.defaultParallelism), math.ceil(n / TASK_FILES), math.ceil(size / TASK_BYTES), 1)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*held), schema)], schema.names)
+
+    def run(batches):
+        source, _, before = open_root(root)
+        held, size = [], 0
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                content = None
+                if length <= max_bytes:
+                    if held and size + length > BATCH_BYTES:
+                        yield rows(held)
+                        held, size = [], 0
+                    with source.open_input_file(path.removeprefix(before)) as file:
+                        content = file.read()
+                    size += length
+                held.append((path, length, content))
+                if len(held) == BATCH_ROWS:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return files.repartition(tasks).mapInArrow(run, schema)
 
 
 def write_files(files: DataFrame, root: str) -> int:
@@ -65,12 +161,11 @@ def write_files(files: DataFrame, root: str) -> int:
 
     Paths are relative and must differ. The tasks write the files themselves, as a commit by
     Spark's writers costs several steps a file, partly in the driver. A repeated task
-    writes the same files again. ``root`` may be any address that Arrow can open: a shared
-    folder, HDFS or an object store.
+    writes the same files again. ``root`` may be any address that ``open_root`` takes.
     """
 
     def run(batches):
-        target, base = pafs.FileSystem.from_uri(root)
+        target, base, _ = open_root(root)
         made, n = set(), 0
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
@@ -79,12 +174,12 @@ def write_files(files: DataFrame, root: str) -> int:
                 if folder not in made:
                     target.create_dir(folder, recursive=True)
                     made.add(folder)
-                with target.open_output_stream(full) as out:
+                with target.open_output_stream(full, compression=None) as out:
                     out.write(content)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    pafs.FileSystem.from_uri(root)  # an address that Arrow does not know fails here, not in a task
+    open_root(root)  # an address that Arrow does not know fails here, not in a task
     rows = files.select(F.col("path"), F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
