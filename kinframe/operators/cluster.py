@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from kinframe.operators.pairs import (
     Side,
     arrow_table,
     block_pairs,
+    collapse_copies,
     column_values,
+    copy_members,
     pairs_near,
     similar_pairs,
     single_precision,
@@ -36,7 +39,7 @@ from kinframe.operators.pairs import (
     unit_rows,
 )
 from kinframe.operators.ranking import rank_in_group
-from kinframe.session import checkpoint_root, materialize
+from kinframe.session import checkpoint_root, materialize, release
 
 # Linkage cut-off, and the similarity a low-tier face needs to join.
 LINKAGE_THRESHOLD = 0.45
@@ -58,6 +61,12 @@ SAMPLE_NODES = 2048
 # Sorted edges that one task decides at a time in the greedy pass, and those it compares at once.
 SLICE_EDGES = 1_000_000
 SLICE_BLOCK = 4096
+# Edges that the greedy pass lists at a time; from how many clusters on it tells pairs of them
+# apart, and how far below the threshold their centroids may lie for all their edges to be listed.
+GREEDY_EDGES = 4_000_000
+FIRST_EDGES = 8
+LOCAL_CLUSTERS = 4096
+NEAR_MARGIN = 0.05
 # Faces that running-average clustering compares with all centroids at once.
 LEADER_BLOCK = 256
 # Person centroids whose remaining merges one task does: a table of at most 128 MB.
@@ -744,6 +753,9 @@ class _Merged:
         s = np.divide((x * y).sum(1), scale, out=np.zeros(len(a)), where=scale > 0)
         return (s >= self.threshold) & (a != b)
 
+    def merged(self, keep: int, gone: int) -> None:
+        """What else a merge changes."""
+
     def take(self, a: np.ndarray, b: np.ndarray) -> None:
         """Decide edges in their order. Only those that touch a merge are compared again."""
         a, b = self.roots(a), self.roots(b)
@@ -754,6 +766,7 @@ class _Merged:
             total = self.sizes[keep] + self.sizes[gone]
             mixed = self.centroids[keep].astype(np.float64) * self.sizes[keep] + self.centroids[gone].astype(np.float64) * self.sizes[gone]
             self.centroids[keep], self.sizes[keep], self.parent[gone] = (mixed / total).astype(np.float32), total, keep
+            self.merged(keep, gone)
             at += 1
             a[at:][a[at:] == gone] = keep
             b[at:][b[at:] == gone] = keep
@@ -762,15 +775,19 @@ class _Merged:
 
 
 def _greedy_slices(edges: DataFrame, nodes: DataFrame, threshold: float, slice_edges: int | None = None) -> DataFrame:
-    """The greedy pass for components too large for one task: ``(id, cluster)``.
+    """The greedy pass for components too large for one task: ``(id, cluster)``."""
+    state = materialize(nodes.select("id", F.col("vec").cast("array<float>").alias("vec"), F.lit(1).cast("long").alias("size")))
+    return _merge_slices(edges, state, nodes.select("id", F.col("id").alias("cluster")), threshold, slice_edges)[1]
+
+
+def _merge_slices(edges: DataFrame, state: DataFrame, assign: DataFrame, threshold: float, slice_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decide edges best first: the clusters ``(id, vec, size)`` after them, and ``(id, cluster)``.
 
     Edges are sorted by Spark and cut into slices of about ``slice_edges``, which are decided
     one after the other. A task holds one slice and the clusters that it touches; edges
     inside a cluster are dropped before they come to it.
     """
     spark, folder = edges.sparkSession, f"{checkpoint_root(edges.sparkSession)}/slices-{uuid.uuid4().hex}"
-    state = materialize(nodes.select("id", F.col("vec").cast("array<float>").alias("vec"), F.lit(1).cast("long").alias("size")))
-    assign = nodes.select("id", F.col("id").alias("cluster"))
     slices = max(1, math.ceil(edges.count() / (slice_edges or SLICE_EDGES)))
     ranged = edges.repartitionByRange(slices, F.col("sim").desc(), "id_a", "id_b").withColumn("slice", F.spark_partition_id())
     ranged.write.partitionBy("slice").parquet(folder)
@@ -812,6 +829,184 @@ def _greedy_slices(edges: DataFrame, nodes: DataFrame, threshold: float, slice_e
         assign = materialize(
             assign.join(moved, "cluster", "left").select("id", F.coalesce("into", "cluster").alias("cluster"))
         )
+    return state, assign
+
+
+def _wanted_edges(needs: Sequence[float], low: float, high: float, known: np.ndarray | None):
+    """Pairs of unlike clusters from ``low`` up to below ``high`` that their tiers allow, as a generator over blocks.
+
+    ``known`` marks the pairs of clusters to look at, packed in bits; without it all are.
+    """
+    needs = np.asarray(needs)
+
+    def hits(a: Side, b: Side, same: bool):
+        marks = None if known is None else np.unpackbits(known.value, axis=1).astype(bool)
+
+        def wanted(i, j):
+            x, y = a.attr["cluster"][i], b.attr["cluster"][j]
+            return (x != y) if marks is None else (x != y) & marks[x, y]
+
+        for i, j, s in pairs_near(a, b, low - ANGLE_SLACK, wanted):
+            hit = (s >= needs[a.attr["low"][i].astype(np.int8) + b.attr["low"][j].astype(np.int8)]) & (s >= low) & (s < high)
+            if same:
+                hit &= i < j
+            yield i[hit], j[hit], s[hit]
+
+    return hits
+
+
+BAND_EDGE = T.StructType([T.StructField(c, T.DoubleType() if c == "sim" else T.LongType()) for c in ("sim", "id_a", "id_b", "ca", "cb")])
+
+
+def _band_edges(placed: DataFrame, needs: Sequence[float], low: float, high: float, known, block_rows: int | None) -> DataFrame:
+    """Edges between clusters of ``placed(id, vec, low, cluster)``, with the clusters."""
+    hits = _wanted_edges(needs, low, high, known)
+
+    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
+        found = []
+        for i, j, s in hits(a, b, same):
+            x, y = a.attr["id"][i], b.attr["id"][j]
+            cx, cy, turned = a.attr["cluster"][i], b.attr["cluster"][j], x > y
+            found.append((s, np.where(turned, y, x), np.where(turned, x, y), np.where(turned, cy, cx), np.where(turned, cx, cy)))
+        columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5)]
+        return pa.table({f.name: pa.array(c, to_arrow_type(f.dataType)) for f, c in zip(BAND_EDGE, [columns[0], *[c.astype(np.int64) for c in columns[1:]]])})
+
+    return block_pairs(placed, None, reduce, BAND_EDGE, low, block_rows)
+
+
+def _greedy_above(placed: DataFrame, needs: Sequence[float], threshold: float, high: float, known) -> np.ndarray:
+    """About how many edges lie at or over each bin's lower edge, from the partners of some faces."""
+    hits, edges = _wanted_edges(needs, threshold, high, known), _bins(threshold)
+
+    def reduce(a: Side, b: Side, same: bool) -> pa.Table:
+        total = np.zeros(BAND_BINS, np.int64)
+        for _, _, s in hits(a, b, same):
+            total += np.bincount(np.searchsorted(edges, s, side="right") - 1, minlength=BAND_BINS)
+        at = np.nonzero(total)[0]
+        return pa.table({"bin": pa.array(at.astype(np.int32)), "edges": pa.array(total[at])})
+
+    schema = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("edges", T.LongType())])
+    chosen, n = placed.orderBy(F.xxhash64("id")).limit(SAMPLE_NODES), placed.count()
+    return _above(block_pairs(chosen, placed, reduce, schema, threshold)) * (n / (2 * max(1, min(n, SAMPLE_NODES))))
+
+
+def _greedy_cut(above: np.ndarray, threshold: float, band_edges: int) -> float:
+    """The lower edge of a bin over which about ``band_edges`` edges lie; that of the best ones if they are more."""
+    cut = _cut_of(above, threshold, band_edges)
+    return float(_bins(threshold)[np.flatnonzero(above)[-1]]) if cut is None else cut
+
+
+def _greedy_band(placed: DataFrame, needs, threshold: float, high: float, known, block_rows, band_edges: int) -> tuple[DataFrame, float]:
+    """About ``band_edges`` of the best edges below ``high``, and the similarity from which on they are all."""
+    cut = _greedy_cut(_greedy_above(placed, needs, threshold, high, known), threshold, int(0.9 * band_edges))
+    edges = materialize(_band_edges(placed, needs, cut, high, known, block_rows))
+    if edges.count() > band_edges:
+        # Foreseen too low: the cut is raised to a bin's edge among the edges that were listed.
+        at = F.floor((F.col("sim") - threshold) / (1.0 - threshold) * BAND_BINS).cast("int")
+        counts = edges.groupBy(F.least(F.greatest(at, F.lit(0)), F.lit(BAND_BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("edges"))
+        cut = max(cut, _greedy_cut(_above(counts), threshold, band_edges))
+        edges = edges.where(F.col("sim") >= cut)
+    return edges, cut
+
+
+class _Foreseeing(_Merged):
+    """Decides edges of known pairs of clusters, and tells which unknown pairs it would have needed.
+
+    A pair of clusters is known if all pairs of what they were made of are. As long as the
+    centroids of all others stay below the threshold, their edges would be turned down.
+    """
+
+    def __init__(self, centroids: np.ndarray, sizes: np.ndarray, threshold: float, known: np.ndarray):
+        super().__init__(centroids, sizes, threshold)
+        self.known, self.asked = known.copy(), np.zeros_like(known)
+        self.members = [[k] for k in range(len(sizes))]
+
+    def merged(self, keep: int, gone: int) -> None:
+        both = self.known[keep] & self.known[gone]
+        self.known[keep], self.known[:, keep] = both, both
+        self.members[keep] += self.members[gone]
+        live = np.flatnonzero((self.parent == np.arange(len(self.parent))) & ~both)
+        live = live[live != keep]
+        x, y = self.centroids[live].astype(np.float64), self.centroids[keep].astype(np.float64)
+        scale = np.sqrt((x * x).sum(1)) * np.sqrt(y @ y)
+        s = np.divide(x @ y, scale, out=np.zeros(len(live)), where=scale > 0)
+        for other in live[s >= self.threshold - ANGLE_SLACK]:
+            self.asked[np.ix_(self.members[keep], self.members[other])] = True
+            self.known[keep, other] = self.known[other, keep] = True
+
+
+def _foresee(edges: DataFrame, ids: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, threshold: float, known: np.ndarray) -> tuple:
+    """Decide a band in one task: parents, centroids and sizes of the clusters, and the pairs it asks for."""
+    shared = edges.sparkSession.sparkContext.broadcast((centroids, sizes, np.packbits(known, axis=1)))
+    schema = T.StructType([T.StructField(c, T.BinaryType()) for c in ("parent", "centroids", "sizes", "asked")])
+
+    def run(table):
+        centroids, sizes, packed = shared.value
+        found = _Foreseeing(centroids, sizes, threshold, np.unpackbits(packed, axis=1)[:, : len(sizes)].astype(bool))
+        sim, x, y, a, b = (column_values(table.column(c)) for c in ("sim", "id_a", "id_b", "ca", "cb"))
+        order = np.lexsort((y, x, -sim))
+        a, b = a[order], b[order]
+        for at in range(0, len(a), SLICE_BLOCK):
+            found.take(a[at : at + SLICE_BLOCK], b[at : at + SLICE_BLOCK])
+        asked = found.asked | found.asked.T
+        out = (found.roots(np.arange(len(sizes))).astype(np.int64), found.centroids, found.sizes, np.packbits(asked, axis=1))
+        return pa.table({f.name: pa.array([c.tobytes()], pa.binary()) for f, c in zip(schema, out)})
+
+    one = edges.select(F.lit(0).alias("pack"), *BAND_EDGE.names)
+    row = one.groupBy("pack").applyInArrow(run, schema).first()
+    if row is None:
+        return np.arange(len(ids)), centroids, sizes, np.zeros_like(known)
+    asked = np.unpackbits(np.frombuffer(row["asked"], np.uint8).reshape(len(ids), -1), axis=1)[:, : len(ids)].astype(bool)
+    return np.frombuffer(row["parent"], np.int64), np.frombuffer(row["centroids"], np.float32).reshape(centroids.shape), np.frombuffer(row["sizes"], np.int64), asked & ~known
+
+
+def _greedy_rounds(rows: DataFrame, threshold: float, needs: Sequence[float], block_rows: int | None) -> DataFrame:
+    """The greedy pass without a list of all edges: ``(id, cluster)`` of ``rows(id, vec, low, size)``.
+
+    Edges are met in bands of falling similarity. A band holds about ``GREEDY_EDGES`` edges
+    between unlike clusters, is decided and not needed again. From ``LOCAL_CLUSTERS`` clusters
+    on a band holds only edges of clusters whose centroids are near the threshold or over it:
+    the others are turned down while they stay below it. If a merge brings such a pair over it,
+    the pair's edges in the band are listed too and the band is decided anew, until none is missing.
+    """
+    spark = rows.sparkSession
+    state = materialize(rows.select("id", F.col("vec").cast("array<float>").alias("vec"), "size"))
+    # A few edges a face leave few enough clusters; more than that are better met with their help.
+    first_edges = min(GREEDY_EDGES, max(SLICE_EDGES, FIRST_EDGES * rows.count()))
+    assign, high = rows.select("id", F.col("id").alias("cluster")), math.inf
+    while high > threshold and state.count() > LOCAL_CLUSTERS:
+        placed = materialize(rows.select("id", "vec", "low").join(assign, "id"))
+        edges, high = _greedy_band(placed, needs, threshold, high, None, block_rows, first_edges)
+        if not edges.isEmpty():
+            state, assign = _merge_slices(edges.select("sim", "id_a", "id_b"), state, assign, threshold)
+        del edges, placed
+        release(spark)
+    while high > threshold:
+        table = state.toArrow().sort_by("id")
+        ids, sizes = column_values(table.column("id")), column_values(table.column("size"))
+        centroids = to_matrix(table.column("vec")).astype(np.float32)
+        units = unit_rows(centroids.astype(np.float64))
+        known = units @ units.T >= threshold - NEAR_MARGIN
+        known |= known.T
+        numbers = pa.table({"cluster": pa.array(ids, pa.int64()), "number": pa.array(np.arange(len(ids)))})
+        placed = materialize(assign.join(spark.createDataFrame(numbers), "cluster").join(rows.select("id", "vec", "low"), "id").select("id", "vec", "low", F.col("number").alias("cluster")))
+        packed = lambda marks: spark.sparkContext.broadcast(np.packbits(marks, axis=1))
+        edges, low = _greedy_band(placed, needs, threshold, high, packed(known), block_rows, GREEDY_EDGES)
+        while True:
+            parent, centroids_after, sizes_after, asked = _foresee(edges, ids, centroids, sizes, threshold, known)
+            if not asked.any():
+                break
+            some = spark.createDataFrame(pa.table({"cluster": pa.array(np.flatnonzero(asked.any(axis=1)))}))
+            part = materialize(placed.join(some, "cluster", "left_semi").select("id", "vec", "low", "cluster"))
+            edges = edges.unionByName(materialize(_band_edges(part, needs, low, high, packed(asked), block_rows)))
+            known |= asked
+        roots = parent == np.arange(len(ids))
+        moved = pa.table({"cluster": pa.array(ids, pa.int64()), "into": pa.array(ids[parent], pa.int64())})
+        assign = materialize(assign.join(spark.createDataFrame(moved), "cluster").select("id", F.col("into").alias("cluster")))
+        state = spark.createDataFrame(pa.table({"id": pa.array(ids[roots], pa.int64()), "vec": pa.array(list(centroids_after[roots]), pa.list_(pa.float32())), "size": pa.array(sizes_after[roots], pa.int64())}))
+        high = low
+        del edges, placed
+        release(spark)
     return assign
 
 
@@ -835,6 +1030,20 @@ def cluster_greedy(
             F.col("face_order").alias("id"), F.col("embedding").alias("vec"), F.col("face_quality").alias("tier")
         )
     )
+    least = [max(threshold, x) for x in (threshold if anchor is None else anchor, low_join, low_join if low_low is None else low_low)]
+    n = rows.count()
+    if 0 < threshold and max(least) < 1 and n * (n - 1) // 2 > GREEDY_EDGES:
+        base = (rows.where(F.col("tier") != "very_low") if drop_very_low else rows).withColumn("tier", F.coalesce("tier", F.lit("")))
+        reps = materialize(collapse_copies(base, "id", "vec", ["tier"]))
+        nodes = reps.where(norm("vec") > 0).select("id", "vec", F.coalesce(F.col("tier") == "low", F.lit(False)).cast("long").alias("low"), F.col("n").alias("size"))
+        placed = nodes.select("id", "vec", "low", F.col("id").alias("cluster"))
+        if _greedy_above(placed, least, threshold, math.inf, None)[0] > GREEDY_EDGES:
+            found = _greedy_rounds(nodes, threshold, least, block_rows)
+            members = copy_members(base, reps.where(norm("vec") > 0), "id", "vec", ["tier"])
+            joined = rows.select("id").join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+            return joined.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+                F.col("id").alias("face_order"), F.coalesce("cluster", "id").alias("cluster")
+            )
     # Copies of one tier always merge first, so linking them to their first face is enough.
     edges = similar_pairs(rows, threshold, "id", "vec", block_rows=block_rows, copies="linked", keep=["tier"])
     edges = materialize(

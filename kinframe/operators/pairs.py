@@ -387,11 +387,11 @@ def tiles(a: Side, b: Side):
             yield start, stop, np.clip(a.units[start:stop] @ b.units.T, -1.0, 1.0)
 
 
-def pairs_near(a: Side, b: Side, over: float):
+def pairs_near(a: Side, b: Side, over: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
     """Rows, columns and similarities over ``over``, tile by tile.
 
-    A product in single precision, with room for its rounding, names the pairs; only these
-    are worked out in double precision.
+    A product in single precision, with room for its rounding, names the pairs; only these,
+    and of them those that ``wanted`` marks, are worked out in double precision.
     """
     own, other = a.units.astype(np.float32), np.ascontiguousarray(b.units.astype(np.float32).T)
     room = (own.shape[1] + 8) * 2.0**-23
@@ -399,6 +399,9 @@ def pairs_near(a: Side, b: Side, over: float):
     for start in range(0, len(a) if len(b) else 0, rows):
         i, j = np.divmod(np.flatnonzero(own[start : start + rows] @ other > np.float32(over - room)), len(b))
         i += start
+        if wanted is not None:
+            mark = wanted(i, j)
+            i, j = i[mark], j[mark]
         parts = [np.einsum("ij,ij->i", a.units[i[k : k + PAIRS_AT_ONCE]], b.units[j[k : k + PAIRS_AT_ONCE]]) for k in range(0, len(i), PAIRS_AT_ONCE)]
         s = np.clip(np.concatenate(parts), -1.0, 1.0) if parts else np.zeros(0)
         hit = s > over

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -76,3 +77,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/kinframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that are no longer referenced.
+
+    It does so when the driver collects their handles, which a long loop may put off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
